@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, url_filter
+from . import bpe, chat, exact_dedup, secrets, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,25 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op8_chat_format": op8_chat_format,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLES = {
@@ -55,4 +70,17 @@ ORACLES = {
                    count(*) OVER (PARTITION BY norm) AS group_size
             FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w""",
+    "op8_chat_format": r"""
+        WITH t AS (
+            SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        said AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+                   '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS line
+            FROM t),
+        plain AS (SELECT conv_id, list(role || chr(10) || text ORDER BY pos) AS turns, string_agg(line, '' ORDER BY pos) AS text, count(*) AS n_turns FROM said GROUP BY conv_id),
+        heads AS (SELECT DISTINCT list_slice(turns, 1, i) AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS i FROM plain)),
+        firsts AS (SELECT turns, min(conv_id) AS conv_id FROM plain GROUP BY turns)
+        SELECT conv_id, 0 AS part, n_turns, text FROM plain
+        WHERE conv_id IN (SELECT conv_id FROM firsts WHERE turns NOT IN (SELECT turns FROM heads))""",
 }
