@@ -34,6 +34,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a lookup table up to which it is sent to all tasks; beyond, the join is by hash.
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, marked for broadcast if it has few enough rows; it should be written already, for it is counted here."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; results that still read them must be written first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACES, materialize, text_of
+from .common import SPACES, materialize, small, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -78,12 +78,17 @@ def _labelled(joined: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups does not keep; all columns stay as they are.
 
-    Rows are chosen by doc_id and text digest, so tables whose doc_id repeats lose only true copies; of rows
-    equal in both one stays.
+    Rows are told apart by doc_id and text digest, so where doc_ids repeat only true copies go; of rows equal in
+    both one stays. Texts are not shuffled while what goes is few enough rows to be sent to all tasks.
     """
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    flags = materialize(exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "exact-flags")
     sha = F.sha2(normalised(text_of()), 256)
     whole = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("row_id"), sha.alias("row_sha"), F.char_length(text_of()).alias("len"))
-    same = Window.partitionBy("row_id", "row_sha").orderBy(F.col("len").desc())
-    found = whole.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_sha") == F.col("kept_sha")), "left_semi")
-    return found.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("whole.*")
+    same = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_sha") == F.col("text_sha256"))
+    left = whole.join(small(flags.filter("not stays").select("doc_id", "text_sha256")), same, "left_anti")
+    again = flags.filter("stays and n > 1").select("doc_id", "text_sha256")
+    if not again.isEmpty():
+        repeats = Window.partitionBy("row_id", "row_sha").orderBy(F.col("len").desc())
+        first = left.join(again, same, "left_semi").withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").drop("nth")
+        left = left.join(again, same, "left_anti").unionByName(first)
+    return left.select("whole.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_LOWER, materialize, slices, text_of
+from .common import ASCII_LOWER, materialize, slices, small, text_of
 from .components import components
 
 #: Bits that linked fingerprints may differ in; the anchors' distance is made for it.
@@ -232,8 +232,13 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, words_each: int
 
 
 def keep_one_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each component, the one of the smallest doc_id; columns stay as they are."""
-    found = near_components(docs, threshold)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
+    """docs with one row of each component, the one of the smallest doc_id; columns stay as they are.
+
+    Rows are told apart by doc_id: where ids repeat, an id stays if any of its rows is its component's first.
+    Texts are not shuffled while what goes is few enough ids to be sent to all tasks.
+    """
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = near_components(docs, threshold).groupBy("doc_id").agg(F.max(head).alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone_id"))
     whole = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("row_id"))
-    return whole.join(heads, F.col("row_id").eqNullSafe(F.col("head")), "left_semi").select("whole.*")
+    gone = small(materialize(gone, "simhash-gone"))
+    return whole.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")), "left_anti").select("whole.*")
