@@ -1 +1 @@
-"""Part of vouch."""
+"""Queries over the given tables, and the tables they are derived from."""
