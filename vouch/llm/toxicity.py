@@ -175,15 +175,19 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 4, steps
     return LabelModel(model.prior, model.on_toxic, model.on_other, weight, correlation)
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last coefficient is the constant."""
-    x1 = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x1.shape[1])
-    pull = ridge * np.r_[np.ones(x.shape[1]), 1e-6]
+def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25, block: int = 2048) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, summed over blocks of rows; the last coefficient is the constant."""
+    k = x.shape[1]
+    w = np.zeros(k + 1)
+    pull = ridge * np.r_[np.ones(k), 1e-6]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(pull)
-        step = np.linalg.solve(h, x1.T @ (q - p) - pull * w)
+        h, g = np.diag(pull), -pull * w
+        for at in range(0, len(x), block):
+            x1 = np.c_[x[at : at + block].astype(float), np.ones(len(x[at : at + block]))]
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            h += (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1
+            g += x1.T @ (q[at : at + block] - p)
+        step = np.linalg.solve(h, g)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -201,22 +205,23 @@ def train(texts: DataFrame) -> tuple[list[tuple[bytes, float]], np.ndarray]:
         reader = Reader(terms)
         for part in slices(batches):
             x = [reader.design(t) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), part.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), part.column(1), part.column(2)], ["x", "label", "key"])
 
-    rows = texts.select("text", "label").mapInArrow(run, "x array<float>, label int").toPandas()
+    keyed = texts.select("text", "label", F.xxhash64("text").alias("key"))
+    rows = keyed.mapInArrow(run, "x array<float>, label int, key long").toArrow()
     width = 2 * n + len(PATTERNS) + 3
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), width)
-    y = rows["label"].to_numpy(dtype=float)
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(rows), width)
+    y, key = rows["label"].to_numpy().astype(float), rows["key"].to_numpy()
     if not mined:
         # No labels of both kinds: hits of the fixed lexicon decide.
         return terms, np.r_[np.full(n, 3.0), np.zeros(n), np.full(len(PATTERNS), 1.0), np.zeros(3), -2.0]
-    order = np.lexsort(np.c_[x, y].T)  # rows come in any order; sums of floats then still agree
+    order = np.lexsort((y, key))  # rows come in any order; sums of floats then still agree
     x, y = x[order], y[order]
     # Voters: the first terms, once for any and once for repeated hits; the fixed lexicon; patterns; no hit at all.
     first = list(range(min(VOTERS, len(mined))))
     rest = list(range(len(mined), n))
     silent = x[:, :n].sum(axis=1) == 0
-    votes = np.c_[x[:, first], x[:, [n + i for i in first]] > 0, x[:, rest], x[:, 2 * n : -3], silent, y].astype(float)
+    votes = np.c_[x[:, first], x[:, [n + i for i in first]] > 0, x[:, rest], x[:, 2 * n : -3], silent, y].astype(np.float32)
     model = fit_label_model(votes, np.where(y == 1, 0.95, 0.05), apart=1)
     return terms, fit_linear(x, model.posterior(votes))
 
