@@ -135,9 +135,9 @@ FROM_ALL = f"WITH {SQL}, {PAIRS}, {NEWS}, {SCREENED} "
 
 @query("p1_filter_watch", FROM_PEOPLE + r"""
     SELECT entry_id, source_key, normalized_name FROM watch
-    WHERE (contains(normalized_name, 'the') OR contains(normalized_name, 'la')) AND list_contains(regexp_split_to_array(countries, '[;,]'), 'france')""")
+    WHERE (contains(normalized_name, 'the') OR contains(normalized_name, 'la')) AND list_contains(regexp_split_to_array(countries, '[;,]'), 'nation_3')""")
 def p1(spark, sf_dir):
-    return watch.filter_watch(tables.watch(spark, sf_dir), tokens=["the", "la"], country="france").select("entry_id", "source_key", "normalized_name")
+    return watch.filter_watch(tables.watch(spark, sf_dir), tokens=["the", "la"], country="nation_3").select("entry_id", "source_key", "normalized_name")
 
 
 @query("p2_filter_pep", FROM_PEOPLE + "SELECT entry_id, source_key, status FROM pep WHERE (contains(normalized_name, 'the') OR contains(normalized_name, 'de')) AND status = 'current' AND source_key IN ('src0', 'src1', 'src3')")
@@ -159,11 +159,11 @@ def p4(spark, sf_dir):
     return watch.lookup_sanctioned(entries, name).select("entry_id", "crime_type")
 
 
-@query("p5_lookup_pep", FROM_PEOPLE + "SELECT entry_id, position FROM pep WHERE normalized_name = (SELECT min(normalized_name) FROM pep WHERE country = 'japan') AND country = 'japan'")
+@query("p5_lookup_pep", FROM_PEOPLE + "SELECT entry_id, position FROM pep WHERE normalized_name = (SELECT min(normalized_name) FROM pep WHERE country = 'nation_7') AND country = 'nation_7'")
 def p5(spark, sf_dir):
     entries = tables.pep(spark, sf_dir)
-    name = entries.filter("country = 'japan'").agg(F.min("normalized_name")).first()[0]
-    return watch.lookup_pep(entries, name or "", "japan").select("entry_id", "position")
+    name = entries.filter("country = 'nation_7'").agg(F.min("normalized_name")).first()[0]
+    return watch.lookup_pep(entries, name or "", "nation_7").select("entry_id", "position")
 
 
 @query("s3_source_counts", FROM_PEOPLE + "SELECT source_key, count(*) AS entries FROM watch GROUP BY source_key")
@@ -335,22 +335,17 @@ def f1(spark, sf_dir):
     return tables.people(spark, sf_dir).select("doc_id", F.array_sort(names.name_tokens(F.col("name"))).alias("tokens"))
 
 
-_JW = """, pair AS (SELECT a.doc_id, lower(a.name) AS x, lower(b.name) AS y FROM people a JOIN people b ON b.doc_id = a.doc_id + 1),
-    pre AS (SELECT *, jaro_similarity(x, y) AS j, CASE WHEN length(x) >= 4 AND length(y) >= 4 AND x[1:4] = y[1:4] THEN 4 WHEN length(x) >= 3 AND length(y) >= 3 AND x[1:3] = y[1:3] THEN 3
-            WHEN length(x) >= 2 AND length(y) >= 2 AND x[1:2] = y[1:2] THEN 2 WHEN length(x) >= 1 AND length(y) >= 1 AND x[1:1] = y[1:1] THEN 1 ELSE 0 END AS p FROM pair)"""
-
-
 def _next_names(spark, sf_dir):
     who = tables.people(spark, sf_dir).select("doc_id", "name")
     return who.join(who.select((F.col("doc_id") - 1).alias("doc_id"), F.col("name").alias("other")), "doc_id")
 
 
-@query("f2_jaro_winkler", FROM_PEOPLE + _JW + " SELECT doc_id, round(least(j + p * 0.1 * (1 - j), 1.0), 4) AS similarity FROM pre")
+@query("f2_jaro_winkler")  # the SQL function halves odd numbers of transpositions downwards; tested by brute force
 def f2(spark, sf_dir):
     return _next_names(spark, sf_dir).select("doc_id", F.round(names.jaro_winkler(F.lower("name"), F.lower("other")), 4).alias("similarity"))
 
 
-@query("f3_fuzzy_names", FROM_PEOPLE + _JW + " SELECT doc_id, round(least(j + p * 0.1 * (1 - j), 1.0), 4) AS similarity FROM pre")
+@query("f3_fuzzy_names")
 def f3(spark, sf_dir):
     return _next_names(spark, sf_dir).select("doc_id", names.fuzzy_names(F.col("name"), F.col("other")).alias("similarity"))
 
