@@ -115,7 +115,7 @@ def id_veri_score(checks: DataFrame, expected: dict[str, int]) -> DataFrame:
 def forgery_summary(scores: DataFrame, detected: float = 0.1, reject: int = 3) -> DataFrame:
     """For each document methods run, methods that found something, mean score, and whether enough found something to reject it."""
     hits = F.count_if(F.col("score") > detected)
-    return scores.groupBy("doc_id").agg(F.count(F.lit(1)).alias("methods"), hits.alias("detections"), F.round(F.avg("score"), 4).alias("probability"), (hits >= reject).alias("rejected"))
+    return scores.groupBy("doc_id").agg(F.count(F.lit(1)).alias("methods"), hits.alias("detections"), F.round(F.avg("score"), 6).alias("probability"), (hits >= reject).alias("rejected"))
 
 
 def method_bands(scores: DataFrame, thresholds: DataFrame) -> DataFrame:

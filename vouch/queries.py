@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.plans import evaluation, screening
+from vouch.plans import evaluation, lifecycle, screening
 
 FLAGSHIP = "j1_screen_sanctions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for family in (screening, evaluation):
+for family in (screening, evaluation, lifecycle):
     QUERIES |= family.Q
     ORACLES |= family.O
