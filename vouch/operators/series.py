@@ -22,13 +22,13 @@ def stable_runs(frames: DataFrame, n: int = 3) -> DataFrame:
 def segments(frames: DataFrame, n: int = 3, fps: float = 30.0) -> DataFrame:
     """Stable runs as segments: video_id, run, value, first, last, seconds, confidence; a value below 0 is no segment."""
     return stable_runs(frames, n).filter("value >= 0").groupBy("video_id", "run").agg(
-        F.first("value").alias("value"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.round(F.count(F.lit(1)) / fps, 4).alias("seconds"), F.round(F.avg("confidence"), 6).alias("confidence")
+        F.first("value").alias("value"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.round(F.count(F.lit(1)) / fps, 4).alias("seconds"), F.avg("confidence").alias("confidence")
     )
 
 
 def decode(segments_: DataFrame, length: int | None = None) -> DataFrame:
     """The code that a video's segments spell: video_id, code, confidence, valid (of the right length where given)."""
-    out = segments_.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("run", F.col("value").cast("string").alias("v")))).alias("s"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    out = segments_.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("run", F.col("value").cast("string").alias("v")))).alias("s"), F.round(F.avg("confidence"), 6).alias("confidence"))
     code = F.array_join(F.transform("s", lambda x: x["v"]), "")
     valid = (F.length("code") == length) if length is not None else F.length("code") > 0
     return out.select("video_id", code.alias("code"), "confidence").withColumn("valid", valid)

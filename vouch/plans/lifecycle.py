@@ -464,10 +464,10 @@ def w4(spark, sf_dir):
 
 @query("w5_segments", f"WITH {FRAMES} SELECT video_id, value, min(frame_idx) AS first, max(frame_idx) AS last, round(count(*) / 30, 4) AS seconds, round(avg(confidence), 6) AS confidence FROM r WHERE size >= 3 GROUP BY video_id, value, island")
 def w5(spark, sf_dir):
-    return S.segments(_frames(spark, sf_dir)).drop("run")
+    return S.segments(_frames(spark, sf_dir)).drop("run").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("w5_decode", f"WITH {FRAMES}, s AS (SELECT video_id, value, first, round(avg(confidence), 6) AS c FROM r WHERE size >= 3 GROUP BY video_id, value, first) SELECT video_id, string_agg(value, '' ORDER BY first) AS code, round(avg(c), 4) AS confidence, count(*) = 6 AS valid FROM s GROUP BY 1")
+@query("w5_decode", f"WITH {FRAMES}, s AS (SELECT video_id, value, first, avg(confidence) AS c FROM r WHERE size >= 3 GROUP BY video_id, value, first) SELECT video_id, string_agg(value, '' ORDER BY first) AS code, round(avg(c), 6) AS confidence, count(*) = 6 AS valid FROM s GROUP BY 1")
 def w5b(spark, sf_dir):
     return S.decode(S.segments(_frames(spark, sf_dir)), 6)
 
