@@ -64,7 +64,8 @@ def _sweep(pages: pd.DataFrame, rules: pd.DataFrame, default: str) -> pd.DataFra
                 break
         found_rule.append(best[0])
         found_verdict.append(best[1])
-    return pd.DataFrame({"page_id": pages["page_id"], "host": pages["host"], "path": pages["path"], "rule": found_rule, "verdict": found_verdict})
+    told = {"rule": pd.Series(found_rule, pages.index, dtype=object), "verdict": pd.Series(found_verdict, pages.index, dtype=object)}
+    return pages[["page_id", "host", "path"]].assign(page_id=pages["page_id"].astype("Int64"), **told)
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame | None = None, default: str = "allow", range_rows: int = RANGE_ROWS) -> DataFrame:
