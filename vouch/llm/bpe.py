@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices, text_of
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces that a task remembers at most; then it starts anew. Bounds memory, never changes a result.
-REMEMBERED = 1_000_000
+#: Words, pieces and pairs that a worker remembers at most. Bounds its memory, never changes a result.
+REMEMBERED, REMEMBERED_PIECES = 500_000, 250_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -198,27 +198,26 @@ class TextCoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.coder, self.split = PrefixCoder(ranks), regex.compile(pattern)
-        self.pieces, self.words = Recent(REMEMBERED), Recent(REMEMBERED)
+        self.pieces, self.words = Recent(REMEMBERED_PIECES), Recent(REMEMBERED)
         self.names = {i: str(i) for i in self.coder.tokens}
 
-    def part(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same as decimal numbers joined by spaces."""
+    def part(self, text: str) -> tuple[int, ...]:
+        """Ids of a text, piece by piece."""
         ids = []
         for piece in self.split.findall(text):
             found = self.pieces.get(piece)
             if found is None:
-                found = self.coder.encode(piece.encode())
+                found = tuple(self.coder.encode(piece.encode()))
                 self.pieces.put(piece, found)
             ids += found
-        return ids, " ".join(map(self.names.__getitem__, ids))
+        return tuple(ids)
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The same of a whole text."""
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
         first, *rest = text.split(" ")
         if not rest or "" in rest or first[-1:].isspace():
-            return self.part(text)
-        ids, named = self.part(first) if first else ([], "")
-        ids, said = list(ids), [named] if first else []
+            return list(self.part(text))
+        ids = list(self.part(first)) if first else []
         words = self.words
         recent = words.new.get
         for word in rest:
@@ -226,13 +225,16 @@ class TextCoder:
             if found is None:
                 if (found := words.get(word)) is None:
                     if word[0].isspace() or word[-1].isspace():
-                        return self.part(text)
+                        return list(self.part(text))
                     found = self.part(" " + word)
                     words.put(word, found)
                 recent = words.new.get
-            ids += found[0]
-            said.append(found[1])
-        return ids, " ".join(said)
+            ids += found
+        return ids
+
+    def named(self, ids: list[int]) -> str:
+        """Ids as decimal numbers joined by spaces."""
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 _CODERS: dict[tuple[bytes, str], TextCoder] = {}
@@ -264,7 +266,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(content.value, pattern)
         for part in slices(batches):
-            ids = [coder.encode(t)[0] for t in part.column(1).to_pylist()]
+            ids = [coder.encode(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -297,9 +299,9 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for part in slices(batches):
             counts, ids_sha, decoded_sha = [], [], []
             for text in part.column(1).to_pylist():
-                ids, named = coder.encode(text)
+                ids = coder.encode(text)
                 counts.append(len(ids))
-                ids_sha.append(hexed(named.encode()))
+                ids_sha.append(hexed(coder.named(ids).encode()))
                 decoded_sha.append(hexed(coder.coder.decode(ids)))
             columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
