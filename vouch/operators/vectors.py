@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vouch.functions.vectors import l2_normalized, vec_distance
@@ -163,23 +165,37 @@ def duplicate_identities(faces: DataFrame, threshold: float = 0.4, block: int =
     return apart.select(F.col("query_id").alias("vec_a"), F.col("vec_id").alias("vec_b"), "distance")
 
 
-def lsh_model(store: DataFrame, bucket: float = 0.5, tables: int = 24, seed: int = 3):
-    """Random projections of unit vectors, fitted from their length alone: any part of the store gives the same model."""
-    vectors = store.select(array_to_vector(l2_normalized(F.col("embedding"))).alias("unit"))
-    return BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vectors)
+class Projections(NamedTuple):
+    """Random projections and the length of the vectors that they take."""
+
+    model: BucketedRandomProjectionLSHModel
+    dimensions: int
+
+    def units(self, df: DataFrame) -> DataFrame:
+        """vec_id and unit, the unit vector, of the vectors of this length; the others are left out."""
+        fits = F.col("embedding").isNotNull() & (F.size("embedding") == self.dimensions)
+        # Spark may evaluate the projections before the filter, so the rows that it drops need a vector too.
+        vector = F.when(fits, F.col("embedding").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), self.dimensions))
+        return df.filter(fits).select("vec_id", array_to_vector(l2_normalized(vector)).alias("unit"))
 
 
-def build_index(store: DataFrame, model, index: DataFrame | None = None) -> DataFrame:
+def lsh_model(store: DataFrame, bucket: float = 0.5, tables: int = 24, seed: int = 3) -> Projections:
+    """Random projections of unit vectors; they depend on the length of the first vector alone, not on the rows."""
+    first = store.filter("embedding is not null").select(F.size("embedding").alias("d")).first()
+    empty = Projections(None, first.d if first else 1)
+    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
+    return empty._replace(model=lsh.fit(empty.units(store)))
+
+
+def build_index(store: DataFrame, model: Projections, index: DataFrame | None = None) -> DataFrame:
     """vec_id, tab, bucket of each vector that the index lacks; append it to the index."""
     if index is not None:
         store = store.join(index.select("vec_id").distinct(), "vec_id", "left_anti")
-    hashed = model.transform(store.select("vec_id", array_to_vector(l2_normalized(F.col("embedding"))).alias("unit")))
-    from pyspark.ml.functions import vector_to_array
-
+    hashed = model.model.transform(model.units(store))
     return hashed.select("vec_id", F.posexplode("hashes").alias("tab", "h")).select("vec_id", "tab", vector_to_array("h")[0].cast("long").alias("bucket"))
 
 
-def search_ann(queries: DataFrame, store: DataFrame, index: DataFrame, model, k: int) -> DataFrame:
+def search_ann(queries: DataFrame, store: DataFrame, index: DataFrame, model: Projections, k: int) -> DataFrame:
     """About the k nearest by cosine: vectors that share a bucket with the query in any table, ranked by their distance."""
     asked = build_index(queries.select(F.col("query_id").alias("vec_id"), "embedding"), model).withColumnRenamed("vec_id", "query_id")
     met = asked.join(index, ["tab", "bucket"]).select("query_id", "vec_id").distinct()

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.plans import evaluation, extraction, lifecycle, screening, streams
+from vouch.plans import evaluation, extraction, fields, lifecycle, screening, streams
 
 FLAGSHIP = "j1_screen_sanctions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for family in (screening, evaluation, lifecycle, extraction, streams):
+for family in (screening, evaluation, lifecycle, extraction, fields, streams):
     QUERIES |= family.Q
     ORACLES |= family.O
