@@ -239,16 +239,19 @@ def best_threshold(pairs: DataFrame) -> DataFrame:
     return best.orderBy(F.desc("accuracy"), "threshold").limit(1)
 
 
-def running_counts(df: DataFrame, order: str, columns: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
-    """Adds cum_<column>, the sums up to each row in order of a distinct key, without one task for all rows.
+def running_counts(df: DataFrame, order: str, columns: list[str], descending: bool = False, parts: int = 32) -> DataFrame:
+    """Adds cum_<column>, the sums up to each row in order of a distinct numeric key, without one task for all rows.
 
-    Rows are dealt by ranges of the key; sums of whole ranges, one row each, are added to those inside a range.
+    Rows are dealt by ranges of the key, whose bounds are quantiles; sums of whole ranges, one row each, are
+    added to those inside a range. The range is a function of the key, so a recomputed part is dealt alike.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    dealt = df.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id())
-    bounds = dealt.groupBy("part").agg(*[F.sum(c).alias(f"s_{c}") for c in columns])
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = bounds.select("part", *[F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in columns])
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    dealt = df.withColumn("part", part)
+    sums = dealt.groupBy("part").agg(*[F.sum(c).alias(f"s_{c}") for c in columns])
+    before = Window.orderBy(F.col("part").desc() if descending else F.col("part").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("part", *[F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in columns])
     inside = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     summed = dealt.join(F.broadcast(carried), "part").withColumns({f"cum_{c}": F.col(f"b_{c}") + F.sum(c).over(inside) for c in columns})
     return summed.drop("part", *[f"b_{c}" for c in columns])
