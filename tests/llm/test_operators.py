@@ -346,6 +346,19 @@ class TestPassages:
         assert passages.repeated_passages(none).count() == 0
         assert {r.doc_id for r in passages.repeated_passages(odd, least=5).collect()} <= {1, 2}
 
+    def test_excerpt_in_a_smaller_id(self, spark):
+        """What an excerpt lacks is kept in the first of the full copies."""
+        rng = random.Random(15)
+        text = lambda n: [letters(rng, "abcdefghijklmnop", 7) + "z" for _ in range(n)]
+        whole = text(1000)
+        docs = [(1, " ".join(text(100) + whole[400:460] + text(100))), (3, " ".join(whole)), (5, " ".join(whole)), (7, " ".join(text(300)))]
+        found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        words = lambda doc, kept: {w for r in found if (r.doc_id, r.kept) == (doc, kept) for w in range(r.start_word, r.start_word + r.n_words)}
+        assert len(words(1, True)) >= 30 and not words(1, False) and not words(5, True)
+        assert words(3, False) and words(3, False) <= set(range(395, 465))
+        assert words(3, True) >= set(range(10, 390)) | set(range(470, 990)) and words(5, False) == words(3, True) | words(3, False)
+        assert all(r.kept == (r.doc_id == r.first_doc) for r in found)
+
     def test_like_paragraphs(self, spark):
         """Bands where many meet are compared as groups, and give the same classes."""
         rng = random.Random(14)
