@@ -273,6 +273,26 @@ class TestDecontaminate:
         assert decontaminate.find_leaks(none, bench).count() == 0
         assert decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).count() == 0
 
+    def test_lengths_among_vocabulary_words(self, spark):
+        """Items of every length, each copied and (but for the short ones) paraphrased among words that other items have."""
+        rng = random.Random(16)
+        vocabulary = [letters(rng, "abcdefgh", 8) + "v" for _ in range(3000)]
+        some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+        items = {i: some(n) for i, n in enumerate([3] * 10 + [10] * 20 + [30] * 20 + [150] * 20 + [500] * 10)}
+
+        def paraphrase(words):
+            kept = set(rng.sample(range(len(words) - 5), int(0.62 * len(words)) + 1 - 5)) | set(range(len(words) - 5, len(words)))
+            return [w if i in kept else rng.choice(vocabulary) for i, w in enumerate(words)]
+
+        docs = [(i, some(rng.randrange(60, 90)) + words + some(rng.randrange(60, 90))) for i, words in items.items()]
+        docs += [(1000 + i, some(rng.randrange(60, 90)) + paraphrase(words) + some(rng.randrange(60, 90))) for i, words in items.items() if len(words) >= 10]
+        docs += [(2000 + i, some(400)) for i in range(40)]
+        bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+        found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), bench).collect()}
+        assert not {x for x in found if x[0] >= 2000}
+        recall = {(n, base): sum((base + i, i) in found for i, w in items.items() if len(w) == n) / sum(len(w) == n for w in items.values()) for n in (3, 10, 30, 150, 500) for base in (0, 1000)}
+        assert all(recall[n, 0] == 1 for n in (3, 10, 30, 150, 500)) and all(recall[n, 1000] >= 0.9 for n in (10, 30, 150, 500)), recall
+
     def test_common_subsequence(self):
         rng = random.Random(12)
         for _ in range(200):

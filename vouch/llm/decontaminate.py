@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as overlapping passages. Passages and benchmark items become TF-IDF vectors over the items'
+Documents are read as overlapping passages, for items of each length class in passages of their size. Passages and benchmark items become TF-IDF vectors over the items'
 words, with document frequencies counted over all documents. A one-pass randomised SVD (a Nystroem sketch
 A'(A Omega), summed over tasks) gives a latent space, in which each item's candidates are the passages that lie
 in its direction and carry enough of its weight. Candidates are then checked word by word: the longest common
 subsequence with the item must cover most of it, or somewhat less where the item's answer, its last words,
-stands in the passage as it is.
+stands in the passage as it is. Items of fewer words than an answer are looked up as exact runs of words.
 
 A benchmark is handled in blocks of items, so what is sent to the tasks is bounded whatever its size.
 """
@@ -25,14 +25,14 @@ from .common import WORD_BYTES, slices, text_of
 
 #: Items that one pass over the documents looks for; more are searched for in further passes.
 BLOCK = 20_000
-#: Words of a passage and from one to the next.
-PASSAGE, STRIDE = 48, 24
+#: Words of passages that are projected together, about.
+PROJECTED = 49_152
 #: Dimensions of the latent space.
 DIMENSIONS = 64
 #: Documents whose passages the latent space is fitted on, about; all documents are counted and searched.
 FIT_DOCUMENTS = 20_000
 #: Least cosine, and least share of an item's weight, of a candidate.
-COSINE, WEIGHT = 0.5, 0.35
+COSINE, WEIGHT = 0.3, 0.3
 #: Share of an item's words in the common subsequence that is a leak, and that is one if the answer stands there too.
 COPIED, PARAPHRASED = 0.8, 0.6
 #: Last words of an item that are its answer.
@@ -58,6 +58,26 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass
+class Sized:
+    """Items of one length class (from a power of two of words to below the next), and the words of the passages that may hold them."""
+
+    items: np.ndarray
+    passage: int
+    stride: int
+    credit: np.ndarray
+    points: np.ndarray | None = None
+    length: np.ndarray | None = None
+
+    def passages(self, n: int, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages with enough weight for some item: first word, and the range of known words in each."""
+        starts = np.arange(0, max(1, n - self.passage + self.stride), self.stride)
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + self.passage)
+        sums = np.r_[0.0, np.cumsum(self.credit[ids])]
+        heavy = sums[hi] - sums[lo] >= WEIGHT
+        return starts[heavy], lo[heavy], hi[heavy]
+
+
 @dataclass
 class Items:
     """A block of benchmark items with their vocabulary; after fit() also weights and latent vectors."""
@@ -84,19 +104,24 @@ class Items:
                 self.idf[ids] = 0.1
         self.lists = lists
         self.mass = np.array([(self.idf[ids] ** 2).sum() for ids in lists])
-        # The greatest share of any item's weight that a word can give: a passage below WEIGHT in sum holds no item.
-        self.credit = np.zeros(len(self.terms))
-        for ids, mass in zip(lists, self.mass):
-            if mass > 0:
-                np.maximum.at(self.credit, ids, self.idf[ids] ** 2 / mass)
-
-    def passages(self, n: int, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passages with enough weight for some item: first word, and the range of known words in each."""
-        starts = np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE)
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
-        sums = np.r_[0.0, np.cumsum(self.credit[ids])]
-        heavy = sums[hi] - sums[lo] >= WEIGHT
-        return starts[heavy], lo[heavy], hi[heavy]
+        sizes = np.array([len(ids) for ids in lists], dtype=np.int64)
+        # Short items by their first word.
+        self.short: dict[int, list[int]] = {}
+        for i in np.flatnonzero((sizes > 0) & (sizes < ANSWER)).tolist():
+            self.short.setdefault(int(lists[i][0]), []).append(i)
+        self.opens = np.zeros(len(self.terms), dtype=bool)
+        self.opens[list(self.short)] = True
+        # An item is at most as long as its class's passage and at least half as long; some passage holds three quarters of it, or all.
+        power = np.array([int(x).bit_length() - 1 for x in sizes], dtype=np.int64)
+        self.classes = []
+        for k in np.unique(power[sizes >= ANSWER]).tolist():
+            these = np.flatnonzero((power == k) & (sizes >= ANSWER))
+            # The greatest share of any item's weight that a word can give: a passage below WEIGHT in sum holds no item.
+            credit = np.zeros(len(self.terms))
+            for i in these:
+                if self.mass[i] > 0:
+                    np.maximum.at(credit, lists[i], self.idf[lists[i]] ** 2 / self.mass[i])
+            self.classes.append(Sized(these, 2 << k, 1 << k, credit))
 
     def project(self, weighted: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Sums of the rows of weighted (terms by dimensions, times idf) over each range of ids; only these rows are read."""
@@ -119,36 +144,43 @@ class Items:
 
     def latent(self, basis: np.ndarray) -> None:
         self.weighted = basis * self.idf[:, None]
-        self.points = np.stack([self.weighted[ids].sum(axis=0) for ids in self.lists]) if self.lists else np.zeros((0, basis.shape[1]))
-        self.length = np.sqrt((self.points**2).sum(axis=1)) + 1e-12
+        for sized in self.classes:
+            sized.points = np.stack([self.weighted[self.lists[i]].sum(axis=0) for i in sized.items])
+            sized.length = np.sqrt((sized.points**2).sum(axis=1)) + 1e-12
 
     def leaks(self, text: str) -> list[tuple]:
         """(item, first word, words, common words, item words, answer, kind) of each item in the text, best passage."""
         n, at, ids, words = self.known(text)
         if not len(ids):
             return []
-        starts, lo, hi = self.passages(n, at, ids)
         best: dict[int, tuple] = {}
-        for block in range(0, len(starts), 1024):
-            part = slice(block, block + 1024)
-            z = self.project(self.weighted, ids, lo[part], hi[part])
-            dots = z @ self.points.T
-            near = (dots >= COSINE * self.length * (np.sqrt((z**2).sum(axis=1)) + 1e-12)[:, None]) & (dots >= WEIGHT * self.length**2)
-            for p, item in zip(*np.nonzero(near)):
-                found = self.check(int(item), words, int(starts[block + p]))
-                if found and (item not in best or found[3] > best[item][3]):
-                    best[item] = found
+        for p in np.flatnonzero(self.opens[ids]).tolist():
+            start = int(at[p])
+            for item in self.short[int(ids[p])]:
+                size = len(self.words[item])
+                if item not in best and words[start : start + size] == self.words[item]:
+                    best[item] = (self.ids[item], start, size, size, size, True, "copy")
+        for sized in self.classes:
+            starts, lo, hi = sized.passages(n, at, ids)
+            step = max(1, PROJECTED // sized.passage)
+            for block in range(0, len(starts), step):
+                part = slice(block, block + step)
+                z = self.project(self.weighted, ids, lo[part], hi[part])
+                dots = z @ sized.points.T
+                near = (dots >= COSINE * sized.length * (np.sqrt((z**2).sum(axis=1)) + 1e-12)[:, None]) & (dots >= WEIGHT * sized.length**2)
+                for p, k in zip(*np.nonzero(near)):
+                    item = int(sized.items[k])
+                    found = self.check(item, words, int(starts[block + p]), sized.passage)
+                    if found and (item not in best or found[3] > best[item][3]):
+                        best[item] = found
         return [best[i] for i in sorted(best)]
 
-    def check(self, item: int, words: list[bytes], start: int) -> tuple | None:
+    def check(self, item: int, words: list[bytes], start: int, passage: int) -> tuple | None:
         asked = self.words[item]
         size = len(asked)
-        a, b = max(0, start - size), min(len(words), start + PASSAGE + size)
+        a, b = max(0, start - size), min(len(words), start + passage + size)
         region = words[a:b]
-        if size < ANSWER:
-            common = size if any(region[i : i + size] == asked for i in range(len(region))) else 0
-        else:
-            common = common_subsequence(asked, region)
+        common = common_subsequence(asked, region)
         if common < PARAPHRASED * size:
             return None
         answer = asked[-ANSWER:]
@@ -192,9 +224,10 @@ def _fitted(docs: DataFrame, items: Items, documents: int, seed: int = 11) -> np
         for part in slices(batches):
             for text in part.column(0).to_pylist():
                 n, at, ids, _ = them.known(text)
-                _, lo, hi = them.passages(n, at, ids)
-                them.sketch(omega, out, ids, lo, hi)
-                rows += len(lo)
+                for sized in them.classes:
+                    _, lo, hi = sized.passages(n, at, ids)
+                    them.sketch(omega, out, ids, lo, hi)
+                    rows += len(lo)
         at = np.flatnonzero(out.any(axis=1))
         value = pa.array(list(out[at]), pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(at), value, pa.array(np.full(len(at), rows))], ["term", "v", "rows"])
@@ -242,7 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
 
     start_word and n_words give the region that was compared, common_words the longest common subsequence with
     the item's item_words, answer whether its last words stand there, kind `copy` or `paraphrase`. Null and
-    empty texts hold nothing; items of fewer words than an answer must stand there as they are; null item_ids
+    empty texts hold nothing; items of fewer words than an answer must stand there as they are, and are the region; null item_ids
     and items without words are left out; repeated rows repeat theirs; empty tables give an empty result.
     Columns other than doc_id, item_id and text are ignored.
     """
