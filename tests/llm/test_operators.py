@@ -293,6 +293,15 @@ class TestDecontaminate:
         recall = {(n, base): sum((base + i, i) in found for i, w in items.items() if len(w) == n) / sum(len(w) == n for w in items.values()) for n in (3, 10, 30, 150, 500) for base in (0, 1000)}
         assert all(recall[n, 0] == 1 for n in (3, 10, 30, 150, 500)) and all(recall[n, 1000] >= 0.9 for n in (10, 30, 150, 500)), recall
 
+    def test_latent_space_of_all_documents(self, spark):
+        """The space is that of every passage, however many documents there are and however they are dealt."""
+        rng = random.Random(17)
+        vocabulary = [letters(rng, "abcdefgh", 8) + "v" for _ in range(120)]
+        bench = spark.createDataFrame([(i, " ".join(rng.sample(vocabulary, 12))) for i in range(15)], "item_id long, text string")
+        docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=12))) for i in range(20_500)], "doc_id long, text string")
+        one, other = (next(decontaminate.prepare(d, bench)).weighted for d in (docs.coalesce(1), docs.repartition(3, "doc_id")))
+        assert np.allclose(one @ one.T, other @ other.T, atol=1e-6)
+
     def test_common_subsequence(self):
         rng = random.Random(12)
         for _ in range(200):

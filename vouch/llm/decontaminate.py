@@ -29,8 +29,6 @@ BLOCK = 20_000
 PROJECTED = 49_152
 #: Dimensions of the latent space.
 DIMENSIONS = 64
-#: Documents whose passages the latent space is fitted on, about; all documents are counted and searched.
-FIT_DOCUMENTS = 20_000
 #: Least cosine, and least share of an item's weight, of a candidate.
 COSINE, WEIGHT = 0.3, 0.3
 #: Share of an item's words in the common subsequence that is a leak, and that is one if the answer stands there too.
@@ -134,13 +132,21 @@ class Items:
             out[full] = np.add.reduceat(weighted[ids[at]], starts, axis=0)
         return out
 
-    def sketch(self, omega: np.ndarray, out: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: float = 1.0) -> None:
-        """Adds a'(a omega) of each passage a, scaled to unit length, to out."""
-        for a, b, z in zip(lo, hi, self.project(omega * self.idf[:, None], ids, lo, hi)):
-            terms, counts = np.unique(ids[a:b], return_counts=True)
-            value = counts * self.idf[terms]
-            if norm := float(value @ value):
-                out[terms] += np.outer(value, z) * (weight / norm)
+    def sketch(self, weighted: np.ndarray, out: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Adds a'(a omega) of each passage a, scaled to unit length, to out; weighted is omega times idf."""
+        sizes = hi - lo
+        rows = np.repeat(np.arange(len(lo)), sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
+        cells, counts = np.unique(rows * len(self.terms) + ids[at], return_counts=True)
+        rows, terms = cells // len(self.terms), cells % len(self.terms)
+        value = counts * self.idf[terms]
+        norm = np.bincount(rows, value**2, len(lo))
+        value = np.where(norm[rows] > 0, value / np.maximum(norm[rows], 1e-300), 0.0)
+        order = np.argsort(terms, kind="stable")
+        if len(order):
+            first = np.flatnonzero(np.r_[True, np.diff(terms[order]) > 0])
+            z = self.project(weighted, ids, lo, hi)
+            out[terms[order][first]] += np.add.reduceat(z[rows[order]] * value[order, None], first, axis=0)
 
     def latent(self, basis: np.ndarray) -> None:
         self.weighted = basis * self.idf[:, None]
@@ -209,25 +215,32 @@ def _counted(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
-def _fitted(docs: DataFrame, items: Items, documents: int, seed: int = 11) -> np.ndarray:
-    """Terms by dimensions: right singular vectors of the passages' matrix, from one pass over the sampled documents."""
+def _fitted(docs: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
+    """Terms by dimensions: right singular vectors of the passages' matrix, from one pass over all documents."""
     terms, width = len(items.terms), min(DIMENSIONS, max(1, len(items.terms)))
     omega = np.random.default_rng(seed).standard_normal((terms, width))
     shared = docs.sparkSession.sparkContext.broadcast((items, omega))
     some = docs.select(text_of().alias("text"))
-    if documents > FIT_DOCUMENTS:
-        some = some.sample(FIT_DOCUMENTS / documents, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         them, omega = shared.value
+        weighted = omega * them.idf[:, None]
         out, rows = np.zeros_like(omega), 0
         for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                n, at, ids, _ = them.known(text)
-                for sized in them.classes:
+            held, words = [[] for _ in them.classes], 0
+            known = [them.known(text)[:3] for text in part.column(0).to_pylist()]
+            for n, at, ids in known:
+                for k, sized in enumerate(them.classes):
                     _, lo, hi = sized.passages(n, at, ids)
-                    them.sketch(omega, out, ids, lo, hi)
-                    rows += len(lo)
+                    held[k].append((lo + words, hi + words))
+                words += len(ids)
+            ids = np.concatenate([x[2] for x in known])
+            for sized, ranges in zip(them.classes, held):
+                lo, hi = (np.concatenate(x) for x in zip(*ranges))
+                step = max(1, PROJECTED // sized.passage)
+                for block in range(0, len(lo), step):
+                    them.sketch(weighted, out, ids, lo[block : block + step], hi[block : block + step])
+                rows += len(lo)
         at = np.flatnonzero(out.any(axis=1))
         value = pa.array(list(out[at]), pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(at), value, pa.array(np.full(len(at), rows))], ["term", "v", "rows"])
@@ -238,8 +251,10 @@ def _fitted(docs: DataFrame, items: Items, documents: int, seed: int = 11) -> np
     y[summed["term"].to_numpy(dtype=np.int64), summed["k"].to_numpy(dtype=np.int64)] = summed["v"].to_numpy(dtype=float)
     # The items count as passages too, with as much weight together as the corpus has, so that the space tells them apart.
     own = np.zeros_like(y)
-    for ids in items.lists:
-        items.sketch(omega, own, ids, np.array([0]), np.array([len(ids)]))
+    weighted, stops = omega * items.idf[:, None], np.cumsum([len(ids) for ids in items.lists])
+    starts, every = np.r_[0, stops[:-1]], np.concatenate(items.lists)
+    for block in range(0, len(stops), 256):
+        items.sketch(weighted, own, every, starts[block : block + 256], stops[block : block + 256])
     scale = np.linalg.norm(own)
     y = y + own * (max(1.0, np.linalg.norm(y)) / scale if scale else 0.0)
     core = omega.T @ y
@@ -266,7 +281,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Iterat
     for items in _blocks(benchmark, block):
         frequency, documents = _counted(docs, items)
         items.weigh(frequency, documents)
-        items.latent(_fitted(docs, items, documents))
+        items.latent(_fitted(docs, items))
         yield items
 
 
