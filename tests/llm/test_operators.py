@@ -348,6 +348,15 @@ class TestSecrets:
         assert not secrets.novel_spans("the credential access_token_2_access_token_2_access", novelty, [])
         assert not secrets.novel_spans(f"an ordinary sentence with {key}", novelty, [])
 
+    def test_letters_late_digits_and_key_names_that_follow(self):
+        rng = random.Random(18)
+        novelty, both = secrets.Novelty(), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        for _ in range(20):
+            key = "".join(rng.choices(both, k=50))
+            for text in (f"the session credential is {key} here", f"the session credential is {key}7 here", f"use {key} as the session credential"):
+                assert [k for *_, k in secrets.novel_spans(text, novelty, [])] == ["novel"]
+        assert not secrets.novel_spans("the credential authentication-configuration-description", novelty, [])
+
     def test_tables(self, odd, none, spark):
         found = secrets.secret_digests(odd).collect()
         assert len(found) == len(ODD) and all(r.n_assign == r.n_access == r.n_hex == 0 and r.spans == "" for r in found)

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that stay incompressible next to what stands around them.
 
 A candidate is a run of credential characters. Its novelty is what it adds to the zstandard-compressed size of
-the text before it, with a dictionary of common identifiers given to the compressor beforehand: a word, a path
+the text around it, with a dictionary of common identifiers given to the compressor beforehand: a word, a path
 or an identifier that occurs nearby adds little, a random key adds nearly its own entropy. Candidates near a
 word that tells of credentials are reported when each of their characters adds enough.
 """
@@ -24,8 +24,8 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A run that may be a credential: 20 characters or more with a digit among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A run that may be a credential: 20 characters or more.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Words that make a context sensitive.
 SENSITIVE = re.compile(r"passw|secret|token|api[_-]?key|auth|credential|private|bearer|access|signature|login|session", re.IGNORECASE)
 #: Identifiers and phrases that code and configuration share: fixed values.
@@ -74,11 +74,11 @@ class Novelty:
 
 
 def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, str]], window: int = 240, near: int = 48, rate: float = 0.6) -> list[tuple[int, int, str]]:
-    """Candidates outside base spans, near a sensitive word, whose characters add `rate` bytes each on average."""
+    """Candidates outside base spans, with a sensitive word within `near` characters on either side, whose characters add `rate` bytes each on average."""
     spans = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not SENSITIVE.search(text, max(0, a - near), a) or any(x < b and a < y for x, y, _ in base):
+        if not (SENSITIVE.search(text, max(0, a - near), a) or SENSITIVE.search(text, b, b + near)) or any(x < b and a < y for x, y, _ in base):
             continue
         context = (text[max(0, a - window) : a] + text[b : b + window]).encode("utf-8", "replace")
         if novelty.added(context, m.group().encode()) >= rate * (b - a):
