@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,10 +21,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder under /tmp for a local
+    master alone, since there the driver is the only machine; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/vouch-scratch"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a folder under /tmp only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vouch-scratch"
-    return f"{base.rstrip('/')}/vouch-{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/vouch-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,10 +54,40 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the scratch table that df, a result of materialize, reads; nothing may still depend on it."""
+    files = df.inputFiles()
+    if files:
+        folder = files[0].rsplit("/", 1)[0]
+        if not folder.rsplit("/", 2)[-2].startswith("vouch-"):
+            raise ValueError(f"{folder} is no scratch table")
+        _remove(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; results that still read them must be written first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, scratch_dir(spark))
+
+
+#: Parts into which the rows of one key are dealt in joins, so that a key with a third of all rows is no single task's.
+SALTS = 32
+
+
+def with_range(rows: DataFrame, key: str, value: str, spread: str, salts: int = SALTS) -> DataFrame:
+    """rows with low and high: the least and the greatest `value` of each key.
+
+    Parts of a key, dealt by a hash of `spread`, are aggregated first and combined then; low and high go back to
+    each part, so no key's rows meet in one task. Rows with a null key are left out.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    whole = parts.groupBy(key).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("salt").alias("salts"))
+    return salted.join(whole.withColumn("salt", F.explode("salts")).drop("salts"), [key, "salt"]).drop("salt")
 
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
@@ -61,11 +102,26 @@ def held_out(column: Column, folds: int, fold: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(folds)) == fold
 
 
-def labelled_sample(labels: DataFrame, label: str, folds: int, fold: int, bound: int) -> DataFrame:
-    """At most `bound` labelled ids outside the held-out fold, the same ones on every run.
+def sampled(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most `bound` rows, those of the least hashes of `key`, the same ones on every run.
+
+    Hashes above twice the share that is wanted are left out before the sort, so that tasks do not each pass
+    `bound` rows on.
+    """
+    digest = F.xxhash64(key)
+    share = 2.0 * bound / max(1, rows.count())
+    if share < 1.0:
+        rows = rows.filter(digest < F.lit(int((2 * share - 1) * 2**63)))
+    return rows.orderBy(digest, key).limit(bound)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int) -> DataFrame:
+    """doc_id and label of at most `bound` labelled documents outside the held-out fold, the same ones on every run.
 
-    Null ids and labels are left out; of repeated ids the largest label counts.
+    Null ids and labels, and labels of documents that docs does not have, are left out; of repeated ids the largest
+    label counts.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(~held_out(F.col("doc_id"), folds, fold))
-    one = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    return one.orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id")).limit(bound)
+    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    present = one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return sampled(materialize(present, "labelled"), "doc_id", bound)

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize, with_range
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round over edges (u > v): every node moves towards smaller ones."""
+    """One large-star and one small-star round over edges (u > v): every node moves towards smaller ones.
+
+    The rows of one node, which may be the centre of a third of all edges, are dealt into parts by their other end.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-    lower = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(lower, "u")
-    moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+    large = with_range(both, "u", "v", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).filter("u > v").distinct()
+    small = with_range(large, "u", "v", "v")
+    moved = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(small.select("u", F.col("low").alias("v")))
     return moved.filter("u > v").distinct()
 
 
@@ -32,5 +33,7 @@ def components(links: DataFrame, limit: int = 64) -> DataFrame:
         chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
         if split.unionByName(chained).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        edges = materialize(_stars(edges), "links")
+        moved = materialize(_stars(edges), "links")
+        discard(edges)
+        edges = moved
     raise RuntimeError(f"components did not settle in {limit} rounds")

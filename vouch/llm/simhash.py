@@ -1,6 +1,6 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-Two 64-bit fingerprints that differ in at most four bits differ in at most two bits of one of their halves.
+Two 64-bit fingerprints that differ in at most five bits differ in at most two bits of one of their halves.
 The anchors of a half are the words of a perfect code: 31 bits of the Hamming code [31,26] and one free bit,
 so that each 32-bit value is within one bit of an anchor. A value halfway between two halves that differ by
 two bits is within one bit of both, so both halves are within 1 + 1 = covering radius + half the threshold of
@@ -21,11 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASCII_LOWER, materialize, slices, small, text_of
+from .common import ASCII_LOWER, SALTS, materialize, slices, small, text_of, with_range
 from .components import components
 
-#: Bits that linked fingerprints may differ in; the anchors' distance is made for it.
-THRESHOLD = 4
+#: Bits that linked fingerprints may differ in by default, and at most, as the anchors' distance is made for it.
+THRESHOLD, WIDEST = 4, 5
+#: Words of a shingle, and bits, where near copies of documents are dropped.
+STAGE_WORDS, STAGE_THRESHOLD = 5, 5
 #: Fingerprints of one anchor that are compared as they are; beyond it the anchor is split.
 CELL = 20_000
 #: Runs up to this length are compared by shifting the whole batch, longer ones one by one.
@@ -70,12 +72,12 @@ def _flips(size: int) -> list[np.ndarray]:
     return [np.array(x, dtype=np.uint64) for x in found]
 
 
-FLIPS = {0: _flips(0), 1: _flips(1), 2: _flips(2), 3: _flips(3)}
+FLIPS = {n: _flips(n) for n in range(5)}
 CHECKS = [np.uint64(sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1)) for k in range(5)]
 
 
 def anchors(half: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors within `distance` (up to 3) of each 32-bit value: (index of the value, anchor)."""
+    """All anchors within `distance` (up to 4) of each 32-bit value: (index of the value, anchor)."""
     word, free = half & LOW31, half & ~LOW31
     syndrome = np.zeros(len(half), dtype=np.int64)
     for k, check in enumerate(CHECKS):
@@ -187,31 +189,32 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((found | np.uint64(side << 32)).view(np.int64)), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
 
 
-def _respread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _respread(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """(cell, fp) of full anchors to (cell, key, fp) for each anchor near the other half."""
     for batch in slices(batches, 1024):
         cells, fps = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
         low, high = halves(fps)
-        rows, found = anchors(np.where(cells >> np.uint64(32) == 0, high, low), 3)
+        rows, found = anchors(np.where(cells >> np.uint64(32) == 0, high, low), distance)
         yield pa.RecordBatch.from_arrays([pa.array(cells[rows].view(np.int64)), pa.array(found.view(np.int64)), pa.array(fps[rows].view(np.int64))], ["cell", "key", "fp"])
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, most: int = CELL) -> DataFrame:
     """Links u, v that connect distinct fingerprints (column fp) wherever two differ in `threshold` bits or fewer."""
-    if not 0 <= threshold <= THRESHOLD:
-        raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
+    if not 0 <= threshold <= WIDEST:
+        raise ValueError(f"the anchors cover thresholds up to {WIDEST}")
     met = fps.select("fp").mapInArrow(_spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     found = materialize(met.mapInArrow(lambda b: sweep(b, threshold, most), "u long, v long, cell long").distinct(), "simhash-links")
     joined = found.filter("cell is null").select("u", "v")
     full = found.filter("cell is not null").select("cell", F.col("u").alias("fp"))
     if full.isEmpty():
         return joined
-    split = full.mapInArrow(_respread, "cell long, key long, fp long").select(F.xxhash64("cell", "key").alias("key"), "fp")
+    # The other half may differ in all the bits: the value halfway is within half of them, its anchor one bit further.
+    split = full.mapInArrow(lambda b: _respread(b, 1 + (threshold + 1) // 2), "cell long, key long, fp long").select(F.xxhash64("cell", "key").alias("key"), "fp")
     more = split.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: sweep(b, threshold, 2**62), "u long, v long, cell long")
     return joined.unionByName(more.select("u", "v").distinct())
 
 
-def near_components(docs: DataFrame, threshold: int = THRESHOLD, words_each: int = 4, salts: int = 32, most: int = CELL) -> DataFrame:
+def near_components(docs: DataFrame, threshold: int = THRESHOLD, words_each: int = 4, salts: int = SALTS, most: int = CELL) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links of at most `threshold` differing bits lead to, the document
@@ -226,19 +229,21 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, words_each: int
     nodes = materialize(salted.groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts")), "simhash-nodes")
     roots = components(links(nodes, threshold, most))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "salts", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", F.explode("salts").alias("salt"), "component_id")
+    named = with_range(rooted, "root", "least", "fp").select("fp", F.explode("salts").alias("salt"), F.col("low").alias("component_id"))
     return own.join(named, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def keep_one_each(docs: DataFrame, threshold: int = STAGE_THRESHOLD, words_each: int = STAGE_WORDS) -> DataFrame:
     """docs with one row of each component, the one of the smallest doc_id; columns stay as they are.
 
-    Rows are told apart by doc_id: where ids repeat, an id stays if any of its rows is its component's first.
-    Texts are not shuffled while what goes is few enough ids to be sent to all tasks.
+    Shingles have five words, and five bits of difference link: texts that share 0.95 or more of their shingles
+    are mostly linked, texts of similarity 0.8 seldom are (the README has the rates). Null and empty texts are one
+    component, so one of them stays. Rows are told apart by doc_id: where ids repeat, an id stays if any of its rows
+    is its component's first, and rows of a null id are one id. An empty table gives an empty result. Texts are not
+    shuffled while what goes is few enough ids to be sent to all tasks.
     """
     head = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = near_components(docs, threshold).groupBy("doc_id").agg(F.max(head).alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone_id"))
+    gone = near_components(docs, threshold, words_each).groupBy("doc_id").agg(F.max(head).alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone_id"))
     whole = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("row_id"))
     gone = small(materialize(gone, "simhash-gone"))
     return whole.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")), "left_anti").select("whole.*")
