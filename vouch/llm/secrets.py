@@ -61,6 +61,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The stretches of text that spans cover, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Novelty:
     """Marginal compressed bytes of a string after a context."""
 
@@ -75,10 +86,16 @@ class Novelty:
 
 def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, str]], window: int = 240, near: int = 48, rate: float = 0.6) -> list[tuple[int, int, str]]:
     """Candidates outside base spans, with a sensitive word within `near` characters on either side, whose characters add `rate` bytes each on average."""
-    spans = []
+    spans, at = [], 0
+    taken = merged(base)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not (SENSITIVE.search(text, max(0, a - near), a) or SENSITIVE.search(text, b, b + near)) or any(x < b and a < y for x, y, _ in base):
+        # Candidates and taken stretches both come in order: one pass over each, whatever their number.
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at < len(taken) and taken[at][0] < b:
+            continue
+        if not (SENSITIVE.search(text, max(0, a - near), a) or SENSITIVE.search(text, b, b + near)):
             continue
         context = (text[max(0, a - window) : a] + text[b : b + window]).encode("utf-8", "replace")
         if novelty.added(context, m.group().encode()) >= rate * (b - a):
@@ -108,9 +125,14 @@ def find_secrets(docs: DataFrame, rate: float = 0.6) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for doc_id, text, base, more in _scanned(batches, rate):
-            for a, b, kind in sorted(base + more):
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "kind": kind, "start": a, "end": b, "value": text[a:b]}], FOUND_ARROW)
+            rows += [(doc_id, kind, a, b, text[a:b]) for a, b, kind in sorted(base + more)]
+            if len(rows) >= 1000:
+                yield _batch(rows, FOUND_ARROW)
+                rows = []
+        if rows:
+            yield _batch(rows, FOUND_ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, FOUND)
 
@@ -119,8 +141,18 @@ FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start"
 DIGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+
 def secret_digests(docs: DataFrame, rate: float = 0.6) -> DataFrame:
-    """One row for each row of docs: counts by kind, SHA-256 of the base spans, and all spans as text."""
+    """One row for each row of docs: counts by kind, SHA-256 of the base spans, and all spans as text.
+
+    Null and empty texts have no spans: counts of 0, the digest of the empty text, an empty list. A text of any
+    length is read once, in time that grows with its length. Repeated rows repeat their result, a null doc_id stays
+    null, spans of one start come in the order of KINDS, an empty table gives an empty result, and other columns
+    are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -129,9 +161,9 @@ def secret_digests(docs: DataFrame, rate: float = 0.6) -> DataFrame:
             sha = hashlib.sha256(joined(base).encode()).hexdigest()
             rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), sha, joined(base + more)))
             if len(rows) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), DIGEST_ARROW)], schema=DIGEST_ARROW)
+                yield _batch(rows, DIGEST_ARROW)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), DIGEST_ARROW)], schema=DIGEST_ARROW)
+            yield _batch(rows, DIGEST_ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, RESULT)
