@@ -159,10 +159,9 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, x array<float>")
 
 
-def train(table: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Additive:
-    """The model, from at most `bound` labelled documents outside the held-out fold."""
-    known = labelled_sample(labels, "quality", FOLDS, FOLD, bound)
-    # Ids are at most `bound` rows, so they may be broadcast, and their features fetched.
+def train(table: DataFrame, known: DataFrame) -> Additive:
+    """The model, from features (doc_id, x) and a bounded sample of labelled documents (doc_id, label)."""
+    # Ids are at most the sample's rows, so they may be broadcast, and their features fetched.
     rows = table.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["label"].to_numpy(dtype=float))
@@ -171,12 +170,15 @@ def train(table: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Ad
 def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
-    Only text makes a score; labels of the held-out fold are never read. Null text counts as empty, a null
-    doc_id is not held out, null labels are left out, of repeated labels the largest counts, repeated documents
-    repeat their result, and an empty table gives an empty one. Without usable labels all scores are 0.5.
+    Only text makes a score; labels of the held-out fold are never read, and at most `bound` labelled documents are
+    learnt from. Null text counts as empty; a null doc_id counts as the empty text, whose crc32 is not in the
+    held-out fold, but has no label; null labels are left out, of repeated labels the largest counts, repeated documents
+    repeat their result, and an empty table gives an empty one. Without usable labels all scores are 0.5. Other
+    columns are ignored.
     """
     table = materialize(feature_table(docs), "quality-features")
-    model = docs.sparkSession.sparkContext.broadcast(train(table, labels, bound))
+    known = labelled_sample(table, labels, "quality", FOLDS, FOLD, bound)
+    model = docs.sparkSession.sparkContext.broadcast(train(table, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +190,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROW
 
 
 def accepted(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns stay as they are.
+    """docs without the rows that the classifier rejects (score below 0.5); columns stay as they are.
 
     The model is trained as in quality_scores; then each text is scored where it is, so that texts are not shuffled.
+    Null text counts as empty, rows of a null doc_id are judged like others, repeated rows go or stay together,
+    without usable labels all stay, and an empty table gives an empty one.
     """
-    known = labelled_sample(labels, "quality", FOLDS, FOLD, bound)
-    model = docs.sparkSession.sparkContext.broadcast(train(feature_table(docs.join(F.broadcast(known.select(F.col("doc_id").alias("known_id"))), F.col("doc_id") == F.col("known_id"), "left_semi")), labels, bound))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    known = materialize(labelled_sample(base, labels, "quality", FOLDS, FOLD, bound), "quality-labelled")
+    model = docs.sparkSession.sparkContext.broadcast(train(feature_table(base.join(F.broadcast(known), "doc_id", "left_semi")), known))
 
     @F.pandas_udf("double")
     def score(text):
