@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a text: one for each term of a lexicon, which joins a fixed list with words and word
-beginnings that the labelled training documents show to be telling, and some for patterns such as disguised
-spelling. A generative label model estimates by EM how often each voter fires on toxic and on other texts, with
-the given labels as one more noisy voter, and from the voters' joint residuals how far they only repeat one
-another; their weights are lowered accordingly. A linear classifier is then trained on the posterior labels
-over a wider set of terms, and scores all documents.
+beginnings that occur more often in the labelled toxic documents, some for patterns such as disguised spelling,
+and one that speaks for a clean text where no term occurs. A voter that does not fire abstains. A generative
+label model over a sample of all documents, labelled or not, estimates by EM how often each voter fires on toxic
+and on other texts from how the voters agree, and from their joint residuals how far they only repeat one
+another; their weights are lowered accordingly. The given labels are none of its inputs: those of the allowed
+fold choose the lexicon and set the prior. A linear classifier over a wider set of terms is then trained on the
+posterior labels, drawn towards the label model's own evidence where there is little to learn from, and scores
+all documents.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BYTES, held_out, labelled_sample, materialize, slices, text_of
+from .common import WORD_BYTES, held_out, labelled_sample, materialize, sampled, slices, text_of
 
-#: Documents that voters, label model and classifier are fitted on at most.
-TRAINING_ROWS = 20_000
+#: Labelled documents that choose the lexicon, and documents of all that label model and classifier are fitted on, at most each.
+TRAINING_ROWS, SAMPLE_ROWS = 20_000, 20_000
 FOLDS, FOLD = 5, 0
 #: Terms of the classifier, and those of them that vote.
 TERMS, VOTERS = 256, 64
@@ -36,6 +39,21 @@ DISGUISED = bytes(range(256)).translate(DISGUISE).translate(bytes(c + 32 if 65 <
 #: Words with a character that may stand for a letter, and words with a letter three times in a row.
 MIXED, TRIPLED = re.compile(rb"\S*[013457@$]\S*"), re.compile(rb"\b[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*\b")
 PATTERNS = ["disguised", "stretched", "shouted", "repeated"]
+#: Patterns that vote; the other one counts terms, which vote themselves.
+VOTING = 3
+#: Voters for a clean text.
+CALM = 1
+#: Share of toxic documents where no labels tell it, counted as so many labelled documents beside those given.
+SHARE, SHARE_ROWS = 0.05, 20
+#: Rates at which a voter for toxic texts fires on toxic and on other texts, and a voter for clean ones, before any
+#: document is seen; they count as so many documents of each kind.
+FIRES, CALMS, SEEN = (0.1, 0.005), (0.2, 0.9), 4.0
+#: Least rate at which any voter for toxic texts is taken to fire on other texts, by chance.
+CHANCE = 0.005
+#: Correlation of two voters' residuals from which they count as repeating one another.
+REPEATS = 0.6
+#: Least lift of a term, and its least lower bound of about 95 %; share of toxic texts among those that hold a term from which it votes.
+LIFT, SURE, TRUSTED = 1.6, 1.5, 0.8
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -95,8 +113,9 @@ class Reader:
         return row
 
 
-def mine_terms(texts: DataFrame, terms: int = TERMS) -> list[tuple[bytes, float]]:
-    """The most telling terms of labelled texts (text, label), with the log of how much oftener toxic texts have them.
+def mine_terms(texts: DataFrame, terms: int = TERMS) -> tuple[list[tuple[bytes, float]], int, int]:
+    """The most telling terms of labelled texts (text, label), with the log of how much oftener toxic texts have them,
+    and the numbers of toxic and other texts.
 
     Each task counts its own documents first; what is fetched is a fixed multiple of `terms` rows.
     """
@@ -116,20 +135,21 @@ def mine_terms(texts: DataFrame, terms: int = TERMS) -> list[tuple[bytes, float]
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.binary()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())], ["term", "n1", "n0"])
 
     counted = texts.select("text", "label").mapInArrow(run, "term binary, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    counted = materialize(counted.filter("n1 >= 5 or term = X''"), "toxic-terms")
+    counted = materialize(counted.filter("n1 > 0 or term = X''"), "toxic-terms")
     totals = counted.filter("term = X''").collect()
-    if not totals or not totals[0].n1 or not totals[0].n0:
-        return []
+    if not totals:
+        return [], 0, 0
     n1, n0 = totals[0].n1, totals[0].n0
     lift = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
-    telling = counted.filter("term <> X''").withColumn("lift", lift).filter("lift > 1.6").withColumn("weight", F.col("lift") * F.col("n1"))
+    sure = F.col("lift") - 2 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    telling = counted.filter("term <> X''").withColumn("lift", lift).filter((F.col("lift") > LIFT) & (sure > SURE)).withColumn("weight", F.col("lift") * F.col("n1"))
     found = [(bytes(r.term), r.n1, r.n0, r.lift) for r in telling.orderBy(F.desc("weight"), "term").limit(6 * terms).collect()]
     # Beginnings of one word that occur in as many documents say the same: the longest stands for them.
     longest: dict[tuple, tuple] = {}
     for f in sorted(found, key=lambda f: (f[0].endswith(b"*"), len(f[0]), f[0])):
         longest[(f[0][:4], f[1], f[2])] = f
     ordered = [f for f in found if longest[(f[0][:4], f[1], f[2])] is f]
-    return [(t, lift) for t, _, _, lift in ordered[:terms]]
+    return [(t, lift) for t, _, _, lift in ordered[:terms]], n1, n0
 
 
 @dataclass
@@ -142,46 +162,55 @@ class LabelModel:
     weight: np.ndarray
     correlation: np.ndarray
 
-    def evidence(self, votes: np.ndarray) -> np.ndarray:
-        fire, rest = np.log(self.on_toxic / self.on_other), np.log((1 - self.on_toxic) / (1 - self.on_other))
-        return votes @ (self.weight * (fire - rest)) + (self.weight * rest).sum()
+    @property
+    def evidence(self) -> np.ndarray:
+        """Log odds that each voter adds where it fires; one that does not fire abstains."""
+        return self.weight * np.log(self.on_toxic / self.on_other)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + self.evidence(votes), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + votes @ self.evidence, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 4, steps: int = 10, apart: int = 0) -> LabelModel:
-    """EM over votes (documents by voters, 0 or 1) from posterior guesses `start`.
+def fit_label_model(votes: np.ndarray, prior: float, calm: int = 0, rounds: int = 4, steps: int = 15) -> LabelModel:
+    """EM over votes (documents by voters, 0 or 1), the last `calm` of which speak for clean texts.
 
-    After each `rounds` the voters' correlations given the label are estimated from the residuals, and each
-    voter's weight becomes one over one plus the correlations it has with others. The last `apart` voters do
-    not read the text and keep their weight.
+    No label is read. Voters are taken to be better than chance: none counts against what it speaks for. After
+    each round of steps the voters' correlations given the class are estimated from the residuals, and a voter's
+    weight becomes one over one plus the correlations that it has with others which speak for the same.
     """
     n, m = votes.shape
-    weight, correlation, q = np.ones(m), np.eye(m), start.astype(float)
+    speaks = np.r_[np.ones(m - calm), -np.ones(calm)]
+    toxic0, other0 = (np.where(speaks > 0, FIRES[k], CALMS[k]) for k in (0, 1))
+    model = LabelModel(prior, toxic0, other0, np.ones(m), np.eye(m))
     for _ in range(rounds):
         for _ in range(steps):
-            prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
-            on_toxic = np.clip((q @ votes + 0.1) / (q.sum() + 0.2), 1e-4, 1 - 1e-4)
-            on_other = np.clip(((1 - q) @ votes + 0.1) / ((1 - q).sum() + 0.2), 1e-4, 1 - 1e-4)
-            model = LabelModel(prior, on_toxic, on_other, weight, correlation)
             q = model.posterior(votes)
+            on_toxic = (q @ votes + SEEN * toxic0) / (q.sum() + SEEN)
+            on_other = ((1 - q) @ votes + SEEN * other0) / ((1 - q).sum() + SEEN)
+            on_other = np.where(speaks > 0, np.maximum(on_other, CHANCE), on_other)
+            even = speaks * (on_toxic - on_other) < 0
+            on_other[even] = on_toxic[even]
+            model = LabelModel(prior, on_toxic, on_other, model.weight, model.correlation)
+        q = model.posterior(votes)
         residual = votes - (np.outer(q, model.on_toxic) + np.outer(1 - q, model.on_other))
-        scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        correlation = (residual / scale).T @ (residual / scale) / max(1, n)
-        extra = np.where(np.abs(correlation) > 0.1, np.abs(correlation), 0.0).sum(axis=1) - 1
-        weight = 1 / (1 + np.maximum(0, extra))
-        weight[m - apart :] = 1.0
-    return LabelModel(model.prior, model.on_toxic, model.on_other, weight, correlation)
+        residual /= np.sqrt((residual**2).mean(axis=0)) + 1e-9 if n else 1.0
+        model.correlation = residual.T @ residual / max(1, n)
+        alike = np.where((model.correlation > REPEATS) & (np.outer(speaks, speaks) > 0), model.correlation, 0.0)
+        np.fill_diagonal(alike, 1.0)
+        model.weight = 1 / alike.sum(axis=1)
+    return model
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25, block: int = 2048) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps, summed over blocks of rows; the last coefficient is the constant."""
+def fit_linear(x: np.ndarray, q: np.ndarray, start: np.ndarray, ridge: float = 1.0, steps: int = 25, block: int = 2048) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, summed over blocks of rows; the last coefficient is the constant.
+
+    Coefficients are drawn towards `start`, and stay there without rows.
+    """
     k = x.shape[1]
-    w = np.zeros(k + 1)
-    pull = ridge * np.r_[np.ones(k), 1e-6]
+    w = start.astype(float)
+    pull = ridge * np.ones(k + 1)
     for _ in range(steps):
-        h, g = np.diag(pull), -pull * w
+        h, g = np.diag(pull), -pull * (w - start)
         for at in range(0, len(x), block):
             x1 = np.c_[x[at : at + block].astype(float), np.ones(len(x[at : at + block]))]
             p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
@@ -194,9 +223,30 @@ def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25
     return w
 
 
-def train(texts: DataFrame) -> tuple[list[tuple[bytes, float]], np.ndarray]:
-    """Terms and coefficients from labelled texts (text, label), which must be few enough to be fetched as term counts."""
-    mined = mine_terms(texts)
+def votes_of(x: np.ndarray, voters: list[int], n: int) -> np.ndarray:
+    """Votes of the terms `voters`, of the patterns, and of the lack of all `n` terms, from classifier inputs x."""
+    return np.c_[x[:, voters], x[:, 2 * n : 2 * n + VOTING], x[:, :n].sum(axis=1) == 0].astype(np.float32)
+
+
+def choose_voters(mined: list[tuple[bytes, float]], n1: int, n0: int, most: int = VOTERS) -> list[int]:
+    """The first terms that mostly toxic texts hold, without those that begin another one chosen before or begin like it."""
+    least = np.log(TRUSTED / (1 - TRUSTED) * (n0 + 1) / (n1 + 1))
+    chosen: list[int] = []
+    stems: list[bytes] = []
+    for i, (term, lift) in enumerate(mined):
+        stem = term.rstrip(b"*")
+        if lift >= least and len(chosen) < most and not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            chosen.append(i)
+            stems.append(stem)
+    return chosen
+
+
+def train(sample: DataFrame, labelled: DataFrame) -> tuple[list[tuple[bytes, float]], np.ndarray]:
+    """Terms and coefficients from a sample of all texts (text) and from labelled ones (text, label).
+
+    Both must be few enough for the sample's inputs to be fetched; labels choose the terms and the prior, no more.
+    """
+    mined, n1, n0 = mine_terms(labelled)
     known = {t.rstrip(b"*") for t, _ in mined}
     terms = [*mined, *((w.encode(), 3.0) for w in LEXICON if w.encode() not in known)]
     n = len(terms)
@@ -205,39 +255,38 @@ def train(texts: DataFrame) -> tuple[list[tuple[bytes, float]], np.ndarray]:
         reader = Reader(terms)
         for part in slices(batches):
             x = [reader.design(t) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), part.column(1), part.column(2)], ["x", "label", "key"])
-
-    keyed = texts.select("text", "label", F.xxhash64("text").alias("key"))
-    rows = keyed.mapInArrow(run, "x array<float>, label int, key long").toArrow()
-    width = 2 * n + len(PATTERNS) + 3
-    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(rows), width)
-    y, key = rows["label"].to_numpy().astype(float), rows["key"].to_numpy()
-    if not mined:
-        # No labels of both kinds: hits of the fixed lexicon decide.
-        return terms, np.r_[np.full(n, 3.0), np.zeros(n), np.full(len(PATTERNS), 1.0), np.zeros(3), -2.0]
-    order = np.lexsort((y, key))  # rows come in any order; sums of floats then still agree
-    x, y = x[order], y[order]
-    # Voters: the first terms, once for any and once for repeated hits; the fixed lexicon; patterns; no hit at all.
-    first = list(range(min(VOTERS, len(mined))))
-    rest = list(range(len(mined), n))
-    silent = x[:, :n].sum(axis=1) == 0
-    votes = np.c_[x[:, first], x[:, [n + i for i in first]] > 0, x[:, rest], x[:, 2 * n : -3], silent, y].astype(np.float32)
-    model = fit_label_model(votes, np.where(y == 1, 0.95, 0.05), apart=1)
-    return terms, fit_linear(x, model.posterior(votes))
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), part.column(1)], ["x", "key"])
+
+    rows = sample.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "x array<float>, key long").toArrow()
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(rows), 2 * n + len(PATTERNS) + 3)
+    x = x[np.argsort(rows["key"].to_numpy(), kind="stable")]  # rows come in any order; sums of floats then still agree
+    voters = [*choose_voters(mined, n1, n0), *range(len(mined), n)]
+    votes = votes_of(x, voters, n)
+    model = fit_label_model(votes, (n1 + SHARE * SHARE_ROWS) / (n1 + n0 + SHARE_ROWS), calm=CALM)
+    # Where the classifier starts, it says what the label model says of terms and patterns.
+    start = np.zeros(x.shape[1] + 1)
+    start[voters], start[2 * n : 2 * n + VOTING] = model.evidence[: len(voters)], model.evidence[len(voters) : -CALM]
+    start[-1] = np.log(model.prior / (1 - model.prior))
+    return terms, fit_linear(x, model.posterior(votes), start)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS, sample: int = SAMPLE_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
-    Only text makes a score; labels of the held-out fold are never read. Null text counts as empty, a null
-    doc_id is not held out, null labels are left out, of repeated labels the largest counts, repeated documents
-    repeat their result, and an empty table gives an empty one. Without labels the fixed lexicon decides.
+    Only text makes a score; labels of the held-out fold are never read. The lexicon is chosen on at most `bound`
+    labelled documents, label model and classifier are fitted on at most `sample` of all documents, those of the
+    least hashes of doc_id. Null text counts as empty; a null doc_id counts as the empty text, whose crc32 is in
+    the held-out fold, and is in no sample; null labels are left out, of repeated labels the largest counts,
+    repeated documents repeat their result, and an empty table gives an empty one. Without labels the fixed lexicon
+    and the patterns vote alone. Other columns are ignored.
     """
-    known = labelled_sample(labels, "toxic", FOLDS, FOLD, bound).select(F.col("doc_id").alias("known_id"), "label")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    # Ids are at most `bound` rows, so they may be broadcast.
-    texts = base.join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).select("text", "label")
-    terms, w = train(materialize(texts, "toxic-training"))
+    known = labelled_sample(base, labels, "toxic", FOLDS, FOLD, bound)
+    some = sampled(base.select("doc_id").filter("doc_id is not null"), "doc_id", sample)
+    # Ids are at most `bound` and `sample` rows, so they may be broadcast.
+    ids = known.unionByName(some.select("doc_id", F.lit(None).cast("int").alias("label"))).groupBy("doc_id").agg(F.max("label").alias("label"), F.max(F.col("label").isNull()).alias("drawn"))
+    chosen = materialize(base.join(F.broadcast(ids), "doc_id").select("text", "label", "drawn"), "toxic-training")
+    terms, w = train(chosen.filter("drawn"), chosen.filter("label is not null"))
     model = docs.sparkSession.sparkContext.broadcast((terms, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
