@@ -86,14 +86,14 @@ class TestUrlFilter:
         best = max(fits, key=lambda r: (len(r[0]), len(r[1])), default=None)
         return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
-    @pytest.mark.parametrize("rows", [3, 50_000])
-    def test_brute_force(self, spark, rows):
+    @pytest.mark.parametrize("ranges", [1, 3, 40])
+    def test_brute_force(self, spark, ranges):
         rng = random.Random(4)
         hosts = ["example.net", "a.example.net", "b.a.example.net", "xexample.net", "net", "w.ORG", "org", "a.org.com", "", "é.net"]
         urls = [f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/x/y', '/fr/a?b#c', '?q=/en/', '#/fr/'])}" for _ in range(80)] + [None, "", "no protocol", "a://b://c.net/"] + ["http://a.example.net/en/"] * 40
         pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
         rules = spark.createDataFrame(self.RULES, "host string, path string, verdict string")
-        found = {r.page_id: tuple(r)[1:] for r in url_filter.url_verdicts(pages, rules, range_rows=rows).collect()}
+        found = {r.page_id: tuple(r)[1:] for r in url_filter.url_verdicts(pages, rules, ranges=ranges).collect()}
         assert found == {i: self.brute(u, self.RULES) for i, u in enumerate(urls)}
 
     def test_empty_and_repeated(self, spark):
@@ -236,21 +236,37 @@ class TestClassifiers:
         held = [r for r in found if r.held_out]
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
         assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+        nobody = toxicity.toxicity_scores(spark.createDataFrame([(None, "x")], "doc_id long, text string"), labels).first()
+        assert nobody.doc_id is None and nobody.held_out
         few = {r.doc_id: r for r in toxicity.toxicity_scores(odd, labels.limit(0)).collect()}
         assert len(few) == 9 and all(0 <= r.score <= 1 for r in few.values()) and not few[1].predicted
         assert toxicity.toxicity_scores(none, labels).count() == 0
         insult = spark.createDataFrame([(1, "you are an idiot"), (2, "you are kind")], "doc_id long, text string")
         assert {r.doc_id: r.predicted for r in toxicity.toxicity_scores(insult, labels.limit(0)).collect()} == {1: 1, 2: 0}
 
+    def test_labels_are_no_voters(self, spark):
+        """Label model and classifier get texts without labels, and the terms and two counts; toxic texts are still told."""
+        docs, labels, truth = labelled(spark, lambda b, rng: b + rng.sample(["zlurpa", "zlurpo", "zlurpeti", "moron", "idiot"], 3), "toxic")
+        rows = [(r.text, truth[r.doc_id]) for r in docs.orderBy("doc_id").collect()]
+        sample = spark.createDataFrame([(t,) for t, _ in rows], "text string")
+        mined, n1, n0 = toxicity.mine_terms(spark.createDataFrame(rows, "text string, label int"))
+        terms, w = toxicity.train_on(sample, mined, n1, n0)
+        y = np.array([y for _, y in rows])
+        scores = toxicity.scores_of([t for t, _ in rows], toxicity.Reader(terms), w)
+        assert (scores[y == 1] >= 0.5).mean() > 0.9 and (scores[y == 0] < 0.5).mean() > 0.98
+
     def test_label_model(self):
-        """Voters that repeat one another get less weight than one that stands alone."""
+        """Voters that repeat one another get less weight than others; classes and rates come from agreement alone."""
         rng = np.random.default_rng(10)
-        y = rng.random(4000) < 0.3
-        base = np.where(rng.random(4000) < 0.8, y, ~y)
-        alone = np.where(rng.random(4000) < 0.8, y, ~y)
-        votes = np.c_[base, base, base, alone, np.where(rng.random(4000) < 0.9, y, ~y)].astype(float)
-        model = toxicity.fit_label_model(votes, np.where(votes.mean(axis=1) > 0.5, 0.9, 0.1))
-        assert model.weight[:3].max() < model.weight[3] and model.on_toxic[4] > 0.7 > 0.3 > model.on_other[4]
+        y = rng.random(6000) < 0.2
+        fires = lambda on, off: rng.random(6000) < np.where(y, on, off)
+        base = fires(0.5, 0.02)
+        votes = np.c_[base, base, base, *(fires(0.5, 0.02) for _ in range(5))]
+        votes = np.c_[votes, ~votes.any(axis=1)].astype(float)
+        model = toxicity.fit_label_model(votes, 0.2, calm=1)
+        assert model.weight[:3].max() < 0.4 and model.weight[3:].min() > 0.9
+        assert (model.on_toxic[:8] > 0.4).all() and (model.on_other[:8] < 0.06).all()
+        assert ((model.posterior(votes) >= 0.5) == y).mean() > 0.93
 
 
 class TestDecontaminate:

@@ -44,10 +44,10 @@ VOTING = 3
 #: Voters for a clean text.
 CALM = 1
 #: Share of toxic documents where no labels tell it, counted as so many labelled documents beside those given.
-SHARE, SHARE_ROWS = 0.05, 20
+SHARE, SHARE_ROWS = 0.1, 20
 #: Rates at which a voter for toxic texts fires on toxic and on other texts, and a voter for clean ones, before any
 #: document is seen; they count as so many documents of each kind.
-FIRES, CALMS, SEEN = (0.1, 0.005), (0.2, 0.9), 4.0
+FIRES, CALMS, SEEN = (0.1, 0.002), (0.2, 0.9), 100.0
 #: Least rate at which any voter for toxic texts is taken to fire on other texts, by chance.
 CHANCE = 0.005
 #: Correlation of two voters' residuals from which they count as repeating one another.
@@ -181,7 +181,16 @@ def fit_label_model(votes: np.ndarray, prior: float, calm: int = 0, rounds: int
     n, m = votes.shape
     speaks = np.r_[np.ones(m - calm), -np.ones(calm)]
     toxic0, other0 = (np.where(speaks > 0, FIRES[k], CALMS[k]) for k in (0, 1))
-    model = LabelModel(prior, toxic0, other0, np.ones(m), np.eye(m))
+
+    def repeats(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scaled = residual / (np.sqrt((residual**2).mean(axis=0)) + 1e-9) if n else residual
+        correlation = scaled.T @ scaled / max(1, n)
+        alike = np.where((correlation > REPEATS) & (np.outer(speaks, speaks) > 0), correlation, 0.0)
+        np.fill_diagonal(alike, 1.0)
+        return 1 / alike.sum(axis=1), correlation
+
+    # Before there are classes, voters that fire together count as one, so that no crowd of them makes a class of its own.
+    model = LabelModel(prior, toxic0, other0, *repeats(votes - (votes.mean(axis=0) if n else 0.0)))
     for _ in range(rounds):
         for _ in range(steps):
             q = model.posterior(votes)
@@ -192,12 +201,7 @@ def fit_label_model(votes: np.ndarray, prior: float, calm: int = 0, rounds: int
             on_other[even] = on_toxic[even]
             model = LabelModel(prior, on_toxic, on_other, model.weight, model.correlation)
         q = model.posterior(votes)
-        residual = votes - (np.outer(q, model.on_toxic) + np.outer(1 - q, model.on_other))
-        residual /= np.sqrt((residual**2).mean(axis=0)) + 1e-9 if n else 1.0
-        model.correlation = residual.T @ residual / max(1, n)
-        alike = np.where((model.correlation > REPEATS) & (np.outer(speaks, speaks) > 0), model.correlation, 0.0)
-        np.fill_diagonal(alike, 1.0)
-        model.weight = 1 / alike.sum(axis=1)
+        model.weight, model.correlation = repeats(votes - (np.outer(q, model.on_toxic) + np.outer(1 - q, model.on_other)))
     return model
 
 
@@ -241,12 +245,11 @@ def choose_voters(mined: list[tuple[bytes, float]], n1: int, n0: int, most: int
     return chosen
 
 
-def train(sample: DataFrame, labelled: DataFrame) -> tuple[list[tuple[bytes, float]], np.ndarray]:
-    """Terms and coefficients from a sample of all texts (text) and from labelled ones (text, label).
+def train_on(sample: DataFrame, mined: list[tuple[bytes, float]], n1: int, n0: int) -> tuple[list[tuple[bytes, float]], np.ndarray]:
+    """Terms and coefficients from a sample of all texts (text), few enough for their inputs to be fetched.
 
-    Both must be few enough for the sample's inputs to be fetched; labels choose the terms and the prior, no more.
+    `mined` are terms with their lift, n1 and n0 the numbers of toxic and other texts for the prior: all that labels tell.
     """
-    mined, n1, n0 = mine_terms(labelled)
     known = {t.rstrip(b"*") for t, _ in mined}
     terms = [*mined, *((w.encode(), 3.0) for w in LEXICON if w.encode() not in known)]
     n = len(terms)
@@ -270,6 +273,11 @@ def train(sample: DataFrame, labelled: DataFrame) -> tuple[list[tuple[bytes, flo
     return terms, fit_linear(x, model.posterior(votes), start)
 
 
+def scores_of(texts: list[str], reader: Reader, coefficients: np.ndarray) -> np.ndarray:
+    x = np.stack([reader.design(t) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(x @ coefficients[:-1] + coefficients[-1], -30, 30)))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS, sample: int = SAMPLE_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
@@ -286,16 +294,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_RO
     # Ids are at most `bound` and `sample` rows, so they may be broadcast.
     ids = known.unionByName(some.select("doc_id", F.lit(None).cast("int").alias("label"))).groupBy("doc_id").agg(F.max("label").alias("label"), F.max(F.col("label").isNull()).alias("drawn"))
     chosen = materialize(base.join(F.broadcast(ids), "doc_id").select("text", "label", "drawn"), "toxic-training")
-    terms, w = train(chosen.filter("drawn"), chosen.filter("label is not null"))
+    terms, w = train_on(chosen.filter("drawn"), *mine_terms(chosen.filter("label is not null")))
     model = docs.sparkSession.sparkContext.broadcast((terms, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, coefficients = model.value
         reader = Reader(names)
         for part in slices(batches):
-            x = np.stack([reader.design(t) for t in part.column(1).to_pylist()])
-            score = 1 / (1 + np.exp(-np.clip(x @ coefficients[:-1] + coefficients[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores_of(part.column(1).to_pylist(), reader, coefficients))], ["doc_id", "score"])
 
     scored = base.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
