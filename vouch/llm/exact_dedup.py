@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SPACES, materialize, small, text_of
 
+#: Equal rows that are given back together.
+STRETCH = 10_000
+
 
 def normalised(text: Column) -> Column:
     """text without the characters of [\\x20\\x09-\\x0D]."""
@@ -45,32 +48,37 @@ def exact_groups(docs: DataFrame, salts: int = 32, digest_hex: int = 64) -> Data
     groups = materialize(total.select(*facts), "exact-groups")
     shared = groups.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("key")
 
-    rows = keyed.select("doc_id", "len", "salt", "sha", "key")
+    rows = _counted(keyed, "key")
     if shared.isEmpty():
         return _labelled(rows.join(_by_salt(groups), ["key", "salt"], "left"))
     # Different contents share a digest: their rows are told apart by content, all others by the digest.
     shared = materialize(shared, "exact-shared")
     apart = total.join(shared, "key", "left_semi").select(*facts, "norm")
     plain = rows.join(shared, "key", "left_anti").join(_by_salt(groups.join(shared, "key", "left_anti")), ["key", "salt"], "left")
-    close = keyed.join(shared, "key", "left_semi").join(_by_salt(apart, "norm"), ["key", "salt", "norm"], "left").drop("norm")
+    close = _counted(keyed.join(shared, "key", "left_semi"), "key", "norm").join(_by_salt(apart, "norm"), ["key", "salt", "norm"], "left").drop("norm")
     return _labelled(plain.unionByName(close.select(plain.columns)))
 
 
+def _counted(keyed: DataFrame, *content: str) -> DataFrame:
+    """Rows that nothing tells apart, as one row with their number: a null or repeated doc_id is no hot key of the joins."""
+    return keyed.groupBy("doc_id", "len", "salt", "sha", *content).agg(F.count(F.lit(1)).alias("times"))
+
+
 def _by_salt(groups: DataFrame, *content: str) -> DataFrame:
     """Groups of two rows or more, once for each salt that has some of their rows: no key of the join is hot."""
     return groups.filter("group_size > 1").select("key", F.explode("salts").alias("salt"), "keep_len", "keep_id", "group_size", *content)
 
 
 def _labelled(joined: DataFrame) -> DataFrame:
-    # Rows that repeat the winner share its salt, so this window needs no further shuffle.
-    same = Window.partitionBy("key", "salt", "sha", "doc_id", "len").orderBy(F.lit(1))
     alone = F.col("group_size").isNull()
     winner = alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len")))
-    return joined.select(
+    # Rows that repeat the winner are given back one by one, in stretches of bounded length, and the first is kept.
+    stretches = joined.withColumn("past", F.explode(F.expr(f"sequence(0L, times - 1, {STRETCH}L)")))
+    return stretches.withColumn("nth", F.explode(F.expr(f"sequence(past + 1, least(times, past + {STRETCH}))"))).select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (winner & (F.row_number().over(same) == 1)).alias("kept"),
+        (winner & (F.col("nth") == 1)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
