@@ -5,7 +5,7 @@ a conversation whose whole hash is a proper prefix's hash of another one is drop
 conversations the smallest id stays, and what is left is rendered.
 
 A conversation can be of any length: its turns are numbered, hashed and rendered in blocks, and only the blocks'
-counts and sums are brought together for a conversation.
+counts and sums are brought together for a conversation. Up to rendering, digests stand for the texts.
 """
 
 from __future__ import annotations
@@ -26,43 +26,67 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), safe(role), F.lit("\n"), safe(text), F.lit(CLOSE + "\n"))
 
 
+def _turns(conversations: DataFrame, block: int) -> DataFrame:
+    """conv_id, block, turn, role, text of usable rows."""
+    filled = [F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
+    return conversations.select("conv_id", *filled).filter("conv_id is not null").withColumn("block", F.expr(f"turn div {block}"))
+
+
 def numbered_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, block, pos, role, text and prefix: the turns in order, with the rolling hash up to each.
+    """conv_id, block, pos, n_turns, said, before and prefix: the turns in order, with the rolling hash before and after each.
 
     Turns are ordered by turn, then role, then text; null turns come first, null roles count as `user`, null
     texts as empty, rows without a conv_id are left out, and rows equal in all four columns count once.
-    The hash of a prefix is the sum of its turns' hashes, each taken together with its position.
+    said is the digest of role and text, which stands for them, so texts are not carried along; only rows tied in
+    turn and role are looked up again to be ordered by text. The hash of a prefix is the sum of its turns' hashes,
+    each taken together with its position.
     """
-    turns = (
-        conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        .filter("conv_id is not null")
-        .withColumn("block", F.expr(f"turn div {block}"))
-    )
-    once = turns.groupBy("conv_id", "block", "turn", "role", "text").agg(F.lit(1).alias("one")).drop("one")
+    turns = _turns(conversations, block)
+    said = F.unhex(F.sha2(F.concat_ws("\n", "role", "text"), 256)).alias("said")
+    once = materialize(turns.groupBy("conv_id", "block", "turn", "role", said).agg(F.lit(1).alias("one")).drop("one"), "chat-turns")
+    place = ["conv_id", "block", "turn", "role"]
+    tied = once.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    ranked = once.withColumn("rank", F.lit(0))
+    if not tied.isEmpty():
+        texts = turns.join(tied, place, "left_semi").select(*place, said, "text").distinct()
+        ranks = texts.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("text"))).drop("text")
+        ranked = once.join(ranks, [*place, "said"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
     whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "rank")
 
     counts = once.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
-    placed = once.join(offsets, ["conv_id", "block"]).withColumn("pos", F.col("skip") + F.row_number().over(inside))
+    placed = ranked.join(offsets, ["conv_id", "block"]).withColumn("pos", F.col("skip") + F.row_number().over(inside))
     # Four sums of 32-bit numbers: they cannot overflow, and together they are a hash of 128 bits.
     for k, (seed, right) in enumerate([(1, 0), (1, 32), (2, 0), (2, 32)]):
-        h = F.xxhash64(F.lit(seed), "pos", "role", "text")
+        h = F.xxhash64(F.lit(seed), "pos", "said")
         placed = placed.withColumn(f"h{k}", F.shiftrightunsigned(F.shiftleft(h, 32) if right == 0 else h, 32))
     hashes = [f"h{k}" for k in range(4)]
-    placed = materialize(placed, "chat-turns")
+    placed = materialize(placed.select("conv_id", "block", "pos", "n_turns", "said", *hashes), "chat-places")
     sums = placed.groupBy("conv_id", "block").agg(*[F.sum(h).alias(h) for h in hashes])
     carried = sums.select("conv_id", "block", *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"c{h}") for h in hashes])
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    prefix = F.concat_ws(":", *[(F.col(f"c{h}") + F.sum(h).over(running)).cast("string") for h in hashes])
-    return placed.join(carried, ["conv_id", "block"]).select("conv_id", "block", "pos", "n_turns", "role", "text", prefix.alias("prefix"))
+    running = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    after = [F.col(f"c{h}") + F.sum(h).over(running) for h in hashes]
+    digest = lambda sums: F.unhex(F.substring(F.sha2(F.concat_ws(":", *[s.cast("string") for s in sums]), 256), 1, 32))
+    ended = placed.join(carried, ["conv_id", "block"]).select("conv_id", "block", "pos", "n_turns", "said", *hashes, *[a.alias(f"a{h}") for a, h in zip(after, hashes)])
+    return ended.select("conv_id", "block", "pos", "n_turns", "said", digest([F.col(f"a{h}") - F.col(h) for h in hashes]).alias("before"), digest([F.col(f"a{h}") for h in hashes]).alias("prefix"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that are no proper prefix of another, and first of their equals."""
-    heads = turns.select("conv_id", "pos", "n_turns", "prefix")
-    whole = heads.filter("pos = n_turns").groupBy("n_turns", "prefix").agg(F.min("conv_id").alias("conv_id"))
-    inner = heads.filter("pos < n_turns").groupBy("pos", "prefix").agg(F.lit(1).alias("one")).select(F.col("pos").alias("n_turns"), "prefix")
+    """conv_id and n_turns of the conversations that are no proper prefix of another, and first of their equals.
+
+    Where prefixes of one length have the same hash, they must also have the same hash before and the same last
+    turn; then, from turn to turn, they are the same in content. A clash of hashes stops the job with an error.
+    """
+    complete = F.col("pos") == F.col("n_turns")
+    heads = turns.groupBy("pos", "prefix").agg(
+        F.min(F.when(complete, F.col("conv_id"))).alias("first"), F.max(~complete).alias("goes_on"),
+        F.min("said").alias("said"), F.max("said").alias("said_too"), F.min("before").alias("before"), F.max("before").alias("before_too"),
+    )
+    same = (F.col("said") == F.col("said_too")) & (F.col("before") == F.col("before_too"))
+    checked = heads.withColumn("first", F.when(same, F.col("first")).otherwise(F.raise_error("two different conversations have the same prefix hash").cast(turns.schema["conv_id"].dataType)))
+    whole = checked.filter("first is not null").select(F.col("first").alias("conv_id"), F.col("pos").alias("n_turns"), "prefix")
+    inner = heads.filter("goes_on").select(F.col("pos").alias("n_turns"), "prefix")
     return whole.join(inner, ["n_turns", "prefix"], "left_anti").select("conv_id", "n_turns")
 
 
@@ -70,11 +94,16 @@ def format_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rendered maximal conversations: conv_id, part, n_turns, text.
 
     A conversation is one row of part 0, or several to be joined by part where it spans several blocks of turn
-    numbers. See numbered_turns for nulls, ties and repeated rows; an empty table gives an empty result.
+    numbers. See numbered_turns for nulls, ties and repeated rows; a text of any length is rendered whole, an empty
+    table gives an empty result, and other columns are ignored. Texts are read once for this, by conversation and block.
     """
     turns = materialize(numbered_turns(conversations, block), "chat-prefixes")
     kept = maximal_conversations(turns).select("conv_id")
-    lines = turns.join(kept, "conv_id", "left_semi").withColumn("line", F.struct("pos", rendered(F.col("role"), F.col("text")).alias("said")))
-    parts = lines.groupBy("conv_id", "block", "n_turns").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    # The blocks of what stays; texts go to them at once, and no conversation lies in one task as a whole.
+    blocks = turns.select("conv_id", "block", "n_turns").distinct().join(kept, "conv_id", "left_semi")
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return parts.select("conv_id", number.alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.col("lines.said"), "").alias("text"))
+    blocks = blocks.withColumn("part", number)
+    line = F.struct("turn", "role", "text")
+    parts = _turns(conversations, block).join(blocks, ["conv_id", "block"]).groupBy("conv_id", "block", "n_turns", "part").agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    said = F.transform("lines", lambda x: rendered(x["role"], x["text"]))
+    return parts.select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(said, "").alias("text"))
