@@ -289,7 +289,9 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """For every row of docs: doc_id, n_tokens, SHA-256 of the ids and of the bytes they decode to.
 
     One pass without a shuffle: ids are made and decoded in the same task, so that they need not be written.
-    Null text is empty: no tokens, and digests of the empty string.
+    Null and empty texts have no tokens, and digests of the empty string; a text of any length is encoded whole.
+    A null doc_id stays null, repeated rows repeat their result, an empty table gives an empty one, and columns
+    other than doc_id and text are ignored.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as overlapping passages, for items of each length class in passages of their size. Passages and benchmark items become TF-IDF vectors over the items'
-words, with document frequencies counted over all documents. A one-pass randomised SVD (a Nystroem sketch
-A'(A Omega), summed over tasks) gives a latent space, in which each item's candidates are the passages that lie
+Documents are read as overlapping passages, for items of each length class in passages of their size. Passages
+and benchmark items become TF-IDF vectors over the items' words, with document frequencies counted over all
+documents. A one-pass randomised SVD (a Nystroem sketch A'(A Omega), summed over tasks) gives a latent space, in which each item's candidates are the passages that lie
 in its direction and carry enough of its weight. Candidates are then checked word by word: the longest common
 subsequence with the item must cover most of it, or somewhat less where the item's answer, its last words,
 stands in the passage as it is. Items of fewer words than an answer are looked up as exact runs of words.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WORD_BYTES, slices, text_of
 
-#: Items that one pass over the documents looks for; more are searched for in further passes.
-BLOCK = 20_000
+#: Items, and words of items, that one pass over the documents looks for, about; more are searched for in further passes.
+BLOCK, BLOCK_WORDS = 20_000, 1_000_000
 #: Words of passages that are projected together, about.
 PROJECTED = 49_152
 #: Dimensions of the latent space.
@@ -265,9 +265,10 @@ def _fitted(docs: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[Items]:
-    """The items, in blocks of about `block`; items without words cannot leak and are left out."""
+    """The items, in blocks of about `block` with as many words as BLOCK_WORDS; items without words cannot leak and are left out."""
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).filter("item_id is not null")
-    count = -(-usable.count() // block)
+    size = usable.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+"))), F.lit(0)).alias("words")).first()
+    count = max(-(-size.items // block), -(-size.words // BLOCK_WORDS)) if size.items else 0
     for k in range(count):
         rows = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect() if count > 1 else usable.collect()
         listed = sorted((r.item_id, words_of(r.text)) for r in rows)
@@ -313,7 +314,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs without the rows that hold an item; columns stay as they are, and texts are judged where they are."""
+    """docs without the rows that hold an item; columns stay as they are, and texts are judged where they are.
+
+    Null and empty texts hold nothing and stay, repeated rows go or stay together, rows of a null doc_id are judged
+    like others, a text of any length is read whole, and an empty benchmark or an empty table leaves docs as it is.
+    """
     kept = docs
     for items in prepare(docs, benchmark, block):
         kept = kept.filter(~_holds(docs.sparkSession.sparkContext.broadcast(items))(text_of()))
