@@ -78,15 +78,16 @@ def release(spark: SparkSession) -> None:
 SALTS = 32
 
 
-def with_range(rows: DataFrame, key: str, value: str, spread: str, salts: int = SALTS) -> DataFrame:
-    """rows with low and high: the least and the greatest `value` of each key.
+def with_range(rows: DataFrame, key: str, spread: str, *values: str, salts: int = SALTS) -> DataFrame:
+    """rows with low_v and high_v for each v of `values`: the least and the greatest of each key.
 
-    Parts of a key, dealt by a hash of `spread`, are aggregated first and combined then; low and high go back to
+    Parts of a key, dealt by a hash of `spread`, are aggregated first and combined then; the results go back to
     each part, so no key's rows meet in one task. Rows with a null key are left out.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    whole = parts.groupBy(key).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("salt").alias("salts"))
+    parts = salted.groupBy(key, "salt").agg(*[how(v).alias(f"{side}_{v}") for v in values for side, how in (("low", F.min), ("high", F.max))])
+    both = [how(f"{side}_{v}").alias(f"{side}_{v}") for v in values for side, how in (("low", F.min), ("high", F.max))]
+    whole = parts.groupBy(key).agg(*both, F.collect_set("salt").alias("salts"))
     return salted.join(whole.withColumn("salt", F.explode("salts")).drop("salts"), [key, "salt"]).drop("salt")
 
 

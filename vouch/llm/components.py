@@ -13,9 +13,9 @@ def _stars(edges: DataFrame) -> DataFrame:
     The rows of one node, which may be the centre of a third of all edges, are dealt into parts by their other end.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = with_range(both, "u", "v", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).filter("u > v").distinct()
+    large = with_range(both, "u", "v", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "low_v").alias("v")).filter("u > v").distinct()
     small = with_range(large, "u", "v", "v")
-    moved = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(small.select("u", F.col("low").alias("v")))
+    moved = small.select(F.col("v").alias("u"), F.col("low_v").alias("v")).unionByName(small.select("u", F.col("low_v").alias("v")))
     return moved.filter("u > v").distinct()
 
 

@@ -229,7 +229,7 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, words_each: int
     nodes = materialize(salted.groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts")), "simhash-nodes")
     roots = components(links(nodes, threshold, most))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "salts", F.coalesce("root", "fp").alias("root"))
-    named = with_range(rooted, "root", "least", "fp").select("fp", F.explode("salts").alias("salt"), F.col("low").alias("component_id"))
+    named = with_range(rooted, "root", "fp", "least").select("fp", F.explode("salts").alias("salt"), F.col("low_least").alias("component_id"))
     return own.join(named, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
