@@ -59,6 +59,12 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a table has been written there to its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the scratch table that df, a result of materialize, reads; nothing may still depend on it."""
     files = df.inputFiles()
