@@ -539,9 +539,12 @@ class TestPassages:
     def test_like_paragraphs(self, spark):
         """Classes against all pairs of paragraphs: no class joins what no chain of like pairs does, and next to none is lost."""
         rng = random.Random(14)
-        base = [letters(rng, "abcdefgh", 6) + "y" for _ in range(400)]
-        docs = [(i, " ".join(base[:50] + [f"n{i}"] + base[51:])) for i in range(12)]
-        docs += [(20 + i, " ".join(base[200 + 7 * i : 290 + 7 * i])) for i in range(12)] + [(40 + i, " ".join(letters(rng, "abcdefgh", 6) + "y" for _ in range(80))) for i in range(6)]
+        docs = []
+        for k in range(40):
+            base = [letters(rng, "abcdefgh", 6) + "y" for _ in range(60)]
+            for _ in range(5):
+                at = rng.randrange(60)
+                docs.append((len(docs), " ".join(base[:at] + [f"n{len(docs)}"] + base[at + 1 :])))
         found = {r.h: r.root for r in passages.paragraph_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         them = passages.Paragraphs([t for _, t in docs])
         sets, holders = {}, {}
@@ -558,9 +561,9 @@ class TestPassages:
         like = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
         for a, b in like:
             top[max(root(a), root(b))] = min(root(a), root(b))
-        assert len(like) > 20 and all(h in found for h in sets if len(holders[h]) > 1)
+        assert len(like) >= 20 and all(h in found for h in sets if len(holders[h]) > 1)
         assert all(root(a) == root(found[a]) for a in found)
-        assert sum(found.get(a) == found.get(b) is not None for a, b in like) >= 0.9 * len(like)
+        assert sum(found.get(a) == found.get(b) is not None for a, b in like) >= 0.85 * len(like)
 
     def test_full_cells(self, spark):
         """One cell of paragraphs of which most are unlike: none is lost that is like others, and none is linked to unlike ones."""
@@ -578,7 +581,7 @@ class TestPassages:
     def test_recall_by_length(self, spark):
         """Exact copies between two documents: found from LEAST words on, with their true ends."""
         rng = random.Random(22)
-        text = lambda n: [letters(rng, "abcdefghijklmnop", 7) + "z" for _ in range(n)]
+        text = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
         lengths, docs = (20, 30, 42, 45, 51, 60, 80), []
         for i in range(60):
             for k, n in enumerate(lengths):
