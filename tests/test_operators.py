@@ -108,18 +108,68 @@ def test_vectors(spark):
         found = vectors.search_exact(queries, store, metric, k=5).filter("vec_id < 900").collect()
         for q in range(0, 300, 50):
             assert {r.vec_id for r in found if r.query_id == q} >= set(np.argsort(d[q])[:4].tolist())
-    model = vectors.lsh_model(store.filter("vec_id < 900"))
-    index = vectors.build_index(store.filter("vec_id < 200"), model)
-    index = index.unionByName(vectors.build_index(store.filter("vec_id < 900"), model, index))
-    near = vectors.search_ann(queries, store.filter("vec_id < 900"), index, model, 10).collect()
-    hits = sum(r.vec_id in set(np.argsort(1 - unit[r.query_id] @ unit.T)[:10].tolist()) for r in near)
-    assert hits >= 0.9 * 60
+    assert {r.rank for r in vectors.search_exact(queries, store, threshold=0.0, k=3, similarity=True).collect()} == {1, 2, 3}
+    assert all(r.vec_id != r.query_id for r in vectors.search_exact(queries, store, k=1, others=True).collect())
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_grid(spark, monkeypatch, block):
+    """Counters, first matches, pairs and duplicates against plain loops, in one cell and in many."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "STORE_BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((150, 8))
+    label = rng.integers(0, 4, 150)
+    store = spark.createDataFrame([(i, v.tolist(), int(n), int(i * 7 % 150)) for i, (v, n) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int, arrival long")
+    queries = store.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T, 6)
+    for r in vectors.match_counters(queries, store, 0.3, 0.1).collect():
+        near = 1 - d[r.query_id]
+        assert (r.found, r.matched, r.low_confidence, r.not_matched) == (150, (near >= 0.3).sum(), ((near < 0.3) & (near >= 0.1)).sum(), (near < 0.1).sum())
+    for r in vectors.first_match(queries.drop("label"), store.drop("label"), 0.3).collect():
+        order = sorted(range(150), key=lambda i: -(i * 7 % 150))
+        stop = next(k for k, i in enumerate(order) if d[r.query_id, i] <= 0.3)
+        assert (r.vec_id, r.checked, r.best_similarity) == (order[stop], stop + 1, round(1 - d[r.query_id, order[: stop + 1]].min(), 4))
+    counts = vectors.distance_counts(queries, store).collect()
+    assert sum(r.n for r in counts) == 50 * 150 and sum(r.n for r in counts if r.same) == sum((label == label[q]).sum() for q in range(0, 150, 3))
+    pairs = {(r.vec_a, r.vec_b): r.same for r in vectors.make_pairs(queries, store).collect()}
+    assert pairs == {(a, b): bool(label[a] == label[b]) for a in range(0, 150, 3) for b in range(150) if a != b and (b % 3 or a < b)}
+    faces = store.select("vec_id", F.col("label").alias("identity"), (F.col("vec_id") % 2).alias("model"), "embedding")
+    twins = [tuple(r) for r in vectors.duplicate_identities(faces, 0.5, block).collect()]
+    assert sorted(twins) == sorted((a, b, d[a, b]) for a in range(150) for b in range(a + 1, 150) if a % 2 == b % 2 and label[a] != label[b] and d[a, b] < 0.5)
+
+
+def test_index_recall(spark):
+    """Clustered vectors: nine tenths of the true neighbours from a tenth of the pairs; and the index grows by what it lacks."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 24))
+    x = np.concatenate([c + 0.25 * rng.standard_normal((40, 24)) for c in centres])
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = store.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vectors.fit_index(store, cells=64, probes=4)
+    table = vectors.build_index(store.filter("vec_id < 2000"), index)
+    table = table.unionByName(vectors.build_index(store, index, table))
+    assert table.count() == len(x) == table.select("vec_id").distinct().count()
+    true = {(r.query_id, r.vec_id) for r in vectors.search_exact(queries, store, k=10).collect()}
+    found = {(r.query_id, r.vec_id) for r in vectors.search_ann(queries, store, table, index, 10).collect()}
+    assert len(true & found) >= 0.9 * len(true)
+    assert vectors.candidates(queries, table, index).count() <= 0.1 * queries.count() * len(x)
+
+
+def test_index_recall_of_the_given_vectors(spark):
+    from vouch.plans import evaluation
+
+    sf_dir = "/root/testdata/sf0.01"
+    true = {(r.query_id, r.vec_id) for r in evaluation.v4k(spark, sf_dir).collect()}
+    found = {(r.query_id, r.vec_id) for r in evaluation.v7(spark, sf_dir).collect()}
+    assert len(true & found) >= 0.9 * len(true)
 
 
 def test_calibration(spark):
     rng = np.random.default_rng(4)
     pairs = spark.createDataFrame([(float(d), bool(s)) for s in (True, False) for d in rng.normal(0.4 if s else 0.8, 0.1, 300)], "distance double, same boolean")
-    fitted = vectors.fit_confidence(pairs)
+    fitted = vectors.fit_confidence(pairs).first()
     assert fitted["w"] < 0 and fitted["max_true"] > fitted["max_false"] and fitted["min_false"] < fitted["min_true"]
     best = vectors.best_threshold(pairs).first()
     assert 0.5 < best.threshold < 0.7 and best.accuracy > 0.93

@@ -8,24 +8,103 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def tag_dictionary(texts: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
+#: Rows of a dictionary up to which it is sent to all tasks; beyond, its join is by hash.
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, marked for broadcast if it is counted to have few enough rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def tag_dictionary(texts: DataFrame, terms: DataFrame, longest: int = 4, mode: str = "word") -> DataFrame:
     """doc_id and term, kind of the longest dictionary term in each text; ties by term. Texts without one are left out.
 
-    Both sides are compared in lower-case words. A text's runs of up to `longest` words meet the terms in an
-    equi-join, so a large dictionary is neither broadcast nor tried term by term.
+    In mode `word` both sides are compared in lower-case words, up to `longest` of them, in mode `substring` a term
+    may stand anywhere. Texts are taken apart once: each word, with those after it, meets the first words of the terms
+    in an equi-join, and what is met is compared in full. A small dictionary filters the words before any shuffle; a
+    large one is joined by hash, never tried term by term.
     """
-    words = texts.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
-    runs = None
-    for n in range(1, longest + 1):
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        part = words.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("run"))
-        runs = part if runs is None else runs.unionByName(part)
-    known = terms.select(F.lower("term").alias("term"), "kind").distinct()
-    found = runs.join(known, runs.run == known.term).select("doc_id", "term", "kind")
+    known = terms.select(F.lower("term").alias("term"), "kind").filter("term <> ''").distinct()
+    if mode == "word":
+        known = known.withColumn("key", F.split("term", " ")[0])
+        at = texts.select("doc_id", _words("text").alias("w")).select("doc_id", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("key"), F.array_join(F.slice("w", i + 1, longest), " ").alias("run")))).alias("r")).select("doc_id", "r.*")
+        stands = F.concat("run", F.lit(" ")).startswith(F.concat("term", F.lit(" ")))
+    elif mode == "substring":
+        return _tag_substrings(texts, known)
+    else:
+        raise ValueError(f"mode is word or substring, not {mode}")
+    return _longest(at.join(small(known), "key").filter(stands))
+
+
+def _longest(found: DataFrame) -> DataFrame:
     best = found.groupBy("doc_id").agg(F.max_by(F.struct("term", "kind"), F.struct(F.length("term"), F.col("term"), F.col("kind"))).alias("b"))
     return best.select("doc_id", "b.term", "b.kind")
 
 
+#: Terms that are tried one by one inside a text; of more, only those whose first characters the text has.
+TRIED = 1_000
+
+
+def _tag_substrings(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """tag_dictionary for terms anywhere in a text: a few are looked for in each text, in a single pass over the texts.
+
+    Of a large dictionary the first three characters of each term meet the texts' runs of so many in an equi-join, and
+    only the terms met are looked for.
+    """
+    low = texts.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    few = known.limit(TRIED + 1).collect()
+    if len(few) <= TRIED:
+        ordered = sorted(((r.term, r.kind) for r in few), key=lambda t: (len(t[0]), *t), reverse=True)
+        terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("kind")) for t, k in ordered]).cast("array<struct<term:string,kind:string>>")
+        first = low.select("doc_id", F.get(F.filter(terms, lambda t: F.col("low").contains(t["term"])), F.lit(0)).alias("t"))
+        return first.filter("t is not null").select("doc_id", "t.term", "t.kind")
+    known = known.withColumn("key", F.substring("term", 1, 3))
+    # Terms of one or two characters are keys themselves: at most three lengths are there.
+    sizes = [r.n for r in known.select(F.length("key").alias("n")).distinct().collect()]
+
+    def runs(n: int) -> Column:
+        at = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(n)))
+
+    met = low.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("key")).join(small(known), "key").select("doc_id", "term", "kind")
+    return _longest(met.join(low, "doc_id").filter(F.col("low").contains(F.col("term"))))
+
+
+def _most_keywords(low: Column, keywords: dict[str, list[str]]) -> Column:
+    """Struct of the name with most keywords in a text, the first of equals, and hits and size; no hits, no name."""
+    hits = lambda words: F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w)))
+    entries = [F.struct(hits(words).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name"), F.lit(len(words)).alias("size")) for i, (name, words) in enumerate(keywords.items())]
+    return F.array_max(F.array(*entries))
+
+
+def detect_parts(text: Column, types: dict[str, list[str]], countries: dict[str, tuple[list[str], list[str]]], entities: dict[str, list[str]]) -> Column:
+    """Struct of type, country and entity that a text's keywords tell, their confidences, and the whole, by 0.4, 0.3 and 0.3.
+
+    A type counts by the share of its keywords, a fifth more from three on; an entity by a third for each, a fifth
+    more from two on; a country, the first of which a name stands as a word, by 0.7 and 0.1 for each word that speaks
+    for it. countries maps a code to its names and such words.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    most = lambda c: F.least(c, F.lit(1.0))
+    kind, owner = _most_keywords(low, types), _most_keywords(low, entities)
+    kind_share = most(kind["hits"] / kind["size"] * F.when(kind["hits"] >= 3, 1.2).otherwise(1.0))
+    owner_share = most(most(owner["hits"] / 3) * F.when(owner["hits"] >= 2, 1.2).otherwise(1.0))
+    country = F.lit(None).cast("struct<code:string,confidence:double>")
+    for code, (names, words) in reversed(countries.items()):
+        speaks = F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w))) if words else F.lit(0)
+        country = F.when(low.rlike(r"\b(?:" + "|".join(n.lower() for n in names) + r")\b"), F.struct(F.lit(code).alias("code"), most(0.7 + 0.1 * speaks).alias("confidence"))).otherwise(country)
+    sure = [F.when(kind["hits"] > 0, kind_share).otherwise(0.0), F.coalesce(country["confidence"], F.lit(0.0)), F.when(owner["hits"] > 0, owner_share).otherwise(0.0)]
+    return F.struct(
+        F.when(kind["hits"] > 0, kind["name"]).alias("type"), country["code"].alias("country"), F.when(owner["hits"] > 0, owner["name"]).alias("entity"),
+        *[F.round(c, 6).alias(f"{n}_confidence") for n, c in zip(("type", "country", "entity"), sure)], F.round(sure[0] * 0.4 + sure[1] * 0.3 + sure[2] * 0.3, 6).alias("confidence"),
+    )
+
+
 def dictionary_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, kind and the number of its one-word terms that a text has."""
     words = texts.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("word"))
@@ -35,7 +114,7 @@ def dictionary_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def detect_document(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, the kind most of whose terms a text has, and their share as confidence; ties by kind."""
     sizes = terms.select(F.lower("term").alias("t"), "kind").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
-    scored = dictionary_counts(texts, terms).join(F.broadcast(sizes), "kind").withColumn("confidence", F.round(F.col("hits") / F.col("size"), 6))
+    scored = dictionary_counts(texts, terms).join(small(sizes), "kind").withColumn("confidence", F.round(F.col("hits") / F.col("size"), 6))
     order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "kind")
     return scored.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("doc_id", "kind", "confidence")
 
@@ -60,7 +139,7 @@ def select_schema(detected: DataFrame, registry: DataFrame) -> DataFrame:
     """The schema for type, country and entity, else for type and country, type and entity, or the type alone: doc_id, schema, step."""
     ids = F.array(F.concat_ws(":", "type", "country", "entity"), F.concat_ws(":", "type", "country"), F.concat_ws(":", "type", "entity"), F.col("type"))
     tried = detected.select("doc_id", F.posexplode(ids).alias("step", "schema"))
-    return tried.join(F.broadcast(registry.select("schema").distinct()), "schema").groupBy("doc_id").agg(F.min(F.struct("step", "schema")).alias("b")).select("doc_id", "b.schema", "b.step")
+    return tried.join(small(registry.select("schema").distinct()), "schema").groupBy("doc_id").agg(F.min(F.struct("step", "schema")).alias("b")).select("doc_id", "b.schema", "b.step")
 
 
 def suggest_schema(detected: DataFrame, ranked: DataFrame, least: float = 0.7) -> DataFrame:

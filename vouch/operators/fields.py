@@ -88,6 +88,29 @@ def parse_address(address: Column) -> Column:
     return F.struct(number.alias("number"), post.alias("postal"), F.trim(F.regexp_replace(F.regexp_replace(rest, r"(\s*,\s*)+", ", "), r"^, |, $", "")).alias("rest"))
 
 
+def parse_addresses(rows: DataFrame, places: DataFrame, states: dict[str, str], longest: int = 3) -> DataFrame:
+    """doc_id, number, street, city, postal, state and country of each address (doc_id, address).
+
+    places has term and kind (city, state or country); of each kind the longest that stands in an address as words is
+    taken, and a country that is not named follows from the state. street is what is left before the first of them.
+    """
+    from vouch.functions.text import country_from_state
+    from vouch.operators.extract import tag_dictionary
+
+    out = rows.select("doc_id", "address", parse_address(F.col("address")).alias("p"))
+    texts = rows.select("doc_id", F.col("address").alias("text"))
+    for kind in ("city", "state", "country"):
+        told = tag_dictionary(texts, places.filter(F.col("kind") == kind), longest).select("doc_id", F.col("term").alias(kind))
+        out = out.join(told, "doc_id", "left")
+    street = F.col("p.rest")
+    for kind in ("city", "state", "country"):
+        place = F.col(kind)
+        street = F.when(place.isNotNull(), F.regexp_replace(street, F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])"), place, F.lit(r"([^\p{L}\p{N}]|$)")), F.lit("$1$2"))).otherwise(street)
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(street, r"\s+", " ")), r"( ?, ?)+", ", "), r"^, |,? ?$", "")
+    country = F.coalesce("country", country_from_state(F.col("state"), states))
+    return out.select("doc_id", "p.number", tidy.alias("street"), "city", "p.postal", "state", country.alias("country"))
+
+
 @F.pandas_udf(T.StringType())
 def closest_word(text: pd.Series, target: pd.Series) -> pd.Series:
     """The word of each text most like the target by matching blocks, at 0.3 or more; null without one. No built-in compares so."""

@@ -28,7 +28,7 @@ def distance_confidence(distance: Column, most: float = 0.3) -> Column:
 def spatial_pairs(keys: DataFrame, blocks: DataFrame, least: float = 0.3) -> DataFrame:
     """The value block of each key block: doc_id, key_block, value_block, relation, confidence, the best one by confidence, then block.
 
-    On a line right of the key counts in full, left 0.8, below 0.95, above 0.7, and askew 0.5.
+    Fixed values: on a line right of the key counts in full, left 0.8, below 0.95, above 0.7, and askew 0.5.
     """
     (kx, ky), (vx, vy) = _centre("k_"), _centre("v_")
     dx, dy = vx - kx, vy - ky
@@ -89,6 +89,44 @@ def classify_addresses(addresses: DataFrame, holders: DataFrame, banks: DataFram
     return both.select("doc_id", F.col("k_block_id").alias("block_id"), F.when(bank, "bank").otherwise("holder").alias("owner"))
 
 
+def topmost_country(blocks: DataFrame, countries: dict[str, list[str]], most: int = 3) -> DataFrame:
+    """doc_id and country of the uppermost of the first `most` blocks that names one; in a block the first of countries.
+
+    countries maps a code to its name, which may stand inside a block, and to other names, which must be all of it.
+    """
+    text, out = F.upper(F.trim(F.coalesce("text", F.lit("")))), F.lit(None).cast("string")
+    for code, (name, *others) in reversed(countries.items()):
+        out = F.when(text.contains(name.upper()) | text.isin([o.upper() for o in others]) if others else text.contains(name.upper()), F.lit(code)).otherwise(out)
+    order = Window.partitionBy("doc_id").orderBy("y1", "x1", "block_id")
+    told = blocks.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).withColumn("country", out).filter("country is not null")
+    return told.groupBy("doc_id").agg(F.min_by("country", "nth").alias("country"))
+
+
+#: Countries where an address that is not in Latin letters is the holder's rather than the bank's: fixed values.
+OWN_SCRIPT = ["TH", "MY", "VN", "ID", "MM", "KH", "LA"]
+
+
+def address_owners(addresses: DataFrame, holders: DataFrame, banks: DataFrame, country: Column | None = None) -> DataFrame:
+    """Whether each address block is the holder's or the bank's, by what it says and then by the nearest anchor: doc_id, block_id, owner.
+
+    One that reads like a bank's is the bank's. A document's only address is the holder's otherwise. Of several, in
+    countries of another script and where both kinds occur, those not in Latin letters or garbled are the holder's;
+    the rest go to the holder where that anchor is nearer, else to the bank. country is of the addresses' rows.
+    """
+    from vouch.functions.text import is_bank_address, is_non_latin, is_unreadable
+
+    (kx, ky), (vx, vy) = _centre("k_"), _centre("v_")
+    nearest = lambda anchors, name: _pairs(addresses, anchors).groupBy("doc_id", "k_block_id").agg(F.round(F.min(F.sqrt((vx - kx) * (vx - kx) + (vy - ky) * (vy - ky))), 6).alias(name))
+    page = Window.partitionBy("doc_id")
+    foreign = is_non_latin(F.col("text")) | is_unreadable(F.col("text"))
+    rows = addresses.select("doc_id", F.col("block_id").alias("k_block_id"), is_bank_address(F.col("text")).alias("reads"), foreign.alias("foreign"), (country if country is not None else F.lit(None).cast("string")).alias("land"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(page)).withColumn("mixed", F.bool_or("foreign").over(page) & F.bool_or(~F.col("foreign")).over(page))
+    both = rows.join(nearest(holders, "h"), ["doc_id", "k_block_id"], "left").join(nearest(banks, "b"), ["doc_id", "k_block_id"], "left")
+    nearer = F.col("h").isNotNull() & (F.col("b").isNull() | (F.col("h") < F.col("b")))
+    owner = F.when(F.col("reads"), "bank").when(F.col("n") == 1, "holder").when(F.col("mixed") & F.col("foreign") & F.coalesce(F.col("land").isin(OWN_SCRIPT), F.lit(False)), "holder").when(nearer, "holder").otherwise("bank")
+    return both.select("doc_id", F.col("k_block_id").alias("block_id"), owner.alias("owner"))
+
+
 def assemble_lines(words: DataFrame) -> DataFrame:
     """Lines out of words: those of one rounded height, by position: doc_id, y, line."""
     grouped = words.groupBy("doc_id", F.round("y1", 1).alias("y")).agg(F.array_sort(F.collect_list(F.struct("x1", "block_id", "text"))).alias("w"))
@@ -103,6 +141,44 @@ def layout_blocks(blocks: DataFrame, dy: float = 0.04, dx: float = 0.3) -> DataF
     return grouped.groupBy("doc_id", "group").agg(F.count(F.lit(1)).alias("boxes"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+#: Beginnings of a line that goes on with an address, and words of the lines before: fixed values.
+ADDRESS_LINE = r"(?i)^(?:BLK\s*\d+|#\d+-\d+|\d+\s+[A-Z]+|SINGAPORE\s+\d{6}|[A-Z]+\s+CRESCENT|AVENUE|ROAD|STREET|DRIVE)"
+UNIT_LINE, POSTAL_LINE = r"^#\d+-\d+", r"^SINGAPORE\s+\d{6}"
+LAST_WORDS, UNIT_WORDS, POSTAL_WORDS = "BLK|STREET|AVENUE|ROAD", "BLK|CRESCENT|AVENUE|STREET", "BLK|CRESCENT|AVENUE|STREET|#"
+
+
+def content_blocks(blocks: DataFrame, dy: float = 0.05, dx: float = 0.15, near: tuple[float, float] = (0.08, 0.05)) -> DataFrame:
+    """Blocks joined to larger ones in reading order: doc_id, group, boxes, the box around them, and text.
+
+    The next block joins the group if it is near the last one; if it reads like a line of an address and is about
+    below it; or if it is a unit or postal line and the group reads like an address before. Whether the group does
+    depends on where it began, so a page's blocks, which are few, are folded in order as one array.
+    """
+    box = ["y1", "x1", "block_id", "x2", "y2", "text"]
+    pages = blocks.select("doc_id", F.struct(*box[:5], F.coalesce("text", F.lit("")).alias("text")).alias("b")).groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    start = F.struct(F.lit(0).cast("long").alias("group"), F.lit("").alias("whole"), F.lit("").alias("before"), F.lit("").alias("last"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("x"), F.array().cast("array<long>").alias("groups"))
+
+    def step(state: Column, b: Column) -> Column:
+        text = F.trim(b["text"])
+        gap_y, gap_x = F.abs(b["y1"] - state["y"]), F.abs(b["x1"] - state["x"])
+        said, two = F.upper(state["whole"]), F.upper(F.concat_ws(" ", state["before"], state["last"]))
+        unit, postal = text.rlike(UNIT_LINE), text.rlike(POSTAL_LINE)
+        line = text.rlike(ADDRESS_LINE)
+        joins = ((gap_y <= dy) & (gap_x <= dx)) | (line & (gap_y <= near[0]) & (gap_x <= near[1])) | (~line & (unit | postal) & two.rlike(LAST_WORDS)) | (unit & said.rlike(UNIT_WORDS)) | (postal & said.rlike(POSTAL_WORDS))
+        goes_on = F.coalesce(joins, F.lit(False))
+        group = state["group"] + F.when(state["y"].isNull() | goes_on, 0).otherwise(1)
+        return F.struct(
+            group.cast("long").alias("group"), F.when(goes_on, F.concat_ws(" ", state["whole"], b["text"])).otherwise(b["text"]).alias("whole"), F.when(goes_on, state["last"]).otherwise(F.lit("")).alias("before"), b["text"].alias("last"),
+            b["y1"].cast("double").alias("y"), b["x1"].cast("double").alias("x"), F.concat(state["groups"], F.array(group.cast("long"))).alias("groups"),
+        )
+
+    numbered = pages.select("doc_id", "b", F.aggregate("b", start, step)["groups"].alias("g")).select("doc_id", F.explode(F.arrays_zip("b", "g")).alias("z"))
+    grouped = numbered.groupBy("doc_id", F.col("z.g").alias("group")).agg(
+        F.count(F.lit(1)).alias("boxes"), F.min("z.b.x1").alias("x1"), F.min("z.b.y1").alias("y1"), F.max("z.b.x2").alias("x2"), F.max("z.b.y2").alias("y2"), F.array_sort(F.collect_list("z.b")).alias("b")
+    )
+    return grouped.withColumn("text", F.array_join(F.transform("b", lambda x: x["text"]), " ")).drop("b")
+
+
 def merge_lines(blocks: DataFrame, dy: float = 0.04, dx: float = 0.05) -> DataFrame:
     """Lines of an address: blocks at about one left edge, each near the one above: doc_id, group, text."""
     order = Window.partitionBy("doc_id").orderBy("y1", "x1", "block_id")
@@ -118,20 +194,24 @@ def zone(y: Column, top: float = 0.25, bottom: float = 0.8) -> Column:
 
 
 def block_type(text: Column) -> Column:
-    """What a block holds, by the first that fits: bank, account, date, balance, address, name, else info."""
+    """What a block holds, by the first that fits: bank, account, address, name, info, date, balance, else unknown."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return (
-        F.when(low.contains("bank"), "bank").when(low.rlike(r"account|\d{8,15}"), "account").when(low.rlike(r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"), "date").when(low.rlike(r"balance|\d+\.\d{2}\b"), "balance")
-        .when(low.rlike(r"street|road|avenue|\b\d{5,6}\b"), "address").when(text.rlike(r"^[\p{L} .'-]+$"), "name").otherwise("info")
+        F.when(low.contains("bank"), "bank").when(low.rlike(r"account|\d{8,15}"), "account").when(low.rlike(r"street|road|avenue|\b\d{5,6}\b"), "address").when(text.rlike(r"^[\p{L} .'-]+$"), "name")
+        .when(low.rlike("statement|summary|consolidated|as at|period"), "info").when(low.rlike(r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"), "date").when(low.rlike(r"balance|\d+\.\d{2}\b"), "balance").otherwise("unknown")
     )
 
 
 def expand_address(blocks: DataFrame, keywords: list[str], stops: list[str]) -> DataFrame:
-    """Blocks of the islands between stop rows that hold an address keyword; of repeated texts the first: doc_id, block_id, island."""
+    """Blocks of the islands between stop rows that hold an address keyword; of repeated texts the first: doc_id, block_id, island.
+
+    Where an island has keywords in both halves of the page, its blocks in the left half stay.
+    """
     holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.lower("text").contains(w))
     order = Window.partitionBy("doc_id").orderBy("y1", "x1", "block_id")
     marked = blocks.withColumn("_stop", holds(stops).cast("int")).withColumn("island", F.sum("_stop").over(order)).filter("_stop = 0")
-    seeded = marked.withColumn("_seed", F.bool_or(holds(keywords)).over(Window.partitionBy("doc_id", "island"))).filter("_seed")
+    whole, left = Window.partitionBy("doc_id", "island"), F.col("x1") < 0.5
+    seeded = marked.withColumn("_l", F.bool_or(holds(keywords) & left).over(whole)).withColumn("_r", F.bool_or(holds(keywords) & ~left).over(whole)).filter((F.col("_l") | F.col("_r")) & (left | ~(F.col("_l") & F.col("_r")))).drop("_l", "_r")
     first = F.row_number().over(Window.partitionBy("doc_id", "island", "text").orderBy("y1", "x1", "block_id"))
     return seeded.withColumn("_nth", first).filter("_nth = 1").select("doc_id", "block_id", "island")
 
@@ -157,9 +237,13 @@ def line_spacing(blocks: DataFrame, default: float = 12.0) -> DataFrame:
 
 
 def field_confidence(fields: DataFrame, blocks: DataFrame, default: float = 85.0) -> DataFrame:
-    """Confidence of each field (doc_id, field, value) from the blocks: that of an equal text, else of one that contains it, scaled by their lengths."""
+    """Confidence of each field (doc_id, field, value) from the blocks: that of an equal text, else of one that contains it, scaled by their lengths.
+
+    A field with `date` in its name has the greatest confidence of the blocks that share a word with it.
+    """
     seen = fields.join(blocks.select("doc_id", "text", F.col("confidence").alias("c")), "doc_id", "left")
     value, text = F.lower(F.trim("value")), F.lower(F.trim("text"))
     share = F.length(value) / F.length(text)
-    each = seen.groupBy("doc_id", "field").agg(F.max(F.when(value == text, F.col("c"))).alias("same"), F.max(F.when(text.contains(value) & (share > 0.7), F.col("c") * share)).alias("part"))
-    return each.select("doc_id", "field", F.round(F.coalesce("same", "part", F.lit(default)), 4).alias("confidence"))
+    words = F.filter(F.split(value, r"\s+"), lambda w: F.length(w) > 1)
+    each = seen.groupBy("doc_id", "field").agg(F.max(F.when(F.exists(words, lambda w: text.contains(w)), F.col("c"))).alias("word"), F.max(F.when(value == text, F.col("c"))).alias("same"), F.max(F.when(text.contains(value) & (share > 0.7), F.col("c") * share)).alias("part"))
+    return each.select("doc_id", "field", F.round(F.when(F.col("field").contains("date"), F.coalesce("word", F.lit(default))).otherwise(F.coalesce("same", "part", F.lit(default))), 4).alias("confidence"))

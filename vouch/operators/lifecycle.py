@@ -8,6 +8,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vouch.operators.extract import small
+
 #: Document types and the forms they are given in: fixed values.
 DOC_TYPES = {"id card": "id_card", "idcard": "id_card", "id": "id_card", "bank statement": "bank_statement", "bankstatement": "bank_statement", "passport": "passport", "selfie": "selfie"}
 KNOWN_TYPES = ("selfie", "passport", "id_card", "bank_statement")
@@ -126,7 +128,7 @@ def queue_eta(queue: DataFrame, averages: DataFrame, default: float = 60.0) -> D
 
     queue has instance, job_id, created_at, document_type. The order is of one instance's queue.
     """
-    timed = queue.join(F.broadcast(averages.select("document_type", "mean_seconds")), "document_type", "left").withColumn("own", F.coalesce("mean_seconds", F.lit(default)))
+    timed = queue.join(small(averages.select("document_type", "mean_seconds")), "document_type", "left").withColumn("own", F.coalesce("mean_seconds", F.lit(default)))
     order = Window.partitionBy("instance").orderBy("created_at", "job_id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return timed.withColumn("position", F.row_number().over(order)).withColumn("eta_seconds", F.round(F.sum("own").over(upto), 4)).drop("own", "mean_seconds")
@@ -216,8 +218,13 @@ def increment_state(df: DataFrame, ids: DataFrame, key: str, most: int = 3) -> D
     return df.join(found, key, "left").withColumn("state", F.when(F.col("_found"), F.least(F.col("state") + 1, F.lit(most))).otherwise(F.col("state"))).drop("_found")
 
 
-def deactivate_old(df: DataFrame) -> DataFrame:
-    """Adds is_active and replaced_by: of a user's submissions of one type all but the newest are replaced by it."""
+def deactivate_old(df: DataFrame, strategy: str = "replace") -> DataFrame:
+    """Adds is_active and replaced_by: of a user's submissions of one type all but the newest are replaced by it.
+
+    With any other strategy than `replace` the history is kept: all stay active.
+    """
+    if strategy != "replace":
+        return df.withColumn("is_active", F.lit(True)).withColumn("replaced_by", F.lit(None).cast(df.schema["id"].dataType))
     whole = Window.partitionBy("user_id", "document_type")
     order = whole.orderBy(F.desc("submitted_at"), F.desc("id"))
     ranked = df.withColumn("nth", F.row_number().over(order)).withColumn("newest", F.first("id").over(order))
@@ -280,8 +287,3 @@ def bootstrap_from_peers(local: DataFrame, peers: list[DataFrame], key: str, ord
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [local, *peers])
     newest = Window.partitionBy(key).orderBy(F.desc(order))
     return every.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    """Conjunction of conditions, true for none."""
-    return reduce(and_, conditions, F.lit(True))

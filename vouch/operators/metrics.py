@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vouch.operators.vectors import running_counts
 
@@ -156,3 +156,33 @@ def profile_similarity(sample: DataFrame, reference: DataFrame, low: float, high
     return both.crossJoin(shared.agg(F.coalesce(overlap, F.lit(0.0)).alias("overlap"))).select(
         F.round(F.least("var_a", "var_b") / F.greatest("var_a", "var_b"), 6).alias("variance_ratio"), F.round(F.abs(F.col("skew_a") - F.col("skew_b")), 4).alias("skew_difference"), F.round(F.abs(F.col("kurt_a") - F.col("kurt_b")), 4).alias("kurtosis_difference"), F.round("overlap", 6).alias("overlap")
     )
+
+
+#: Weights of the parts of aligned_similarity: correlation, texture, histogram.
+ALIKE = {"correlation": 1.0, "texture": 1.0, "histogram": 1.0}
+
+
+def aligned_similarity(pairs: DataFrame, low: float, high: float, weights: dict[str, float] | None = None, bins: int = 32, least: int = 100) -> DataFrame:
+    """How alike two columns a and b are, row by row and as distributions: correlation, texture, histogram, overall.
+
+    correlation is Pearson's, moved to 0 to 1; texture the mean of the variances' ratio and of what the differences
+    of skewness and excess kurtosis, up to 2 and 10, leave of 1; histogram the overlap of `bins` shares; overall their
+    weighted mean. With fewer than `least` rows, or (correlation) without spread, each is 0.5.
+    """
+    both = pairs.filter("a is not null and b is not null")
+    weights = weights or ALIKE
+    slot = lambda c: F.least(F.floor((F.col(c) - low) / (high - low) * bins), F.lit(bins - 1))
+    inside = lambda c: F.col(c).between(low, high)
+    facts = both.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"), *[f(c).alias(f"{name}_{c}") for c in ("a", "b") for name, f in (("var", F.var_pop), ("skew", F.skewness), ("kurt", F.kurtosis))])
+    counts = [both.filter(inside(c)).select(slot(c).alias("slot"), F.lit(c).alias("side")) for c in ("a", "b")]
+    shares = counts[0].unionByName(counts[1]).groupBy("slot").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
+    # One row for each bin: the totals of all bins are a window over at most `bins` rows.
+    total = Window.partitionBy(F.lit(1))
+    overlap = shares.withColumn("ta", F.sum("a").over(total)).withColumn("tb", F.sum("b").over(total)).agg(F.sum(F.least(F.col("a") / F.col("ta"), F.col("b") / F.col("tb"))).alias("overlap"))
+    enough = F.col("n") >= least
+    texture = (F.least("var_a", "var_b") / (F.greatest("var_a", "var_b") + 1e-10) + 1 - F.least(F.abs(F.col("skew_a") - F.col("skew_b")), F.lit(2.0)) / 2 + 1 - F.least(F.abs(F.col("kurt_a") - F.col("kurt_b")), F.lit(10.0)) / 10) / 3
+    spread = (F.col("var_a") > 1e-20) & (F.col("var_b") > 1e-20)
+    parts = {"correlation": F.when(enough & spread, (F.col("r") + 1) / 2), "texture": F.when(enough, texture), "histogram": F.when(enough, F.coalesce("overlap", F.lit(0.0)))}
+    parts = {k: F.coalesce(v, F.lit(0.5)) for k, v in parts.items()}
+    overall = sum((v * weights.get(k, 0.0) for k, v in parts.items()), F.lit(0.0)) / (sum(weights.get(k, 0.0) for k in parts) or 1.0)
+    return facts.crossJoin(overlap).select(*[F.round(v, 6).alias(k) for k, v in parts.items()], F.round(overall, 6).alias("overall"))

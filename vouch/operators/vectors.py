@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vouch.functions.vectors import l2_normalized, vec_distance
@@ -26,8 +25,8 @@ THRESHOLDS = {
     "GhostFaceNet": {"cosine": 0.65, "euclidean": 35.71, "euclidean_l2": 1.10, "angular": 0.38},
     "Buffalo_L": {"cosine": 0.55, "euclidean": 0.6, "euclidean_l2": 1.1, "angular": 0.45},
 }
-#: Queries that one pass over the store compares with; more are searched for in further passes.
-QUERY_BLOCK = 4096
+#: Queries, and vectors of the store, of one cell of the grid in which both sides are compared.
+QUERY_BLOCK, STORE_BLOCK = 4096, 4096
 
 
 def verify_pairs(pairs: DataFrame, model: str, metric: str = "cosine") -> DataFrame:
@@ -57,88 +56,149 @@ def assert_dims(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.groupBy(F.size(column).alias("dimensions")).agg(F.count(F.lit(1)).alias("vectors"))
 
 
-def _block_search(store: DataFrame, ids: np.ndarray, matrix: np.ndarray, metric: str, threshold: float | None, k: int | None) -> DataFrame:
-    """Distances of one block of queries to all of the store: a matrix product for each batch, its own best k kept."""
-    shared = store.sparkSession.sparkContext.broadcast((ids, matrix))
+def _cells(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into a grid of blocks, each row once for every cell of its row or column.
 
-    def run(frames):
-        ids, queries = shared.value
-        unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-        for frame in frames:
-            good = [v is not None and len(v) == queries.shape[1] for v in frame["embedding"]]
-            frame = frame[good]
-            if frame.empty or not len(ids):
-                continue
-            x = np.stack(frame["embedding"].to_numpy()).astype(float)
-            length = np.linalg.norm(x, axis=1, keepdims=True)
-            if metric in ("cosine", "angular"):
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1 - unit @ (x / length).T
-                if metric == "angular":
-                    d = np.arccos(np.clip(1 - d, -1, 1)) / np.pi
-            else:
-                if metric == "euclidean_l2":
-                    x, queries = x / np.maximum(length, 1e-10), unit
-                squares = (queries**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * queries @ x.T
-                d = np.sqrt(np.maximum(squares, 0))
-            d = np.round(d, 6)
-            keep = np.isfinite(d)
-            if threshold is not None:
-                keep &= d <= threshold
-            if k is not None and d.shape[1] > k:
-                # Of this batch only the k nearest of each query can be among the k nearest of all; ties stay.
-                keep &= d <= np.partition(np.where(np.isfinite(d), d, np.inf), k - 1, axis=1)[:, k - 1 : k]
-            q, s = np.nonzero(keep)
-            yield pd.DataFrame({"query_id": ids[q], "vec_id": frame["vec_id"].to_numpy()[s], "distance": d[q, s]})
-
-    return store.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")
-
-
-def search_exact(queries: DataFrame, store: DataFrame, metric: str = "cosine", threshold: float | None = None, k: int | None = None, scope: Column | None = None) -> DataFrame:
-    """query_id, vec_id, distance and rank of the store's vectors within the threshold, or the k nearest.
-
-    Each block of queries, at most QUERY_BLOCK rows, is sent to all tasks and compared with the store where it
-    lies, so the store is not shuffled and no pairs beyond each batch's best are made. Null vectors, those of
-    another length and zero vectors under cosine are left out. Ties rank by vec_id.
+    A cell has about QUERY_BLOCK queries and STORE_BLOCK vectors, so any number of either is compared in tasks of one
+    size, none of which passes through the driver.
     """
-    listed = queries.select(F.col("query_id").cast("long"), "embedding").filter("embedding is not null")
-    blocks = max(1, -(-listed.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = listed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else listed
-        rows = part.toPandas()
-        sizes = {len(v) for v in rows["embedding"]}
-        for size in sorted(sizes):
-            same = rows[[len(v) == size for v in rows["embedding"]]]
-            hits = _block_search(store, same["query_id"].to_numpy(), np.stack(same["embedding"].to_numpy()).astype(float), metric, threshold, k)
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = store.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
-    if scope is not None:
-        found = found.filter(scope)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    ranked = found.withColumn("rank", rank)
+    rows = max(1, -(-queries.count() // QUERY_BLOCK))
+    columns = max(1, -(-store.count() // STORE_BLOCK))
+    along = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    asked = queries.withColumn("cell", F.explode(F.transform(along(columns), lambda c: c + F.pmod(F.xxhash64("query_id"), F.lit(rows)) * columns)))
+    held = store.withColumn("cell", F.explode(F.transform(along(rows), lambda r: r * columns + F.pmod(F.xxhash64("vec_id"), F.lit(columns)))))
+    return asked, held
+
+
+def _distances(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all queries to all vectors by one matrix product, rounded; not finite where a zero vector has none."""
+    unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    if metric in ("cosine", "angular"):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = 1 - unit @ (x / length).T
+        if metric == "angular":
+            d = np.arccos(np.clip(1 - d, -1, 1)) / np.pi
+    else:
+        if metric == "euclidean_l2":
+            x, queries = x / np.maximum(length, 1e-10), unit
+        squares = (queries**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * queries @ x.T
+        d = np.sqrt(np.maximum(squares, 0))
+    return np.round(d, 6)
+
+
+def compare(queries: DataFrame, store: DataFrame, reduce: Callable, schema: str, metric: str = "cosine") -> DataFrame:
+    """What reduce(d, queries, vectors) makes of each cell of the grid: d are the distances of its queries to its vectors.
+
+    queries has query_id, embedding and what else reduce reads, store vec_id and embedding. Null vectors and those of
+    another length than the query's are left out; distances that do not exist are infinite.
+    """
+    usable = F.col("embedding").isNotNull()
+    # New names for the columns of one side, as both may come from one table.
+    asked, held = _cells(queries.filter(usable), store.filter(usable).toDF(*store.columns))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        sizes, other = left["embedding"].map(len), right["embedding"].map(len)
+        for size in sorted(set(sizes) & set(other)):
+            q, v = left[sizes == size].reset_index(drop=True), right[other == size].reset_index(drop=True)
+            d = _distances(np.stack(q["embedding"].to_numpy()).astype(float), np.stack(v["embedding"].to_numpy()).astype(float), metric)
+            made.append(reduce(np.where(np.isfinite(d), d, np.inf), q, v))
+        return pd.concat(made, ignore_index=True) if made else empty.copy()
+
+    empty = pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+    return asked.groupBy("cell").cogroup(held.groupBy("cell")).applyInPandas(run, schema)
+
+
+def search_exact(queries: DataFrame, store: DataFrame, metric: str = "cosine", threshold: float | None = None, k: int | None = None, others: bool = False, similarity: bool = False) -> DataFrame:
+    """query_id, vec_id, distance and rank of the store's vectors within the threshold, or the k nearest of them.
+
+    With `similarity` the threshold does not count: look-alikes are asked for, so k must be given. With `others` a
+    vector of the query's own number is left out. Queries and store are compared in a grid of blocks; each cell
+    gives at most k vectors of each query, ties included. Null vectors, those of another length and zero vectors
+    under cosine are left out. Ties rank by vec_id.
+    """
+    if similarity and k is None:
+        raise ValueError("a search for look-alikes needs k")
+    limit = np.inf if threshold is None or similarity else threshold
+
+    def nearest(d: np.ndarray, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if others:
+            d[q["query_id"].to_numpy()[:, None] == v["vec_id"].to_numpy()[None]] = np.inf
+        keep = np.isfinite(d) & (d <= limit)
+        if k is not None and d.shape[1] > k:
+            # Of this cell only the k nearest of each query can be among the k nearest of all; ties stay.
+            keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        a, b = np.nonzero(keep)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[a], "vec_id": v["vec_id"].to_numpy()[b], "distance": d[a, b]})
+
+    found = compare(queries.select(F.col("query_id").cast("long"), "embedding"), store.select("vec_id", "embedding"), nearest, "query_id long, vec_id long, distance double", metric)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
     return ranked.filter(F.col("rank") <= k) if k is not None else ranked
 
 
+def match_counters(queries: DataFrame, store: DataFrame, matched: float, low: float) -> DataFrame:
+    """For each query how many vectors there are, how many match (similarity from `matched` on), and how many nearly (from `low` on)."""
+
+    def count(d: np.ndarray, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        near, there = 1 - d, np.isfinite(d)
+        rows = [there, there & (near >= matched), there & (near < matched) & (near >= low), there & (near < low)]
+        return pd.DataFrame({"query_id": q["query_id"], **{n: r.sum(axis=1) for n, r in zip(("found", "matched", "low_confidence", "not_matched"), rows)}})
+
+    names = ["found", "matched", "low_confidence", "not_matched"]
+    cells = compare(queries, store, count, "query_id long, " + ", ".join(f"{n} long" for n in names))
+    return cells.groupBy("query_id").agg(*[F.sum(n).alias(n) for n in names]).filter("found > 0")
+
+
+def distance_counts(queries: DataFrame, store: DataFrame, decimals: int = 6) -> DataFrame:
+    """distance, same and n: how many pairs lie at each distance, by whether their labels agree. Both sides have a label.
+
+    Distances are rounded, so there are at most 2 x 10^decimals x 2 rows whatever the number of pairs.
+    """
+
+    def count(d: np.ndarray, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        same = q["label"].to_numpy()[:, None] == v["label"].to_numpy()[None]
+        parts = []
+        for value in (True, False):
+            steps, n = np.unique(np.round(d[(same == value) & np.isfinite(d)], decimals), return_counts=True)
+            parts.append(pd.DataFrame({"distance": steps, "same": np.full(len(steps), value), "n": n}))
+        return pd.concat(parts, ignore_index=True)
+
+    labelled = store.select("vec_id", "embedding", "label")
+    asked = queries.select("query_id", "embedding", "label")
+    return compare(asked, labelled, count, "distance double, same boolean, n long").groupBy("distance", "same").agg(F.sum("n").alias("n"))
+
+
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
     """The k smallest distances of each query, with their rank; ties by vec_id."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def first_match(pairs: DataFrame, threshold: float) -> DataFrame:
+def first_match(queries: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
     """For each query the newest vector within the threshold, how many were looked at until then, and the best similarity of those.
 
-    pairs has query_id, vec_id, distance and arrival; without a match all of a query's vectors were looked at.
+    store has vec_id, embedding and arrival; without a match all vectors were looked at. The newest match is found
+    in one pass over the grid, what lies before it is counted in a second; neither lists the pairs.
     """
-    newest = Window.partitionBy("query_id").orderBy(F.desc("arrival"), F.desc("vec_id"))
-    looked = pairs.withColumn("nth", F.row_number().over(newest)).withColumn("hit", F.col("distance") <= threshold)
-    looked = looked.withColumn("stop", F.min(F.when(F.col("hit"), F.col("nth"))).over(Window.partitionBy("query_id")))
-    seen = looked.filter(F.col("stop").isNull() | (F.col("nth") <= F.col("stop")))
-    return seen.groupBy("query_id").agg(
-        F.max(F.when(F.col("nth") == F.col("stop"), F.col("vec_id"))).alias("vec_id"), F.count(F.lit(1)).alias("checked"), F.round(1 - F.min("distance"), 4).alias("best_similarity")
-    )
+
+    def hit(d: np.ndarray, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((v["vec_id"].to_numpy(), v["arrival"].to_numpy()))[::-1]
+        within = d[:, order] <= threshold
+        at, rows = order[within.argmax(axis=1)], np.flatnonzero(within.any(axis=1))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "arrival": v["arrival"].to_numpy()[at[rows]], "vec_id": v["vec_id"].to_numpy()[at[rows]]})
+
+    def before(d: np.ndarray, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        arrival, number = v["arrival"].to_numpy()[None], v["vec_id"].to_numpy()[None]
+        stop, last = q["stop"].to_numpy()[:, None], q["last"].to_numpy()[:, None]
+        seen = np.isfinite(d) & ((arrival > stop) | ((arrival == stop) & (number >= last)))
+        return pd.DataFrame({"query_id": q["query_id"], "checked": seen.sum(axis=1), "nearest": np.where(seen, d, np.inf).min(axis=1)})
+
+    first = compare(queries, store, hit, "query_id long, arrival long, vec_id long").groupBy("query_id").agg(F.max(F.struct("arrival", "vec_id")).alias("m"))
+    none = F.lit(-(2**63))
+    asked = queries.join(first, "query_id", "left").select("query_id", "embedding", F.coalesce("m.arrival", none).alias("stop"), F.coalesce("m.vec_id", none).alias("last"))
+    seen = compare(asked, store, before, "query_id long, checked long, nearest double").groupBy("query_id").agg(F.sum("checked").alias("checked"), F.min("nearest").alias("nearest")).filter("checked > 0")
+    return seen.join(first, "query_id", "left").select("query_id", F.col("m.vec_id").alias("vec_id"), "checked", F.round(1 - F.col("nearest"), 4).alias("best_similarity"))
 
 
 def newest(df: DataFrame, n: int, key: str = "identity") -> DataFrame:
@@ -147,104 +207,190 @@ def newest(df: DataFrame, n: int, key: str = "identity") -> DataFrame:
     return df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
 
 
-def hash_planes(bits: int, dimensions: int, seed: int = 5) -> np.ndarray:
-    """Random hyperplanes, the same for one seed."""
-    return np.random.default_rng(seed).standard_normal((bits, dimensions))
+def duplicate_identities(faces: DataFrame, threshold: float = 0.4, block: int = QUERY_BLOCK) -> DataFrame:
+    """Pairs of vectors of one model and different identities whose cosine distance is below the threshold: vec_a, vec_b, distance.
 
+    faces has vec_id, identity, model and embedding. The vectors of a model are dealt into blocks of about `block` and
+    each two blocks are compared once in a task of their own, so models never meet, and each pair is given once,
+    the smaller vec_id first.
+    """
+    sizes = faces.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    dealt = faces.filter("embedding is not null").join(sizes, "model").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    columns = ["model", "first", "second", "vec_id", "identity", "embedding"]
+    left = dealt.withColumn("second", F.explode(F.expr("sequence(own, blocks - 1)"))).withColumn("first", F.col("own")).select(*columns)
+    right = dealt.withColumn("first", F.explode(F.expr("sequence(0, own)"))).withColumn("second", F.col("own")).select(*[F.col(c).alias(f"{c}_b") for c in columns])
 
-def duplicate_identities(faces: DataFrame, threshold: float = 0.4, block: int = QUERY_BLOCK) -> DataFrame:
-    """Pairs of vectors of one model and different identities whose cosine distance is below the threshold.
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        made, b = [empty], b.rename(columns=lambda c: c.removesuffix("_b"))
+        if not a.empty and not b.empty:
+            long_a, long_b = a["embedding"].map(len), b["embedding"].map(len)
+            for size in set(long_a) & set(long_b):
+                x, y = a[long_a == size], b[long_b == size]
+                d = _distances(np.stack(x["embedding"].to_numpy()).astype(float), np.stack(y["embedding"].to_numpy()).astype(float), "cosine")
+                ids, others = x["vec_id"].to_numpy()[:, None], y["vec_id"].to_numpy()[None]
+                near = np.isfinite(d) & (d < threshold) & (x["identity"].to_numpy()[:, None] != y["identity"].to_numpy()[None])
+                # In a block with itself each pair comes twice.
+                near &= (ids < others) if a["first"].iloc[0] == a["second"].iloc[0] else (ids != others)
+                i, j = np.nonzero(near)
+                u, v = x["vec_id"].to_numpy()[i], y["vec_id"].to_numpy()[j]
+                made.append(pd.DataFrame({"vec_a": np.minimum(u, v), "vec_b": np.maximum(u, v), "distance": d[i, j]}))
+        return pd.concat(made, ignore_index=True)
 
-    faces has vec_id, identity, model and embedding. Every vector is a query once, in blocks; each pair is
-    given once, the smaller vec_id first.
+    empty = pd.DataFrame({"vec_a": np.zeros(0, np.int64), "vec_b": np.zeros(0, np.int64), "distance": np.zeros(0)})
+    cell = ["model", "first", "second"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*[f"{c}_b" for c in cell])).applyInPandas(run, "vec_a long, vec_b long, distance double")
+
+
+class Index(NamedTuple):
+    """Centres of cells, unit vectors, and how many cells of a query are looked into."""
+
+    centres: np.ndarray
+    probes: int
+
+
+#: Vectors that the centres are fitted on at most.
+FITTED_ROWS = 20_000
+
+
+def fit_index(store: DataFrame, cells: int = 64, probes: int = 8, bound: int = FITTED_ROWS, seed: int = 3) -> Index:
+    """Centres of k-means on at most `bound` vectors, those of the least hashes of their number; every vector is indexed by them.
+
+    Vectors of another length than the first have no cell. The more clusters the vectors have, the fewer probes
+    it takes; vectors without any structure need most of the cells.
     """
-    found = search_exact(faces.select(F.col("vec_id").alias("query_id"), "embedding"), faces, "cosine", threshold, scope=F.col("query_id") < F.col("vec_id"))
-    own = faces.select("vec_id", "identity", "model")
-    named = found.join(own, "vec_id").join(own.select(F.col("vec_id").alias("query_id"), F.col("identity").alias("query_identity"), F.col("model").alias("query_model")), "query_id")
-    apart = named.filter((F.col("model") == F.col("query_model")) & (F.col("identity") != F.col("query_identity")) & (F.col("distance") < threshold))
-    return apart.select(F.col("query_id").alias("vec_a"), F.col("vec_id").alias("vec_b"), "distance")
+    usable = store.filter("embedding is not null").select("vec_id", l2_normalized(F.col("embedding").cast("array<double>")).alias("unit"))
+    rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).toPandas()
+    if rows.empty:
+        return Index(np.zeros((0, 1)), probes)
+    units = np.stack([u for u in rows["unit"] if len(u) == len(rows["unit"].iloc[0])])
+    rng = np.random.default_rng(seed)
+    centres = units[rng.permutation(len(units))[:cells]].copy()
+    for _ in range(15):
+        own = (units @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, units)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return Index(centres, probes)
+
+
+def _nearest_cells(df: DataFrame, key: str, index: Index, probes: int) -> DataFrame:
+    """key and cell: the nearest cells of each vector, `probes` of them."""
+    shared = df.sparkSession.sparkContext.broadcast(index.centres)
 
+    def run(frames):
+        centres = shared.value
+        for frame in frames:
+            frame = frame[[len(v) == centres.shape[1] for v in frame["embedding"]]]
+            if frame.empty or not len(centres):
+                continue
+            near = np.argsort(-(np.stack(frame["embedding"].to_numpy()).astype(float) @ centres.T), axis=1, kind="stable")[:, :probes]
+            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), near.shape[1]), "cell": near.ravel()})
 
-class Projections(NamedTuple):
-    """Random projections and the length of the vectors that they take."""
+    return df.select(key, "embedding").filter("embedding is not null").mapInPandas(run, f"{key} long, cell int")
 
-    model: BucketedRandomProjectionLSHModel
-    dimensions: int
 
-    def units(self, df: DataFrame) -> DataFrame:
-        """vec_id and unit, the unit vector, of the vectors of this length; the others are left out."""
-        fits = F.col("embedding").isNotNull() & (F.size("embedding") == self.dimensions)
-        # Spark may evaluate the projections before the filter, so the rows that it drops need a vector too.
-        vector = F.when(fits, F.col("embedding").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), self.dimensions))
-        return df.filter(fits).select("vec_id", array_to_vector(l2_normalized(vector)).alias("unit"))
+def build_index(store: DataFrame, index: Index, table: DataFrame | None = None) -> DataFrame:
+    """vec_id and cell of each vector that the index table lacks; append it to the table."""
+    if table is not None:
+        store = store.join(table.select("vec_id").distinct(), "vec_id", "left_anti")
+    return _nearest_cells(store, "vec_id", index, 1)
 
 
-def lsh_model(store: DataFrame, bucket: float = 0.5, tables: int = 24, seed: int = 3) -> Projections:
-    """Random projections of unit vectors; they depend on the length of the first vector alone, not on the rows."""
-    first = store.filter("embedding is not null").select(F.size("embedding").alias("d")).first()
-    empty = Projections(None, first.d if first else 1)
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    return empty._replace(model=lsh.fit(empty.units(store)))
+def candidates(queries: DataFrame, table: DataFrame, index: Index) -> DataFrame:
+    """query_id and vec_id of the vectors in the query's nearest cells."""
+    return _nearest_cells(queries, "query_id", index, index.probes).join(table, "cell").select("query_id", "vec_id")
 
 
-def build_index(store: DataFrame, model: Projections, index: DataFrame | None = None) -> DataFrame:
-    """vec_id, tab, bucket of each vector that the index lacks; append it to the index."""
-    if index is not None:
-        store = store.join(index.select("vec_id").distinct(), "vec_id", "left_anti")
-    hashed = model.model.transform(model.units(store))
-    return hashed.select("vec_id", F.posexplode("hashes").alias("tab", "h")).select("vec_id", "tab", vector_to_array("h")[0].cast("long").alias("bucket"))
+def search_ann(queries: DataFrame, store: DataFrame, table: DataFrame, index: Index, k: int, parts: int = 8) -> DataFrame:
+    """About the k nearest by cosine: the vectors in the query's nearest cells, ranked by their distance.
 
+    A cell's vectors are dealt into parts and each part, with the queries that look into the cell, is one product in
+    a task; of each part only the best k of a query go on, so no list of candidates is made.
+    """
+    asked = _nearest_cells(queries, "query_id", index, index.probes).join(queries.select("query_id", "embedding"), "query_id")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = store.select("vec_id", "embedding").join(table, "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or v.empty:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        d = _distances(np.stack(q["embedding"].to_numpy()).astype(float), np.stack(v["embedding"].to_numpy()).astype(float), "cosine")
+        keep = np.isfinite(d)
+        if d.shape[1] > k:
+            d = np.where(keep, d, np.inf)
+            keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        a, b = np.nonzero(keep)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[a], "vec_id": v["vec_id"].to_numpy()[b], "distance": d[a, b]})
+
+    found = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(run, "query_id long, vec_id long, distance double")
+    return top_k(found, k)
+
+
+def make_pairs(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """Every stated query (query_id, label) with every vector (vec_id, label) but itself: vec_a, vec_b, and whether the labels agree.
+
+    A pair of two queries is given once, the smaller number first. Both sides are dealt into a grid of blocks.
+    """
+    asked, held = _cells(queries.select("query_id", F.col("label").alias("label_a")), store.select("vec_id", F.col("label").alias("label_b")))
+    both = held.join(queries.select(F.col("query_id").alias("vec_id"), F.lit(True).alias("asks")), "vec_id", "left")
+    once = (F.col("query_id") != F.col("vec_id")) & (F.col("asks").isNull() | (F.col("query_id") < F.col("vec_id")))
+    return asked.join(both, "cell").filter(once).select(F.col("query_id").alias("vec_a"), F.col("vec_id").alias("vec_b"), (F.col("label_a") == F.col("label_b")).alias("same"))
 
-def search_ann(queries: DataFrame, store: DataFrame, index: DataFrame, model: Projections, k: int) -> DataFrame:
-    """About the k nearest by cosine: vectors that share a bucket with the query in any table, ranked by their distance."""
-    asked = build_index(queries.select(F.col("query_id").alias("vec_id"), "embedding"), model).withColumnRenamed("vec_id", "query_id")
-    met = asked.join(index, ["tab", "bucket"]).select("query_id", "vec_id").distinct()
-    both = met.join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").join(store.select("vec_id", F.col("embedding").alias("b")), "vec_id")
-    return top_k(both.select("query_id", "vec_id", vec_distance(F.col("a"), F.col("b")).alias("distance")), k)
 
+def _weighed(pairs: DataFrame) -> DataFrame:
+    """Pairs with n, how many each row stands for; 1 where the column is not there."""
+    return pairs if "n" in pairs.columns else pairs.withColumn("n", F.lit(1))
 
-def make_pairs(df: DataFrame) -> DataFrame:
-    """Pairs of one label (true) and of different labels (false), each once: vec_a, vec_b, same. A stated product of all vectors."""
-    a = df.select(F.col("vec_id").alias("vec_a"), F.col("label").alias("label_a"))
-    b = df.select(F.col("vec_id").alias("vec_b"), F.col("label").alias("label_b"))
-    same = a.join(b, (F.col("label_a") == F.col("label_b")) & (F.col("vec_a") < F.col("vec_b"))).select("vec_a", "vec_b", F.lit(True).alias("same"))
-    other = a.join(b, F.col("label_a") < F.col("label_b")).select("vec_a", "vec_b", F.lit(False).alias("same"))
-    return same.unionByName(other)
 
+def fit_confidence(pairs: DataFrame) -> DataFrame:
+    """One row: w and b of a logistic fit of `same` on the distance, and the least and greatest fitted confidence of each class.
 
-def fit_confidence(pairs: DataFrame) -> dict[str, float]:
-    """Logistic fit of `same` on the distance, with the least and greatest fitted confidence of each class."""
+    pairs has distance and same, and may have n, how many pairs a row stands for.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=["distance"], outputCol="features").transform(pairs.withColumn("label", F.col("same").cast("double")))
-    model = LogisticRegression(regParam=1.0 / max(1, data.count()), standardization=False, maxIter=100).fit(data)
+    data = VectorAssembler(inputCols=["distance"], outputCol="features").transform(_weighed(pairs).withColumn("label", F.col("same").cast("double")).withColumn("weight", F.col("n").cast("double")))
+    total = data.agg(F.sum("weight")).first()[0] or 1.0
+    model = LogisticRegression(regParam=1.0 / total, standardization=False, maxIter=100, weightCol="weight").fit(data)
     w, b = float(model.coefficients[0]), float(model.intercept)
     fitted = pairs.withColumn("c", 100 / (1 + F.exp(-(w * F.col("distance") + b))))
-    r = fitted.agg(*[f(F.when(F.col("same") == s, F.col("c"))).alias(n) for n, f, s in (("min_true", F.min, True), ("max_true", F.max, True), ("min_false", F.min, False), ("max_false", F.max, False))]).first()
-    return {"w": w, "b": b} | r.asDict()
+    ends = [f(F.when(F.col("same") == s, F.col("c"))).alias(n) for n, f, s in (("min_true", F.min, True), ("max_true", F.max, True), ("min_false", F.min, False), ("max_false", F.max, False))]
+    return fitted.agg(*ends).select(F.lit(w).alias("w"), F.lit(b).alias("b"), "*")
 
 
 def best_threshold(pairs: DataFrame) -> DataFrame:
     """Threshold and accuracy of the best cut of `distance` between the class means: one row threshold, accuracy.
 
-    Counts at each distinct distance are summed up in order, in place of a scan for each candidate.
+    pairs has distance and same, and may have n, how many pairs a row stands for. Counts at each distinct distance
+    are summed up in order, in place of a scan for each candidate.
     """
-    means = pairs.agg(F.avg(F.when(F.col("same"), F.col("distance"))).alias("lo"), F.avg(F.when(~F.col("same"), F.col("distance"))).alias("hi"), F.count_if(~F.col("same")).alias("negatives"), F.count(F.lit(1)).alias("n"))
-    steps = pairs.groupBy("distance").agg(F.count_if(F.col("same")).alias("t"), F.count_if(~F.col("same")).alias("f"))
+    pairs = _weighed(pairs)
+    of = lambda cond: F.sum(F.when(cond, F.col("n")))
+    mean = lambda cond: F.sum(F.when(cond, F.col("distance") * F.col("n"))) / of(cond)
+    means = pairs.agg(mean(F.col("same")).alias("lo"), mean(~F.col("same")).alias("hi"), F.coalesce(of(~F.col("same")), F.lit(0)).alias("negatives"), F.sum("n").alias("pairs"))
+    steps = pairs.groupBy("distance").agg(F.coalesce(of(F.col("same")), F.lit(0)).alias("t"), F.coalesce(of(~F.col("same")), F.lit(0)).alias("f"))
     running = running_counts(steps, "distance", ["t", "f"])
+    # The class means are one row.
     scored = running.crossJoin(F.broadcast(means)).filter(F.col("distance").between(F.col("lo"), F.col("hi")))
-    accuracy = (F.col("cum_t") + F.col("negatives") - F.col("cum_f")) / F.col("n")
+    accuracy = (F.col("cum_t") + F.col("negatives") - F.col("cum_f")) / F.col("pairs")
     best = scored.select(F.round(accuracy, 6).alias("accuracy"), F.col("distance").alias("threshold"))
     return best.orderBy(F.desc("accuracy"), "threshold").limit(1)
 
 
-def running_counts(df: DataFrame, order: str, columns: list[str], descending: bool = False, parts: int = 32) -> DataFrame:
+#: Rows of one range of a running sum, about.
+RANGE_ROWS = 200_000
+
+
+def running_counts(df: DataFrame, order: str, columns: list[str], descending: bool = False, parts: int | None = None) -> DataFrame:
     """Adds cum_<column>, the sums up to each row in order of a distinct numeric key, without one task for all rows.
 
     Rows are dealt by ranges of the key, whose bounds are quantiles; sums of whole ranges, one row each, are
-    added to those inside a range. The range is a function of the key, so a recomputed part is dealt alike.
+    added to those inside a range. The range is a function of the key, so a recomputed part is dealt alike. There are
+    as many ranges as it takes for RANGE_ROWS in each.
     """
+    parts = parts or max(8, -(-df.count() // RANGE_ROWS))
     key = F.col(order).desc() if descending else F.col(order).asc()
     bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)

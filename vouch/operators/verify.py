@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vouch.operators.extract import small
+
 #: Least distances and percentages of the verdict: fixed values.
 VERDICT = {"name": 80.0, "face": 70.0, "document": 70.0, "address": 80.0, "otp": 80.0}
 
@@ -123,7 +125,7 @@ def method_bands(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     thresholds has method and threshold, one row for each method.
     """
-    joined = scores.join(F.broadcast(thresholds), "method")
+    joined = scores.join(small(thresholds), "method")
     low, high = F.col("score") < F.col("threshold") * 0.5, F.col("score") >= F.col("threshold")
     each = joined.groupBy("doc_id").agg(F.count_if(low).alias("low"), F.count_if(~low & ~high).alias("medium"), F.count_if(high).alias("high"), F.count(F.lit(1)).alias("n"))
     share = F.col("high") / F.col("n")
@@ -137,7 +139,7 @@ def threshold_status(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     general = thresholds.filter("document_type = 'default'").select("method", F.struct("problem", "warning").alias("general"))
     limit = F.coalesce("own", "general")
     status = F.when(F.col("score") >= limit["problem"], "problem").when(F.col("score") >= limit["warning"], "warning").otherwise("ok")
-    return scores.join(F.broadcast(own), ["document_type", "method"], "left").join(F.broadcast(general), "method", "left").withColumn("status", status).drop("own", "general")
+    return scores.join(small(own), ["document_type", "method"], "left").join(small(general), "method", "left").withColumn("status", status).drop("own", "general")
 
 
 def extraction_summary(keys: DataFrame, high: float = 0.8, medium: float = 0.7) -> DataFrame:
@@ -169,10 +171,23 @@ def dedupe_fields(df: DataFrame) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
-def merge_extractions(primary: DataFrame, secondary: DataFrame, core: list[str], always_second: list[str], least: float = 50.0) -> DataFrame:
+def dedupe_keys(df: DataFrame, top: float = 0.3, more: float = 1.1) -> DataFrame:
+    """The key of greatest confidence for each field of a document, where a company's name beats a person's.
+
+    df has doc_id, field, value, confidence and y1. In a document with a company_name, a full_name stays only if it
+    stands in the uppermost part of the page and its confidence is over `more` times the company's; ties by value.
+    """
+    company = F.max(F.when(F.col("field") == "company_name", F.col("confidence"))).over(Window.partitionBy("doc_id"))
+    judged = df.withColumn("_company", company)
+    beaten = (F.col("field") == "full_name") & F.col("_company").isNotNull() & ~((F.col("y1") < top) & (F.col("confidence") > F.col("_company") * more))
+    return dedupe_fields(judged.filter(~F.coalesce(beaten, F.lit(False))).drop("_company"))
+
+
+def merge_extractions(primary: DataFrame, secondary: DataFrame, core: list[str], always_second: list[str], least: float = 50.0, parts: dict[str, list[str]] | None = None) -> DataFrame:
     """Fields of two extractors of one document: the primary's from `least` confidence on, else the secondary's.
 
     Both sides have doc_id, field, value and confidence; fields of always_second come from the secondary alone.
+    `parts` names fields that travel with another: where that one comes from the secondary, so do they if it has them.
     The result has source and, for each document, overall, the mean of the core fields' non-zero confidences.
     """
     p = primary.select("doc_id", "field", F.col("value").alias("pv"), F.col("confidence").alias("pc"))
@@ -180,16 +195,29 @@ def merge_extractions(primary: DataFrame, secondary: DataFrame, core: list[str],
     joined = p.join(s, ["doc_id", "field"], "full_outer")
     second = F.col("field").isin(always_second) if always_second else F.lit(False)
     first = F.coalesce((F.col("pc") >= least) & ~second, F.lit(False)) | (F.col("sv").isNull() & ~second & F.col("pv").isNotNull())
+    for whole, names in (parts or {}).items():
+        led = F.max(F.when((F.col("field") == whole) & ~first & F.col("sv").isNotNull(), 1)).over(Window.partitionBy("doc_id"))
+        joined = joined.withColumn(f"_{whole}", led)
+        first = first & ~F.coalesce((F.col(f"_{whole}") == 1) & F.col("field").isin(names) & F.col("sv").isNotNull(), F.lit(False))
     merged = joined.select("doc_id", "field", F.when(first, F.col("pv")).otherwise(F.col("sv")).alias("value"), F.when(first, F.col("pc")).otherwise(F.coalesce("sc", F.lit(0.0))).alias("confidence"), F.when(first, "primary").otherwise("secondary").alias("source"))
     counted = F.when(F.col("field").isin(core) & (F.col("confidence") > 0), F.col("confidence"))
     return merged.withColumn("overall", F.round(F.coalesce(F.avg(counted).over(Window.partitionBy("doc_id")), F.lit(0.0)), 2))
 
 
-def merge_keys(pattern: DataFrame, layout: DataFrame) -> DataFrame:
-    """Keys found by layout, and those found by patterns alone: doc_id, key_name, value, confidence, origin."""
-    extra = pattern.join(layout.select("doc_id", "key_name").distinct(), ["doc_id", "key_name"], "left_anti")
+def merge_keys(pattern: DataFrame, layout: DataFrame, account: str = "account_number") -> DataFrame:
+    """Keys found by layout, and those found by patterns alone: doc_id, key_name, value, confidence, origin.
+
+    An account number of 8 to 20 digits that a pattern found takes the place of the layout's. rank puts such numbers
+    first, then keys by confidence, then by origin and name.
+    """
     columns = ["doc_id", "key_name", "value", "confidence"]
-    return layout.select(*columns, F.lit("layout").alias("origin")).unionByName(extra.select(*columns, F.lit("pattern").alias("origin")))
+    numeric = (F.col("key_name").cast("string") == account) & F.coalesce(F.col("value"), F.lit("")).rlike(r"^\d{8,20}$")
+    numbers = pattern.filter(numeric).select(*columns, F.lit("number").alias("origin"))
+    own = layout.join(numbers.select("doc_id", F.col("key_name")).distinct(), ["doc_id", "key_name"], "left_anti")
+    extra = pattern.filter(~numeric).join(layout.select("doc_id", "key_name").distinct(), ["doc_id", "key_name"], "left_anti")
+    merged = numbers.unionByName(own.select(*columns, F.lit("layout").alias("origin"))).unionByName(extra.select(*columns, F.lit("pattern").alias("origin")))
+    order = Window.partitionBy("doc_id").orderBy((F.col("origin") == "number").cast("int").desc(), F.desc("confidence"), "origin", "key_name", "value")
+    return merged.withColumn("rank", F.row_number().over(order))
 
 
 def verification_verdict(df: DataFrame, age_least: int = 21) -> DataFrame:
@@ -206,13 +234,30 @@ def identity_progress(df: DataFrame, steps: list[str]) -> DataFrame:
     return df.withColumn("completed", done).withColumn("percent", F.round(F.size("completed") / len(steps) * 100, 2))
 
 
+#: Weights of an identity document's fields, and those without which it loses 15: fixed values.
+DOCUMENT_WEIGHTS = {"passport_number": 0.15, "full_name": 0.20, "date_of_birth": 0.10, "nationality": 0.05, "sex": 0.05, "date_of_expiry": 0.15, "passport_country": 0.10, "place_of_birth": 0.10, "issuing_authority": 0.10}
+CRITICAL = ["passport_number", "full_name", "date_of_birth"]
+
+
 def record_confidence(present: Column, kind: str = "card", given: Column | None = None) -> Column:
-    """Confidence of a record of `present` fields: the mean of given confidences, else 50 and 5 for each field up to 85."""
+    """Confidence of a record in percent.
+
+    A card: the mean of `given` confidences, times 100 if it is 1 or less, else 50 and 5 for each of `present` fields
+    up to 85; without fields 0 where confidences are looked for. A document: `present` is an array of the names of its
+    fields; each counts 75 by its weight, less 15 for each critical one that is missing, not below 0.
+    """
+    if kind == "document":
+        weight = lambda names: F.aggregate(names, F.lit(0.0), lambda s, n: s + F.coalesce(F.create_map(*[F.lit(x) for kv in DOCUMENT_WEIGHTS.items() for x in kv])[n], F.lit(0.0)))
+        names = F.array_intersect(present, F.array(*map(F.lit, DOCUMENT_WEIGHTS)))
+        mean = F.when(F.size(names) > 0, 75.0 * weight(names) / weight(names)).otherwise(0.0)
+        return F.round(F.greatest(F.lit(0.0), mean - 15.0 * F.size(F.array_except(F.array(*map(F.lit, CRITICAL)), present))), 2)
+    if kind != "card":
+        raise ValueError(f"kind is card or document, not {kind}")
     by_count = F.least(50.0 + 5.0 * present, F.lit(85.0))
     if given is None:
         return by_count
-    total = F.aggregate(given, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(given) > 0, total / F.when(F.size(given) > 0, F.size(given))).otherwise(by_count)
+    total = F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.when(F.size(given) > 0, F.size(given))
+    return F.round(F.when(F.size(given) > 0, F.when(total <= 1.0, total * 100).otherwise(total)).when(present > 0, by_count).otherwise(0.0), 2)
 
 
 def id_confidence(missing: Column, important: Column) -> Column:

@@ -74,8 +74,8 @@ def v4k(spark, sf_dir):
 
 @query("v5_nearest_other", FOUND + " SELECT query_id, arg_min(vec_id, distance * 1e9 + vec_id) AS vec_id, min(distance) AS distance FROM f WHERE vec_id <> query_id AND distance <= 0.8 GROUP BY query_id")
 def v5(spark, sf_dir):
-    found = vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=0.8, scope=F.col("vec_id") != F.col("query_id"))
-    return found.filter("rank = 1").select("query_id", "vec_id", "distance")
+    found = vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=0.8, k=1, others=True)
+    return found.select("query_id", "vec_id", "distance")
 
 
 @query("v6_normalize", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings)
@@ -86,12 +86,18 @@ def v6(spark, sf_dir):
     return _store(spark, sf_dir).select("vec_id", rounded(l2_normalized(v)).alias("l2"), rounded(minmax_normalized(v, -0.1, 0.1)).alias("minmax"))
 
 
+@query("v4_search_similar", FOUND + " SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 5")
+def v4s(spark, sf_dir):
+    """Look-alikes: the threshold does not count."""
+    return vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=0.1, k=5, similarity=True)
+
+
 @query("v7_search_ann")
 def v7(spark, sf_dir):
-    """Checked by recall against v4_search_top_k in the tests."""
+    """Checked by recall against search_exact in the tests. The vectors given have no structure, so most cells are looked into."""
     store = _store(spark, sf_dir)
-    model = vectors.lsh_model(store)
-    return vectors.search_ann(_queries(spark, sf_dir), store, vectors.build_index(store, model), model, 10)
+    index = vectors.fit_index(store, probes=44)
+    return vectors.search_ann(_queries(spark, sf_dir), store, vectors.build_index(store, index), index, 10)
 
 
 @query("v8_assert_dims", "SELECT len(embedding) AS dimensions, count(*) AS vectors FROM embeddings GROUP BY 1")
@@ -99,11 +105,10 @@ def v8(spark, sf_dir):
     return vectors.assert_dims(_store(spark, sf_dir))
 
 
-def _labelled_pairs(spark, sf_dir):
-    """Searched pairs with whether their labels agree."""
-    found = vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=2.0)
-    label = _store(spark, sf_dir).select("vec_id", "label")
-    return found.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id").select("query_id", "vec_id", "distance", (F.col("label") == F.col("query_label")).alias("same"))
+def _distance_counts(spark, sf_dir):
+    """How many searched pairs lie at each distance, by whether their labels agree."""
+    store = _store(spark, sf_dir)
+    return vectors.distance_counts(store.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), store)
 
 
 @query("v10_best_threshold", FOUND + """, m AS (SELECT avg(distance) FILTER (label = query_label) AS lo, avg(distance) FILTER (label <> query_label) AS hi, count(*) FILTER (label <> query_label) AS neg, count(*) AS n FROM f),
@@ -111,20 +116,19 @@ def _labelled_pairs(spark, sf_dir):
     c AS (SELECT distance, sum(t) OVER (ORDER BY distance) AS ct, sum(x) OVER (ORDER BY distance) AS cx FROM s)
     SELECT round((ct + neg - cx) / n, 6) AS accuracy, distance AS threshold FROM c, m WHERE distance BETWEEN lo AND hi ORDER BY accuracy DESC, threshold LIMIT 1""")
 def v10(spark, sf_dir):
-    return vectors.best_threshold(_labelled_pairs(spark, sf_dir))
+    return vectors.best_threshold(_distance_counts(spark, sf_dir))
 
 
 @query("w11_first_match", FOUND + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS nth FROM f),
     s AS (SELECT *, min(CASE WHEN distance <= 0.75 THEN nth END) OVER (PARTITION BY query_id) AS stop FROM o)
     SELECT query_id, max(CASE WHEN nth = stop THEN vec_id END) AS vec_id, count(*) AS checked, round(1 - min(distance), 4) AS best_similarity FROM s WHERE stop IS NULL OR nth <= stop GROUP BY query_id""")
 def w11(spark, sf_dir):
-    found = vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=2.0)
-    return vectors.first_match(found.withColumn("arrival", F.col("vec_id")), 0.75)
+    return vectors.first_match(_queries(spark, sf_dir), _store(spark, sf_dir).select("vec_id", "embedding", F.col("vec_id").alias("arrival")), 0.75)
 
 
 @query("o1_top_k", FOUND + " SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 3")
 def o1(spark, sf_dir):
-    return vectors.top_k(vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=2.0).drop("rank"), 3)
+    return vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), k=3)
 
 
 @query("o2_newest", "SELECT identity, vec_id, nth FROM (SELECT label AS identity, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS nth FROM embeddings) WHERE nth <= 5")
@@ -147,9 +151,7 @@ def a22(spark, sf_dir):
 
 @query("a25_match_counters", FOUND + " SELECT query_id, count(*) AS found, count(*) FILTER (1 - distance >= 0.3) AS matched, count(*) FILTER (1 - distance < 0.3 AND 1 - distance >= 0.2) AS low_confidence, count(*) FILTER (1 - distance < 0.2) AS not_matched FROM f GROUP BY query_id")
 def a25(spark, sf_dir):
-    near = 1 - F.col("distance")
-    found = vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=2.0)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(near >= 0.3).alias("matched"), F.count_if((near < 0.3) & (near >= 0.2)).alias("low_confidence"), F.count_if(near < 0.2).alias("not_matched"))
+    return vectors.match_counters(_queries(spark, sf_dir), _store(spark, sf_dir), 0.3, 0.2)
 
 
 @query("a24_ensemble_vote", """WITH m AS (SELECT l_orderkey AS pair_id, l_discount * 10 AS distance FROM lineitem)
@@ -269,8 +271,9 @@ def a27(spark, sf_dir):
     return metrics.profile_similarity(lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'"), 900.0, 105000.0)
 
 
-@query("j18_make_pairs", """WITH a AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 50 = 0)
-    SELECT x.vec_id AS vec_a, y.vec_id AS vec_b, x.label = y.label AS same FROM a x JOIN a y ON (x.label = y.label AND x.vec_id < y.vec_id) OR x.label < y.label""")
+@query("j18_make_pairs", """SELECT x.vec_id AS vec_a, y.vec_id AS vec_b, x.label = y.label AS same FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id AND (y.vec_id % 50 <> 0 OR x.vec_id < y.vec_id)
+    WHERE x.vec_id % 50 = 0""")
 def j18(spark, sf_dir):
-    """Pairs of the stated query set."""
-    return vectors.make_pairs(_store(spark, sf_dir).filter("vec_id % 50 = 0").select("vec_id", "label"))
+    """The stated query set with every vector."""
+    store = _store(spark, sf_dir).select("vec_id", "label")
+    return vectors.make_pairs(store.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), store)

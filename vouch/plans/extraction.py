@@ -332,16 +332,15 @@ def l7(spark, sf_dir):
 
 
 @query("l8_block_type", rf"""WITH {BLOCKS} SELECT doc_id, block_id, CASE WHEN y1 < 0.25 THEN 'header' WHEN y1 > 0.8 THEN 'footer' ELSE 'body' END AS zone,
-    CASE WHEN contains(lower(text), 'bank') THEN 'bank' WHEN regexp_matches(lower(text), 'account|[0-9]{{8,15}}') THEN 'account' WHEN regexp_matches(text, '[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}') THEN 'date' WHEN regexp_matches(lower(text), 'balance|[0-9]+\.[0-9]{{2}}($|[^0-9a-z_])') THEN 'balance'
-         WHEN regexp_matches(lower(text), 'street|road|avenue|(^|[^0-9a-z_])[0-9]{{5,6}}($|[^0-9a-z_])') THEN 'address' WHEN regexp_matches(text, '^[\p{{L}} .''-]+$') THEN 'name' ELSE 'info' END AS block_type FROM b""")
+    CASE WHEN contains(lower(text), 'bank') THEN 'bank' WHEN regexp_matches(lower(text), 'account|[0-9]{{8,15}}') THEN 'account' WHEN regexp_matches(lower(text), 'street|road|avenue|(^|[^0-9a-z_])[0-9]{{5,6}}($|[^0-9a-z_])') THEN 'address' WHEN regexp_matches(text, '^[\p{{L}} .''-]+$') THEN 'name'
+         WHEN regexp_matches(lower(text), 'statement|summary|consolidated|as at|period') THEN 'info' WHEN regexp_matches(text, '[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}') THEN 'date' WHEN regexp_matches(lower(text), 'balance|[0-9]+\.[0-9]{{2}}($|[^0-9a-z_])') THEN 'balance' ELSE 'unknown' END AS block_type FROM b""")
 def l8(spark, sf_dir):
     return _blocks(spark, sf_dir).select("doc_id", "block_id", Y.zone(F.col("y1")).alias("zone"), Y.block_type(F.col("text")).alias("block_type"))
 
 
-
-
 @query("l9_expand_address", f"""WITH {BLOCKS}, m AS (SELECT *, CAST(contains(lower(text), 'token') OR contains(lower(text), 'zz') AS INTEGER) AS stop FROM b), i AS (SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY y1, x1, block_id) AS island FROM m),
-    k AS (SELECT *, bool_or(contains(lower(text), 'wh')) OVER (PARTITION BY doc_id, island) AS seed FROM i WHERE stop = 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island, text ORDER BY y1, x1, block_id) AS n FROM k WHERE seed) SELECT doc_id, block_id, island FROM r WHERE n = 1""")
+    k AS (SELECT *, bool_or(contains(lower(text), 'wh') AND x1 < 0.5) OVER w AS l, bool_or(contains(lower(text), 'wh') AND x1 >= 0.5) OVER w AS r FROM i WHERE stop = 0 WINDOW w AS (PARTITION BY doc_id, island)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island, text ORDER BY y1, x1, block_id) AS n FROM k WHERE (l OR r) AND (x1 < 0.5 OR NOT (l AND r))) SELECT doc_id, block_id, island FROM s WHERE n = 1""")
 def l9(spark, sf_dir):
     return Y.expand_address(_blocks(spark, sf_dir), ["wh"], ["token", "zz"])
 

@@ -184,6 +184,6 @@ def u6(spark, sf_dir):
 def v9(spark, sf_dir):
     """The fit's coefficients and ranges as one row; tested for order and range."""
     from vouch.operators.vectors import fit_confidence
-    from vouch.plans.evaluation import _labelled_pairs
+    from vouch.plans.evaluation import _distance_counts
 
-    return spark.createDataFrame([tuple(fit_confidence(_labelled_pairs(spark, sf_dir)).values())], "w double, b double, min_true double, max_true double, min_false double, max_false double")
+    return fit_confidence(_distance_counts(spark, sf_dir))

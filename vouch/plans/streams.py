@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vouch.plans.tables import table
+from vouch.plans.tables import scratch_dir, table
 from vouch.streaming import feeds
 
 Q, O = {}, {}
@@ -26,8 +26,7 @@ def query(name, sql=None):
 
 
 def _path(spark, label):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vouch-scratch"
-    return f"{base.rstrip('/')}/vouch-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir):
@@ -48,24 +47,37 @@ def s14(spark, sf_dir):
 
 @query("s15_publish_events", "SELECT 'create' AS event_type, 'me' AS instance_id, event_id FROM events")
 def s15(spark, sf_dir):
-    sent = feeds.drain(feeds.publish_events(_stream(spark, sf_dir).select("event_id", "value"), "me", "create"), _path(spark, "s15"))
+    sent = feeds.drain(feeds.publish_events(_stream(spark, sf_dir).select("event_id", "value", "ts"), "me", "create", F.col("ts")), _path(spark, "s15"))
     return sent.select("event_type", "instance_id", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))
 
 
-@query("t1s_apply_otp_events", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_id % 7 <> 0), u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0)
-    SELECT coalesce(u.user_id, e.user_id) AS number, CASE WHEN e.event_type = 'click' OR e.user_id IS NULL THEN CASE WHEN u.user_id IS NOT NULL THEN 'old' END ELSE e.event_type END AS share
-    FROM u FULL JOIN (SELECT * FROM e WHERE n = 1) e ON u.user_id = e.user_id WHERE e.event_type IS NULL OR e.event_type <> 'error'""")
+CUTS = ["2024-01-08", "2024-01-16", "2024-01-24"]
+#: The state of a number after each batch: null without a row, '' for a row without a share.
+_fold = lambda i: f"s{i} AS (SELECT s.number, CASE WHEN l.kind IS NULL THEN s.state WHEN l.kind = 'error' THEN NULL WHEN l.kind = 'click' THEN coalesce(s.state, '') ELSE l.kind END AS state FROM {f's{i - 1}' if i else 'u'} s LEFT JOIN l ON l.number = s.number AND l.batch = {i})"
+
+
+@query("t1s_apply_otp_events", f"""WITH e AS (SELECT user_id AS number, event_type AS kind, CASE {' '.join(f"WHEN ts < TIMESTAMP '{c}' THEN {i}" for i, c in enumerate(CUTS))} ELSE 3 END AS batch, ts, event_id FROM events WHERE event_id % 7 <> 0),
+    l AS (SELECT number, batch, arg_max(kind, (ts, event_id)) AS kind FROM e GROUP BY 1, 2), u AS (SELECT DISTINCT user_id AS number, CASE WHEN user_id % 2 = 0 THEN 'old' END AS state FROM events), {', '.join(_fold(i) for i in range(4))} SELECT number, nullif(state, '') AS share FROM s3 WHERE state IS NOT NULL""")
 def t1s(spark, sf_dir):
-    """Each batch is applied to the target; here the feed is one batch, with `error` as delete and `click` without a share."""
+    """Each batch is applied to the target as the one before left it, with `error` as delete and `click` without a share.
+
+    The events are dealt into four files by time, one of which each batch takes.
+    """
     path = _path(spark, "t1s")
-    target = table(spark, sf_dir, "events").filter("user_id % 2 = 0").select(F.col("user_id").alias("number"), F.lit("old").alias("share")).distinct()
-    events = _stream(spark, sf_dir).select(
+    events = table(spark, sf_dir, "events")
+    for low, high in zip((None, *CUTS), (*CUTS, None)):
+        here = events if low is None else events.filter(F.col("ts") >= F.lit(low).cast("timestamp"))
+        (here if high is None else here.filter(F.col("ts") < F.lit(high).cast("timestamp"))).coalesce(1).write.mode("append").parquet(f"{path}/feed")
+    target = events.filter("user_id % 2 = 0").select(F.col("user_id").alias("number"), F.lit("old").alias("share")).distinct()
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/feed").withColumn("ts", F.col("ts").cast("timestamp"))
+    changes = feed.select(
         F.col("user_id").alias("number"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("share"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("event_type"),
         F.when(F.col("event_id") % 7 == 0, "me").otherwise("other").alias("instance_id"), "ts", F.col("event_id").alias("seq"),
     )
-    start = events.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    start.foreachBatch(lambda batch, n: feeds.apply_otp_events(target, batch, "me").write.mode("overwrite").parquet(f"{path}/data")).start().awaitTermination()
-    return spark.read.parquet(f"{path}/data")
+    start = changes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    run = start.foreachBatch(feeds.keep_applied(target, f"{path}/data", "me")).start()
+    run.awaitTermination()
+    return feeds.last_version(spark, f"{path}/data", run.lastProgress["batchId"] + 1)
 
 
 @query("t2s_route_jobs", "SELECT event_id AS job_id FROM events WHERE event_id % 4 = 0 AND user_id % 7 = 3")
@@ -79,7 +91,7 @@ def t2s(spark, sf_dir):
 @query("t3s_running_mean", "SELECT event_type AS document_type, round(avg(value), 6) AS mean_seconds, count(value) AS n FROM events GROUP BY 1")
 def t3s(spark, sf_dir):
     """The last mean of each type."""
-    means = feeds.drain(feeds.running_mean(_stream(spark, sf_dir).select(F.col("event_type").alias("document_type"), F.col("value").alias("seconds"))), _path(spark, "t3s"))
+    means = feeds.drain(feeds.running_mean(_stream(spark, sf_dir).select(F.col("event_type").alias("document_type"), F.col("value").alias("seconds"), "ts")), _path(spark, "t3s"))
     last = means.groupBy("document_type").agg(F.max_by("mean_seconds", "n").alias("mean_seconds"), F.max("n").alias("n"))
     return last.withColumn("mean_seconds", F.round("mean_seconds", 6))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.functions import names
@@ -11,13 +14,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a folder under /tmp for a local master alone; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file:///tmp/vouch-scratch').rstrip('/')}/vouch-{spark.sparkContext.applicationId}"
+
+
+#: Where the people of a folder are written, by application and folder: screening reads them several times in one query.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A person for each document, as described below; written once in an application, and read from there by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = f"{scratch_dir(spark)}/people-{uuid.uuid4().hex}"
+        derived_people(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def derived_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person for each document: its first four words as name, a nation, a date of birth, its source as list."""
     docs = table(spark, sf_dir, "documents")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("country"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1), 1, 4), " ")
+    # Up to four words from the beginning of a text; what comes after is not looked at.
+    head = F.regexp_extract("text", r"^\P{L}*(\p{L}+(?:\P{L}+\p{L}+){0,3})", 1)
+    words = F.when(F.col("text").isNotNull(), F.regexp_replace(head, r"\P{L}+", " "))
     born = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("doc_id") * 37 % 20000).cast("int"))
     who = docs.select("doc_id", names.strip_accents(words).alias("name"), (F.col("doc_id") % 25).alias("k"), born.cast("string").alias("dob"), "source")
+    # Nations are a fixed list.
     return who.join(F.broadcast(nation), "k", "left").drop("k")
 
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.plans import evaluation, extraction, fields, lifecycle, screening, streams
+from vouch.plans import evaluation, extraction, fields, lifecycle, rules, screening, streams
 
 FLAGSHIP = "j1_screen_sanctions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for family in (screening, evaluation, lifecycle, extraction, fields, streams):
+for family in (screening, evaluation, lifecycle, extraction, fields, rules, streams):
     QUERIES |= family.Q
     ORACLES |= family.O
 
@@ -24,7 +24,7 @@ TYPES = {
     "points DOUBLE": "f9_news_analysis",
     "nth INTEGER": "o5_deep_budget o2_newest p9_in_progress",
     "threshold DOUBLE": "v2_verify_pairs",
-    "rank INTEGER": "v4_search_threshold v4_search_top_k o1_top_k a16_method_report o4_rank_schemas o6_schemas_for o7_prioritize_required",
+    "rank INTEGER": "v4_search_similar v4_search_threshold v4_search_top_k o1_top_k a16_method_report o4_rank_schemas o6_schemas_for o7_prioritize_required",
     "dimensions INTEGER": "v8_assert_dims",
     "asked BIGINT, agreeing BIGINT, missing BIGINT": "j12_verify_fields",
     "position INTEGER": "w8_queue_eta",

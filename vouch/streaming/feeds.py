@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -24,9 +25,9 @@ def otp_feed(spark: SparkSession, path: str, schema: str, since: str, name: str
     return job_feed(spark, path, schema, name).filter(F.col("ts") >= F.lit(since).cast("timestamp"))
 
 
-def publish_events(df: DataFrame, instance: str, kind: str) -> DataFrame:
-    """Rows as events for other instances: event_type, instance_id, ts, payload (JSON of all columns)."""
-    return df.select(F.lit(kind).alias("event_type"), F.lit(instance).alias("instance_id"), F.current_timestamp().alias("ts"), F.to_json(F.struct("*")).alias("payload"))
+def publish_events(df: DataFrame, instance: str, kind: str, as_of: Column) -> DataFrame:
+    """Rows as events for other instances: event_type, instance_id, ts (the column as_of), payload (JSON of all columns)."""
+    return df.select(F.lit(kind).alias("event_type"), F.lit(instance).alias("instance_id"), as_of.cast("timestamp").alias("ts"), F.to_json(F.struct("*")).alias("payload"))
 
 
 def latest_change(batch: DataFrame, key: str) -> DataFrame:
@@ -47,26 +48,66 @@ def apply_otp_events(target: DataFrame, batch: DataFrame, me: str) -> DataFrame:
     return joined.select("number", F.coalesce("_share", "share").alias("share"))
 
 
+def version_path(path: str, batch_id: int) -> str:
+    return f"{path}/version={batch_id}"
+
+
+def keep_applied(target: DataFrame, path: str, me: str) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that applies each batch of events to the target as the batch before left it.
+
+    Every batch writes a version of its own below path, named by the batch; the target given is what the first one
+    starts from. A batch that is run again after a failure reads the same version and overwrites its own.
+    """
+    spark = target.sparkSession
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        before = target if batch_id == 0 else spark.read.schema(target.schema).parquet(version_path(path, batch_id - 1))
+        apply_otp_events(before, batch, me).write.mode("overwrite").parquet(version_path(path, batch_id))
+
+    return apply
+
+
+def last_version(spark: SparkSession, path: str, batches: int) -> DataFrame:
+    """The target after so many batches."""
+    return spark.read.parquet(version_path(path, batches - 1))
+
+
 def route_jobs(stream: DataFrame, instance: str, delay: str = "1 hour") -> DataFrame:
     """Pending jobs of this instance, each job_id once; created_at bounds what is remembered."""
     own = stream.filter((F.col("status") == "pending") & (F.col("instance") == instance))
     return own.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["job_id"])
 
 
-def _stateful(stream: DataFrame, key: str, step: Callable, out: str, state: str) -> DataFrame:
-    """step(key, rows, state tuple or None) gives output rows and the new state, for each key of each batch."""
+#: State of a key that no event has touched for so long, by event time, is dropped.
+FORGET = "30 days"
+
+
+def _stateful(stream: DataFrame, key: str, step: Callable, out: str, state: str, forget: str, time: str = "ts") -> DataFrame:
+    """step(key, rows, state tuple or None) gives output rows and the new state, for each key of each batch.
+
+    State goes once the watermark, which lies `forget` behind the newest event, has passed the key's last event by as much.
+    """
+    micros = int(pd.Timedelta(forget) / pd.Timedelta("1us"))
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames), ignore_index=True)
         made, new = step(name[0], rows, held.get if held.exists else None)
         held.update(new)
+        last = int(rows[time].max().timestamp() * 1000)
+        held.setTimeoutTimestamp(max(last, held.getCurrentWatermarkMs()) + micros // 1000)
         yield made
 
-    return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(time, forget).groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def running_mean(stream: DataFrame) -> DataFrame:
-    """Mean seconds of each document_type after each batch: document_type, mean_seconds, n."""
+def running_mean(stream: DataFrame, forget: str = FORGET) -> DataFrame:
+    """Mean seconds of each document_type after each batch (document_type, ts, seconds): document_type, mean_seconds, n.
+
+    A type without a job for `forget` begins anew.
+    """
 
     def step(key, rows, held):
         n, total = held or (0, 0.0)
@@ -74,29 +115,31 @@ def running_mean(stream: DataFrame) -> DataFrame:
         n, total = n + len(seconds), total + float(seconds.sum())
         return pd.DataFrame({"document_type": [key], "mean_seconds": [total / n if n else None], "n": [n]}), (n, total)
 
-    return _stateful(stream, "document_type", step, "document_type string, mean_seconds double, n long", "n long, total double")
+    return _stateful(stream, "document_type", step, "document_type string, mean_seconds double, n long", "n long, total double", forget)
 
 
 def rate_gate(stream: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     """Whether each request (user_id, id, ts) stays below every limit (seconds, earlier requests): user_id, id, allowed.
 
     All earlier requests count, allowed or not, as in the batch form; times at one microsecond do not count each
-    other. State holds the times of the longest window.
+    other. State holds the times of the longest window, and goes when that has passed. A batch's requests are
+    sorted once and counted by binary search, so a busy user costs no more for each of its requests.
     """
     longest = max(s for s, _ in limits) * 1_000_000
 
     def step(key, rows, held):
-        times = list(held[0]) if held else []
-        made = []
         rows = rows.sort_values(["ts", "id"])
-        for micros, group in rows.groupby(rows["ts"].astype("int64") // (1 if rows["ts"].dtype == "datetime64[us]" else 1000)):
-            allowed = all(sum(micros - s * 1_000_000 <= t < micros for t in times) < most for s, most in limits)
-            made += [(key, i, allowed) for i in group["id"]]
-            times += [int(micros)] * len(group)
-            times = [t for t in times if t >= micros - longest]
-        return pd.DataFrame(made, columns=["user_id", "id", "allowed"]), (times,)
+        now = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        times = np.r_[np.array(held[0] if held else [], dtype=np.int64), now]
+        times.sort(kind="stable")
+        upto = np.searchsorted(times, now, side="left")
+        allowed = np.ones(len(now), dtype=bool)
+        for seconds, most in limits:
+            allowed &= upto - np.searchsorted(times, now - seconds * 1_000_000, side="left") < most
+        made = pd.DataFrame({"user_id": np.full(len(now), key), "id": rows["id"].to_numpy(), "allowed": allowed})
+        return made, (times[times >= times[-1] - longest].tolist(),)
 
-    return _stateful(stream, "user_id", step, "user_id long, id long, allowed boolean", "times array<long>")
+    return _stateful(stream, "user_id", step, "user_id long, id long, allowed boolean", "times array<long>", f"{longest // 1_000_000} seconds")
 
 
 def replay_gate(stream: DataFrame, future: int = 60, past: int = 300) -> DataFrame:
@@ -116,10 +159,11 @@ def match_otp(jobs: DataFrame, otps: DataFrame, window: int = 300, outage: str =
     return a.join(b, (F.col("a.number") == F.col("b.number")) & (F.col("a.code") == F.col("b.otp_code")) & near).select("a.job_id", "a.number")
 
 
-def otp_state(stream: DataFrame, most: int = 3) -> DataFrame:
+def otp_state(stream: DataFrame, most: int = 3, forget: str = FORGET) -> DataFrame:
     """State of each number after each attempt (number, id, ts, right): number, id, attempts, status.
 
-    A right code verifies; `most` wrong ones lock, and nothing changes a number that is verified or locked.
+    A right code verifies; `most` wrong ones lock, and nothing changes a number that is verified or locked, until
+    there was no attempt for `forget`.
     """
 
     def step(key, rows, held):
@@ -132,11 +176,11 @@ def otp_state(stream: DataFrame, most: int = 3) -> DataFrame:
             made.append((key, row.id, attempts, status))
         return pd.DataFrame(made, columns=["number", "id", "attempts", "status"]), (attempts, status)
 
-    return _stateful(stream, "number", step, "number long, id long, attempts int, status string", "attempts int, status string")
+    return _stateful(stream, "number", step, "number long, id long, attempts int, status string", "attempts int, status string", forget)
 
 
-def hold_trigger(stream: DataFrame, n: int = 5, hold: float = 5.0) -> DataFrame:
-    """Fires (key, ts, fired_at count of hits) after n hits in a row; then nothing counts for `hold` seconds."""
+def hold_trigger(stream: DataFrame, n: int = 5, hold: float = 5.0, forget: str = FORGET) -> DataFrame:
+    """Fires (key, id) after n hits in a row of (key, id, ts, hit); then nothing counts for `hold` seconds. A key without rows for `forget` begins anew."""
 
     def step(key, rows, held):
         run, free = held or (0, 0.0)
@@ -151,7 +195,7 @@ def hold_trigger(stream: DataFrame, n: int = 5, hold: float = 5.0) -> DataFrame:
                 run, free = 0, now + hold
         return pd.DataFrame(made, columns=["key", "id"]).astype({"key": "int64", "id": "int64"}), (run, free)
 
-    return _stateful(stream, "key", step, "key long, id long", "run int, free double")
+    return _stateful(stream, "key", step, "key long, id long", "run int, free double", forget)
 
 
 def retry_policy(batch: DataFrame) -> DataFrame:
@@ -176,7 +220,16 @@ def cached(requests: DataFrame, cache: DataFrame, as_of, hours: float = 24) -> t
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, to Parquet below path, and reads the result; its checkpoint lies beside."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{path}/data")).start()
+    """Runs a stream over what is there, to Parquet below path, and reads the result; its checkpoint lies beside.
+
+    In append mode Spark's file sink keeps a log of the batches that are in; in other modes each batch writes a folder
+    of its own. Either way a batch that is run again after a failure is there once.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{path}/data").start()
+    else:
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/data/batch={n}")).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    out = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    return out.select(*stream.columns)
