@@ -589,7 +589,8 @@ class TestPassages:
                 docs += [(1000 * k + 2 * i + j, " ".join(text(50) + copy + text(50))) for j in (0, 1)]
         found = {}
         for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
-            assert 50 <= r.start_word and r.start_word + r.n_words <= 50 + lengths[r.doc_id // 1000]
+            # A paragraph that is like another's may hold a word or two more than both have.
+            assert 48 <= r.start_word and r.start_word + r.n_words <= 52 + lengths[r.doc_id // 1000]
             found[r.doc_id] = found.get(r.doc_id, 0) + r.n_words
         by = {n: [found.get(1000 * k + i, 0) for i in range(120)] for k, n in enumerate(lengths)}
         assert not any(by[20] + by[30])
