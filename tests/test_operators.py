@@ -1,15 +1,18 @@
 """Operators that SQL does not express, by brute force, and the documented cases of others."""
 
 import datetime
+import difflib
 import itertools
 import json
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vouch.functions import names, text, vectors as vf
-from vouch.operators import extract, metrics, risk, vectors, verify, watch
+from vouch.operators import extract, fields, metrics, risk, vectors, verify, watch
 from vouch.sources import lists, stores
 from vouch.streaming import feeds
 
@@ -250,3 +253,75 @@ def test_hold_trigger(spark, tmp_path):
                 brute.add((key, i))
                 run, free = 0, i + 10
     assert found == brute
+
+
+NAMED = [("John Smith", "Jon Smith"), ("O'Brien, Mary", "Mary OBrien"), ("", "x"), (None, "abc"), ("abc", None), ("Æon Ltd.", "aeon ltd"), ("same", "same"), ("crate", "trace"), ("dwayne", "duane"), ("ab", "ba")]
+
+
+def test_name_similarity(spark):
+    """Against the definition, on names without punctuation."""
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(NAMED)], "i int, a string, b string")
+    bare = lambda x: re.sub(r"[^\w\s]|_", "", x or "").lower()
+    for r in rows.select("i", names.name_similarity(F.col("a"), F.col("b")).alias("s")).collect():
+        a, b = map(bare, NAMED[r.i])
+        assert abs(r.s - jaro_winkler(a, b)) < 1e-9, NAMED[r.i]
+
+
+def test_true_matches(spark):
+    subjects = spark.createDataFrame([(1, "John Smith"), (2, "Mary Jones")], "subject_id int, full_name string")
+    listed = [(1, 10, 0.9, "Jon Smith", [("dob", "MATCHED")]), (1, 11, 0.4, "John Smith", []), (1, 12, 0.9, "John Smith", [("dob", "NOT_MATCHED"), ("x", "MATCHED")]), (2, 13, 0.9, "Zed Quux", None), (2, 14, 0.5, "Mary Jonas", None), (3, 15, 1.0, "Nobody", [])]
+    results = spark.createDataFrame(listed, "subject_id int, result_id int, strength double, matched_name string, secondary array<struct<field:string,status:string>>")
+    found = {r.result_id: r.similarity for r in fields.true_matches(results, subjects, 0.5, 0.8).collect()}
+    names_of = {1: "john smith", 2: "mary jones"}
+    expected = {i: round(jaro_winkler(names_of[s], n.lower()), 4) for s, i, strength, n, sec in listed if s in names_of and strength >= 0.5 and all(x[1] != "NOT_MATCHED" for x in sec or [])}
+    assert found == {i: v for i, v in expected.items() if v >= 0.8} and set(found) == {10, 14}
+
+
+def test_text_and_label_match(spark):
+    texts = ["the widget is red", "a wigdet here", "gadget", "", None, "xyz", "WIDGAT", "fidget gidgets"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in rows.select("i", fields.text_match(F.col("t"), F.lit("Widgat")).alias("m"), fields.label_match(F.col("t"), F.lit("gidget")).alias("l")).collect():
+        low = (texts[r.i] or "").lower()
+        near = difflib.get_close_matches("widgat", low.split(), 1, 0.3)
+        assert abs(r.m - (100.0 if "widgat" in low else round(jaro_winkler(near[0], "widgat") * 100, 2) if near else 0.0)) < 1e-9, texts[r.i]
+        short, long = sorted((low, "gidget"), key=len)
+        best = max((difflib.SequenceMatcher(None, long[i : i + len(short)], short, autojunk=False).ratio() for i in range(len(long) - len(short) + 1)), default=0.0) if short else 0.0
+        assert r.l == ("gidget" in low or best * 100 >= 75), texts[r.i]
+
+
+def test_large_dictionaries(spark, monkeypatch):
+    """The joins for large dictionaries find what the passes for small ones do."""
+    rng = random.Random(7)
+    texts = spark.createDataFrame([(i, " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(8))) for i in range(60)] + [(90, None), (91, "")], "doc_id int, text string")
+    terms = spark.createDataFrame([("ab", "two"), ("c", "one"), ("abc a", "words"), ("bca", "three"), ("b", "one"), ("cab b", "words"), ("", "none")], "term string, kind string")
+    got = lambda mode: sorted(map(tuple, extract.tag_dictionary(texts, terms, 2, mode).collect()))
+    few = got("substring"), got("word")
+    monkeypatch.setattr(extract, "TRIED", 2)
+    monkeypatch.setattr(extract, "SMALL", 2)
+    assert (got("substring"), got("word")) == few
+    plain = {r.doc_id: r.text or "" for r in texts.collect()}
+    known = [(r.term, r.kind) for r in terms.collect() if r.term]
+    best = lambda hits: max(hits, key=lambda t: (len(t[0]), *t), default=None)
+    assert few[0] == sorted((d, *b) for d, t in plain.items() if (b := best([k for k in known if k[0] in t])))
+    assert few[1] == sorted((d, *b) for d, t in plain.items() if (b := best([k for k in known if f" {k[0]} " in f" {t} "])))
+
+
+def test_batches_are_applied_once(spark, tmp_path):
+    """Each batch sees what the one before left; one that is run again changes nothing."""
+    target = spark.createDataFrame([(1, "old"), (2, "old")], "number long, share string")
+    batch = lambda rows: spark.createDataFrame(rows, "number long, event_type string, share string, instance_id string, ts timestamp, seq long")
+    now = datetime.datetime(2024, 1, 1)
+    apply = feeds.keep_applied(target, f"file://{tmp_path}/v", "me")
+    first, second = batch([(1, "delete", None, "o", now, 1), (3, "update", "new", "o", now, 2), (2, "update", "mine", "me", now, 3)]), batch([(2, "update", None, "o", now, 4), (1, "update", "back", "o", now, 5), (3, "update", "a", "o", now, 6), (3, "update", "b", "o", now, 7)])
+    for n, rows in ((0, first), (1, second), (1, second)):
+        apply(rows, n)
+    assert sorted(map(tuple, feeds.last_version(spark, f"file://{tmp_path}/v", 2).collect())) == [(1, "back"), (2, "old"), (3, "b")]
+
+
+def test_drain_goes_on(spark, tmp_path):
+    """A second drain of one path takes the new file alone, and no row twice."""
+    for n in (0, 1):
+        spark.range(n * 5, n * 5 + 5).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        feed = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        out = feeds.drain(feed, f"file://{tmp_path}/out")
+        assert sorted(r.id for r in out.collect()) == list(range(5 * n + 5))

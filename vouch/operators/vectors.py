@@ -51,6 +51,11 @@ def confidence(distance: Column, verified: Column, w: float, b: float, normalize
     return F.round(F.least(F.greatest(F.when(verified, same).otherwise(other), F.lit(0.0)), F.lit(100.0)), 2)
 
 
+def plain_confidence(verified: Column) -> Column:
+    """Confidence where a model or metric has no fitted coefficients: just above or just below the middle."""
+    return F.when(verified, 51.0).otherwise(49.0)
+
+
 def assert_dims(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Number of vectors of each length; more than one row means that lengths are mixed."""
     return df.groupBy(F.size(column).alias("dimensions")).agg(F.count(F.lit(1)).alias("vectors"))

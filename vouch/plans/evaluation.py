@@ -62,6 +62,13 @@ def v3(spark, sf_dir):
     return pairs.select("vec_id", "verified", vectors.confidence(F.col("distance"), F.col("verified"), -6.0, 3.0, 0.98, (20.0, 88.0), (3.0, 20.0)).alias("confidence"))
 
 
+@query("v3_plain_confidence", NEXT + " SELECT vec_id, CAST(CASE WHEN round(cosine, 6) <= 0.95 THEN 51 ELSE 49 END AS DOUBLE) AS confidence FROM d")
+def v3p(spark, sf_dir):
+    """For a model without coefficients."""
+    verified = vec_distance(F.col("a"), F.col("b")) <= 0.95
+    return _neighbours(spark, sf_dir).select("vec_id", vectors.plain_confidence(verified).alias("confidence"))
+
+
 @query("v4_search_threshold", FOUND + " SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM f WHERE distance <= 0.75)".replace("SELECT *, row", "SELECT query_id, vec_id, distance, row"))
 def v4(spark, sf_dir):
     return vectors.search_exact(_queries(spark, sf_dir), _store(spark, sf_dir), threshold=0.75)
