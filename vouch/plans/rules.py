@@ -397,3 +397,63 @@ def s10(spark, sf_dir):
     kinds = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("kind")).agg(F.collect_list("n_name").alias("terms"))
     kinds.select(F.to_json(F.create_map("kind", "terms")).alias("value")).write.text(path)
     return lists.read_dictionaries(spark, path)
+
+
+ALIKE = [("Alpha", " alpha ", True), ("alphabet soup", "soup", True), ("cat", "concatenate", True), ("Johnson", "johnsen", True), ("Kingston", "Livingston", True), ("abcd", "abce", False), ("hello", "world", False), ("abcdeX", "abcdeY", True), (None, "x", False), ("x", None, False)]
+
+
+@query("f7_partial_cases", f"SELECT c_custkey, {_told('c_custkey', [v for *_, v in ALIKE], 'BOOLEAN')} AS alike FROM customer")
+def f7(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", X.partial_match(_pick("c_custkey", [a for a, *_ in ALIKE]), _pick("c_custkey", [b for _, b, _ in ALIKE])).alias("alike"))
+
+
+CLEANED = [
+    ("12 Low Road, Springfield, 12345", "Springfield", "12345", "12 low road"), ("A, b ,a,  B  c", None, None, "a, b, b c"), ("Mill  Lane,SPRINGFIELD", "springfield", None, "mill lane"), ("12345", None, "12345", ""), ("", "x", "y", ""), ("no parts here", "zz", None, "no parts here"), (None, "x", None, None),
+]
+
+
+@query("f26_clean_cases", f"SELECT s_suppkey, {_told('s_suppkey', [c for *_, c in CLEANED])} AS clean FROM supplier")
+def f26(spark, sf_dir):
+    of = lambda k: _pick("s_suppkey", [c[k] for c in CLEANED])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", X.clean_address(of(0), of(1), of(2)).alias("clean"))
+
+
+SIGNS = [
+    ("ab12345", True, False, False), ("12345", False, False, False), ("ABCDEFG12345678", False, False, False), ("A1B2C3D4E5", True, False, False), ("SGP", False, True, False), ("sgp", False, False, False), (" usa ", False, False, False), (" USA ", False, True, False),
+    ("m", False, False, True), ("Female", False, False, True), ("X", False, False, True), ("Z", False, False, False), ("", False, False, False), (None, False, False, False),
+]
+
+
+@query("f28_recogniser_cases", "SELECT c_custkey, " + ", ".join(f"{_told('c_custkey', [s[k] for s in SIGNS], 'BOOLEAN')} AS {n}" for k, n in ((1, "passport"), (2, "country"), (3, "sex"))) + " FROM customer")
+def f28(spark, sf_dir):
+    text = _pick("c_custkey", [s[0] for s in SIGNS])
+    return table(spark, sf_dir, "customer").select("c_custkey", D.is_passport_number(text).alias("passport"), D.is_country_code(text).alias("country"), D.is_sex(text).alias("sex"))
+
+
+#: Fields of a record, those that failed, those required, and what is left and what is missing.
+RECORDS = [("a b c", "b", "a d", "a c", "d"), ("a b", "", "b a", "a b", ""), ("a", "a", "", "", ""), ("", "x", "z y", "", "y z"), ("c a", "z", "c", "a c", "")]
+
+
+@query("p19_u3_records", f"SELECT p_partkey, {_told('p_partkey', [r[3] for r in RECORDS])} AS kept, {_told('p_partkey', [r[4] for r in RECORDS])} AS missing FROM part")
+def p19(spark, sf_dir):
+    of = lambda k: F.filter(F.split(_pick("p_partkey", [r[k] for r in RECORDS]), " "), lambda x: x != "")
+    fields = F.map_from_arrays(of(0), F.transform(of(0), lambda x: F.upper(x)))
+    kept = F.array_join(F.array_sort(F.map_keys(V.drop_failed(fields, of(1)))), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", kept.alias("kept"), F.array_join(V.missing_fields(of(2), of(0)), " ").alias("missing"))
+
+
+VERIFIED = """WITH o AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 5 = 4 THEN '_m' ELSE 'f' || l_linenumber END AS field, max(l_partkey) AS p FROM lineitem WHERE l_linenumber < 6 GROUP BY 1, 2),
+    e AS (SELECT doc_id, field, CASE p % 4 WHEN 0 THEN 'Same' WHEN 1 THEN 'sa me' WHEN 2 THEN 'Other' END AS expected, p % 3 AS k FROM o),
+    j AS (SELECT *, CASE WHEN k > 0 THEN 'SAME' END AS found, CASE WHEN k > 0 THEN coalesce(lower(replace(expected, ' ', '')) = 'same', false) ELSE expected IS NULL END AS agrees FROM e WHERE field <> '_m')
+    SELECT doc_id, count(*) AS asked, count(*) FILTER (agrees) AS agreeing, count(*) FILTER (found IS NULL) AS missing, coalesce(string_agg(field, ' ' ORDER BY field) FILTER (NOT agrees), '') AS disagreeing FROM j GROUP BY 1"""
+
+
+@query("j12_verify_cases", VERIFIED)
+def j12(spark, sf_dir):
+    """Values that agree but for case and spaces, that differ, that are null on one side or both, and names that are no fields."""
+    n, k = F.col("l_linenumber"), F.col("k")
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber < 6").groupBy(F.col("l_orderkey").alias("doc_id"), F.when(n % 5 == 4, "_m").otherwise(F.concat(F.lit("f"), n.cast("string"))).alias("field")).agg(F.max("l_partkey").alias("k"))
+    lines = lines.select("doc_id", "field", F.when(k % 4 == 0, "Same").when(k % 4 == 1, "sa me").when(k % 4 == 2, "Other").alias("expected"), "k")
+    as_map = lambda df, c: df.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", c))).alias("fields"))
+    found = as_map(lines.filter("k % 3 > 0").withColumn("found", F.lit("SAME")), "found")
+    return V.verify_fields(as_map(lines, "expected"), found).select("doc_id", "asked", "agreeing", "missing", F.array_join("disagreeing", " ").alias("disagreeing"))
