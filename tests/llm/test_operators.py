@@ -432,6 +432,21 @@ class TestChat:
         assert sorted(found) == [1, 3] and [found[c].n_turns for c in (1, 3)] == [2, 3]
         assert found[1].text == "<|im_start|>user\na<|im_end|>\n<|im_start|>user\nb<|im_end|>\n" and len(found[3].text) > 1_000_000
 
+    def test_crowded_blocks(self, spark):
+        """Many turns of one number come in several parts, in the same order, and prefixes are told as before."""
+        rows = [(c, None, "user" if i % 3 else "assistant", f"t{i * 7919 % 97:03d}", i) for c, n in ((1, 60), (2, 60), (3, 20)) for i in range(n)] + [(4, k, "user", "x", 0) for k in range(3)] + [(1, 2000, "user", "end", 0)]
+        talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, sub int")
+        plain = {r.conv_id: r for r in chat.format_chats(talks).collect()}
+        found = {}
+        for r in sorted(chat.format_chats(talks, most=25).collect(), key=lambda r: (r.conv_id, r.part)):
+            found.setdefault(r.conv_id, []).append(r)
+        whole = {}
+        for r in sorted(chat.format_chats(talks).collect(), key=lambda r: (r.conv_id, r.part)):
+            whole[r.conv_id] = whole.get(r.conv_id, "") + r.text
+        assert {c: "".join(r.text for r in rs) for c, rs in found.items()} == whole and len(found[1]) > 2
+        assert all([r.part for r in rs] == list(range(len(rs))) and {r.n_turns for r in rs} == {plain[c].n_turns} for c, rs in found.items())
+        assert set(whole) == {1, 3, 4}
+
     def test_hash_clash_is_an_error(self, spark):
         turns = spark.createDataFrame([(1, 1, 1, "a", "-", "p"), (2, 1, 2, "b", "-", "p"), (2, 2, 2, "c", "p", "r")], "conv_id long, pos long, n_turns long, said string, before string, prefix string")
         with pytest.raises(Exception, match="same prefix hash"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 
-#: Turns that are handled together.
+#: Turn numbers that are handled together.
 BLOCK = 1024
 #: A turn as rendered: fixed values.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -26,50 +26,70 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), safe(role), F.lit("\n"), safe(text), F.lit(CLOSE + "\n"))
 
 
-def _turns(conversations: DataFrame, block: int) -> DataFrame:
-    """conv_id, block, turn, role, text of usable rows."""
+def usable_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """conv_id, block, turn, role, text and said, the digest of role and text.
+
+    Null turns come first, null roles count as `user`, null texts as empty; rows without a conv_id are left out.
+    """
     filled = [F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
-    return conversations.select("conv_id", *filled).filter("conv_id is not null").withColumn("block", F.expr(f"turn div {block}"))
+    said = F.unhex(F.sha2(F.concat_ws("\n", "role", "text"), 256))
+    return conversations.select("conv_id", *filled).filter("conv_id is not null").withColumn("block", F.expr(f"turn div {block}")).withColumn("said", said)
+
+
+def crowded_blocks(turns: DataFrame, most: int) -> DataFrame | None:
+    """conv_id, block, sub, turn, role, said, text of blocks with more than `most` turns, which ties alone can fill; None without one.
+
+    Their rows are dealt by ranges of turn, role and text, so that parts (sub) follow one another in the turns'
+    order and none grows with the block.
+    """
+    over = materialize(turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "chat-crowded")
+    if over.isEmpty():
+        return None
+    rows = turns.join(over, ["conv_id", "block"], "left_semi").distinct()
+    parts = max(2, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(rows.repartitionByRange(parts, "conv_id", "block", "turn", "role", "text").withColumn("sub", F.spark_partition_id()), "chat-parts")
 
 
-def numbered_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, block, pos, n_turns, said, before and prefix: the turns in order, with the rolling hash before and after each.
+def numbered_turns(turns: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+    """conv_id, block, sub, pos, n_turns, said, before and prefix: the turns in order, with the rolling hash before and after each.
 
-    Turns are ordered by turn, then role, then text; null turns come first, null roles count as `user`, null
-    texts as empty, rows without a conv_id are left out, and rows equal in all four columns count once.
+    Turns are ordered by turn, then role, then text; rows equal in all four columns count once.
     said is the digest of role and text, which stands for them, so texts are not carried along; only rows tied in
     turn and role are looked up again to be ordered by text. The hash of a prefix is the sum of its turns' hashes,
     each taken together with its position.
     """
-    turns = _turns(conversations, block)
-    said = F.unhex(F.sha2(F.concat_ws("\n", "role", "text"), 256)).alias("said")
-    once = materialize(turns.groupBy("conv_id", "block", "turn", "role", said).agg(F.lit(1).alias("one")).drop("one"), "chat-turns")
+    once = materialize(turns.groupBy("conv_id", "block", "turn", "role", "said").agg(F.lit(1).alias("one")).drop("one"), "chat-turns")
     place = ["conv_id", "block", "turn", "role"]
+    once = once.withColumn("sub", F.lit(0)) if crowded is None else once.join(crowded.select(*place, "said", "sub"), [*place, "said"], "left").withColumn("sub", F.coalesce("sub", F.lit(0)))
     tied = once.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     ranked = once.withColumn("rank", F.lit(0))
     if not tied.isEmpty():
-        texts = turns.join(tied, place, "left_semi").select(*place, said, "text").distinct()
-        ranks = texts.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("text"))).drop("text")
+        texts = turns.join(tied, place, "left_semi").select(*place, "said", "text").distinct()
+        if crowded is not None:
+            texts = texts.join(crowded.select(*place, "said", "sub"), [*place, "said"], "left")
+        part = F.coalesce("sub", F.lit(0)) if crowded is not None else F.lit(0)
+        ranks = texts.withColumn("rank", F.row_number().over(Window.partitionBy(*place, part).orderBy("text"))).select(*place, "said", "rank")
         ranked = once.join(ranks, [*place, "said"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
-    whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "rank")
+    cell = ["conv_id", "block", "sub"]
+    whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*cell).orderBy("turn", "role", "rank")
 
-    counts = once.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
-    placed = ranked.join(offsets, ["conv_id", "block"]).withColumn("pos", F.col("skip") + F.row_number().over(inside))
+    counts = once.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
+    placed = ranked.join(offsets, cell).withColumn("pos", F.col("skip") + F.row_number().over(inside))
     # Four sums of 32-bit numbers: they cannot overflow, and together they are a hash of 128 bits.
     for k, (seed, right) in enumerate([(1, 0), (1, 32), (2, 0), (2, 32)]):
         h = F.xxhash64(F.lit(seed), "pos", "said")
         placed = placed.withColumn(f"h{k}", F.shiftrightunsigned(F.shiftleft(h, 32) if right == 0 else h, 32))
     hashes = [f"h{k}" for k in range(4)]
-    placed = materialize(placed.select("conv_id", "block", "pos", "n_turns", "said", *hashes), "chat-places")
-    sums = placed.groupBy("conv_id", "block").agg(*[F.sum(h).alias(h) for h in hashes])
-    carried = sums.select("conv_id", "block", *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"c{h}") for h in hashes])
-    running = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = materialize(placed.select(*cell, "pos", "n_turns", "said", *hashes), "chat-places")
+    sums = placed.groupBy(*cell).agg(*[F.sum(h).alias(h) for h in hashes])
+    carried = sums.select(*cell, *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"c{h}") for h in hashes])
+    running = Window.partitionBy(*cell).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     after = [F.col(f"c{h}") + F.sum(h).over(running) for h in hashes]
     digest = lambda sums: F.unhex(F.substring(F.sha2(F.concat_ws(":", *[s.cast("string") for s in sums]), 256), 1, 32))
-    ended = placed.join(carried, ["conv_id", "block"]).select("conv_id", "block", "pos", "n_turns", "said", *hashes, *[a.alias(f"a{h}") for a, h in zip(after, hashes)])
-    return ended.select("conv_id", "block", "pos", "n_turns", "said", digest([F.col(f"a{h}") - F.col(h) for h in hashes]).alias("before"), digest([F.col(f"a{h}") for h in hashes]).alias("prefix"))
+    ended = placed.join(carried, cell).select(*cell, "pos", "n_turns", "said", *hashes, *[a.alias(f"a{h}") for a, h in zip(after, hashes)])
+    return ended.select(*cell, "pos", "n_turns", "said", digest([F.col(f"a{h}") - F.col(h) for h in hashes]).alias("before"), digest([F.col(f"a{h}") for h in hashes]).alias("prefix"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -90,20 +110,26 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     return whole.join(inner, ["n_turns", "prefix"], "left_anti").select("conv_id", "n_turns")
 
 
-def format_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+def format_chats(conversations: DataFrame, block: int = BLOCK, most: int = 16 * BLOCK) -> DataFrame:
     """Rendered maximal conversations: conv_id, part, n_turns, text.
 
     A conversation is one row of part 0, or several to be joined by part where it spans several blocks of turn
-    numbers. See numbered_turns for nulls, ties and repeated rows; a text of any length is rendered whole, an empty
-    table gives an empty result, and other columns are ignored. Texts are read once for this, by conversation and block.
+    numbers, or has more than `most` turns in one block. See usable_turns and numbered_turns for nulls, ties and
+    repeated rows; a text of any length is rendered whole, an empty table gives an empty result, and other columns are
+    ignored. Texts are read once for this, by conversation and block.
     """
-    turns = materialize(numbered_turns(conversations, block), "chat-prefixes")
-    kept = maximal_conversations(turns).select("conv_id")
+    turns = usable_turns(conversations, block)
+    crowded = crowded_blocks(turns, most)
+    numbered = materialize(numbered_turns(turns, crowded), "chat-prefixes")
+    kept = maximal_conversations(numbered).select("conv_id")
     # The blocks of what stays; texts go to them at once, and no conversation lies in one task as a whole.
-    blocks = turns.select("conv_id", "block", "n_turns").distinct().join(kept, "conv_id", "left_semi")
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    blocks = blocks.withColumn("part", number)
+    cell = ["conv_id", "block", "sub"]
+    blocks = numbered.select(*cell, "n_turns").distinct().join(kept, "conv_id", "left_semi")
+    blocks = blocks.withColumn("part", F.row_number().over(Window.partitionBy("conv_id").orderBy("block", "sub")) - 1)
+    texts = turns.select("conv_id", "block", F.lit(0).alias("sub"), "turn", "role", "text")
+    if crowded is not None:
+        texts = texts.join(crowded.select("conv_id", "block").distinct(), ["conv_id", "block"], "left_anti").select(texts.columns).unionByName(crowded.select(texts.columns))
     line = F.struct("turn", "role", "text")
-    parts = _turns(conversations, block).join(blocks, ["conv_id", "block"]).groupBy("conv_id", "block", "n_turns", "part").agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    parts = texts.join(blocks, cell).groupBy(*cell, "n_turns", "part").agg(F.array_sort(F.collect_set(line)).alias("lines"))
     said = F.transform("lines", lambda x: rendered(x["role"], x["text"]))
     return parts.select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(said, "").alias("text"))
