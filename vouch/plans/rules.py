@@ -112,8 +112,8 @@ _best = lambda groups, what: "CASE " + " ".join(f"WHEN {_hits(ws)} = greatest({'
 @query("f21_detect_parts", rf"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
     b AS (SELECT doc_id, {_best(TYPES, lambda n, ws: f"'{n}'")} AS type, coalesce({_best(TYPES, lambda n, ws: f"least({_hits(ws)} / {len(ws)} * CASE WHEN {_hits(ws)} >= 3 THEN 1.2 ELSE 1.0 END, 1.0)")}, 0) AS tc,
           {_best(OWNERS, lambda n, ws: f"'{n}'")} AS entity, coalesce({_best(OWNERS, lambda n, ws: f"least(least({_hits(ws)} / 3, 1) * CASE WHEN {_hits(ws)} >= 2 THEN 1.2 ELSE 1.0 END, 1.0)")}, 0) AS ec,
-          CASE {' '.join(f"WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ns)})($|[^\p{{L}}\p{{N}}_])') THEN '{c}'" for c, (ns, _) in LANDS.items())} END AS country,
-          CASE {' '.join(f"WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ns)})($|[^\p{{L}}\p{{N}}_])') THEN least(0.7 + 0.1 * {_hits(ws) if ws else 0}, 1.0)" for ns, ws in LANDS.values())} ELSE 0 END AS cc FROM a)
+          CASE {' '.join(rf"WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ns)})($|[^\p{{L}}\p{{N}}_])') THEN '{c}'" for c, (ns, _) in LANDS.items())} END AS country,
+          CASE {' '.join(rf"WHEN regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ns)})($|[^\p{{L}}\p{{N}}_])') THEN least(0.7 + 0.1 * {_hits(ws) if ws else 0}, 1.0)" for ns, ws in LANDS.values())} ELSE 0 END AS cc FROM a)
     SELECT doc_id, type, country, entity, round(CAST(tc AS DOUBLE), 6) AS type_confidence, round(CAST(cc AS DOUBLE), 6) AS country_confidence, round(CAST(ec AS DOUBLE), 6) AS entity_confidence, round(CAST(tc * 0.4 + cc * 0.3 + ec * 0.3 AS DOUBLE), 6) AS confidence FROM b""")
 def f21(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", E.detect_parts(F.col("text"), TYPES, LANDS, OWNERS).alias("d")).select("doc_id", "d.*")
