@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vouch.plans.tables import scratch_dir, table
-from vouch.streaming import feeds
+from vouch.streaming import feeds, stateful
 
 Q, O = {}, {}
 AS_OF = datetime.datetime(2024, 1, 31)
@@ -153,3 +153,80 @@ def t11s(spark, sf_dir):
     cache = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("query"), F.col("ts").cast("timestamp").alias("cached_at"))
     hit, miss = feeds.cached(requests, cache, AS_OF, 1)
     return hit.select("page_id", F.lit(True).alias("hit")).unionByName(miss.select("page_id", F.lit(False).alias("hit")))
+
+
+def _parts(frame, column="ts"):
+    """frame in four parts of time, as they would come."""
+    return [stateful.between(frame, column, low, high) for low, high in zip((None, *CUTS), (*CUTS, None))]
+
+
+#: The watermark's time in milliseconds once all events are in; timers that lie at or before it have fired.
+_mark = lambda hours: f"(SELECT epoch_us(max(ts)) // 1000 - {hours * 3_600_000} FROM events)"
+
+
+@query("t7s_code_events", f"""
+    WITH e AS (SELECT user_id AS number, event_id AS id, ts, event_type = 'signup' AS issue, event_id % 4 AS code, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+    i AS (SELECT number, turn, code, ts + INTERVAL 36 HOUR AS expires_at, lead(ts) OVER (PARTITION BY number ORDER BY turn) AS next FROM e WHERE issue),
+    a AS (SELECT e.number, e.id, e.ts, e.turn, e.ts < i.expires_at AS alive, e.code = i.code AS ok, row_number() OVER (PARTITION BY e.number, e.turn ORDER BY e.ts, e.id) AS n, i.number IS NULL AS lost
+          FROM e LEFT JOIN i ON i.number = e.number AND i.turn = e.turn WHERE NOT e.issue),
+    f AS (SELECT *, min(CASE WHEN ok AND alive AND n <= 3 THEN n END) OVER (PARTITION BY number, turn) AS hit, count(*) FILTER (alive) OVER (PARTITION BY number, turn) AS tried FROM a),
+    tries AS (SELECT number, id, CASE WHEN lost THEN 'not_found' WHEN n > hit THEN 'already_used' WHEN NOT alive THEN 'expired' WHEN n = hit THEN 'verified' WHEN n > 3 THEN 'max_attempts_exceeded' ELSE 'invalid_code' END AS status,
+              CASE WHEN lost THEN 0 ELSE least(n, coalesce(hit, 3), 3, tried) END AS attempts, ts AS happened_at FROM f),
+    ends AS (SELECT i.number, CAST(NULL AS BIGINT) AS id, 'expire' AS status, (SELECT least(count(*), 3) FROM a WHERE a.number = i.number AND a.turn = i.turn AND a.alive) AS attempts, i.expires_at AS happened_at
+             FROM i WHERE (next IS NULL OR next >= expires_at) AND NOT EXISTS (SELECT 1 FROM f WHERE f.number = i.number AND f.turn = i.turn AND hit IS NOT NULL)
+             AND (epoch_us(expires_at) // 1000 + 1 <= {_mark(1)} OR EXISTS (SELECT 1 FROM e WHERE e.number = i.number AND e.ts >= i.expires_at)))
+    SELECT number, id, status, CAST(attempts AS INTEGER) AS attempts, happened_at FROM (SELECT * FROM tries UNION ALL SELECT * FROM ends UNION ALL SELECT number, id, 'issued', 0, ts FROM e WHERE issue)""")
+def t7s_codes(spark, sf_dir):
+    """Signups open a code for 36 hours, every other event of a user is an attempt; four batches."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("number"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "issue").otherwise("attempt").alias("kind"),
+        (F.col("event_id") % 4).cast("string").alias("code"), (F.col("ts") + F.expr("INTERVAL 36 HOURS")).cast("timestamp").alias("expires_at"), F.lit(3).alias("most"),
+    )
+    return stateful.drain_parts(_parts(rows), _path(spark, "t7s-codes"), stateful.code_events)
+
+
+@query("t11s_cached_stream", """
+    WITH RECURSIVE r AS (SELECT CAST(user_id % 50 AS VARCHAR) AS query, event_type AS provider, event_id AS id, ts FROM events),
+    fills AS (SELECT query, provider, min(ts) AS filled FROM r GROUP BY 1, 2 UNION ALL
+              SELECT f.query, f.provider, (SELECT min(ts) FROM r WHERE r.query = f.query AND r.provider = f.provider AND r.ts >= f.filled + INTERVAL 24 HOUR) AS filled FROM fills f WHERE f.filled IS NOT NULL),
+    spans AS (SELECT query, provider, filled, lead(filled) OVER (PARTITION BY query, provider ORDER BY filled) AS upto FROM fills WHERE filled IS NOT NULL)
+    SELECT r.query, r.provider, r.id, r.ts <> s.filled AS hit, s.filled AS cached_at FROM r JOIN spans s ON s.query = r.query AND s.provider = r.provider AND r.ts >= s.filled AND (s.upto IS NULL OR r.ts < s.upto)""")
+def t11s_stream(spark, sf_dir):
+    """Each event asks its provider for one of fifty queries; four batches."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("query"), F.col("event_type").alias("provider"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return stateful.drain_parts(_parts(rows), _path(spark, "t11s-stream"), stateful.cached_requests)
+
+
+@query("t10s_recovered_stream", """
+    WITH j AS (SELECT event_id % 499 AS job_id, event_id, ts, event_type, event_id % 4 AS retry_count, event_type IN ('error', 'view') AS ended,
+                      (event_type IN ('signup', 'purchase') OR (event_type = 'click' AND ts < TIMESTAMP '2024-01-21')) AND event_id % 4 < 3 AND event_id % 11 <> 0 AS goes FROM events),
+    g AS (SELECT *, coalesce(sum(CAST(ended AS INTEGER)) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS turn FROM j),
+    n AS (SELECT *, row_number() OVER (PARTITION BY job_id, turn ORDER BY ts) AS nth FROM g WHERE goes)
+    SELECT job_id, ts, CAST(retry_count AS INTEGER) AS retry_count FROM n WHERE nth = 1 AND NOT (turn = 0 AND job_id % 3 = 0)""")
+def t10s_stream(spark, sf_dir):
+    """Four starts of one stream, each from the checkpoint of the one before; every third job is in the queue at the first."""
+    kind = F.when(F.col("event_type").isin("error", "view"), "done").when(F.col("event_type") == "click", "processing").otherwise("pending")
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 499).alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("status"), (F.col("event_id") % 4).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"),
+        F.when(F.col("event_id") % 11 != 0, "server").alias("server"), F.col("ts").cast("timestamp").alias("started_at"),
+    )
+    tracked = rows.filter("job_id % 3 = 0").select("job_id")
+    return stateful.drain_parts(_parts(rows), _path(spark, "t10s-stream"), lambda feed: stateful.recovered_jobs(feed, tracked, AS_OF, 240))
+
+
+SNAPS = ["2024-01-08", "2024-01-16", "2024-01-24", "2024-01-31"]
+_snap = lambda i: f"s{i} AS (SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS value FROM events WHERE ts < TIMESTAMP '{SNAPS[i]}' GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) <> 'error')"
+_step = lambda i: f"""SELECT coalesce(n.key, o.key) AS key, CASE WHEN o.key IS NULL THEN 'insert' WHEN n.key IS NULL THEN 'delete' ELSE 'update' END AS change_type, o.value AS old_value, n.value AS new_value, TIMESTAMP '{SNAPS[i]}' AS happened_at
+    FROM s{i} n FULL JOIN s{i - 1} o ON o.key = n.key WHERE o.value IS DISTINCT FROM n.value"""
+
+
+@query("s14_change_types", f"WITH {', '.join(_snap(i) for i in range(4))} {' UNION ALL '.join(_step(i) for i in range(1, 4))}")
+def s14_types(spark, sf_dir):
+    """Four snapshots of each user's last event; a user whose last one is an error is not in a snapshot."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def snapshot(at):
+        last = stateful.between(events, "ts", None, at).groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("value"))
+        return last.filter("value <> 'error'").withColumn("ts", F.lit(at).cast("timestamp"))
+
+    return stateful.drain_parts([snapshot(at) for at in SNAPS], _path(spark, "s14-types"), stateful.change_feed)

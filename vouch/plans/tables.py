@@ -25,14 +25,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{(base or 'file:///tmp/vouch-scratch').rstrip('/')}/vouch-{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 #: Where the people of a folder are written, by application and folder: screening reads them several times in one query.
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A person for each document, as described below; written once in an application, and read from there by every query."""
+    """A person for each document, as described below; written once in an application, and again if the table is gone."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not exists(spark, f"{_WRITTEN[key]}/_SUCCESS"):
         path = f"{scratch_dir(spark)}/people-{uuid.uuid4().hex}"
         derived_people(spark, sf_dir).write.parquet(path)
         _WRITTEN[key] = path
