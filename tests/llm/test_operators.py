@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +21,7 @@ from tests.llm.conftest import ODD
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TEXTS = [t or "" for _, t, *_ in ODD]
+ROOT = Path(__file__).resolve().parents[2]
 
 
 @pytest.fixture(scope="module")
@@ -447,6 +451,21 @@ class TestChat:
         assert all([r.part for r in rs] == list(range(len(rs))) and {r.n_turns for r in rs} == {plain[c].n_turns} for c, rs in found.items())
         assert set(whole) == {1, 3, 4}
 
+    def test_parts_by_bytes(self, spark):
+        """Long texts of one block come in parts of bounded bytes, however few they are."""
+        rows = [(1, i, "user", "ab"[i % 2] * 1000) for i in range(40)] + [(2, 0, "user", "short")]
+        talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        found = sorted(chat.format_chats(talks, room=5000).collect(), key=lambda r: (r.conv_id, r.part))
+        long = [r.text for r in found if r.conv_id == 1]
+        assert len(long) >= 8 and max(map(len, long)) < 8000 and [r.part for r in found] == [*range(len(long)), 0]
+        assert "".join(long) == next(r.text for r in chat.format_chats(talks).collect() if r.conv_id == 1)
+
+    def test_roles_and_texts_apart(self, spark):
+        """A line break at the end of a role or in a text does not make turns equal."""
+        rows = [("a", 0, "user\nx", "y"), ("b", 0, "user", "x\ny")]
+        found = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+        assert {r.conv_id for r in found} == {"a", "b"}
+
     def test_hash_clash_is_an_error(self, spark):
         turns = spark.createDataFrame([(1, 1, 1, "a", "-", "p"), (2, 1, 2, "b", "-", "p"), (2, 2, 2, "c", "p", "r")], "conv_id long, pos long, n_turns long, said string, before string, prefix string")
         with pytest.raises(Exception, match="same prefix hash"):
@@ -627,3 +646,25 @@ def test_scratch_and_small(spark):
     df = spark.range(5)
     assert common.materialize(df, "x").count() == 5 and common.small(df).count() == 5
     assert common.scratch_dir(spark).startswith("file://")
+
+
+def test_release_leaves_the_library_alone(spark):
+    """Screening goes on after the scratch tables of this package are gone, and after its own are."""
+    from vouch.plans import tables
+
+    sf = "/root/testdata/sf0.001"
+    once = tables.people(spark, sf).count()
+    common.materialize(spark.range(3), "x")
+    common.release(spark)
+    assert tables.people(spark, sf).count() == once
+    common._remove(spark, tables.scratch_dir(spark))
+    assert tables.people(spark, sf).count() == once
+
+
+@pytest.mark.parametrize("library", ["ahocorasick", "public_tokenizers", "regex", "tiktoken", "xxhash", "zstandard", "vouch.llm"])
+def test_entry_without_a_library(library):
+    """The entry module names the library's own queries whatever is missing for this package, and fails for its own parts."""
+    code = f"import sys; sys.modules[{library!r}] = None; import __spark_entry__ as e; from vouch import queries as q; assert set(q.QUERIES) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+    code = "import sys; sys.modules['vouch.operators'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, stderr=subprocess.DEVNULL).returncode != 0

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, small
+from .scans import scan
 
-#: Turn numbers that are handled together.
-BLOCK = 1024
+#: Turn numbers that are handled together; bytes of text that are rendered together.
+BLOCK, ROOM = 1024, 1 << 28
 #: A turn as rendered: fixed values.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -32,22 +33,26 @@ def usable_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     Null turns come first, null roles count as `user`, null texts as empty; rows without a conv_id are left out.
     """
     filled = [F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
-    said = F.unhex(F.sha2(F.concat_ws("\n", "role", "text"), 256))
+    # The role's length keeps role and text apart.
+    said = F.unhex(F.sha2(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text"), 256))
     return conversations.select("conv_id", *filled).filter("conv_id is not null").withColumn("block", F.expr(f"turn div {block}")).withColumn("said", said)
 
 
-def crowded_blocks(turns: DataFrame, most: int) -> DataFrame | None:
-    """conv_id, block, sub, turn, role, said, text of blocks with more than `most` turns, which ties alone can fill; None without one.
+def crowded_blocks(turns: DataFrame, most: int, room: int = ROOM) -> DataFrame | None:
+    """conv_id, block, sub, turn, role, said, text of blocks with more than `most` turns, which ties alone can fill, or `room` bytes of text; None without one.
 
-    Their rows are dealt by ranges of turn, role and text, so that parts (sub) follow one another in the turns'
-    order and none grows with the block.
+    Their rows are dealt in the turns' order by running sums of rows and bytes, so no part (sub) has more than
+    `most` turns, or more than `room` bytes beside its first turn.
     """
-    over = materialize(turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).drop("n"), "chat-crowded")
+    size = F.octet_length("text").cast("long")
+    sums = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    over = materialize(sums.filter((F.col("n") > most) | (F.col("bytes") > room)).select("conv_id", "block"), "chat-crowded")
     if over.isEmpty():
         return None
-    rows = turns.join(over, ["conv_id", "block"], "left_semi").distinct()
-    parts = max(2, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialize(rows.repartitionByRange(parts, "conv_id", "block", "turn", "role", "text").withColumn("sub", F.spark_partition_id()), "chat-parts")
+    rows = turns.join(small(over), ["conv_id", "block"], "left_semi").distinct().withColumn("one", F.lit(1).cast("long")).withColumn("bytes", size)
+    told = scan(rows, ["conv_id", "block"], ["turn", "role", "text"], ["one", "bytes"], label="chat-parts")
+    sub = F.expr(f"(sum_one - 1) div {most} + (sum_bytes - bytes) div {room}")
+    return told.withColumn("sub", sub.cast("long")).drop("one", "bytes", "sum_one", "sum_bytes")
 
 
 def numbered_turns(turns: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
@@ -60,7 +65,7 @@ def numbered_turns(turns: DataFrame, crowded: DataFrame | None = None) -> DataFr
     """
     once = materialize(turns.groupBy("conv_id", "block", "turn", "role", "said").agg(F.lit(1).alias("one")).drop("one"), "chat-turns")
     place = ["conv_id", "block", "turn", "role"]
-    once = once.withColumn("sub", F.lit(0)) if crowded is None else once.join(crowded.select(*place, "said", "sub"), [*place, "said"], "left").withColumn("sub", F.coalesce("sub", F.lit(0)))
+    once = once.withColumn("sub", F.lit(0).cast("long")) if crowded is None else once.join(crowded.select(*place, "said", "sub"), [*place, "said"], "left").withColumn("sub", F.coalesce("sub", F.lit(0).cast("long")))
     tied = once.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     ranked = once.withColumn("rank", F.lit(0))
     if not tied.isEmpty():
@@ -110,23 +115,23 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     return whole.join(inner, ["n_turns", "prefix"], "left_anti").select("conv_id", "n_turns")
 
 
-def format_chats(conversations: DataFrame, block: int = BLOCK, most: int = 16 * BLOCK) -> DataFrame:
+def format_chats(conversations: DataFrame, block: int = BLOCK, most: int = 16 * BLOCK, room: int = ROOM) -> DataFrame:
     """Rendered maximal conversations: conv_id, part, n_turns, text.
 
     A conversation is one row of part 0, or several to be joined by part where it spans several blocks of turn
-    numbers, or has more than `most` turns in one block. See usable_turns and numbered_turns for nulls, ties and
+    numbers, or has more than `most` turns or `room` bytes of text in one block. See usable_turns and numbered_turns for nulls, ties and
     repeated rows; a text of any length is rendered whole, an empty table gives an empty result, and other columns are
     ignored. Texts are read once for this, by conversation and block.
     """
     turns = usable_turns(conversations, block)
-    crowded = crowded_blocks(turns, most)
+    crowded = crowded_blocks(turns, most, room)
     numbered = materialize(numbered_turns(turns, crowded), "chat-prefixes")
     kept = maximal_conversations(numbered).select("conv_id")
     # The blocks of what stays; texts go to them at once, and no conversation lies in one task as a whole.
     cell = ["conv_id", "block", "sub"]
     blocks = numbered.select(*cell, "n_turns").distinct().join(kept, "conv_id", "left_semi")
     blocks = blocks.withColumn("part", F.row_number().over(Window.partitionBy("conv_id").orderBy("block", "sub")) - 1)
-    texts = turns.select("conv_id", "block", F.lit(0).alias("sub"), "turn", "role", "text")
+    texts = turns.select("conv_id", "block", F.lit(0).cast("long").alias("sub"), "turn", "role", "text")
     if crowded is not None:
         texts = texts.join(crowded.select("conv_id", "block").distinct(), ["conv_id", "block"], "left_anti").select(texts.columns).unionByName(crowded.select(texts.columns))
     line = F.struct("turn", "role", "text")

@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one."""
-    return f"{shared_dir(spark)}/vouch-{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one, for this package alone."""
+    return f"{shared_dir(spark)}/vouch-llm-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -76,7 +76,7 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; results that still read them must be written first."""
+    """Deletes this application's scratch tables of this package; results that still read them must be written first."""
     _remove(spark, scratch_dir(spark))
 
 

@@ -122,7 +122,7 @@ ORACLES = {
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
                    '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS line
             FROM t),
-        plain AS (SELECT conv_id, list(role || chr(10) || text ORDER BY pos) AS turns, string_agg(line, '' ORDER BY pos) AS text, count(*) AS n_turns FROM said GROUP BY conv_id),
+        plain AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns, string_agg(line, '' ORDER BY pos) AS text, count(*) AS n_turns FROM said GROUP BY conv_id),
         heads AS (SELECT DISTINCT list_slice(turns, 1, i) AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS i FROM plain)),
         firsts AS (SELECT turns, min(conv_id) AS conv_id FROM plain GROUP BY turns)
         SELECT conv_id, 0 AS part, n_turns, text FROM plain
