@@ -215,9 +215,9 @@ class TestMix:
             spark.conf.set("spark.sql.shuffle.partitions", "3")
 
     def test_odd_and_empty(self, spark, odd, none):
-        docs = odd.withColumn("source", F.col("lang"))
+        docs = odd.withColumn("source", F.col("key"))
         assert mixing.taken_words(docs).count() == odd.count()
-        assert mixing.taken_words(none.withColumn("source", F.col("lang"))).count() == 0
+        assert mixing.taken_words(none.withColumn("source", F.col("key"))).count() == 0
         wordless = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
         assert sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.taken_words(wordless).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
 

@@ -174,7 +174,7 @@ class Lists:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, other, rest, front, size, word, n) sorted by cell and rest to near pairs (word, n, near, near_n), both ways round.
 
-    A word of `size` code points asks, one of size + 1 is only found; `front` tells whether the beginning was shared.
+    A word of `size` code points asks, one of size + 1 is only found; `front` is explained at _cells.
     """
     held: list[pa.RecordBatch] = []
 
@@ -201,7 +201,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = lists.sizes[q] == lists.sizes[s]
                 # Words of one length find each other, so one direction of them counts.
                 keep = ~same | (q < s)
-                # What shares the whole half is found by the halves' beginnings.
+                # A letter more at the end: such words meet in the other half too.
                 longer = np.flatnonzero(keep & ~same & ~front[q])
                 if len(longer):
                     whole = np.array([rests[b].startswith(rests[a]) for a, b in zip(q[longer], s[longer])])
@@ -233,20 +233,21 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, other, rest, front, size, word, n) to those of the two halves: what is shared goes into the cell's name.
 
     size is the shorter words' length of rest in a cell; a front half leaves the end of rest, a back half its
-    beginning. Cells are named by two hashes of what is shared, 128 bits together.
+    beginning. front stays true as long as all that is shared stood in front: words that differ by a letter at the
+    end of rest meet in both halves, and count in such cells alone. Cells are named by two hashes of what is shared, 128 bits together.
     """
     import xxhash
 
     for part in slices(batches, 8192):
-        cells, others, rests, sizes = (part.column(k).to_pylist() for k in (0, 1, 2, 4))
+        cells, others, rests, fronts, sizes = (part.column(k).to_pylist() for k in range(5))
         out: list[list] = [[] for _ in range(5)]
-        for c, o, rest, size in zip(cells, others, rests, sizes):
+        for c, o, rest, all_front, size in zip(cells, others, rests, fronts, sizes):
             half = size // 2
             back = size - half
             for front, shared, left, n in ((True, rest[:half], rest[half:], back), (False, rest[len(rest) - back :], rest[: len(rest) - back], half)):
                 name = f"{c}:{o}:{size}:{front:d}:{shared}".encode("utf-8", "surrogatepass")
                 h = xxhash.xxh3_128_intdigest(name)
-                for column, x in zip(out, ((h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), left, front, n)):
+                for column, x in zip(out, ((h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), left, front and all_front, n)):
                     column.append(x)
         twice = pa.array(np.repeat(np.arange(part.num_rows), 2))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32())
