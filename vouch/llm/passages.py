@@ -5,8 +5,8 @@ words themselves choose: a cut lies where the hash of two neighbouring words is
 either side. Copies of a passage are then cut alike, but for their first and last few words. Paragraphs get
 MinHash bands over shingles of five words; paragraphs that share a band meet, pairs are verified by exact
 Jaccard similarity of their shingle sets, and classes of like paragraphs are connected components. Adjacent
-paragraphs that other documents have too are joined into passages, whose ends are then moved outwards word by
-word as far as the first or the last document with a like paragraph goes along.
+paragraphs that other documents have too are joined into passages, whose ends are then moved word by word to where
+the first or the last document with a like paragraph ceases to go along.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ASCII_LOWER, materialize, slices, text_of, with_range
+from .common import ASCII_LOWER, materialize, slices, small, text_of, with_range
 from .components import components
 
 #: Words on either side among which a cut is least; at most so many words in a paragraph; words of a shingle.
@@ -29,12 +29,12 @@ BANDS, EACH = 3, 2
 SIMILAR = 0.8
 #: Words from which a passage counts, its ends included.
 LEAST = 40
-#: Most words that an end is moved by; most words between two runs of an edited passage that are counted together.
-GROWN, GAP = 24, 16
-#: Paragraphs of one band that are paired directly; more are dealt by further MinHash bands and compared as groups.
+#: Most words by which an end lies beyond its paragraph, as many as a paragraph may have; most words between two runs of an edited passage that are counted together.
+GROWN, GAP = LONGEST, 16
+#: Paragraphs of one band that are paired directly; more are compared as groups.
 FEW = 8
-#: Further bands into which a full band is split, and paragraphs of one band that are compared all with all.
-SPLITS, GROUP = 6, 128
+#: Paragraphs of one band that are compared all with all, and kinds of them in a block of a larger one.
+GROUP, KINDS = 128, 2048
 #: Different contents of which each task keeps a count, so that a line of a third of all documents is one row of each task.
 HELD = 8192
 TOP = np.uint64(2**64 - 1)
@@ -169,22 +169,32 @@ MET = "u long, v long, cell long"
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (key, h, low, high) sorted by key and h: paragraphs of several documents (u = v), pairs that meet,
-    and the members of bands where many meet (cell)."""
+    and the members of bands where many meet (cell).
+
+    Of a band that goes over several batches no more is held than FEW paragraphs and a batch: once it has more, its
+    members are told as they come.
+    """
     held: list[np.ndarray] | None = None
+    many: int | None = None
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
         if held is not None:
             columns = [np.r_[a, b] for a, b in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        columns = _joined(columns)
         key = columns[0]
         last = int(np.searchsorted(key, key[-1]))
-        held = [c[last:] for c in columns]
-        if last:
-            yield from _met([c[:last] for c in columns])
-        elif len(key) > 100_000:
-            # One band over many batches: equal paragraphs are joined before more is read.
-            held = _joined(held)
+        if len(key) - last > FEW:
+            # The last band is one of many; its last paragraph may go on in the next batch.
+            told, held = [c[:-1] for c in columns], [c[-1:] for c in columns]
+        else:
+            told, held = [c[:last] for c in columns], [c[last:] for c in columns]
+        if len(told[0]):
+            yield from _met(told, many, int(key[-1]) if len(key) - last > FEW else None)
+        many = int(key[-1]) if len(key) - last > FEW or (many is not None and key[-1] == many) else None
     if held is not None and len(held[0]):
-        yield from _met(held)
+        yield from _met(held, many, None)
 
 
 def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -194,8 +204,9 @@ def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [key[at], h[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)]
 
 
-def _met(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    key, h, low, high = _joined(columns)
+def _met(columns: list[np.ndarray], first: int | None, last: int | None) -> Iterator[pa.RecordBatch]:
+    """What meets in these bands; `first` and `last` are bands that are known to be of many."""
+    key, h, low, high = columns
 
     def rows(a: np.ndarray, b: np.ndarray, cell: pa.Array | None = None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b]), cell if cell is not None else pa.nulls(len(a), pa.int64())], ["u", "v", "cell"])
@@ -204,6 +215,9 @@ def _met(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield rows(same, same)
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.repeat(np.diff(edge), np.diff(edge))
+    for band in (first, last):
+        if band is not None:
+            size[key == band] = FEW + 1
     for d in range(1, FEW):
         pairs = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= FEW)) if len(key) > d else np.zeros(0, np.int64)
         if not len(pairs):
@@ -228,23 +242,6 @@ def _paragraph_rows(docs: DataFrame, with_sets: bool) -> DataFrame:
     return docs.mapInArrow(run, "h long, shingles array<long>" if with_sets else "doc_id long, start int, n int, h long")
 
 
-def _split(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    """(cell, h, shingles) to finer cells by further MinHash values, whose functions each cell has of its own.
-
-    The first time each row goes to SPLITS cells, afterwards to one, so rows are not multiplied from level to level.
-    """
-    for batch in slices(batches, 4096):
-        cells, shingles = batch.column(0).to_numpy().view(np.uint64), batch.column(2)
-        flat, sizes = shingles.flatten().to_numpy().view(np.uint64), shingles.value_lengths().to_numpy()
-        starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        for split in range(1 if level else SPLITS):
-            key = cells * ODD[6] + np.uint64(split + 1)
-            for k in range(1 if level else EACH):
-                own = np.repeat(_mix(key + np.uint64(k + 1)), sizes)
-                key = _mix(key * ODD[5] + np.minimum.reduceat(_mix(flat ^ own), starts))
-            yield pa.RecordBatch.from_arrays([_longs(key), batch.column(1), shingles], ["cell", "h", "shingles"])
-
-
 def _alike(h: list[int], sets: list[set], similar: float) -> Iterator[tuple]:
     """Links of one group by exact similarity; what is linked is not compared again."""
     left = list(range(len(h)))
@@ -256,89 +253,106 @@ def _alike(h: list[int], sets: list[set], similar: float) -> Iterator[tuple]:
             for y in left:
                 if len(sets[x] & sets[y]) >= similar * len(sets[x] | sets[y]):
                     frontier.append(y)
-                    yield h[x], h[y], None
+                    yield h[x], h[y]
                 else:
                     rest.append(y)
             left = rest
 
 
-class Firsts:
-    """Links of a group of any size, row by row: each with every first that it is like, else it is a first itself.
-
-    Past GROUP firsts, rows like none of them are passed on, to be split by further functions.
-    """
-
-    def __init__(self, similar: float):
-        self.similar, self.h, self.sets = similar, [], []
-
-    def links(self, cell: int, h: list[int], sets: list[set]) -> Iterator[tuple]:
-        for x, own in zip(h, sets):
-            like = [f for f, s in zip(self.h, self.sets) if len(own & s) >= self.similar * len(own | s)]
-            if like:
-                yield from ((f, x, None) for f in like)
-            elif len(self.h) < GROUP:
-                self.h.append(x)
-                self.sets.append(own)
-            else:
-                yield x, x, cell
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
-    """For each run of equal cells in rows (cell, h, shingles) sorted by cell: links, and with a cell those rows that are to be split further.
-
-    Cells of up to GROUP rows are compared all with all; of larger ones no more is held than that and one batch.
-    """
-    rest, large = None, None
+    """For each run of equal cells in rows (cell, h, shingles) sorted by cell its links, all compared with all."""
+    rest: pa.RecordBatch | None = None
 
-    def linked(batch: pa.RecordBatch) -> Iterator[tuple]:
-        nonlocal rest, large
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
         cells, h = (batch.column(k).to_numpy() for k in (0, 1))
         flat, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
         edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
-        starts, stops = edges[:-1], edges[1:]
-        several = (stops - starts > 1) | (stops == len(cells)) | (starts == 0)  # one row alone is like no other
-        for a, b in zip(starts[several].tolist(), stops[several].tolist()):
-            cell, open_ended = int(cells[a]), b == len(cells) and rest is not False
-            goes_on = large is not None and large[0] == cell
-            if open_ended and not goes_on and b - a <= GROUP:
-                rest = batch.slice(a)
-                continue
-            if b - a > GROUP and not goes_on:
-                large = (cell, Firsts(similar))
-            sets = [set(flat[ends[i - 1] if i else 0 : ends[i]].tolist()) for i in range(a, b)]
-            yield from large[1].links(cell, h[a:b].tolist(), sets) if goes_on or b - a > GROUP else _alike(h[a:b].tolist(), sets, similar)
-
-    def told(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["u", "v", "cell"])
+        rows = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b - a > 1:  # one row alone is like no other
+                sets = [set(flat[ends[i - 1] if i else 0 : ends[i]].tolist()) for i in range(a, b)]
+                rows += _alike(h[a:b].tolist(), sets, similar)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["u", "v"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         whole = batch if rest is None else pa.concat_batches([rest, batch])
-        rest = None
-        yield told(list(linked(whole)))
+        cells = whole.column(0).to_numpy()
+        last = int(np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])[-1])
+        rest = whole.slice(last)
+        if last:
+            yield told(whole.slice(0, last))
     if rest is not None:
-        whole, rest = rest, False
-        yield told(list(linked(whole)))
+        yield told(rest)
 
 
-def _links_of_cells(full: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links among paragraphs (u) of full bands (cell), by finer and finer cells where they are large.
+def _compared_cores(left: pa.Table, right: pa.Table, similar: float) -> pa.Table:
+    """Links between the kinds (cell, h, size, core) of two blocks, or within one: like by what they have in common of the core alone.
 
-    A cell of over GROUP rows is compared with its firsts; what is like none of many goes on to finer cells, so every
-    row is linked, or compared with others that share ever more MinHash values. Many copies with small changes are
-    linked to a few firsts at once.
+    A kind that is like itself is told as a link to itself.
+    """
+    cores = [t.column("core").combine_chunks() for t in (left, right)]
+    rows = [np.repeat(np.arange(len(c)), c.value_lengths().to_numpy()) for c in cores]
+    flat = [c.flatten().to_numpy() for c in cores]
+    shared = np.intersect1d(*flat)
+    both = np.zeros((len(cores[0]), len(cores[1])), dtype=np.float32)
+    for a in range(0, len(shared), KINDS):
+        names, grids = shared[a : a + KINDS], []
+        for r, f, c in zip(rows, flat, cores):
+            at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+            known = names[at] == f
+            grid = np.zeros((len(c), len(names)), dtype=np.float32)
+            grid[r[known], at[known]] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    sizes = [t.column("size").to_numpy() for t in (left, right)]
+    # Counts are whole numbers, exact in float32.
+    u, v = np.nonzero(both >= similar * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-4)
+    h = [t.column("h").to_numpy() for t in (left, right)]
+    cell = left.column("cell").to_numpy()
+    return pa.table({"cell": cell[u], "u": h[0][u], "v": h[1][v]})
+
+
+def _links_of_cells(full: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
+    """Links among paragraphs (u) of full bands (cell), that connect what pairs of similar ones of a cell connect; None without one.
+
+    Cells of up to GROUP rows are compared all with all. In a larger cell a shingle is rare if up to GROUP of its
+    paragraphs have it, else of the core. Pairs with a rare shingle in common are compared in that shingle's own
+    cell. What other pairs have in common is of the core alone, so it is told by the kinds of paragraphs: those with
+    the same part of the core and of one size. Kinds are compared block by block, and where two are like, so are all
+    their members. Nothing is left out, and many copies with small changes are few kinds.
     """
-    found, level = None, 0
-    while not full.isEmpty():
-        cells = full.join(sets, full.u == sets.h).select("cell", "h", "shingles")
-        if level:
-            cells = cells.mapInArrow(lambda b, k=level - 1: _split(b, k), "cell long, h long, shingles array<long>")
-        dealt = cells.repartition("cell").sortWithinPartitions("cell", "h")
-        rows = materialize(dealt.mapInArrow(lambda b: _grouped(b, similar), "u long, v long, cell long"), "passages-cells")
-        linked = rows.filter("cell is null").select("u", "v")
-        found = linked if found is None else found.unionByName(linked)
-        full = rows.filter("cell is not null").select("cell", "u").distinct()
-        level += 1
-    return found
+    if full.isEmpty():
+        return None
+    cells = materialize(full.join(sets, full.u == sets.h).select("cell", "h", "shingles"), "passages-cells")
+    large = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("cell"), "passages-large")
+    compare = lambda rows: rows.repartition("cell").sortWithinPartitions("cell", "h").mapInArrow(lambda b: _grouped(b, similar), "u long, v long")
+    if large.isEmpty():
+        return compare(cells)
+    found = compare(cells.join(small(large), "cell", "left_anti").select("cell", "h", "shingles"))
+    # The cell's name is hashed with the shingle, so that a frequent one is no single task's.
+    told = cells.join(small(large), "cell", "left_semi").select("cell", "h", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = told.groupBy("cell", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = materialize(often, "passages-often")
+    rare, core = often.filter(F.col("n") <= GROUP).drop("n"), often.filter(F.col("n") > GROUP).drop("n")
+    few = told.join(rare, ["cell", "shingle"]).select(F.xxhash64("cell", "shingle").alias("cell"), "h").join(sets, "h")
+    found = found.unionByName(compare(few.select("cell", "h", "shingles")))
+    parts = told.join(small(core), ["cell", "shingle"]).groupBy("cell", "h", "size").agg(F.sort_array(F.collect_list("shingle")).alias("core"))
+    parts = materialize(parts.withColumn("kind", F.sha2(F.concat_ws(",", F.col("core").cast("array<string>"), F.array(F.col("size").cast("string"))), 256)), "passages-parts")
+    kinds = parts.groupBy("cell", "kind", "size").agg(F.min("h").alias("h"), F.first("core").alias("core"))
+    sized = kinds.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / KINDS).cast("int").alias("blocks"))
+    dealt = materialize(kinds.join(small(materialize(sized, "passages-sized")), "cell").withColumn("block", F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int")), "passages-kinds")
+    grid = lambda mine, other: dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(mine, F.col("block"))
+    columns = ["cell", "a", "b", "h", "size", "core"]
+    one, two = grid("a", "b").filter("a <= b").select(columns), grid("b", "a").filter("a <= b").select(columns)
+    like = one.groupBy("cell", "a", "b").cogroup(two.groupBy("cell", "a", "b")).applyInArrow(lambda x, y: _compared_cores(x, y, similar), "cell long, u long, v long")
+    like = materialize(like, "passages-like")
+    joined = like.select("cell", F.col("u").alias("h")).unionByName(like.select("cell", F.col("v").alias("h"))).distinct()
+    # A kind that is like any, itself or another, has all its members in one class with its first.
+    heads = dealt.join(joined, ["cell", "h"], "left_semi").select("cell", "kind", F.col("h").alias("v"))
+    members = parts.join(heads, ["cell", "kind"]).select(F.col("h").alias("u"), "v")
+    return found.unionByName(like.select("u", "v")).unionByName(members)
 
 
 def paragraph_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -357,62 +371,83 @@ def paragraph_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         both = pairs.join(of("u"), "u").join(of("v"), "v")
         close = both.filter(F.size(F.array_intersect("su", "sv")) >= similar * F.size(F.array_union("su", "sv"))).select("u", "v")
         grouped = _links_of_cells(full, sets, similar)
-        linked = materialize(close if grouped is None else close.unionByName(grouped), "passages-linked")
+        linked = materialize(close if grouped is None else close.unionByName(grouped).filter("u <> v").distinct(), "passages-linked")
     roots = components(linked)
     alone = same.select(F.col("u").alias("node")).join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     return roots.unionByName(alone).withColumnRenamed("node", "h")
 
 
-#: What an end is asked for: how far it moves, or how far others may move along it.
+#: What an end is asked for: where it truly lies, or how far others may move along it.
 MOVES, LEADS = 1, 2
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ends) to (doc_id, side, at, root, role, words): hashes of the first, the first two, ... words outwards of each end."""
+    """(doc_id, text, ends) to (doc_id, side, start, anchor, root, role, origin, words) for the two anchors of each end.
+
+    An end is that of a paragraph, from whose inside words are followed outwards: from its other end (anchor 0), and
+    from the far side of its shingle of least hash (anchor 1), which like paragraphs mostly have in common. words are
+    hashes of the first, the first two, ... words from the origin, up to GROWN beyond the paragraph.
+    """
     for part in slices(batches):
         words, ends = Words(part.column(1).to_pylist()), part.column(2)
         text = np.repeat(np.arange(part.num_rows), ends.value_lengths().to_numpy())
-        side, at, root, role = (ends.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        place = words.first[text] + at
-        room = np.clip(np.where(side == 0, at, words.sizes[text] - at), 0, GROWN).astype(np.int64)
-        stops = np.cumsum(room)
-        end = np.repeat(np.arange(len(text)), room)
-        k = np.arange(len(end)) - (stops - room)[end] + 1
-        left = side[end] == 0
-        c = words.hashes(place[end] - np.where(left, k, 0), place[end] + np.where(left, 0, k))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-        ids = part.column(0).take(pa.array(text))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(side), pa.array(at), pa.array(root), pa.array(role), lists], ["doc_id", "side", "at", "root", "role", "words"])
-
-
-def _moved_ends(base: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, side (0 left, 1 right), at and by: words that the end of a run may be moved outwards by.
-
-    An end is compared with the first and the last document of its paragraph's class, wherever that lies in them, so
-    each class has four contexts to be compared with, however many documents it has.
+        side, start, n, root, role = (ends.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        if not len(text):
+            continue
+        first = words.first[text] + start
+        # The shingle of least hash of each paragraph.
+        many = np.maximum(1, n - SHINGLE + 1).astype(np.int64)
+        stops = np.cumsum(many)
+        at = np.arange(int(stops[-1])) - np.repeat(stops - many, many) + np.repeat(first, many)
+        h = words.hashes(at, at + SHINGLE)
+        least = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, stops - many), many))
+        least = at[least[np.unique(np.searchsorted(stops, least, side="right"), return_index=True)[1]]]
+        left = side == 0
+        for anchor, place in enumerate((np.where(left, first + n, first), np.where(left, least + SHINGLE, least))):
+            origin = place - words.first[text]
+            room = np.where(left, np.minimum(origin, origin - start + GROWN), np.minimum(words.sizes[text] - origin, start + n - origin + GROWN)).astype(np.int64)
+            upto = np.cumsum(room)
+            end = np.repeat(np.arange(len(text)), room)
+            k = np.arange(len(end)) - (upto - room)[end] + 1
+            back = left[end]
+            c = words.hashes(place[end] - np.where(back, k, 0), place[end] + np.where(back, 0, k))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, upto].astype(np.int32)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            ids = part.column(0).take(pa.array(text))
+            columns = [ids, pa.array(side), pa.array(start), pa.array(np.full(len(text), anchor, dtype=np.int32)), pa.array(root), pa.array(role), pa.array(origin.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "side", "start", "anchor", "root", "role", "origin", "words"])
+
+
+def _true_ends(base: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, side (0 left, 1 right), start and reach: where the end of a run truly lies, by the paragraph that is its first or last.
+
+    From inside its paragraph an end is followed as far as the first or the last document of the paragraph's class
+    goes along, word for word, wherever that lies in them, so it may move outwards or inwards. Each class has
+    two documents to be compared with, however many it has. An end that goes along with neither is not in the result.
     """
     edges = with_range(runs, "root", "doc_id", "leftmost", "rightmost")
     leads = F.when((F.col("doc_id") == F.col("first_doc")) | (F.col("doc_id") == F.col("last_doc")), LEADS).otherwise(0)
 
-    def end(side: int, flag: str, at: Column) -> Column:
+    def end(side: int, flag: str) -> Column:
         role = F.when(F.col(flag) == 1, MOVES).otherwise(0) + F.when(F.col(f"high_{flag}") == 1, leads).otherwise(0)
-        return F.when(role > 0, F.struct(F.lit(side).alias("side"), at.alias("at"), "root", role.alias("role")))
+        return F.when(role > 0, F.struct(F.lit(side).alias("side"), "start", "n", "root", role.alias("role")))
 
-    ends = edges.select("doc_id", F.explode(F.array_compact(F.array(end(0, "leftmost", F.col("start")), end(1, "rightmost", F.col("start") + F.col("n"))))).alias("end"))
+    ends = edges.select("doc_id", F.explode(F.array_compact(F.array(end(0, "leftmost"), end(1, "rightmost")))).alias("end"))
     ends = ends.groupBy("doc_id").agg(F.collect_set("end").alias("ends"))
-    contexts = base.join(ends, "doc_id").select("doc_id", "text", "ends").mapInArrow(_contexts, "doc_id long, side int, at int, root long, role int, words array<int>")
+    contexts = base.join(ends, "doc_id").select("doc_id", "text", "ends").mapInArrow(_contexts, "doc_id long, side int, start int, anchor int, root long, role int, origin int, words array<int>")
     contexts = materialize(contexts, "passages-contexts")
-    first = contexts.filter(F.col("role") >= LEADS).groupBy("root", "side", F.col("doc_id").alias("lead")).agg(F.min_by("words", "at").alias("along"))
-    met = contexts.filter(F.col("role") % 2 == MOVES).join(first, ["root", "side"]).filter("doc_id <> lead")
+    first = contexts.filter(F.col("role") >= LEADS).groupBy("root", "side", "anchor", F.col("doc_id").alias("lead")).agg(F.min_by("words", "start").alias("along"))
+    met = contexts.filter(F.col("role") % 2 == MOVES).join(first, ["root", "side", "anchor"]).filter("doc_id <> lead")
     by = F.size(F.filter(F.zip_with("words", "along", lambda x, y: x == y), lambda same: same))
-    return met.groupBy("doc_id", "side", "at").agg(F.max(by).alias("by"))
+    far = met.withColumn("by", by).filter(F.col("by") >= SHINGLE)
+    reach = F.when(F.col("side") == 0, -F.min(F.col("origin") - F.col("by"))).otherwise(F.max(F.col("origin") + F.col("by")))
+    return far.groupBy("doc_id", "side", "start").agg(reach.alias("reach")).withColumn("reach", F.when(F.col("side") == 0, -F.col("reach")).otherwise(F.col("reach")))
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """One row for each passage of a document that other documents have too: doc_id, start_word, n_words, passage_id, first_doc, kept.
 
     Words are split at ASCII white space and compared with A-Z lower-cased. Neighbouring paragraphs are one run,
-    whose ends are moved outwards as far as the first or the last document of the paragraph there goes along, by GROWN words at most; runs that at most
+    whose ends lie where the first or the last document of the paragraph there ceases to go along word by word, GROWN words beyond it at most; runs that at most
     GAP words part, as an edit does, count together, and those of fewer than `least` words in all are left out.
     In a run, paragraphs of which the smallest doc_id that has them, first_doc, is the same are one passage.
     passage_id is the class of the passage's first paragraph; kept is true in first_doc, and every other passage may
@@ -435,11 +470,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     runs = runs.withColumn("run", F.sum("leftmost").over(ordered)).withColumn("turned", F.coalesce(turned, F.lit(0))).withColumn("part", F.sum("turned").over(ordered))
     runs = materialize(runs.select("doc_id", "start", "n", "root", "first_doc", "last_doc", "leftmost", "rightmost", "run", "part"), "passages-runs")
 
-    moved = materialize(_moved_ends(base, runs), "passages-moved")
-    ends = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(stop).alias("stop"))
-    by = lambda side, at: moved.filter(F.col("side") == side).select("doc_id", F.col("at").alias(at), F.col("by").alias(f"by_{at}"))
-    ends = ends.join(by(0, "start"), ["doc_id", "start"], "left").join(by(1, "stop"), ["doc_id", "stop"], "left")
-    ends = ends.select("doc_id", "run", "start", "stop", (F.col("start") - F.coalesce("by_start", F.lit(0))).alias("left"), (F.col("stop") + F.coalesce("by_stop", F.lit(0))).alias("right"))
+    true = materialize(_true_ends(base, runs), "passages-ends")
+    ends = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(stop).alias("stop"), F.min(F.struct("start", stop.alias("stop"))).alias("head"), F.max(F.struct("start", stop.alias("stop"))).alias("tail"))
+    reach = lambda side, name, at: true.filter(F.col("side") == side).select("doc_id", F.col("start").alias(at), F.col("reach").alias(name))
+    ends = ends.withColumn("at", F.col("tail.start")).join(reach(0, "left", "start"), ["doc_id", "start"], "left").join(reach(1, "right", "at"), ["doc_id", "at"], "left")
+    # A paragraph at an end that goes along with no other document is left out.
+    ends = ends.select("doc_id", "run", "start", "stop", F.coalesce("left", "head.stop").alias("left"), F.coalesce("right", "tail.start").alias("right")).filter("left < right")
     by_run = Window.partitionBy("doc_id").orderBy("run")
     before = F.max("right").over(by_run.rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.withColumn("before", before).withColumn("left", F.when(F.col("before").isNull(), F.col("left")).otherwise(F.greatest("left", F.least("before", "start"))))
@@ -448,6 +484,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
 
     passages = runs.groupBy("doc_id", "run", "part").agg(F.min("start").alias("first"), F.max(stop).alias("last"), F.min("first_doc").alias("first_doc"), F.min(F.struct("start", "root")).alias("head"))
     told = passages.join(long.select("doc_id", "run", "start", "stop", "left", "right"), ["doc_id", "run"])
-    begin = F.when(F.col("first") == F.col("start"), F.col("left")).otherwise(F.col("first"))
-    end = F.when(F.col("last") == F.col("stop"), F.col("right")).otherwise(F.col("last"))
-    return told.select("doc_id", begin.alias("start_word"), (end - begin).alias("n_words"), F.col("head.root").alias("passage_id"), "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("kept"))
+    # An end may lie within the passage next to the run's first or last one.
+    begin = F.when(F.col("first") == F.col("start"), F.col("left")).otherwise(F.greatest("first", "left"))
+    end = F.when(F.col("last") == F.col("stop"), F.col("right")).otherwise(F.least("last", "right"))
+    return told.filter(begin < end).select("doc_id", begin.alias("start_word"), (end - begin).alias("n_words"), F.col("head.root").alias("passage_id"), "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("kept"))
