@@ -143,30 +143,118 @@ def test_grid(spark, monkeypatch, block):
     assert sorted(twins) == sorted((a, b, d[a, b]) for a in range(150) for b in range(a + 1, 150) if a % 2 == b % 2 and label[a] != label[b] and d[a, b] < 0.5)
 
 
-def test_index_recall(spark):
-    """Clustered vectors: nine tenths of the true neighbours from a tenth of the pairs; and the index grows by what it lacks."""
-    rng = np.random.default_rng(6)
-    centres = rng.standard_normal((60, 24))
-    x = np.concatenate([c + 0.25 * rng.standard_normal((40, 24)) for c in centres])
-    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    queries = store.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    index = vectors.fit_index(store, cells=64, probes=4)
+def clustered(seed=6, clusters=60, each=40, size=24, spread=0.25):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([c + spread * rng.standard_normal((each, size)) for c in rng.standard_normal((clusters, size))])
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_index_recall(spark, monkeypatch, block):
+    """Clustered vectors: nine tenths of the true neighbours, whole vectors read for few; the index grows by what it lacks, and lists are dealt by size."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "STORE_BLOCK", block)
+    x = clustered()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0]), (9002, [0.0] * 24)]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = store.filter("vec_id % 50 = 0 and vec_id < 9000").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vectors.fit_index(store.filter("vec_id < 9000"))
     table = vectors.build_index(store.filter("vec_id < 2000"), index)
-    table = table.unionByName(vectors.build_index(store, index, table))
+    table = table.unionByName(vectors.build_index(store, index, table)).cache()
     assert table.count() == len(x) == table.select("vec_id").distinct().count()
+    # Two dimensions of a double each are one byte.
+    assert {len(r.code) for r in table.collect()} == {12}
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4096)
+    monkeypatch.setattr(vectors, "STORE_BLOCK", 4096)
     true = {(r.query_id, r.vec_id) for r in vectors.search_exact(queries, store, k=10).collect()}
-    found = {(r.query_id, r.vec_id) for r in vectors.search_ann(queries, store, table, index, 10).collect()}
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "STORE_BLOCK", block)
+    found = {(r.query_id, r.vec_id) for r in vectors.search_ann(queries, store, table, index, 10, probes=4).collect()}
     assert len(true & found) >= 0.9 * len(true)
-    assert vectors.candidates(queries, table, index).count() <= 0.1 * queries.count() * len(x)
+    near = vectors.search_candidates(queries, table, index, 30, probes=4)
+    assert near.count() == 30 * queries.count() <= 0.1 * queries.count() * len(x)
+    nothing = vectors.build_index(store.limit(0), vectors.fit_index(store.limit(0)))
+    assert nothing.count() == 0 and vectors.search_ann(queries, store, nothing, vectors.fit_index(store.limit(0)), 5).count() == 0
 
 
 def test_index_recall_of_the_given_vectors(spark):
+    """Nine tenths, though the vectors have no structure; whole vectors are read for a tenth of the pairs at most."""
     from vouch.plans import evaluation
 
     sf_dir = "/root/testdata/sf0.01"
     true = {(r.query_id, r.vec_id) for r in evaluation.v4k(spark, sf_dir).collect()}
     found = {(r.query_id, r.vec_id) for r in evaluation.v7(spark, sf_dir).collect()}
     assert len(true & found) >= 0.9 * len(true)
+    store, queries = evaluation._store(spark, sf_dir), evaluation._queries(spark, sf_dir)
+    index = vectors.fit_index(store)
+    assert vectors.search_candidates(queries, vectors.build_index(store, index), index, 30, 64).count() <= 0.1 * queries.count() * store.count()
+
+
+def test_join_prunes(spark, capsys):
+    """No pair is lost by the bounds, on vectors in clusters and on the given ones; the share of work that they save is printed."""
+    given = np.stack([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()]).astype(float)
+    for name, x, threshold in (("clustered", clustered(7, 20, 20, 24), 0.2), ("given", given, 0.6)):
+        faces = spark.createDataFrame([(i, i % 7, i % 2, True, v.tolist()) for i, v in enumerate(x)], "vec_id long, identity long, model long, fresh boolean, embedding array<double>")
+        space = vectors.fit_space(faces, 16)
+        dealt = vectors.dealt_blocks(faces, space, 25).cache()
+        kept = vectors.block_pairs(dealt, space, threshold).collect()
+        pairs = sum(r.n_a * r.n_b for r in kept)
+        whole = sum(n * (n + sum(m for k, m in enumerate(sizes) if k != i)) for sizes in ([r["count"] for r in dealt.filter(F.col("model") == m).groupBy("cell", "part").count().collect()] for m in (0, 1)) for i, n in enumerate(sizes))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        i, j, work = vectors.near_units(unit, unit, 1 - threshold, space.directions)
+        found = sorted(tuple(r)[:3] for r in vectors.similar_pairs(faces, threshold, 25, space).collect())
+        d = np.round(1 - unit @ unit.T, 6)
+        assert found == sorted((a, b, d[a, b]) for a in range(len(x)) for b in range(a + 1, len(x)) if a % 2 == b % 2 and a % 7 != b % 7 and d[a, b] < threshold) and found
+        with capsys.disabled():
+            print(f"\n{name}: {1 - 2 * pairs / (whole + sum(r['count'] ** 2 for r in dealt.groupBy('model', 'cell', 'part').count().collect())):.0%} of pairs dropped with their blocks, {1 - work / (unit.size * len(unit)):.0%} of products by the bound")
+        assert work < unit.size * len(unit) and (name == "given" or pairs < 0.25 * len(x) ** 2)
+    assert vectors.similar_pairs(faces.limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 12])
+def test_checked_faces(spark, block):
+    """New vectors one after another, each against the store and those accepted before it."""
+    rng = np.random.default_rng(8)
+    x = clustered(9, 12, 12, 6, 0.4)
+    rng.shuffle(x)
+    face = lambda i: (i, int(rng.integers(0, 5)), int(rng.integers(0, 2)), x[i].tolist())
+    store, new = [face(i) for i in range(60)], [face(i) for i in range(60, 144)]
+    new += [(200, 1, 0, None), (201, 1, 0, []), (202, 1, 0, [0.0] * 20 + [1.0]), (5, 1, 0, x[5].tolist())]
+    schema = "vec_id long, identity long, model long, embedding array<double>"
+    held, expected = list(store), {}
+    distance = lambda a, b: round(1 - np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)), 6)
+    for i, who, model, v in sorted(new):
+        if v is None or not any(v[:20]):
+            expected[i] = ("invalid", None, None)
+        elif i < 60:
+            expected[i] = ("known", None, None)
+        else:
+            near = min(((distance(v, w), j) for j, other, m, w in held if m == model and other != who and distance(v, w) < 0.1), default=None)
+            expected[i] = ("duplicate", near[1], near[0]) if near else ("accepted", None, None)
+            if not near:
+                held.append((i, who, model, v))
+    frames = [spark.createDataFrame(r, schema) for r in (store, new)]
+    told = vectors.checked_faces(*frames, 0.1, block)
+    assert {r.vec_id: (r.status, r.of, r.distance) for r in told.collect()} == expected
+    assert len({s for s, *_ in expected.values()}) == 4 and any(j is not None and j >= 60 for _, j, _ in expected.values())
+    assert sorted(r.vec_id for r in vectors.append_faces(*frames, told).collect()) == sorted(i for i, *_ in held)
+
+
+def test_nearest_face(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((90, 6))
+    rows = [(i, i % 4, i % 3, v.tolist()) for i, v in enumerate(x)] + [(95, 9, 0, x[3].tolist()), (96, 9, 7, x[3].tolist())]
+    faces = spark.createDataFrame(rows, "vec_id long, identity long, model long, embedding array<double>")
+    asked = faces.filter("vec_id % 5 = 0 or vec_id > 90").withColumnRenamed("vec_id", "query_id")
+    d = lambda a, b: round(1 - np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)), 6)
+    for scope, fits in (("any", lambda a, b: True), ("own", lambda a, b: a == b), ("others", lambda a, b: a != b)):
+        expected = {}
+        for i, who, model, v in rows:
+            near = min(((d(v, w), j, other) for j, other, m, w in rows if j != i and m == model and fits(who, other)), default=None)
+            if near and (i % 5 == 0 or i > 90):
+                expected[i] = (near[1], near[2], near[0], near[0] < 0.3)
+        assert {r.query_id: (r.vec_id, r.identity, r.distance, r.matched) for r in vectors.nearest_face(asked, faces, 0.3, scope).collect()} == expected
+    with pytest.raises(ValueError):
+        vectors.nearest_face(asked, faces, 0.3, "none")
 
 
 def test_calibration(spark):

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vouch.functions.vectors import l2_normalized, vec_distance
+from vouch.sources.scratch import written
 
 #: Distance up to which two vectors of a model are of one person: fixed values.
 THRESHOLDS = {
@@ -212,124 +213,352 @@ def newest(df: DataFrame, n: int, key: str = "identity") -> DataFrame:
     return df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
 
 
-def duplicate_identities(faces: DataFrame, threshold: float = 0.4, block: int = QUERY_BLOCK) -> DataFrame:
-    """Pairs of vectors of one model and different identities whose cosine distance is below the threshold: vec_a, vec_b, distance.
+#: Vectors that pivots and directions are taken from at most, and pivots.
+FITTED_ROWS, PIVOTS = 20_000, 64
+
+
+class Space(NamedTuple):
+    """Pivots, unit vectors around which others lie, and directions in the order of the variance along them, as columns."""
+
+    pivots: np.ndarray
+    directions: np.ndarray
+
+
+def sampled_units(store: DataFrame, bound: int) -> np.ndarray:
+    """Unit vectors of at most `bound` rows, those of the least hashes of vec_id, as long as the first of them."""
+    usable = store.filter("embedding is not null").select("vec_id", l2_normalized(F.col("embedding").cast("array<double>")).alias("unit"))
+    rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).toPandas()
+    return np.stack([u for u in rows["unit"] if len(u) == len(rows["unit"].iloc[0])]) if len(rows) else np.zeros((0, 1))
+
+
+def k_means(x: np.ndarray, cells: int, rng: np.random.Generator, unit: bool, rounds: int = 15) -> np.ndarray:
+    """Centres of x; with `unit` of unit vectors, by the angle, and unit vectors themselves."""
+    centres = x[rng.permutation(len(x))[:cells]].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T - (0 if unit else (centres**2).sum(axis=1) / 2)).argmax(axis=1)
+        sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))[:, None]
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True) if unit else n
+        centres = np.where((n > 0) & (size > 0), sums / np.maximum(size, 1e-300), centres)
+    return centres
+
+
+def fit_space(faces: DataFrame, pivots: int, bound: int = FITTED_ROWS, seed: int = 5) -> Space:
+    """Pivots by k-means and directions by the principal axes of at most `bound` vectors; neither changes what a join finds."""
+    units = sampled_units(faces, bound)
+    if not len(units):
+        return Space(np.zeros((0, 1)), np.eye(1))
+    _, axes = np.linalg.eigh(np.cov(units.T) if units.shape[1] > 1 and len(units) > 1 else np.eye(units.shape[1]))
+    return Space(k_means(units, pivots, np.random.default_rng(seed), True), axes[:, ::-1])
+
+
+def near_units(x: np.ndarray, y: np.ndarray, least: float, directions: np.ndarray, steps: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of unit vectors, by number, whose inner product is `least` or more, and the multiplications that it took.
+
+    Products are summed up along the directions of most variance first. What the rest can add is at most the product
+    of both rests' lengths (Cauchy-Schwarz); pairs that cannot reach `least` any more are dropped after each step. A
+    pair that may is kept, with a margin for rounding, so the caller's exact check decides.
+    """
+    x, y = x @ directions, y @ directions
+    cuts = np.linspace(0, x.shape[1], min(steps, x.shape[1]) + 1).astype(int)
+    rests = [np.sqrt(np.cumsum((z**2)[:, ::-1], axis=1)[:, ::-1]) for z in (x, y)]
+    rests = [np.c_[r, np.zeros(len(r))] for r in rests]
+    sums, pairs, work = np.zeros((len(x), len(y))), None, 0
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        if pairs is None:
+            sums += x[:, low:high] @ y[:, low:high].T
+            work += sums.size * (high - low)
+            alive = sums + rests[0][:, high, None] * rests[1][None, :, high] >= least - 1e-7
+            if alive.mean() < 0.1:
+                pairs = np.nonzero(alive)
+                part = sums[pairs]
+        else:
+            i, j = pairs
+            part = part + np.einsum("ij,ij->i", x[i, low:high], y[j, low:high])
+            work += len(i) * (high - low)
+            keep = part + rests[0][i, high] * rests[1][j, high] >= least - 1e-7
+            pairs, part = (i[keep], j[keep]), part[keep]
+    i, j = pairs if pairs is not None else np.nonzero(alive)
+    return i, j, work
+
+
+def dealt_blocks(faces: DataFrame, space: Space, block: int) -> DataFrame:
+    """faces with cell (the nearest pivot, -1 for vectors of another length), angle to it, and part: blocks of about `block` vectors of a model and pivot."""
+    shared = faces.sparkSession.sparkContext.broadcast(space.pivots)
 
-    faces has vec_id, identity, model and embedding. The vectors of a model are dealt into blocks of about `block` and
-    each two blocks are compared once in a task of their own, so models never meet, and each pair is given once,
-    the smaller vec_id first.
+    def run(frames):
+        pivots = shared.value
+        for frame in frames:
+            cell, angle = np.full(len(frame), -1, dtype=np.int32), np.full(len(frame), np.pi)
+            same = np.array([len(v) == pivots.shape[1] for v in frame["embedding"]], dtype=bool) & (len(pivots) > 0)
+            if same.any():
+                x = np.stack(frame["embedding"][same].to_numpy()).astype(float)
+                near = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ pivots.T
+                cell[same], angle[same] = near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield frame.assign(cell=cell, angle=angle)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in faces.schema.fields)
+    placed = faces.filter("embedding is not null").mapInPandas(run, f"{fields}, cell int, angle double")
+    sizes = placed.groupBy("model", "cell", "fresh").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    # As many rows as models times pivots.
+    return placed.join(F.broadcast(sizes), ["model", "cell", "fresh"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+
+
+def block_pairs(dealt: DataFrame, space: Space, threshold: float) -> DataFrame:
+    """Pairs of blocks of one model that may hold a pair within the threshold and are not both of old vectors, each once, with their numbers of vectors.
+
+    By the triangle inequality of angles, vectors of two blocks are at least the angle of the pivots, less both
+    blocks' widest angles, apart.
+    """
+    blocks = dealt.groupBy("model", "cell", "part", "fresh").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
+    a, b = (blocks.select("model", *[F.col(c).alias(f"{c}_{side}") for c in ("cell", "part", "fresh", "n", "radius")]) for side in "ab")
+    once = F.struct("fresh_a", "cell_a", "part_a") <= F.struct("fresh_b", "cell_b", "part_b")
+    pairs = a.join(b, "model").filter(once & (F.col("fresh_a") | F.col("fresh_b")))
+    gaps = np.arccos(np.clip(space.pivots @ space.pivots.T, -1, 1))
+    far = dealt.sparkSession.createDataFrame([(i, j, float(gaps[i, j])) for i in range(len(gaps)) for j in range(len(gaps)) if i != j], "cell_a int, cell_b int, gap double")
+    widest = float(np.arccos(np.clip(1 - threshold, -1, 1))) + 1e-6
+    gap = F.coalesce("gap", F.lit(0.0))  # of one pivot, or of vectors of another length
+    return pairs.join(F.broadcast(far), ["cell_a", "cell_b"], "left").filter(gap - F.col("radius_a") - F.col("radius_b") <= widest)
+
+
+def similar_pairs(faces: DataFrame, threshold: float, block: int = QUERY_BLOCK, space: Space | None = None) -> DataFrame:
+    """Pairs of vectors of one model and different identities whose cosine distance is below the threshold: vec_a, vec_b, distance, fresh_a, fresh_b.
+
+    faces has vec_id, identity, model, fresh and embedding; pairs of two that are not fresh are left out. An exact join:
+    vectors are dealt into blocks by their nearest pivot, pairs of blocks that lie too far apart are dropped as a
+    whole, and in the others a pair is dropped as soon as the dimensions summed up so far rule it out. Each pair
+    is given once, the smaller vec_id first. Null vectors and zero vectors have no distance.
     """
-    sizes = faces.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    dealt = faces.filter("embedding is not null").join(sizes, "model").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    columns = ["model", "first", "second", "vec_id", "identity", "embedding"]
-    left = dealt.withColumn("second", F.explode(F.expr("sequence(own, blocks - 1)"))).withColumn("first", F.col("own")).select(*columns)
-    right = dealt.withColumn("first", F.explode(F.expr("sequence(0, own)"))).withColumn("second", F.col("own")).select(*[F.col(c).alias(f"{c}_b") for c in columns])
+    space = space or fit_space(faces, min(PIVOTS, max(1, faces.count() // block)))
+    dealt = dealt_blocks(faces.select("vec_id", "identity", "model", "fresh", "embedding"), space, block)
+    pairs = block_pairs(dealt, space, threshold).drop("n_a", "n_b", "radius_a", "radius_b", "gap")
+    cell = ["model", *[f"{c}_{side}" for side in "ab" for c in ("fresh", "cell", "part")]]
+
+    def side(s: str) -> DataFrame:
+        rows = dealt.select("model", *[F.col(c).alias(f"{c}_{s}") for c in ("fresh", "cell", "part")], "vec_id", "identity", "embedding")
+        rows = pairs.join(rows, ["model", f"fresh_{s}", f"cell_{s}", f"part_{s}"])
+        return rows.toDF(*rows.columns)  # new names, as both sides come from one table
+
+    shared = faces.sparkSession.sparkContext.broadcast(space.directions)
+    empty = pd.DataFrame({"vec_a": np.zeros(0, np.int64), "vec_b": np.zeros(0, np.int64), "distance": np.zeros(0), "fresh_a": np.zeros(0, bool), "fresh_b": np.zeros(0, bool)})
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        made, b = [empty], b.rename(columns=lambda c: c.removesuffix("_b"))
-        if not a.empty and not b.empty:
-            long_a, long_b = a["embedding"].map(len), b["embedding"].map(len)
-            for size in set(long_a) & set(long_b):
-                x, y = a[long_a == size], b[long_b == size]
-                d = _distances(np.stack(x["embedding"].to_numpy()).astype(float), np.stack(y["embedding"].to_numpy()).astype(float), "cosine")
-                ids, others = x["vec_id"].to_numpy()[:, None], y["vec_id"].to_numpy()[None]
-                near = np.isfinite(d) & (d < threshold) & (x["identity"].to_numpy()[:, None] != y["identity"].to_numpy()[None])
-                # In a block with itself each pair comes twice.
-                near &= (ids < others) if a["first"].iloc[0] == a["second"].iloc[0] else (ids != others)
-                i, j = np.nonzero(near)
-                u, v = x["vec_id"].to_numpy()[i], y["vec_id"].to_numpy()[j]
-                made.append(pd.DataFrame({"vec_a": np.minimum(u, v), "vec_b": np.maximum(u, v), "distance": d[i, j]}))
-        return pd.concat(made, ignore_index=True)
+        made = [empty]
+        if a.empty or b.empty:
+            return empty
+        head = a.iloc[0]
+        alone = (head["fresh_a"], head["cell_a"], head["part_a"]) == (head["fresh_b"], head["cell_b"], head["part_b"])
+        long_a, long_b = a["embedding"].map(len), b["embedding"].map(len)
+        for size in set(long_a) & set(long_b):
+            x, y = a[long_a == size], b[long_b == size]
+            u, v = (np.stack(z["embedding"].to_numpy()).astype(float) for z in (x, y))
+            nu, nv = (np.linalg.norm(z, axis=1) for z in (u, v))
+            x, u, nu, y, v, nv = x[nu > 0], u[nu > 0], nu[nu > 0], y[nv > 0], v[nv > 0], nv[nv > 0]
+            if not len(u) or not len(v):
+                continue
+            axes = shared.value if len(shared.value) == size else np.eye(size)
+            u, v = u / nu[:, None], v / nv[:, None]
+            i, j, _ = near_units(u, v, 1 - threshold, axes)
+            d = np.round(1 - np.einsum("ij,ij->i", u[i], v[j]), 6)
+            ids, others = x["vec_id"].to_numpy()[i], y["vec_id"].to_numpy()[j]
+            # In a block with itself each pair comes twice.
+            keep = (d < threshold) & (x["identity"].to_numpy()[i] != y["identity"].to_numpy()[j]) & ((ids < others) if alone else (ids != others))
+            ids, others, d = ids[keep], others[keep], d[keep]
+            less = ids < others
+            made.append(pd.DataFrame({"vec_a": np.minimum(ids, others), "vec_b": np.maximum(ids, others), "distance": d, "fresh_a": np.where(less, head["fresh_a"], head["fresh_b"]), "fresh_b": np.where(less, head["fresh_b"], head["fresh_a"])}))
+        return pd.concat(made, ignore_index=True).astype(empty.dtypes)
 
-    empty = pd.DataFrame({"vec_a": np.zeros(0, np.int64), "vec_b": np.zeros(0, np.int64), "distance": np.zeros(0)})
-    cell = ["model", "first", "second"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*[f"{c}_b" for c in cell])).applyInPandas(run, "vec_a long, vec_b long, distance double")
+    return side("a").groupBy(*cell).cogroup(side("b").groupBy(*cell)).applyInPandas(run, "vec_a long, vec_b long, distance double, fresh_a boolean, fresh_b boolean")
 
 
-class Index(NamedTuple):
-    """Centres of cells, unit vectors, and how many cells of a query are looked into."""
+def duplicate_identities(faces: DataFrame, threshold: float = 0.4, block: int = QUERY_BLOCK) -> DataFrame:
+    """Pairs of vectors of one model and different identities whose cosine distance is below the threshold: vec_a, vec_b, distance; see similar_pairs."""
+    return similar_pairs(faces.withColumn("fresh", F.lit(True)), threshold, block).select("vec_a", "vec_b", "distance")
 
-    centres: np.ndarray
-    probes: int
+
+def checked_faces(faces: DataFrame, new: DataFrame, threshold: float = 0.4, block: int = QUERY_BLOCK, rounds: int = 1000) -> DataFrame:
+    """Every new vector with what comes of it: vec_id, status (accepted, invalid, known, duplicate), of, distance.
+
+    faces and new have vec_id, identity, model and embedding; new vectors come in the order of vec_id. One without
+    values, or whose first 20 are all zero, is invalid; one whose vec_id is there is known; one below the threshold of
+    a vector of its model and another identity, there or accepted before it, is a duplicate of the nearest such vector. The
+    join is of the new vectors with all, never of the store with itself; what new ones do to each other is settled in
+    rounds, as many as there are links in a chain of them.
+    """
+    columns = ["vec_id", "identity", "model", "embedding"]
+    coming = new.select(*columns)
+    zero = F.forall(F.slice("embedding", 1, 20), lambda v: F.abs(v) < 1e-10)
+    told = coming.join(faces.select("vec_id", F.lit(True).alias("there")).distinct(), "vec_id", "left")
+    invalid = F.col("embedding").isNull() | (F.size("embedding") == 0) | F.coalesce(zero, F.lit(True))
+    told = told.select("vec_id", F.when(invalid, "invalid").when(F.col("there"), "known").alias("status"))
+    usable = coming.join(told.filter("status is null").select("vec_id"), "vec_id", "left_semi").withColumn("fresh", F.lit(True))
+    pairs = written(similar_pairs(faces.select(*columns).withColumn("fresh", F.lit(False)).unionByName(usable), threshold, block), "faces-near")
+    nearest = F.min(F.struct("distance", "of"))
+    by_store = pairs.filter("fresh_a <> fresh_b").select(F.when(F.col("fresh_a"), F.col("vec_a")).otherwise(F.col("vec_b")).alias("vec_id"), F.when(F.col("fresh_a"), F.col("vec_b")).otherwise(F.col("vec_a")).alias("of"), "distance")
+    out = written(by_store.select("vec_id").distinct(), "faces-out")
+    # Links from an earlier new vector to a later one; those of rejected vectors do not count.
+    links = pairs.filter("fresh_a and fresh_b").select(F.col("vec_a").alias("of"), F.col("vec_b").alias("vec_id"), "distance")
+    left = written(links.join(out, "vec_id", "left_anti").join(out.select(F.col("vec_id").alias("of")), "of", "left_anti"), "faces-left")
+    lost = None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        # An earlier vector that no undecided link leads to is accepted, and those that it leads to are not.
+        gone = left.join(left.select(F.col("vec_id").alias("of")).distinct(), "of", "left_anti").select("vec_id").distinct()
+        gone = written(gone, "faces-gone")
+        lost = gone if lost is None else lost.unionByName(gone)
+        left = written(left.join(gone, "vec_id", "left_anti").join(gone.select(F.col("vec_id").alias("of")), "of", "left_anti"), "faces-left")
+    else:
+        raise RuntimeError(f"new vectors are not settled in {rounds} rounds")
+    rejected = out if lost is None else out.unionByName(lost)
+    accepted = links.join(rejected.select(F.col("vec_id").alias("of")), "of", "left_anti")
+    dup = by_store.unionByName(accepted.select(by_store.columns)).groupBy("vec_id").agg(nearest.alias("near")).select("vec_id", "near.of", "near.distance")
+    return told.join(dup, "vec_id", "left").select("vec_id", F.coalesce("status", F.when(F.col("of").isNotNull(), "duplicate"), F.lit("accepted")).alias("status"), "of", "distance")
 
 
-#: Vectors that the centres are fitted on at most.
-FITTED_ROWS = 20_000
+def append_faces(faces: DataFrame, new: DataFrame, checked: DataFrame) -> DataFrame:
+    """faces with the new vectors that checked_faces has accepted; write its result first, as it is read once more."""
+    return faces.unionByName(new.join(checked.filter("status = 'accepted'").select("vec_id"), "vec_id", "left_semi"), allowMissingColumns=True)
 
 
-def fit_index(store: DataFrame, cells: int = 64, probes: int = 8, bound: int = FITTED_ROWS, seed: int = 3) -> Index:
-    """Centres of k-means on at most `bound` vectors, those of the least hashes of their number; every vector is indexed by them.
+def nearest_face(queries: DataFrame, store: DataFrame, threshold: float, scope: str = "any") -> DataFrame:
+    """The nearest vector of the query's own model: query_id, vec_id, identity, distance, matched (below the threshold).
 
-    Vectors of another length than the first have no cell. The more clusters the vectors have, the fewer probes
-    it takes; vectors without any structure need most of the cells.
+    queries has query_id, identity, model and embedding, store has vec_id, identity, model and embedding. The scope is
+    `any` identity, the query's `own` one, as for a second picture of a known person, or `others`, as for a
+    duplicate. A vector of the query's own number is left out. A query without a vector in its scope is not in the result.
     """
-    usable = store.filter("embedding is not null").select("vec_id", l2_normalized(F.col("embedding").cast("array<double>")).alias("unit"))
-    rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).toPandas()
-    if rows.empty:
-        return Index(np.zeros((0, 1)), probes)
-    units = np.stack([u for u in rows["unit"] if len(u) == len(rows["unit"].iloc[0])])
+    if scope not in ("any", "own", "others"):
+        raise ValueError(f"no scope {scope!r}")
+
+    def nearest(d: np.ndarray, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        d[q["model"].to_numpy()[:, None] != v["model"].to_numpy()[None]] = np.inf
+        d[q["query_id"].to_numpy()[:, None] == v["vec_id"].to_numpy()[None]] = np.inf
+        if scope != "any":
+            same = q["identity"].to_numpy()[:, None] == v["identity"].to_numpy()[None]
+            d[same if scope == "others" else ~same] = np.inf
+        order = np.argsort(v["vec_id"].to_numpy(), kind="stable")
+        at = order[d[:, order].argmin(axis=1)]
+        rows = np.flatnonzero(np.isfinite(d[np.arange(len(q)), at]))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "vec_id": v["vec_id"].to_numpy()[at[rows]], "identity": v["identity"].to_numpy()[at[rows]], "distance": d[rows, at[rows]]})
+
+    kind = store.schema["identity"].dataType.simpleString()
+    cells = compare(queries.select("query_id", "identity", "model", "embedding"), store.select("vec_id", "identity", "model", "embedding"), nearest, f"query_id long, vec_id long, identity {kind}, distance double")
+    best = cells.groupBy("query_id").agg(F.min(F.struct("distance", "vec_id", "identity")).alias("best"))
+    return best.select("query_id", "best.vec_id", "best.identity", "best.distance", (F.col("best.distance") < threshold).alias("matched"))
+
+
+class Index(NamedTuple):
+    """Centres of lists, unit vectors, and the books of codes: for each stretch of dimensions 256 values or fewer."""
+
+    centres: np.ndarray
+    books: np.ndarray
+
+
+def fit_index(store: DataFrame, cells: int = 64, each: int = 2, bound: int = FITTED_ROWS, seed: int = 3) -> Index:
+    """Lists and codes of `each` dimensions a byte, fitted on at most `bound` vectors; every vector is indexed by them.
+
+    Vectors of another length than the first have no list. Codes are of what is left of a unit vector without its centre.
+    """
+    units = sampled_units(store, bound)
+    if not len(units):
+        return Index(np.zeros((0, 1)), np.zeros((1, 1, each)))
     rng = np.random.default_rng(seed)
-    centres = units[rng.permutation(len(units))[:cells]].copy()
-    for _ in range(15):
-        own = (units @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, units)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
-    return Index(centres, probes)
+    centres = k_means(units, cells, rng, True)
+    rest = _stretches(units - centres[(units @ centres.T).argmax(axis=1)], each)
+    books = [k_means(rest[:, m], 256, rng, False, 10) for m in range(rest.shape[1])]
+    return Index(centres, np.stack(books))
 
 
-def _nearest_cells(df: DataFrame, key: str, index: Index, probes: int) -> DataFrame:
-    """key and cell: the nearest cells of each vector, `probes` of them."""
-    shared = df.sparkSession.sparkContext.broadcast(index.centres)
+def _stretches(x: np.ndarray, each: int) -> np.ndarray:
+    """Vectors cut into stretches of dimensions, the last filled up with zeros."""
+    full = -(-x.shape[1] // each) * each
+    return np.pad(x, ((0, 0), (0, full - x.shape[1]))).reshape(len(x), -1, each)
 
-    def run(frames):
-        centres = shared.value
-        for frame in frames:
-            frame = frame[[len(v) == centres.shape[1] for v in frame["embedding"]]]
-            if frame.empty or not len(centres):
-                continue
-            near = np.argsort(-(np.stack(frame["embedding"].to_numpy()).astype(float) @ centres.T), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), near.shape[1]), "cell": near.ravel()})
 
-    return df.select(key, "embedding").filter("embedding is not null").mapInPandas(run, f"{key} long, cell int")
+def _usable(frame: pd.DataFrame, centres: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows whose vectors are as long as the centres and not zero, and these as unit vectors."""
+    frame = frame[np.array([len(v) == centres.shape[1] for v in frame["embedding"]], dtype=bool) & (len(centres) > 0)]
+    if frame.empty:
+        return frame, np.zeros((0, centres.shape[1]))
+    x = np.stack(frame["embedding"].to_numpy()).astype(float)
+    size = np.linalg.norm(x, axis=1)
+    return frame[size > 0], x[size > 0] / size[size > 0, None]
 
 
 def build_index(store: DataFrame, index: Index, table: DataFrame | None = None) -> DataFrame:
-    """vec_id and cell of each vector that the index table lacks; append it to the table."""
+    """vec_id, cell and code (a byte for each stretch) of each vector that the index table lacks; append it to the table."""
     if table is not None:
         store = store.join(table.select("vec_id").distinct(), "vec_id", "left_anti")
-    return _nearest_cells(store, "vec_id", index, 1)
+    shared = store.sparkSession.sparkContext.broadcast(index)
 
+    def run(frames):
+        centres, books = shared.value
+        for frame in frames:
+            frame, x = _usable(frame, centres)
+            own = (x @ centres.T).argmax(axis=1) if len(x) else np.zeros(0, np.int64)
+            rest = _stretches(x - centres[own], books.shape[2]) if len(x) else np.zeros((0, *books.shape[::2]))
+            codes = np.stack([(rest[:, m] @ b.T - (b**2).sum(axis=1) / 2).argmax(axis=1) for m, b in enumerate(books)], axis=1).astype(np.uint8)
+            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy(), "cell": own.astype(np.int32), "code": [c.tobytes() for c in codes]})
 
-def candidates(queries: DataFrame, table: DataFrame, index: Index) -> DataFrame:
-    """query_id and vec_id of the vectors in the query's nearest cells."""
-    return _nearest_cells(queries, "query_id", index, index.probes).join(table, "cell").select("query_id", "vec_id")
+    return store.select("vec_id", "embedding").filter("embedding is not null").mapInPandas(run, "vec_id long, cell int, code binary")
 
 
-def search_ann(queries: DataFrame, store: DataFrame, table: DataFrame, index: Index, k: int, parts: int = 8) -> DataFrame:
-    """About the k nearest by cosine: the vectors in the query's nearest cells, ranked by their distance.
+def search_candidates(queries: DataFrame, table: DataFrame, index: Index, most: int, probes: int = 8) -> DataFrame:
+    """query_id and vec_id of the `most` vectors that come nearest by their codes, of the query's `probes` nearest lists.
 
-    A cell's vectors are dealt into parts and each part, with the queries that look into the cell, is one product in
-    a task; of each part only the best k of a query go on, so no list of candidates is made.
+    A list is dealt into parts of STORE_BLOCK codes at most, about, and the queries into parts of QUERY_BLOCK, so a
+    task's work is bounded whatever the store. For each query a table holds its products with all values of the books; a
+    vector's estimate is the sum of the entries that its code names. Of each part only the best `most` go on.
     """
-    asked = _nearest_cells(queries, "query_id", index, index.probes).join(queries.select("query_id", "embedding"), "query_id")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    held = store.select("vec_id", "embedding").join(table, "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    shared = queries.sparkSession.sparkContext.broadcast(index)
+    rows = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def near(frames):
+        centres, _ = shared.value
+        for frame in frames:
+            frame, x = _usable(frame, centres)
+            at = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes] if len(x) else np.zeros((0, 0), np.int64)
+            each = at.shape[1]
+            yield pd.DataFrame({"query_id": np.repeat(frame["query_id"].to_numpy(), each), "cell": at.ravel().astype(np.int32), "unit": [u for u in x for _ in range(each)]})
+
+    # As many rows as there are lists.
+    parts = F.broadcast(table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / STORE_BLOCK).cast("int").alias("parts")))
+    along = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = queries.select("query_id", "embedding").filter("embedding is not null").mapInPandas(near, "query_id long, cell int, unit array<double>")
+    asked = asked.join(parts, "cell").withColumn("part", along(F.col("parts"))).withColumn("row", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).drop("parts")
+    held = table.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("row", along(F.lit(rows))).drop("parts")
 
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
-        d = _distances(np.stack(q["embedding"].to_numpy()).astype(float), np.stack(v["embedding"].to_numpy()).astype(float), "cosine")
-        keep = np.isfinite(d)
-        if d.shape[1] > k:
-            d = np.where(keep, d, np.inf)
-            keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        a, b = np.nonzero(keep)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[a], "vec_id": v["vec_id"].to_numpy()[b], "distance": d[a, b]})
+        made = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)})]
+        if len(q) and len(v):
+            centres, books = shared.value
+            codes = np.frombuffer(b"".join(v["code"]), dtype=np.uint8).reshape(len(v), -1)
+            units, ids = np.stack(q["unit"].to_numpy()), q["query_id"].to_numpy()
+            for a in range(0, len(q), 256):
+                cut = units[a : a + 256]
+                table = np.einsum("qmd,mcd->qmc", _stretches(cut, books.shape[2]), books)
+                near = np.repeat((cut @ centres[v["cell"].iloc[0]])[:, None], len(v), axis=1)
+                for m in range(codes.shape[1]):
+                    near += table[:, m, codes[:, m]]
+                keep = np.argpartition(-near, most - 1, axis=1)[:, :most] if len(v) > most else np.tile(np.arange(len(v)), (len(cut), 1))
+                made.append(pd.DataFrame({"query_id": np.repeat(ids[a : a + 256], keep.shape[1]), "vec_id": v["vec_id"].to_numpy()[keep.ravel()], "near": np.take_along_axis(near, keep, axis=1).ravel()}))
+        return pd.concat(made, ignore_index=True)
+
+    cell = ["cell", "part", "row"]
+    found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(run, "query_id long, vec_id long, near double")
+    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")))
+    return ranked.filter(F.col("nth") <= most).select("query_id", "vec_id")
 
-    found = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(run, "query_id long, vec_id long, distance double")
-    return top_k(found, k)
+
+def search_ann(queries: DataFrame, store: DataFrame, table: DataFrame, index: Index, k: int, probes: int = 8, rerank: int = 3) -> DataFrame:
+    """About the k nearest by cosine: query_id, vec_id, distance, rank, of the `rerank` times k vectors that codes tell as nearest.
+
+    Only for these are whole vectors read, and the distances given are theirs.
+    """
+    near = search_candidates(queries, table, index, rerank * k, probes)
+    both = near.join(store.select("vec_id", F.col("embedding").alias("b")), "vec_id").join(queries.select("query_id", F.col("embedding").alias("a")), "query_id")
+    return top_k(both.select("query_id", "vec_id", vec_distance(F.col("a"), F.col("b")).alias("distance")), k)
 
 
 def make_pairs(queries: DataFrame, store: DataFrame) -> DataFrame:

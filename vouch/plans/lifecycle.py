@@ -413,6 +413,25 @@ def d11(spark, sf_dir):
     return L.drop_faces(whole, faces.filter("identity = 3")).select("vec_id")
 
 
+@query("d11_checked_faces", """
+    WITH RECURSIVE e AS (SELECT vec_id, label, vec_id % 2 AS model, vec_id % 3 = 1 AS fresh, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+    near AS (SELECT a.vec_id, b.vec_id AS other, b.fresh, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.fresh AND a.model = b.model AND a.label <> b.label
+             WHERE (NOT b.fresh OR b.vec_id < a.vec_id) AND round(1 - list_cosine_similarity(a.v, b.v), 6) < 0.62),
+    own AS (SELECT e.vec_id, row_number() OVER (ORDER BY e.vec_id) AS nth, coalesce(bool_or(NOT near.fresh), false) AS there, coalesce(list(near.other) FILTER (near.fresh), []) AS before
+            FROM e LEFT JOIN near ON near.vec_id = e.vec_id WHERE e.fresh GROUP BY e.vec_id),
+    step AS (SELECT 0::BIGINT AS nth, []::BIGINT[] AS taken UNION ALL
+             SELECT own.nth, CASE WHEN there OR list_has_any(before, taken) THEN taken ELSE list_append(taken, own.vec_id) END FROM step JOIN own ON own.nth = step.nth + 1),
+    taken AS (SELECT unnest(arg_max(taken, nth)) AS vec_id FROM step),
+    dup AS (SELECT vec_id, min(distance) AS distance, arg_min(other, (distance, other)) AS other FROM near WHERE NOT fresh OR other IN (SELECT vec_id FROM taken) GROUP BY vec_id)
+    SELECT own.vec_id, CASE WHEN dup.vec_id IS NULL THEN 'accepted' ELSE 'duplicate' END AS status, other AS of_id, distance FROM own LEFT JOIN dup ON dup.vec_id = own.vec_id""")
+def d11_checked(spark, sf_dir):
+    """Every third vector is new; those too near to another identity's, there or accepted before, are told and not added."""
+    from vouch.operators import vectors
+
+    faces = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("identity"), (F.col("vec_id") % 2).alias("model"), "embedding")
+    return vectors.checked_faces(faces.filter("vec_id % 3 <> 1"), faces.filter("vec_id % 3 = 1"), 0.62).withColumnRenamed("of", "of_id")
+
+
 @query("d12_update_columns", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_name END AS s_name FROM supplier")
 def d12(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_name")

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vouch.plans.tables import scratch_dir, table
+from vouch.plans.tables import table
+from vouch.sources.scratch import scratch_dir
 from vouch.streaming import feeds, stateful
 
 Q, O = {}, {}

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.functions import names
+from vouch.sources.scratch import exists, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset, a folder under /tmp for a local master alone; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or 'file:///tmp/vouch-scratch').rstrip('/')}/vouch-{spark.sparkContext.applicationId}"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-
-
 #: Where the people of a folder are written, by application and folder: screening reads them several times in one query.
 _WRITTEN: dict[tuple[str, str], str] = {}
 
