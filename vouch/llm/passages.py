@@ -29,8 +29,8 @@ BANDS, EACH = 3, 2
 SIMILAR = 0.8
 #: Words from which a passage counts, its ends included.
 LEAST = 40
-#: Most words by which an end lies beyond its paragraph, as many as a paragraph may have; most words between two runs of an edited passage that are counted together.
-GROWN, GAP = LONGEST, 16
+#: Most words between two runs of an edited passage that are counted together.
+GAP = 16
 #: Paragraphs of one band that are paired directly; more are compared as groups.
 FEW = 8
 #: Paragraphs of one band that are compared all with all, and kinds of them in a block of a larger one.
@@ -104,6 +104,11 @@ class Paragraphs:
         enough = stops - starts >= SHINGLE
         self.at, self.stop, self.text = starts[enough], stops[enough], text[enough]
         self.start, self.n = self.at - first[self.text], self.stop - self.at
+        # Words from here to the far end of the paragraph before, and of the one after.
+        inside_text = np.r_[False, self.text[1:] == self.text[:-1]] if len(self.text) else np.zeros(0, bool)
+        self.before = self.start - np.where(inside_text, np.r_[0, self.start[:-1]], 0) if len(self.text) else self.start
+        goes_on = np.r_[inside_text[1:], False] if len(self.text) else inside_text
+        self.after = np.where(goes_on, np.r_[(self.start + self.n)[1:], 0], sizes[self.text]) - self.start - self.n if len(self.text) else self.start
         self.hash = words.hashes(self.at, self.stop)
         shingle = np.zeros(len(x), dtype=np.uint64)
         for k in range(SHINGLE):
@@ -229,7 +234,7 @@ def _met(columns: list[np.ndarray], first: int | None, last: int | None) -> Iter
 
 
 def _paragraph_rows(docs: DataFrame, with_sets: bool) -> DataFrame:
-    """doc_id, start, n, h of every paragraph, or h and its shingle set."""
+    """doc_id, start, n, before, after, h of every paragraph, or h and its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
@@ -237,9 +242,9 @@ def _paragraph_rows(docs: DataFrame, with_sets: bool) -> DataFrame:
             if with_sets:
                 yield pa.RecordBatch.from_arrays([_longs(them.hash), pa.array(them.sets(), pa.list_(pa.int64()))], ["h", "shingles"])
             else:
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(them.text)), pa.array(them.start.astype(np.int32)), pa.array(them.n.astype(np.int32)), _longs(them.hash)], ["doc_id", "start", "n", "h"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(them.text)), pa.array(them.start.astype(np.int32)), pa.array(them.n.astype(np.int32)), pa.array(them.before.astype(np.int32)), pa.array(them.after.astype(np.int32)), _longs(them.hash)], ["doc_id", "start", "n", "before", "after", "h"])
 
-    return docs.mapInArrow(run, "h long, shingles array<long>" if with_sets else "doc_id long, start int, n int, h long")
+    return docs.mapInArrow(run, "h long, shingles array<long>" if with_sets else "doc_id long, start int, n int, before int, after int, h long")
 
 
 def _alike(h: list[int], sets: list[set], similar: float) -> Iterator[tuple]:
@@ -356,7 +361,7 @@ def _links_of_cells(full: DataFrame, sets: DataFrame, similar: float) -> DataFra
 
 
 def paragraph_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """h and root of every paragraph that several documents have, or that is like another one."""
+    """h, root and mixed of every paragraph that several documents have, or that is like another one; mixed tells whether its class has others."""
     banded = docs.mapInArrow(_banded, "key long, h long, low long, high long")
     met = materialize(banded.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_meeting, MET), "passages-met")
     same = met.filter("u = v and cell is null").select("u", "v").distinct()
@@ -374,62 +379,74 @@ def paragraph_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         linked = materialize(close if grouped is None else close.unionByName(grouped).filter("u <> v").distinct(), "passages-linked")
     roots = components(linked)
     alone = same.select(F.col("u").alias("node")).join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-    return roots.unionByName(alone).withColumnRenamed("node", "h")
+    return roots.withColumn("mixed", F.lit(True)).unionByName(alone.withColumn("mixed", F.lit(False))).withColumnRenamed("node", "h")
 
 
 #: What an end is asked for: where it truly lies, or how far others may move along it.
 MOVES, LEADS = 1, 2
 
 
+#: From where an end is followed: the other end of its paragraph, the shingle of least hash, or the end itself.
+INSIDE, LEAST_SHINGLE, EDGE = 0, 1, 2
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ends) to (doc_id, side, start, anchor, root, role, origin, words) for the two anchors of each end.
+    """(doc_id, text, ends) to (doc_id, side, start, anchor, root, role, origin, words).
 
-    An end is that of a paragraph, from whose inside words are followed outwards: from its other end (anchor 0), and
-    from the far side of its shingle of least hash (anchor 1), which like paragraphs mostly have in common. words are
-    hashes of the first, the first two, ... words from the origin, up to GROWN beyond the paragraph.
+    An end is that of a paragraph. Where all of the class have the same words, it is followed outwards from there on; in a
+    mixed class from inside, from the paragraph's other end and from the far side of its shingle of least hash, which
+    like paragraphs mostly have in common. words are hashes of the first, the first two, ... words from the origin, up
+    to the far end of the paragraph beyond and REACH + 1 words: had documents more in common, that paragraph would be too.
     """
     for part in slices(batches):
         words, ends = Words(part.column(1).to_pylist()), part.column(2)
         text = np.repeat(np.arange(part.num_rows), ends.value_lengths().to_numpy())
-        side, start, n, root, role = (ends.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        side, start, n, beyond, root, role, mixed = (ends.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(7))
         if not len(text):
             continue
-        first = words.first[text] + start
-        # The shingle of least hash of each paragraph.
-        many = np.maximum(1, n - SHINGLE + 1).astype(np.int64)
-        stops = np.cumsum(many)
-        at = np.arange(int(stops[-1])) - np.repeat(stops - many, many) + np.repeat(first, many)
-        h = words.hashes(at, at + SHINGLE)
-        least = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, stops - many), many))
-        least = at[least[np.unique(np.searchsorted(stops, least, side="right"), return_index=True)[1]]]
-        left = side == 0
-        for anchor, place in enumerate((np.where(left, first + n, first), np.where(left, least + SHINGLE, least))):
-            origin = place - words.first[text]
-            room = np.where(left, np.minimum(origin, origin - start + GROWN), np.minimum(words.sizes[text] - origin, start + n - origin + GROWN)).astype(np.int64)
+        left, first = side == 0, words.first[text] + start
+        some = np.flatnonzero(mixed)
+        places = [(np.flatnonzero(~mixed), EDGE, np.where(left, first, first + n)), (some, INSIDE, np.where(left, first + n, first))]
+        if len(some):
+            # The shingle of least hash of each paragraph.
+            many = (n[some] - SHINGLE + 1).astype(np.int64)
+            stops = np.cumsum(many)
+            at = np.arange(int(stops[-1])) - np.repeat(stops - many, many) + np.repeat(first[some], many)
+            h = words.hashes(at, at + SHINGLE)
+            hit = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, stops - many), many))
+            least = np.zeros(len(text), dtype=np.int64)
+            least[some] = at[hit[np.unique(np.searchsorted(stops, hit, side="right"), return_index=True)[1]]]
+            places.append((some, LEAST_SHINGLE, np.where(left, least + SHINGLE, least)))
+        for these, anchor, place in places:
+            if not len(these):
+                continue
+            own, back, place = text[these], left[these], place[these]
+            origin = place - words.first[own]
+            edge = np.where(back, start[these], start[these] + n[these])
+            far = beyond[these] + REACH + 1
+            room = np.where(back, np.minimum(origin, origin - edge + far), np.minimum(words.sizes[own] - origin, edge - origin + far)).astype(np.int64)
             upto = np.cumsum(room)
-            end = np.repeat(np.arange(len(text)), room)
+            end = np.repeat(np.arange(len(these)), room)
             k = np.arange(len(end)) - (upto - room)[end] + 1
-            back = left[end]
-            c = words.hashes(place[end] - np.where(back, k, 0), place[end] + np.where(back, 0, k))
+            c = words.hashes(place[end] - np.where(back[end], k, 0), place[end] + np.where(back[end], 0, k))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, upto].astype(np.int32)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            ids = part.column(0).take(pa.array(text))
-            columns = [ids, pa.array(side), pa.array(start), pa.array(np.full(len(text), anchor, dtype=np.int32)), pa.array(root), pa.array(role), pa.array(origin.astype(np.int32)), lists]
+            columns = [part.column(0).take(pa.array(own)), pa.array(side[these]), pa.array(start[these]), pa.array(np.full(len(these), anchor, dtype=np.int32)), pa.array(root[these]), pa.array(role[these]), pa.array(origin.astype(np.int32)), lists]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "side", "start", "anchor", "root", "role", "origin", "words"])
 
 
 def _true_ends(base: DataFrame, runs: DataFrame) -> DataFrame:
     """doc_id, side (0 left, 1 right), start and reach: where the end of a run truly lies, by the paragraph that is its first or last.
 
-    From inside its paragraph an end is followed as far as the first or the last document of the paragraph's class
-    goes along, word for word, wherever that lies in them, so it may move outwards or inwards. Each class has
-    two documents to be compared with, however many it has. An end that goes along with neither is not in the result.
+    An end is followed as far as the first or the last document of the paragraph's class goes along, word for word,
+    wherever that lies in them; in a class of different paragraphs it may move inwards too. Each class has two documents to be compared with, however many it has. An end that goes along with neither is not in the result.
     """
     edges = with_range(runs, "root", "doc_id", "leftmost", "rightmost")
     leads = F.when((F.col("doc_id") == F.col("first_doc")) | (F.col("doc_id") == F.col("last_doc")), LEADS).otherwise(0)
 
     def end(side: int, flag: str) -> Column:
         role = F.when(F.col(flag) == 1, MOVES).otherwise(0) + F.when(F.col(f"high_{flag}") == 1, leads).otherwise(0)
-        return F.when(role > 0, F.struct(F.lit(side).alias("side"), "start", "n", "root", role.alias("role")))
+        beyond = F.col("after" if side else "before").alias("beyond")
+        return F.when(role > 0, F.struct(F.lit(side).alias("side"), "start", "n", beyond, "root", role.alias("role"), "mixed"))
 
     ends = edges.select("doc_id", F.explode(F.array_compact(F.array(end(0, "leftmost"), end(1, "rightmost")))).alias("end"))
     ends = ends.groupBy("doc_id").agg(F.collect_set("end").alias("ends"))
@@ -438,7 +455,7 @@ def _true_ends(base: DataFrame, runs: DataFrame) -> DataFrame:
     first = contexts.filter(F.col("role") >= LEADS).groupBy("root", "side", "anchor", F.col("doc_id").alias("lead")).agg(F.min_by("words", "start").alias("along"))
     met = contexts.filter(F.col("role") % 2 == MOVES).join(first, ["root", "side", "anchor"]).filter("doc_id <> lead")
     by = F.size(F.filter(F.zip_with("words", "along", lambda x, y: x == y), lambda same: same))
-    far = met.withColumn("by", by).filter(F.col("by") >= SHINGLE)
+    far = met.withColumn("by", by).filter((F.col("anchor") == EDGE) | (F.col("by") >= SHINGLE))
     reach = F.when(F.col("side") == 0, -F.min(F.col("origin") - F.col("by"))).otherwise(F.max(F.col("origin") + F.col("by")))
     return far.groupBy("doc_id", "side", "start").agg(reach.alias("reach")).withColumn("reach", F.when(F.col("side") == 0, -F.col("reach")).otherwise(F.col("reach")))
 
@@ -447,7 +464,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     """One row for each passage of a document that other documents have too: doc_id, start_word, n_words, passage_id, first_doc, kept.
 
     Words are split at ASCII white space and compared with A-Z lower-cased. Neighbouring paragraphs are one run,
-    whose ends lie where the first or the last document of the paragraph there ceases to go along word by word, GROWN words beyond it at most; runs that at most
+    whose ends lie where the first or the last document of the paragraph there ceases to go along word by word; runs that at most
     GAP words part, as an edit does, count together, and those of fewer than `least` words in all are left out.
     In a run, paragraphs of which the smallest doc_id that has them, first_doc, is the same are one passage.
     passage_id is the class of the passage's first paragraph; kept is true in first_doc, and every other passage may
@@ -457,7 +474,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null")
     classes = materialize(paragraph_classes(base, similar), "passages-classes")
-    found = _paragraph_rows(base, False).join(classes, "h").select("doc_id", "start", "n", "root").distinct()
+    found = _paragraph_rows(base, False).join(classes, "h").select("doc_id", "start", "n", "before", "after", "root", "mixed").distinct()
     # Classes of several documents; repeats within a single one are left out here.
     shared = with_range(materialize(found, "passages-found"), "root", "doc_id", "doc_id").filter("low_doc_id < high_doc_id").withColumnRenamed("low_doc_id", "first_doc").withColumnRenamed("high_doc_id", "last_doc")
     ordered = Window.partitionBy("doc_id").orderBy("start", "n")
@@ -468,7 +485,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, similar: float = SIMI
     # The paragraphs of a run that first_doc tells alike are one passage.
     turned = ((F.col("leftmost") == 1) | (F.lag("first_doc").over(ordered) != F.col("first_doc"))).cast("int")
     runs = runs.withColumn("run", F.sum("leftmost").over(ordered)).withColumn("turned", F.coalesce(turned, F.lit(0))).withColumn("part", F.sum("turned").over(ordered))
-    runs = materialize(runs.select("doc_id", "start", "n", "root", "first_doc", "last_doc", "leftmost", "rightmost", "run", "part"), "passages-runs")
+    runs = materialize(runs.select("doc_id", "start", "n", "before", "after", "root", "mixed", "first_doc", "last_doc", "leftmost", "rightmost", "run", "part"), "passages-runs")
 
     true = materialize(_true_ends(base, runs), "passages-ends")
     ends = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(stop).alias("stop"), F.min(F.struct("start", stop.alias("stop"))).alias("head"), F.max(F.struct("start", stop.alias("stop"))).alias("tail"))
