@@ -6,12 +6,13 @@ import itertools
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.functions import names, text, vectors as vf
+from vouch.functions import automaton, likeness, names, text, vectors as vf
 from vouch.operators import extract, fields, metrics, risk, vectors, verify, watch
 from vouch.sources import lists, stores
 from vouch.streaming import feeds
@@ -377,21 +378,92 @@ def test_text_and_label_match(spark):
         assert r.l == ("gidget" in low or best * 100 >= 75), texts[r.i]
 
 
-def test_large_dictionaries(spark, monkeypatch):
-    """The joins for large dictionaries find what the passes for small ones do."""
+@pytest.mark.parametrize("room, shards", [(1 << 26, 4), (4000, 2)])
+def test_dictionaries(spark, monkeypatch, room, shards):
+    """One shard or many, in one pass or several, against all terms in turn."""
+    monkeypatch.setattr(extract, "SHARD_ROOM", room)
+    monkeypatch.setattr(extract, "SHARDS", shards)
     rng = random.Random(7)
-    texts = spark.createDataFrame([(i, " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(8))) for i in range(60)] + [(90, None), (91, "")], "doc_id int, text string")
-    terms = spark.createDataFrame([("ab", "two"), ("c", "one"), ("abc a", "words"), ("bca", "three"), ("b", "one"), ("cab b", "words"), ("", "none")], "term string, kind string")
+    plain = {i: " ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 5))) for _ in range(8)) for i in range(60)} | {90: "", 91: "", 92: "x ab-C  a" * 50}
+    texts = spark.createDataFrame([(i, t if i != 90 else None) for i, t in plain.items()], "doc_id int, text string")
+    known = [("ab", "two"), ("c", "one"), ("abc a", "words"), ("bca", "three"), ("b", "one"), ("b", "letter"), ("cab b", "words"), ("é", "one"), ("ab c a", "words")]
+    known += [("".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 4))), f"k{i}") for i in range(40)]
+    terms = spark.createDataFrame([*known, ("", "none"), ("AB", "two")], "term string, kind string")
     got = lambda mode: sorted(map(tuple, extract.tag_dictionary(texts, terms, 2, mode).collect()))
-    few = got("substring"), got("word")
-    monkeypatch.setattr(extract, "TRIED", 2)
-    monkeypatch.setattr(extract, "SMALL", 2)
-    assert (got("substring"), got("word")) == few
-    plain = {r.doc_id: r.text or "" for r in texts.collect()}
-    known = [(r.term, r.kind) for r in terms.collect() if r.term]
     best = lambda hits: max(hits, key=lambda t: (len(t[0]), *t), default=None)
-    assert few[0] == sorted((d, *b) for d, t in plain.items() if (b := best([k for k in known if k[0] in t])))
-    assert few[1] == sorted((d, *b) for d, t in plain.items() if (b := best([k for k in known if f" {k[0]} " in f" {t} "])))
+    assert got("substring") == sorted((d, *b) for d, t in plain.items() if (b := best([k for k in known if k[0] in t.lower()])))
+    line = lambda t: " " + re.sub(r"[^\w]+", " ", t.lower()).strip() + " "
+    assert got("word") == sorted((d, *b) for d, t in plain.items() if (b := best([k for k in known if f" {k[0]} " in line(t) and len(k[0].split(" ")) <= 2])))
+    assert extract.tag_dictionary(texts, terms.limit(0)).count() == 0
+
+
+def test_automaton():
+    """Against str.find, over stretches of any number, with terms inside one another."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("aab") for _ in range(rng.randrange(1, n))).encode()
+    for lanes in (1, 3, 8192):
+        automaton.LANES = lanes
+        for _ in range(30):
+            terms, texts = sorted({word(7) for _ in range(rng.randrange(1, 9))}), [word(60) if rng.random() < 0.9 else b"" for _ in range(12)]
+            found = automaton.Automaton(terms).greatest(texts)
+            assert found.tolist() == [max((i for i, t in enumerate(terms) if t in text), default=-1) for text in texts]
+    assert automaton.Automaton([b"a"]).greatest([]).tolist() == []
+
+
+def test_many_terms_in_one_pass(spark):
+    """A hundred thousand terms on documents: as by cutting each text into runs of letters of every length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("doc_id < 300")
+    texts = {r.doc_id: (r.text or "").lower() for r in docs.collect()}
+    rng, terms = random.Random(9), set()
+    while len(terms) < 100_000:
+        text = texts[rng.choice(list(texts))]
+        at, n = rng.randrange(max(1, len(text))), rng.randrange(6, 14)
+        terms.add(text[at : at + n] if rng.random() < 0.05 and len(text) > at + n else "".join(rng.choice("etaoinshr") for _ in range(n)))
+    found = {r.doc_id: r.term for r in extract.tag_dictionary(docs, spark.createDataFrame([(t, "k") for t in sorted(terms)], "term string, kind string"), mode="substring").collect()}
+    for i, text in texts.items():
+        hits = {text[a : a + n] for n in range(1, 14) for a in range(len(text) - n + 1)} & terms
+        assert found.get(i) == max(hits, key=lambda t: (len(t), t), default=None)
+
+
+def test_likeness():
+    """The closest word and the best window by difflib itself, and a text of 20,000 words in a moment."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(0, 9)))
+    for _ in range(300):
+        target, words = word(), [word() for _ in range(rng.randrange(12))]
+        assert likeness.Words(target, words + ["zz"]).closest(words, 0.3) == next(iter(difflib.get_close_matches(target, words, 1, 0.3)), None)
+        text, label = " ".join(words), word()
+        short, long = sorted((text, label), key=len)
+        best = max((difflib.SequenceMatcher(None, long[i : i + len(short)], short, autojunk=False).ratio() for i in range(len(long) - len(short) + 1)), default=0.0) if short else 0.0
+        assert likeness.best_window(text, label) == best
+    long = "".join(rng.choice("ab") for _ in range(90))
+    assert likeness.Words(long, [long[:80], long[5:]]).closest([long[:80], long[5:]], 0.3) == next(iter(difflib.get_close_matches(long, [long[:80], long[5:]], 1, 0.3)))
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 12))) for _ in range(40_000)]
+
+    def took(n):
+        began = time.perf_counter()
+        likeness.Words("gidgetmaker", words[:n]).closest(words[:n], 0.3)
+        likeness.best_window(" ".join(words[:n]), "gidgetmaker")
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(20_000) < 10 and took(40_000) < 6 * took(20_000)
+
+
+def test_frequent_tokens_are_dealt(spark, monkeypatch):
+    """A token that all names have does not change what is found, and no part of its grid is large."""
+    monkeypatch.setattr(watch, "GRID_ROWS", 10)
+    rng = random.Random(11)
+    name = lambda: " ".join(["common", *(rng.choice("abcd") for _ in range(rng.randrange(0, 4)))])
+    subjects, entries = [name() for _ in range(30)], [name() for _ in range(120)]
+    left = spark.createDataFrame(list(enumerate(subjects)), "subject_id long, full_name string")
+    right = spark.createDataFrame(list(enumerate(entries)), "entry_id long, name string")
+    expected = set()
+    for (i, s), (j, e) in itertools.product(enumerate(subjects), enumerate(entries)):
+        a, b = set(s.split()), set(e.split())
+        if len(a & b) / len(a) * 0.7 + len(a & b) / len(a | b) * 0.3 >= 0.5:
+            expected.add((i, j))
+    assert {(r.subject_id, r.entry_id) for r in watch.match_names(left, right).collect()} == expected
 
 
 def test_batches_are_applied_once(spark, tmp_path):

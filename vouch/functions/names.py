@@ -36,6 +36,11 @@ def token_score(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(a) * 0.7 + both / either * 0.3)
 
 
+def token_bound(most: Column, a: Column, b: Column) -> Column:
+    """The greatest score of sets of a and b tokens that have `most` in common."""
+    return most / a * 0.7 + most / (a + b - most) * 0.3 + 1e-9
+
+
 def for_matching(name: Column) -> Column:
     """Lower case with the marks , . - _ ' " ` / and white space as single spaces, trimmed; null gives the empty text."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[,.\-_'\"`/\s]+", " "))

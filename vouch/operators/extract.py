@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vouch.functions.automaton import Automaton
 
 #: Rows of a dictionary up to which it is sent to all tasks; beyond, its join is by hash.
 SMALL = 200_000
@@ -17,62 +22,82 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _words(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+#: Bytes of the arrays of one shard of a dictionary, and shards that one pass over the texts takes.
+SHARD_ROOM, SHARDS = 1 << 26, 4
+#: Bytes of text that are searched together.
+STRETCH = 1 << 22
 
 
 def tag_dictionary(texts: DataFrame, terms: DataFrame, longest: int = 4, mode: str = "word") -> DataFrame:
     """doc_id and term, kind of the longest dictionary term in each text; ties by term. Texts without one are left out.
 
-    In mode `word` both sides are compared in lower-case words, up to `longest` of them, in mode `substring` a term
-    may stand anywhere. Texts are taken apart once: each word, with those after it, meets the first words of the terms
-    in an equi-join, and what is met is compared in full. A small dictionary filters the words before any shuffle; a
-    large one is joined by hash, never tried term by term.
+    In mode `word` both sides are compared in lower-case words, terms of up to `longest` of them, in mode `substring` a
+    term may stand anywhere. An automaton of the terms reads each text once, whatever their number, and no text is
+    shuffled. A dictionary whose automaton would be too large is dealt into shards, SHARDS of which one pass takes.
     """
-    known = terms.select(F.lower("term").alias("term"), "kind").filter("term <> ''").distinct()
+    known = terms.select(F.lower("term").alias("term"), "kind").filter("term <> ''")
     if mode == "word":
-        known = known.withColumn("key", F.split("term", " ")[0])
-        at = texts.select("doc_id", _words("text").alias("w")).select("doc_id", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("key"), F.array_join(F.slice("w", i + 1, longest), " ").alias("run")))).alias("r")).select("doc_id", "r.*")
-        stands = F.concat("run", F.lit(" ")).startswith(F.concat("term", F.lit(" ")))
+        known = known.filter(F.size(F.split("term", " ")) <= longest)
+        words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+        line, around = F.concat(F.lit(" "), words, F.lit(" ")), " "
     elif mode == "substring":
-        return _tag_substrings(texts, known)
+        line, around = F.lower(F.coalesce("text", F.lit(""))), ""
     else:
         raise ValueError(f"mode is word or substring, not {mode}")
-    return _longest(at.join(small(known), "key").filter(stands))
+    # Of kinds of one term the last counts.
+    known = known.groupBy("term").agg(F.max("kind").alias("kind"))
+    rows = texts.select("doc_id", line.cast("binary").alias("line"))
+    found = None
+    for passed in _shards(known, around):
+        tagged = _tagged(rows, passed, around)
+        found = tagged if found is None else found.unionByName(tagged)
+    return _longest(found) if found is not None else rows.select("doc_id", F.lit("").alias("term"), F.lit("").alias("kind")).limit(0)
 
 
-def _longest(found: DataFrame) -> DataFrame:
-    best = found.groupBy("doc_id").agg(F.max_by(F.struct("term", "kind"), F.struct(F.length("term"), F.col("term"), F.col("kind"))).alias("b"))
-    return best.select("doc_id", "b.term", "b.kind")
-
-
-#: Terms that are tried one by one inside a text; of more, only those whose first characters the text has.
-TRIED = 1_000
+def _shards(known: DataFrame, around: str) -> Iterator[list[list[tuple[str, str]]]]:
+    """The terms of each pass, by shards; no more than one pass's terms are on the driver at a time.
 
+    The number of shards follows from the terms' bytes, taken as if each byte were a state with 100 followers.
+    """
+    total = known.agg(F.sum(F.octet_length("term") + 2 * len(around))).first()[0]
+    n = -(-(total or 0) * 400 // SHARD_ROOM)
+    shard = F.pmod(F.xxhash64("term"), F.lit(max(1, n))).cast("int")
+    for first in range(0, n, SHARDS):
+        shards: dict[int, list[tuple[str, str]]] = {}
+        for r in known.withColumn("shard", shard).filter(F.col("shard").between(first, first + SHARDS - 1)).collect():
+            shards.setdefault(r.shard, []).append((r.term, r.kind))
+        yield [sorted(them, key=lambda t: (len(t[0]), t[0])) for _, them in sorted(shards.items())]
+
+
+def _tagged(rows: DataFrame, shards: list[list[tuple[str, str]]], around: str) -> DataFrame:
+    """doc_id, term and kind of the longest term of each shard in each line."""
+    shared = rows.sparkSession.sparkContext.broadcast(shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [Automaton([f"{around}{t}{around}".encode() for t, _ in them]) for them in shared.value]
+
+        def told(ids: pa.Array, lines: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for machine, them in zip(machines, shared.value):
+                best = machine.greatest(lines)
+                hit = np.flatnonzero(best >= 0)
+                found = [them[i] for i in best[hit].tolist()]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array([t for t, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], ["doc_id", "term", "kind"])
+
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, side="right")))
+                part = batch.slice(at, upto - at)
+                yield from told(part.column(0), part.column(1).to_pylist())
+                at = upto
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, kind string")
 
-def _tag_substrings(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """tag_dictionary for terms anywhere in a text: a few are looked for in each text, in a single pass over the texts.
 
-    Of a large dictionary the first three characters of each term meet the texts' runs of so many in an equi-join, and
-    only the terms met are looked for.
-    """
-    low = texts.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    few = known.limit(TRIED + 1).collect()
-    if len(few) <= TRIED:
-        ordered = sorted(((r.term, r.kind) for r in few), key=lambda t: (len(t[0]), *t), reverse=True)
-        terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("kind")) for t, k in ordered]).cast("array<struct<term:string,kind:string>>")
-        first = low.select("doc_id", F.get(F.filter(terms, lambda t: F.col("low").contains(t["term"])), F.lit(0)).alias("t"))
-        return first.filter("t is not null").select("doc_id", "t.term", "t.kind")
-    known = known.withColumn("key", F.substring("term", 1, 3))
-    # Terms of one or two characters are keys themselves: at most three lengths are there.
-    sizes = [r.n for r in known.select(F.length("key").alias("n")).distinct().collect()]
-
-    def runs(n: int) -> Column:
-        at = F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(n)))
-
-    met = low.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("key")).join(small(known), "key").select("doc_id", "term", "kind")
-    return _longest(met.join(low, "doc_id").filter(F.col("low").contains(F.col("term"))))
+def _longest(found: DataFrame) -> DataFrame:
+    best = found.groupBy("doc_id").agg(F.max_by(F.struct("term", "kind"), F.struct(F.length("term"), F.col("term"), F.col("kind"))).alias("b"))
+    return best.select("doc_id", "b.term", "b.kind")
 
 
 def _most_keywords(low: Column, keywords: dict[str, list[str]]) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from vouch.functions import likeness
 from vouch.functions.names import jaro_winkler, name_similarity
 from vouch.functions.text import postal_code, validate_account
 
@@ -113,8 +114,14 @@ def parse_addresses(rows: DataFrame, places: DataFrame, states: dict[str, str],
 
 @F.pandas_udf(T.StringType())
 def closest_word(text: pd.Series, target: pd.Series) -> pd.Series:
-    """The word of each text most like the target by matching blocks, at 0.3 or more; null without one. No built-in compares so."""
-    return pd.Series([next(iter(difflib.get_close_matches((t or "").lower(), (x or "").lower().split(), 1, 0.3)), None) for x, t in zip(text, target)], dtype=object)
+    """The word of each text most like the target by matching blocks, at 0.3 or more; null without one.
+
+    The distinct words of a batch are bounded together, and only words that may be the closest are compared.
+    """
+    words = [(x or "").lower().split() for x in text]
+    goals = target.fillna("").str.lower()
+    near = {t: likeness.Words(t, itertools.chain.from_iterable(w for w, own in zip(words, goals) if own == t)) for t in set(goals)}
+    return pd.Series([near[t].closest(w, 0.3) for w, t in zip(words, goals)], dtype=object)
 
 
 def text_match(text: Column, target: Column) -> Column:
@@ -127,20 +134,7 @@ def text_match(text: Column, target: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(text: pd.Series, label: pd.Series) -> pd.Series:
     """Best ratio of matching blocks of the shorter text against windows of its length in the longer one, in percent."""
-
-    def best(a: str, b: str) -> float:
-        short, long = sorted(((a or "").lower(), (b or "").lower()), key=len)
-        if not short:
-            return 0.0
-        matcher = difflib.SequenceMatcher(None, "", short, autojunk=False)
-        found = 0.0
-        for i in range(len(long) - len(short) + 1):
-            matcher.set_seq1(long[i : i + len(short)])
-            if matcher.real_quick_ratio() > found and matcher.quick_ratio() > found:
-                found = max(found, matcher.ratio())
-        return found * 100
-
-    return pd.Series([best(a, b) for a, b in zip(text, label)], dtype=float)
+    return pd.Series([likeness.best_window((a or "").lower(), (b or "").lower()) * 100 for a, b in zip(text, label)], dtype=float)
 
 
 def label_match(text: Column, label: Column, least: float = 75.0) -> Column:

@@ -7,7 +7,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vouch.functions.names import name_tokens, token_score
+from vouch.functions.names import name_tokens, token_bound, token_score
+from vouch.operators.extract import small
+from vouch.sources.scratch import written
 
 #: Name score from which a pair is a match, and from which it is strong; what is kept for each subject.
 LEAST, STRONG, KEPT = 0.5, 0.7, 10
@@ -108,21 +110,35 @@ def ladder(country: Column, dob: Column) -> Column:
     return F.when(country & dob, F.lit(0.99)).when(country, F.lit(0.66)).otherwise(F.lit(0.33))
 
 
+#: Rows of one token and side that meet in one part of the grid of a frequent token.
+GRID_ROWS = 2_000
+
+
 def match_names(subjects: DataFrame, entries: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs of subjects and entries whose names score `least` or more; columns of both sides and name_score.
 
     A pair of that score shares at least `least` of the subject's tokens. So one of the subject's rarest tokens,
     as many as may be missing and one, must be shared: only those meet the entries' tokens in the join, and
-    names that everybody has make few candidates. The score is then taken from the whole token sets.
+    names that everybody has make few candidates. Numbers of tokens that cannot give the score do not meet at all. Frequency
+    decides how a token is joined: one of over GRID_ROWS entries is dealt into a grid, its entries along one side
+    and its subjects, each once for every part, along the other, so no task has the rows of a frequent token alone. Tokens
+    are taken apart and written once; the score is then taken from the whole token sets.
     """
     left = subjects.withColumn("subject_tokens", name_tokens(F.col("full_name")))
     right = entries.withColumn("entry_tokens", name_tokens(F.col("name")))
-    tokens = right.select("entry_id", F.explode("entry_tokens").alias("token"))
+    tokens = written(right.select("entry_id", F.size("entry_tokens").alias("entry_size"), F.explode("entry_tokens").alias("token")), "tokens")
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     asked = left.select("subject_id", F.size("subject_tokens").alias("size"), F.explode("subject_tokens").alias("token")).join(frequency, "token", "left")
     rank = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.coalesce("n", F.lit(0)), "token"))
     rare = asked.withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least) + 1).filter("n is not null")
-    pairs = rare.select("subject_id", "token").join(tokens, "token").select("subject_id", "entry_id").distinct()
+    parts = F.ceil(F.col("n") / GRID_ROWS).cast("int")
+    met = rare.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("subject_id", "size", "token", "part")
+    # Of all tokens no more than a GRID_ROWS-th of the rows' number is frequent.
+    often = frequency.filter(F.col("n") > GRID_ROWS).select("token", parts.alias("parts"))
+    held = tokens.join(small(often), "token", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("entry_id"), F.col("parts")), F.lit(0)).cast("int"))
+    most = F.least("size", "entry_size")
+    fits = token_bound(most, F.col("size"), F.col("entry_size")) >= least
+    pairs = met.join(held, ["token", "part"]).filter(fits).select("subject_id", "entry_id").distinct()
     both = pairs.join(left, "subject_id").join(right, "entry_id")
     return both.withColumn("name_score", token_score(F.col("subject_tokens"), F.col("entry_tokens"))).filter(F.col("name_score") >= least)
 
