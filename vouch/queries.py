@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.plans import evaluation, extraction, fields, lifecycle, rules, screening, streams
+from vouch.plans import evaluation, extraction, fields, lifecycle, rules, screening, statements, streams
 
 FLAGSHIP = "j1_screen_sanctions"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for family in (screening, evaluation, lifecycle, extraction, fields, rules, streams):
+for family in (screening, evaluation, lifecycle, extraction, fields, rules, statements, streams):
     QUERIES |= family.Q
     ORACLES |= family.O
 
