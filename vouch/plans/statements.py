@@ -101,15 +101,17 @@ def j15(spark, sf_dir):
 
 
 LINES = "l AS (SELECT doc_id, i AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"
-_value = lambda name, pattern, good, group, fits: f"SELECT doc_id, line_no, '{name}' AS key_name, CASE WHEN {good} THEN {group} ELSE nullif(after, '') END AS value, CASE WHEN {good} THEN 0.9 WHEN {fits} THEN 0.85 ELSE 0.7 END AS confidence FROM (SELECT *, trim(regexp_replace(line, '^.*?(?:{pattern})', '', 's')) AS after FROM l WHERE regexp_matches(line, '{pattern}')) WHERE {good} OR after <> ''"
+#: A word, with letters of any alphabet as its bounds.
+LES = r"(?:^|[^\p{L}])les(?:[^\p{L}]|$)"
+_value = lambda name, pattern, good, group, fits: f"SELECT doc_id, line_no, '{name}' AS key_name, CASE WHEN {good} THEN {group} ELSE nullif(after, '') END AS value, CASE WHEN {good} THEN 0.9 WHEN {fits} THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, trim(regexp_replace(line, '^.*?(?:{pattern})', '', 's')) AS after FROM l WHERE regexp_matches(line, '{pattern}')) WHERE {good} OR after <> ''"
 
 
 @query("f23_key_values", rf"""WITH {LINES}
     {_value('token', 'token = "([0-9a-f]+)"', "regexp_matches(regexp_extract(line, 'token = \"([0-9a-f]+)\"', 1), '^[0-9a-f]{20}')", "regexp_extract(line, 'token = \"([0-9a-f]+)\"', 1)", "regexp_matches(after, '^[0-9a-f]{20}')")}
-    UNION ALL {_value('article', r'\bles\b', 'false', "''", "regexp_matches(after, '^[a-z]+ [a-z]+ ')")}""")
+    UNION ALL {_value('article', LES, 'false', "''", "regexp_matches(after, '^[a-z]+ [a-z]+ ')")}""")
 def f23(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
-    return S.key_values(lines, {"token": S.Key('token = "([0-9a-f]+)"', 1, "[0-9a-f]{20}"), "article": S.Key(r"\bles\b", 0, "[a-z]+ [a-z]+ ")})
+    return S.key_values(lines, {"token": S.Key('token = "([0-9a-f]+)"', 1, "[0-9a-f]{20}"), "article": S.Key(LES, 0, "[a-z]+ [a-z]+ ")})
 
 
 PATTERNS = {"SG": [r"\bS\s?\d{6}\b", r"\b\d{6}\b"], "UK": [r"\b[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b"], "MY": [r"\b\d{5}\b"]}
