@@ -125,6 +125,13 @@ class Paragraphs:
                 key = _mix(key * ODD[5] + least(k))
             yield key
 
+    def lists(self) -> pa.Array:
+        """The shingles of each paragraph in order, repeats included."""
+        n = self.stop - self.at - SHINGLE + 1
+        stops = np.cumsum(n)
+        at = np.arange(int(n.sum())) + np.repeat(self.at - (stops - n), n)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), _longs(self.shingle[at]))
+
     def sets(self) -> list[np.ndarray]:
         return [np.unique(self.shingle[a : b - SHINGLE + 1]).view(np.int64) for a, b in zip(self.at, self.stop)]
 
@@ -234,13 +241,13 @@ def _met(columns: list[np.ndarray], first: int | None, last: int | None) -> Iter
 
 
 def _paragraph_rows(docs: DataFrame, with_sets: bool) -> DataFrame:
-    """doc_id, start, n, before, after, h of every paragraph, or h and its shingle set."""
+    """doc_id, start, n, before, after, h of every paragraph, or h and its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
             them = Paragraphs(part.column(1).to_pylist())
             if with_sets:
-                yield pa.RecordBatch.from_arrays([_longs(them.hash), pa.array(them.sets(), pa.list_(pa.int64()))], ["h", "shingles"])
+                yield pa.RecordBatch.from_arrays([_longs(them.hash), them.lists()], ["h", "shingles"])
             else:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(them.text)), pa.array(them.start.astype(np.int32)), pa.array(them.n.astype(np.int32)), pa.array(them.before.astype(np.int32)), pa.array(them.after.astype(np.int32)), _longs(them.hash)], ["doc_id", "start", "n", "before", "after", "h"])
 
@@ -370,7 +377,7 @@ def paragraph_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     if not (pairs.isEmpty() and full.isEmpty()):
         # h stands for one content; sets are made again for the paragraphs that met others.
         ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).unionByName(full.select("u")).distinct()
-        sets = _paragraph_rows(docs, True).join(ends, F.col("h") == F.col("u"), "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
+        sets = _paragraph_rows(docs, True).join(ends, F.col("h") == F.col("u"), "left_semi").groupBy("h").agg(F.array_sort(F.array_distinct(F.first("shingles"))).alias("shingles"))
         sets = materialize(sets, "passages-sets")
         of = lambda name: sets.select(F.col("h").alias(name), F.col("shingles").alias(f"s{name}"))
         both = pairs.join(of("u"), "u").join(of("v"), "v")
