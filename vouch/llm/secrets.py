@@ -3,14 +3,17 @@
 A candidate is a run of credential characters. Its novelty is what it adds to the zstandard-compressed size of
 the text around it, with a dictionary of common identifiers given to the compressor beforehand: a word, a path
 or an identifier that occurs nearby adds little, a random key adds nearly its own entropy. Candidates near a
-word that tells of credentials are reported when each of their characters adds enough.
+word that tells of credentials are reported when each of their characters adds enough. Letters of one case alone add
+less, and so do words that are strung together; of those as many different letters are asked for as a random string
+has. Spans of the fixed patterns are measured too, and stay whatever comes of it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -26,6 +29,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A run that may be a credential: 20 characters or more.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Letters of one case alone; bytes that each adds at least, and their different letters, as a share of those that a random string has.
+LETTERS = re.compile(r"[a-z]+|[A-Z]+")
+LETTERS_RATE, DIFFERENT = 0.3, 0.86
+#: Kinds of characters of a candidate, and how many there are of each.
+KINDS_OF_SIGNS = [(26, re.compile("[a-z]")), (26, re.compile("[A-Z]")), (10, re.compile("[0-9]")), (5, re.compile("[+/_=-]"))]
 #: Words that make a context sensitive.
 SENSITIVE = re.compile(r"passw|secret|token|api[_-]?key|auth|credential|private|bearer|access|signature|login|session", re.IGNORECASE)
 #: Identifiers and phrases that code and configuration share: fixed values.
@@ -49,8 +57,8 @@ template test text thread throw time timeout timestamp title token trace transac
 unique update upload url user username utf-8 value variable vector version view void while window write yield
 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
 """.encode()
-RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-FOUND = "doc_id long, kind string, start int, end int, value string"
+RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, added string"
+FOUND = "doc_id long, kind string, start int, end int, value string, added int"
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -84,9 +92,24 @@ class Novelty:
         return size(context + b" " + candidate) - size(context + b" ")
 
 
-def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, str]], window: int = 240, near: int = 48, rate: float = 0.6) -> list[tuple[int, int, str]]:
-    """Candidates outside base spans, with a sensitive word within `near` characters on either side, whose characters add `rate` bytes each on average."""
-    spans, at = [], 0
+def is_novel(candidate: str, added: int, rate: float) -> bool:
+    """Whether what a candidate adds is what a random string would: `rate` bytes a character, fewer where it uses few kinds of characters."""
+    n = len(candidate)
+    if not LETTERS.fullmatch(candidate):
+        signs = sum(size for size, kind in KINDS_OF_SIGNS if kind.search(candidate))
+        return added >= rate * min(1.0, math.log2(signs) / 6) * n
+    return added >= min(rate, LETTERS_RATE) * n and len(set(candidate)) >= DIFFERENT * 26 * (1 - (25 / 26) ** n)
+
+
+def measured(text: str, a: int, b: int, novelty: Novelty, window: int = 240) -> int:
+    """Bytes that text[a:b] adds to what stands around it."""
+    context = (text[max(0, a - window) : a] + text[b : b + window]).encode("utf-8", "replace")
+    return novelty.added(context, text[a:b].encode("utf-8", "replace"))
+
+
+def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, str]], window: int = 240, near: int = 48, rate: float = 0.6) -> dict[tuple[int, int, str], int]:
+    """Candidates outside base spans that are novel, with a sensitive word within `near` characters on either side, and the bytes that each adds; see is_novel."""
+    spans, at = {}, 0
     taken = merged(base)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -97,16 +120,20 @@ def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, str]], w
             continue
         if not (SENSITIVE.search(text, max(0, a - near), a) or SENSITIVE.search(text, b, b + near)):
             continue
-        context = (text[max(0, a - window) : a] + text[b : b + window]).encode("utf-8", "replace")
-        if novelty.added(context, m.group().encode()) >= rate * (b - a):
-            spans.append((a, b, "novel"))
+        added = measured(text, a, b, novelty, window)
+        if is_novel(m.group(), added, rate):
+            spans[a, b, "novel"] = added
     return spans
 
 
-def joined(spans: list[tuple[int, int, str]]) -> str:
+def in_order(spans: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans by start, then kind."""
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
+def joined(spans: Iterable[tuple[int, int, str]]) -> str:
     """kind:start:end by start, then kind; comma-joined."""
-    ordered = sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
-    return ",".join(f"{kind}:{a}:{b}" for a, b, kind in ordered)
+    return ",".join(f"{kind}:{a}:{b}" for a, b, kind in in_order(spans))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], rate: float) -> Iterator[tuple]:
@@ -114,11 +141,12 @@ def _scanned(batches: Iterator[pa.RecordBatch], rate: float) -> Iterator[tuple]:
     for part in slices(batches):
         for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             base = base_spans(text)
-            yield doc_id, text, base, novel_spans(text, novelty, base, rate=rate)
+            more = novel_spans(text, novelty, base, rate=rate)
+            yield doc_id, text, base, {s: measured(text, *s[:2], novelty) for s in base} | more
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.6) -> DataFrame:
-    """One row for each secret: doc_id, kind, start, end (code points, end exclusive), value.
+    """One row for each secret: doc_id, kind, start, end (code points, end exclusive), value, added (bytes that it adds to what is around it).
 
     Null and empty texts give none, repeated rows repeat theirs. A pass over each row, without a shuffle; other
     columns are ignored.
@@ -126,8 +154,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.6) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for doc_id, text, base, more in _scanned(batches, rate):
-            rows += [(doc_id, kind, a, b, text[a:b]) for a, b, kind in sorted(base + more)]
+        for doc_id, text, _, every in _scanned(batches, rate):
+            rows += [(doc_id, kind, a, b, text[a:b], every[a, b, kind]) for a, b, kind in in_order(every)]
             if len(rows) >= 1000:
                 yield _batch(rows, FOUND_ARROW)
                 rows = []
@@ -137,8 +165,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.6) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, FOUND)
 
 
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
-DIGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("added", pa.int32())])
+DIGEST_ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("added", pa.string())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -146,7 +174,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def secret_digests(docs: DataFrame, rate: float = 0.6) -> DataFrame:
-    """One row for each row of docs: counts by kind, SHA-256 of the base spans, and all spans as text.
+    """One row for each row of docs: counts by kind, SHA-256 of the base spans, all spans as text, and the bytes that each adds, in the same order.
 
     Null and empty texts have no spans: counts of 0, the digest of the empty text, an empty list. A text of any
     length is read once, in time that grows with its length. Repeated rows repeat their result, a null doc_id stays
@@ -156,10 +184,10 @@ def secret_digests(docs: DataFrame, rate: float = 0.6) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for doc_id, _, base, more in _scanned(batches, rate):
+        for doc_id, _, base, every in _scanned(batches, rate):
             kinds = [k for _, _, k in base]
             sha = hashlib.sha256(joined(base).encode()).hexdigest()
-            rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), sha, joined(base + more)))
+            rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), sha, joined(every), ",".join(str(every[s]) for s in in_order(every))))
             if len(rows) == 1000:
                 yield _batch(rows, DIGEST_ARROW)
                 rows = []
