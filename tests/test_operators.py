@@ -475,7 +475,33 @@ def test_batches_are_applied_once(spark, tmp_path):
     first, second = batch([(1, "delete", None, "o", now, 1), (3, "update", "new", "o", now, 2), (2, "update", "mine", "me", now, 3)]), batch([(2, "update", None, "o", now, 4), (1, "update", "back", "o", now, 5), (3, "update", "a", "o", now, 6), (3, "update", "b", "o", now, 7)])
     for n, rows in ((0, first), (1, second), (1, second)):
         apply(rows, n)
-    assert sorted(map(tuple, feeds.last_version(spark, f"file://{tmp_path}/v", 2).collect())) == [(1, "back"), (2, "old"), (3, "b")]
+    kept = lambda *n: sorted(map(tuple, feeds.last_version(spark, f"file://{tmp_path}/v", target.schema, *n).collect()))
+    assert kept() == kept(2) == [(1, "back"), (2, "old"), (3, "b")] and kept(1) == [(2, "old"), (3, "new")]
+    with pytest.raises(RuntimeError):
+        apply(second, 5)
+
+
+def test_batches_write_what_they_touch(spark, tmp_path):
+    """Many batches of few keys against a dict; old versions go, and parts that no event touched are not written again."""
+    rng, path = random.Random(12), f"file://{tmp_path}/v"
+    now = datetime.datetime(2024, 1, 1)
+    expected = {k: "old" for k in range(300)}
+    target = spark.createDataFrame(list(expected.items()), "number long, share string")
+    apply = feeds.keep_applied(target, path, "me")
+    assert sorted(map(tuple, feeds.last_version(spark, path, target.schema).collect())) == sorted(expected.items())
+    for n in range(5):
+        rows = [(rng.randrange(310), rng.choice(["update", "delete"]), rng.choice([f"s{n}", None]), rng.choice(["o", "me"]), now, i) for i in range(4)]
+        last = {r[0]: r for r in rows if r[3] == "o"}
+        for number, (_, kind, share, *_) in last.items():
+            if kind == "delete":
+                expected.pop(number, None)
+            else:
+                expected[number] = share if share is not None else expected.get(number)
+        apply(spark.createDataFrame(rows, "number long, event_type string, share string, instance_id string, ts timestamp, seq long"), n)
+        assert len(list((tmp_path / "v" / "data" / f"version={n}").glob("bucket=*"))) <= 4
+    feeds.keep_applied(target.limit(0), path, "me")  # a later start does not begin anew
+    assert dict(map(tuple, feeds.last_version(spark, path, target.schema).collect())) == expected
+    assert sorted(p.name for p in (tmp_path / "v" / "manifest").iterdir()) == ["3", "4"]
 
 
 def test_drain_goes_on(spark, tmp_path):

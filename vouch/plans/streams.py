@@ -57,28 +57,30 @@ CUTS = ["2024-01-08", "2024-01-16", "2024-01-24"]
 _fold = lambda i: f"s{i} AS (SELECT s.number, CASE WHEN l.kind IS NULL THEN s.state WHEN l.kind = 'error' THEN NULL WHEN l.kind = 'click' THEN coalesce(s.state, '') ELSE l.kind END AS state FROM {f's{i - 1}' if i else 'u'} s LEFT JOIN l ON l.number = s.number AND l.batch = {i})"
 
 
+def _parts(frame, column="ts"):
+    """frame in four parts of time, as they would come."""
+    return [stateful.between(frame, column, low, high) for low, high in zip((None, *CUTS), (*CUTS, None))]
+
+
 @query("t1s_apply_otp_events", f"""WITH e AS (SELECT user_id AS number, event_type AS kind, CASE {' '.join(f"WHEN ts < TIMESTAMP '{c}' THEN {i}" for i, c in enumerate(CUTS))} ELSE 3 END AS batch, ts, event_id FROM events WHERE event_id % 7 <> 0),
     l AS (SELECT number, batch, arg_max(kind, (ts, event_id)) AS kind FROM e GROUP BY 1, 2), u AS (SELECT DISTINCT user_id AS number, CASE WHEN user_id % 2 = 0 THEN 'old' END AS state FROM events), {', '.join(_fold(i) for i in range(4))} SELECT number, nullif(state, '') AS share FROM s3 WHERE state IS NOT NULL""")
 def t1s(spark, sf_dir):
     """Each batch is applied to the target as the one before left it, with `error` as delete and `click` without a share.
 
-    The events are dealt into four files by time, one of which each batch takes.
+    The events come in four parts by time; each start of the stream takes up the next.
     """
     path = _path(spark, "t1s")
-    events = table(spark, sf_dir, "events")
-    for low, high in zip((None, *CUTS), (*CUTS, None)):
-        here = events if low is None else events.filter(F.col("ts") >= F.lit(low).cast("timestamp"))
-        (here if high is None else here.filter(F.col("ts") < F.lit(high).cast("timestamp"))).coalesce(1).write.mode("append").parquet(f"{path}/feed")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     target = events.filter("user_id % 2 = 0").select(F.col("user_id").alias("number"), F.lit("old").alias("share")).distinct()
-    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/feed").withColumn("ts", F.col("ts").cast("timestamp"))
-    changes = feed.select(
-        F.col("user_id").alias("number"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("share"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("event_type"),
-        F.when(F.col("event_id") % 7 == 0, "me").otherwise("other").alias("instance_id"), "ts", F.col("event_id").alias("seq"),
-    )
-    start = changes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    run = start.foreachBatch(feeds.keep_applied(target, f"{path}/data", "me")).start()
-    run.awaitTermination()
-    return feeds.last_version(spark, f"{path}/data", run.lastProgress["batchId"] + 1)
+    apply = feeds.keep_applied(target, f"{path}/target", "me", 8)
+    for part in _parts(events):
+        part.write.mode("append").parquet(f"{path}/feed")
+        changes = spark.readStream.schema(events.schema).parquet(f"{path}/feed").select(
+            F.col("user_id").alias("number"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("share"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("event_type"),
+            F.when(F.col("event_id") % 7 == 0, "me").otherwise("other").alias("instance_id"), "ts", F.col("event_id").alias("seq"),
+        )
+        changes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
+    return feeds.last_version(spark, f"{path}/target", target.schema)
 
 
 @query("t2s_route_jobs", "SELECT event_id AS job_id FROM events WHERE event_id % 4 = 0 AND user_id % 7 = 3")
@@ -156,11 +158,6 @@ def t11s(spark, sf_dir):
     return hit.select("page_id", F.lit(True).alias("hit")).unionByName(miss.select("page_id", F.lit(False).alias("hit")))
 
 
-def _parts(frame, column="ts"):
-    """frame in four parts of time, as they would come."""
-    return [stateful.between(frame, column, low, high) for low, high in zip((None, *CUTS), (*CUTS, None))]
-
-
 #: The watermark's time in milliseconds once all events are in; timers that lie at or before it have fired.
 _mark = lambda hours: f"(SELECT epoch_us(max(ts)) // 1000 - {hours * 3_600_000} FROM events)"
 

@@ -19,9 +19,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{(base or 'file:///tmp/vouch-scratch').rstrip('/')}/vouch-{spark.sparkContext.applicationId}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, there = _at(spark, path)
+    return files.exists(there)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no folder."""
+    files, there = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(there)] if files.exists(there) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    files, there = _at(spark, path)
+    files.delete(there, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -12,6 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from vouch.sources.scratch import children, exists, remove, written
 
 
 def job_feed(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:
@@ -48,28 +51,71 @@ def apply_otp_events(target: DataFrame, batch: DataFrame, me: str) -> DataFrame:
     return joined.select("number", F.coalesce("_share", "share").alias("share"))
 
 
-def version_path(path: str, batch_id: int) -> str:
-    return f"{path}/version={batch_id}"
+#: Parts of a kept target, by a hash of the key; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict[int, int] | None:
+    """For each part of the target the version that holds it after so many batches, from one small table; null where there is none."""
+    if not exists(spark, f"{path}/manifest/{version}/_SUCCESS"):
+        return None
+    return {r.bucket: r.held for r in spark.read.parquet(f"{path}/manifest/{version}").collect()}
+
+
+def _read(spark: SparkSession, path: str, held: dict[int, int], schema: StructType) -> DataFrame:
+    """The parts named, each of its version."""
+    folders = [f"{path}/data/version={v}/bucket={k}" for k, v in sorted(held.items()) if exists(spark, f"{path}/data/version={v}/bucket={k}")]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("number"), F.lit(buckets))
+
+
+def _keep(rows: DataFrame, path: str, version: int, held: dict[int, int]) -> None:
+    """Writes parts of a version, and then the table that makes it valid."""
+    rows.withColumn("bucket", _bucket(len(held))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
+    told = rows.sparkSession.createDataFrame(sorted(held.items()), "bucket long, held long")
+    told.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{version}")
 
 
-def keep_applied(target: DataFrame, path: str, me: str) -> Callable[[DataFrame, int], None]:
+def keep_applied(target: DataFrame, path: str, me: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch that applies each batch of events to the target as the batch before left it.
 
-    Every batch writes a version of its own below path, named by the batch; the target given is what the first one
-    starts from. A batch that is run again after a failure reads the same version and overwrites its own.
+    The target is kept below path in parts by its key, as many as at the first start. A batch reads and writes only the parts that its events
+    touch, as a version named by the batch, and ends with a table of the version that holds each part; until that is
+    there the batch has not happened. A batch that is run again after a failure reads the same versions as before, and
+    versions that neither this batch nor the one before it needs are deleted.
     """
-    spark = target.sparkSession
+    spark, schema = target.sparkSession, target.schema
+    if not any(exists(spark, f"{path}/manifest/{name}/_SUCCESS") for name in children(spark, f"{path}/manifest")):
+        _keep(target, path, -1, {k: -1 for k in range(buckets)})
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        before = target if batch_id == 0 else spark.read.schema(target.schema).parquet(version_path(path, batch_id - 1))
-        apply_otp_events(before, batch, me).write.mode("overwrite").parquet(version_path(path, batch_id))
+        held = _manifest(spark, path, batch_id - 1)
+        if held is None:
+            raise RuntimeError(f"batch {batch_id - 1} has not been applied")
+        batch = written(batch, "batch")
+        touched = [r.bucket for r in batch.filter(F.col("instance_id") != me).select(_bucket(len(held)).alias("bucket")).distinct().collect()]
+        before = _read(spark, path, {k: held[k] for k in touched}, schema)
+        now = held | {k: batch_id for k in touched}
+        _keep(apply_otp_events(before, batch, me), path, batch_id, now)
+        for name in children(spark, f"{path}/data"):
+            if name.startswith("version=") and int(name.removeprefix("version=")) not in {*held.values(), *now.values()}:
+                remove(spark, f"{path}/data/{name}")
+        remove(spark, f"{path}/manifest/{batch_id - 2}")
 
     return apply
 
 
-def last_version(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    """The target after so many batches."""
-    return spark.read.parquet(version_path(path, batches - 1))
+def last_version(spark: SparkSession, path: str, schema: StructType, batches: int | None = None) -> DataFrame:
+    """The target after so many batches, or after the last one; as it was at first where there was none."""
+    if batches is None:
+        batches = max((int(name) for name in children(spark, f"{path}/manifest") if exists(spark, f"{path}/manifest/{name}/_SUCCESS")), default=-1) + 1
+    held = _manifest(spark, path, batches - 1)
+    if held is None:
+        raise ValueError(f"no version of {batches} batches below {path}")
+    return _read(spark, path, held, schema)
 
 
 def route_jobs(stream: DataFrame, instance: str, delay: str = "1 hour") -> DataFrame:
