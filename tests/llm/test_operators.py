@@ -7,6 +7,7 @@ import subprocess
 import sys
 import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -382,6 +383,71 @@ class TestDecontaminate:
         found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), bench).collect()}
         assert len(expected) > 100 and len(found & expected) >= 0.97 * len(expected) and all(d % 25 == i for d, i in found)
 
+    def test_thousands_of_items(self, spark):
+        """5,000 items over one vocabulary against every document by the same checks, by loops: 0.9 or more of what shares enough weight is found."""
+        rng = random.Random(31)
+        vocabulary = [letters(rng, "abcdefgh", 7) + "v" for _ in range(3000)]
+        # Frequent words are in most texts, as in prose.
+        some = lambda n: [vocabulary[min(int(rng.paretovariate(0.6)) - 1, 2999)] if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(n)]
+        items = [some(rng.randrange(5, 70)) for _ in range(5000)]
+        docs = []
+        for i in range(120):
+            words = list(items[i * 41])
+            for k in rng.sample(range(len(words)), int(rng.uniform(0, 0.4) * len(words))):
+                words[k] = rng.choice(vocabulary)
+            docs.append(some(60) + words + some(60))
+        docs += [some(rng.randrange(1, 250)) for _ in range(40)]
+        holders = {}
+        for i, item in enumerate(items):
+            for w, n in Counter(item).items():
+                holders.setdefault(w, []).append((i, n))
+        seen = Counter(w for words in docs for w in set(words))
+        idf = {w.encode(): np.log((1 + len(docs)) / (1 + seen[w])) for w in vocabulary}
+        expected = {}
+        for d, words in enumerate(docs):
+            common = Counter()
+            for w, n in Counter(words).items():
+                for i, m in holders.get(w, ()):
+                    common[i] += min(n, m)
+            coded = [w.encode() for w in words]
+            fives = {tuple(coded[k : k + 5]) for k in range(len(coded))}
+            for i in (i for i, n in common.items() if n >= 0.6 * len(items[i])):
+                asked = [w.encode() for w in items[i]]
+                stands, size = tuple(asked[-5:]) in fives, len(asked)
+                windows = [coded[a : a + 2 * size] for a in range(0, len(coded), size)]
+                best = max(windows, key=lambda part: decontaminate.common_subsequence(asked, part))
+                if decontaminate.common_subsequence(asked, best) >= (0.6 if stands else 0.8) * size:
+                    both = Counter(asked) & Counter(best)
+                    expected[d, i] = sum(n * idf[w] ** 2 for w, n in both.items()) / sum(idf[w] ** 2 for w in asked)
+        bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+        rows = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(8)
+        found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, bench).select("doc_id", "item_id").collect()}
+        planted = {(d, i) for d, i in expected if d < 120 and i == d * 41}
+        assert len(planted) >= 80 and len(found & planted) >= 0.9 * len(planted), (len(planted), len(found & planted))
+        # Short items meet by chance in frequent words; pairs that share less than WEIGHT of an item's weight are no candidates.
+        heavy = {pair for pair, share in expected.items() if share >= decontaminate.WEIGHT}
+        assert len(heavy) > len(planted) and len(found & heavy) >= 0.9 * len(heavy), (len(heavy), len(found & heavy))
+
+    def test_words_in_common(self):
+        """Bounds on words in common are the numbers that loops count, and no check that would find an item is left out."""
+        rng = random.Random(32)
+        words = [b"w%d" % i for i in range(30)]
+        for _ in range(30):
+            items = decontaminate.Items(list(range(12)), [rng.choices(words, k=rng.randrange(1, 25)) for _ in range(12)])
+            items.weigh(np.array([rng.randrange(50) for _ in items.terms], dtype=float), 100)
+            text = rng.choices([*words, b"unknown"], k=rng.randrange(1, 80))
+            n, at, ids, _ = items.known(" ".join(w.decode() for w in text))
+            held = Counter(text)
+            assert items.in_common(ids).tolist() == [sum(min(c, held[w]) for w, c in Counter(ws).items()) for ws in items.words]
+            some = np.array([rng.randrange(12) for _ in range(40)])
+            a = np.array([rng.randrange(n) for _ in some])
+            b = np.array([rng.randrange(x, n + 1) for x in a.tolist()])
+            told = items.enough(np.sort(ids * (n + 1) + at), n + 1, some, a, b).tolist()
+            for i, x, y, enough in zip(some.tolist(), a.tolist(), b.tolist(), told):
+                part = Counter(text[x:y])
+                assert enough == (sum(min(c, part[w]) for w, c in Counter(items.words[i]).items()) >= 0.6 * len(items.words[i]))
+                assert enough or decontaminate.common_subsequence(items.words[i], text[x:y]) < 0.6 * len(items.words[i])
+
     def test_odd_tables(self, spark, odd, none):
         bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog", "x"), (2, "long text " * 3, "y")], "item_id long, text string, doc_id string")
         clash = odd.withColumn("item_id", F.lit(1)).withColumn("kind", F.lit(2))

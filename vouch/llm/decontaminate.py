@@ -5,7 +5,8 @@ and benchmark items become TF-IDF vectors over the items' words, with document f
 documents. A one-pass randomised SVD (a Nystroem sketch A'(A Omega), summed over tasks) gives a latent space, in which each item's candidates are the passages that lie
 in its direction and carry enough of its weight. Candidates are then checked word by word: the longest common
 subsequence with the item must cover most of it, or somewhat less where the item's answer, its last words,
-stands in the passage as it is. Items of fewer words than an answer are looked up as exact runs of words.
+stands in the passage as it is. A subsequence is no longer than the words in common are many, so candidates with too
+few of these, counted for all of a block of passages at once, are out before. Items of fewer words than an answer are looked up as exact runs of words.
 
 A benchmark is handled in blocks of items, so what is sent to the tasks is bounded whatever its size.
 """
@@ -27,8 +28,12 @@ from .common import WORD_BYTES, slices, text_of
 BLOCK, BLOCK_WORDS = 20_000, 1_000_000
 #: Words of passages that are projected together, about.
 PROJECTED = 49_152
+#: Words of a text whose passages are searched together; at least four passages are.
+SEARCHED = 2_048
 #: Dimensions of the latent space.
 DIMENSIONS = 64
+#: Rows of the sketch in an Arrow batch.
+SENT = 4_096
 #: Least cosine, and least share of an item's weight, of a candidate.
 COSINE, WEIGHT = 0.3, 0.3
 #: Share of an item's words in the common subsequence that is a leak, and that is one if the answer stands there too.
@@ -43,6 +48,12 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range after the other."""
+    sizes = hi - lo
+    return np.arange(int(sizes.sum())) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
+
+
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, by bits of one integer for each row of the usual table."""
     places: dict[bytes, int] = {}
@@ -101,8 +112,9 @@ class Items:
             if len(ids) and not self.idf[ids].any():
                 self.idf[ids] = 0.1
         self.lists = lists
+        self._count_words(lists)
         self.mass = np.array([(self.idf[ids] ** 2).sum() for ids in lists])
-        sizes = np.array([len(ids) for ids in lists], dtype=np.int64)
+        self.sizes = sizes = np.array([len(ids) for ids in lists], dtype=np.int64)
         # Short items by their first word.
         self.short: dict[int, list[int]] = {}
         for i in np.flatnonzero((sizes > 0) & (sizes < ANSWER)).tolist():
@@ -121,6 +133,33 @@ class Items:
                     np.maximum.at(credit, lists[i], self.idf[lists[i]] ** 2 / self.mass[i])
             self.classes.append(Sized(these, 2 << k, 1 << k, credit))
 
+    def _count_words(self, lists: list[np.ndarray]) -> None:
+        """Different words of each item with their numbers, by item and by word."""
+        every = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(lists)), [len(ids) for ids in lists])
+        cells, self.own_count = np.unique(owner * max(1, len(self.terms)) + every, return_counts=True)
+        owner, self.own_term = np.divmod(cells, max(1, len(self.terms)))
+        self.own_at = np.searchsorted(owner, np.arange(len(lists) + 1))
+        order = np.argsort(self.own_term, kind="stable")
+        self.has_item, self.has_count = owner[order], self.own_count[order]
+        self.has_at = np.searchsorted(self.own_term[order], np.arange(len(self.terms) + 1))
+        self.needed = PARAPHRASED * np.array([len(ids) for ids in lists])
+
+    def in_common(self, ids: np.ndarray) -> np.ndarray:
+        """For each item the number of its words that ids have, repeats as often as both have them."""
+        terms, counts = np.unique(ids, return_counts=True)
+        lo, hi = self.has_at[terms], self.has_at[terms + 1]
+        at = ranges(lo, hi)
+        return np.bincount(self.has_item[at], np.minimum(self.has_count[at], np.repeat(counts, hi - lo)), len(self.ids))
+
+    def enough(self, places: np.ndarray, n: int, items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a to b, whose places are known as sorted term * n + position, have enough of each item's words in common."""
+        lo, hi = self.own_at[items], self.own_at[items + 1]
+        at, sizes = ranges(lo, hi), hi - lo
+        base = self.own_term[at] * n
+        there = np.searchsorted(places, base + np.repeat(b, sizes)) - np.searchsorted(places, base + np.repeat(a, sizes))
+        return np.add.reduceat(np.minimum(there, self.own_count[at]), np.cumsum(sizes) - sizes) >= self.needed[items]
+
     def project(self, weighted: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Sums of the rows of weighted (terms by dimensions, times idf) over each range of ids; only these rows are read."""
         sizes = hi - lo
@@ -128,16 +167,14 @@ class Items:
         full = np.flatnonzero(sizes)
         if len(full):
             starts = np.cumsum(sizes[full]) - sizes[full]
-            at = np.arange(int(sizes.sum())) + np.repeat(lo[full] - starts, sizes[full])
-            out[full] = np.add.reduceat(weighted[ids[at]], starts, axis=0)
+            out[full] = np.add.reduceat(weighted[ids[ranges(lo, hi)]], starts, axis=0)
         return out
 
     def sketch(self, weighted: np.ndarray, out: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         """Adds a'(a omega) of each passage a, scaled to unit length, to out; weighted is omega times idf."""
         sizes = hi - lo
         rows = np.repeat(np.arange(len(lo)), sizes)
-        at = np.arange(int(sizes.sum())) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
-        cells, counts = np.unique(rows * len(self.terms) + ids[at], return_counts=True)
+        cells, counts = np.unique(rows * len(self.terms) + ids[ranges(lo, hi)], return_counts=True)
         rows, terms = cells // len(self.terms), cells % len(self.terms)
         value = counts * self.idf[terms]
         norm = np.bincount(rows, value**2, len(lo))
@@ -166,17 +203,27 @@ class Items:
                 size = len(self.words[item])
                 if item not in best and words[start : start + size] == self.words[item]:
                     best[item] = (self.ids[item], start, size, size, size, True, "copy")
+        places, common, counted = np.sort(ids * (n + 1) + at), np.zeros(0), None
         for sized in self.classes:
             starts, lo, hi = sized.passages(n, at, ids)
-            step = max(1, PROJECTED // sized.passage)
+            step = max(4, SEARCHED // sized.stride)
             for block in range(0, len(starts), step):
                 part = slice(block, block + step)
+                first, last = starts[part][[0, -1]]
+                span = tuple(np.searchsorted(at, [first - sized.passage, last + 2 * sized.passage]).tolist())
+                if span != counted:
+                    common, counted = self.in_common(ids[slice(*span)]), span
                 z = self.project(self.weighted, ids, lo[part], hi[part])
                 dots = z @ sized.points.T
                 near = (dots >= COSINE * sized.length * (np.sqrt((z**2).sum(axis=1)) + 1e-12)[:, None]) & (dots >= WEIGHT * sized.length**2)
-                for p, k in zip(*np.nonzero(near)):
-                    item = int(sized.items[k])
-                    found = self.check(item, words, int(starts[block + p]), sized.passage)
+                rows, columns = np.nonzero(near & (common >= self.needed)[sized.items])
+                if not len(rows):
+                    continue
+                items, begins = sized.items[columns], starts[part][rows]
+                sizes = self.sizes[items]
+                some = self.enough(places, n + 1, items, np.maximum(begins - sizes, 0), np.minimum(begins + sized.passage + sizes, n))
+                for item, start in zip(items[some].tolist(), begins[some].tolist()):
+                    found = self.check(item, words, start, sized.passage)
                     if found and (item not in best or found[3] > best[item][3]):
                         best[item] = found
         return [best[i] for i in sorted(best)]
@@ -218,14 +265,16 @@ def _counted(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 def _fitted(docs: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
     """Terms by dimensions: right singular vectors of the passages' matrix, from one pass over all documents."""
     terms, width = len(items.terms), min(DIMENSIONS, max(1, len(items.terms)))
-    omega = np.random.default_rng(seed).standard_normal((terms, width))
-    shared = docs.sparkSession.sparkContext.broadcast((items, omega))
+    drawn = lambda: np.random.default_rng(seed).standard_normal((terms, width))
+    omega = drawn()
+    shared = docs.sparkSession.sparkContext.broadcast(items)
     some = docs.select(text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        them, omega = shared.value
-        weighted = omega * them.idf[:, None]
-        out, rows = np.zeros_like(omega), 0
+        # The same random directions are drawn in each task and not sent.
+        them, weighted = shared.value, drawn()
+        weighted *= them.idf[:, None]
+        out = np.zeros_like(weighted)
         for part in slices(batches):
             held, words = [[] for _ in them.classes], 0
             known = [them.known(text)[:3] for text in part.column(0).to_pylist()]
@@ -235,20 +284,22 @@ def _fitted(docs: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
                     held[k].append((lo + words, hi + words))
                 words += len(ids)
             ids = np.concatenate([x[2] for x in known])
-            for sized, ranges in zip(them.classes, held):
-                lo, hi = (np.concatenate(x) for x in zip(*ranges))
+            for sized, spans in zip(them.classes, held):
+                lo, hi = (np.concatenate(x) for x in zip(*spans))
                 step = max(1, PROJECTED // sized.passage)
                 for block in range(0, len(lo), step):
                     them.sketch(weighted, out, ids, lo[block : block + step], hi[block : block + step])
-                rows += len(lo)
         at = np.flatnonzero(out.any(axis=1))
-        value = pa.array(list(out[at]), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(at), value, pa.array(np.full(len(at), rows))], ["term", "v", "rows"])
+        for terms_of in np.split(at, range(SENT, len(at), SENT)):
+            yield pa.RecordBatch.from_arrays([pa.array(terms_of), *(pa.array(out[terms_of, k]) for k in range(out.shape[1]))], ["term", *names])
 
-    parts = some.mapInArrow(run, "term long, v array<double>, rows long").select("term", F.posexplode("v").alias("k", "v"))
-    summed = parts.groupBy("term", "k").agg(F.sum("v").alias("v")).toPandas()
+    # A column for each dimension: a term of a task is one row, and sums need no arrays.
+    names = [f"v{k}" for k in range(width)]
+    parts = some.mapInArrow(run, ", ".join(["term long", *(f"{x} double" for x in names)]))
+    summed = parts.groupBy("term").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
     y = np.zeros((terms, width))
-    y[summed["term"].to_numpy(dtype=np.int64), summed["k"].to_numpy(dtype=np.int64)] = summed["v"].to_numpy(dtype=float)
+    for k, x in enumerate(names):
+        y[summed["term"].to_numpy(), k] = summed[x].to_numpy()
     # The items count as passages too, with as much weight together as the corpus has, so that the space tells them apart.
     own = np.zeros_like(y)
     weighted, stops = omega * items.idf[:, None], np.cumsum([len(ids) for ids in items.lists])
@@ -293,7 +344,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
     the item's item_words, answer whether its last words stand there, kind `copy` or `paraphrase`. Null and
     empty texts hold nothing; items of fewer words than an answer must stand there as they are, and are the region; null item_ids
     and items without words are left out; repeated rows repeat theirs; empty tables give an empty result.
-    Columns other than doc_id, item_id and text are ignored.
+    Columns other than doc_id, item_id and text are ignored. Short items that meet a text only in words that most documents
+    have share less than WEIGHT of the item's weight and are no candidates.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
