@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from vouch.functions import text as X
-from vouch.operators import statements as S
+from vouch.operators import fields as D, statements as S
 from vouch.plans.tables import table
 
 Q, O = {}, {}
@@ -158,3 +160,45 @@ def d5f(spark, sf_dir):
     )
     found = X.find_date(F.concat(F.lit("ordered on "), words, F.lit(" and sent.")))
     return table(spark, sf_dir, "orders").select("o_orderkey", found["date"].alias("date"), found["words"].alias("words"))
+
+
+AS_OF = datetime.date(1997, 6, 30)
+
+
+@query("d2f_order_dates", f"""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders),
+    l AS (SELECT o_orderkey, [d, d + CAST(o_orderkey % 400 AS INTEGER), d - CAST(o_orderkey % 90 AS INTEGER)] AS dates FROM d)
+    SELECT o_orderkey, list_max(list_filter(dates, lambda x: x <= DATE '{AS_OF}' AND x >= DATE '{AS_OF}' - 730)) AS date FROM l""")
+def d2f(spark, sf_dir):
+    """The latest date of a statement that names an order's date and two that follow from it, each in another form."""
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    later, before = F.date_add(d, (k % 400).cast("int")), F.date_sub(d, (k % 90).cast("int"))
+    text = F.concat_ws(" ", F.lit("Issued"), F.date_format(d, "MMMM d, yyyy"), F.lit("due"), F.upper(F.date_format(later, "dd MMM yyyy")), F.lit("for the time from"), F.date_format(before, "dd/MM/yyyy"), F.lit("on, page 3/4"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.statement_date(text, AS_OF).alias("date"))
+
+
+#: Codes of the 25 nations by their number, of two and of three letters, and their dialling prefixes.
+CODES = {f"{chr(65 + i)}N": f"{chr(65 + i)}NX" for i in range(25)}
+PREFIXES = {two: f"+{40 + i}" for i, two in enumerate(CODES)}
+
+
+@query("f15_nation_codes", """WITH c AS (SELECT c_custkey, c_custkey % 5 AS k, c_nationkey AS n, chr(65 + c_nationkey) || 'N' AS two FROM customer)
+    SELECT c_custkey, CASE WHEN k IN (0, 1, 2) THEN two || 'X' END AS three, k IN (0, 1, 2) AS valid, CASE WHEN k IN (0, 1) THEN '+' || (40 + n) END AS prefix FROM c""")
+def f15(spark, sf_dir):
+    """Each customer's nation by its code: of two letters, in small letters with white space, of three letters, with a letter too many, by a number."""
+    k, n = F.col("c_custkey") % 5, F.col("c_nationkey")
+    two = F.concat(F.char(n + 65), F.lit("N"))
+    code = F.when(k == 0, two).when(k == 1, F.concat(F.lit(" "), F.lower(two), F.lit(" "))).when(k == 2, F.concat(two, F.lit("X"))).when(k == 3, F.concat(two, F.lit("XX"))).otherwise(n.cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.alpha3(code, CODES).alias("three"), X.valid_iso(code, CODES).alias("valid"), X.dial_prefix(code, PREFIXES).alias("prefix"))
+
+
+#: A currency for each market, by its code and the names that it goes by.
+MONEY = {f"{m[:2]}Q": [m.lower(), f"{m.lower()} note"] for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")}
+
+
+@query("f19_market_currency", """WITH c AS (SELECT c_custkey, c_custkey % 4 AS k, c_mktsegment AS m FROM customer)
+    SELECT c_custkey, CASE WHEN m IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') AND k < 3 THEN left(m, 2) || 'Q' END AS iso, coalesce(m IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') AND k = 0, false) AS valid FROM c""")
+def f19(spark, sf_dir):
+    """The currency of a customer's market, given by code, by name, by a longer name, or by a name that none has."""
+    k, m = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    name = F.when(k == 0, F.concat(F.lower(F.left(m, F.lit(2))), F.lit("q "))).when(k == 1, m).when(k == 2, F.concat(F.lit(" "), m, F.lit(" Note"))).otherwise(F.concat(m, F.lit("s")))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.currency_iso(name, MONEY).alias("iso"), D.valid_currency(name, MONEY).alias("valid"))
