@@ -202,3 +202,23 @@ def f19(spark, sf_dir):
     k, m = F.col("c_custkey") % 4, F.col("c_mktsegment")
     name = F.when(k == 0, F.concat(F.lower(F.left(m, F.lit(2))), F.lit("q "))).when(k == 1, m).when(k == 2, F.concat(F.lit(" "), m, F.lit(" Note"))).otherwise(F.concat(m, F.lit("s")))
     return table(spark, sf_dir, "customer").select("c_custkey", X.currency_iso(name, MONEY).alias("iso"), D.valid_currency(name, MONEY).alias("valid"))
+
+
+@query("f25_document_scripts", r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN translate(coalesce(text, ''), 'aeiounrst', 'аеиоунрст') WHEN 2 THEN translate(left(coalesce(text, ''), 60), 'aeiouAEIOU', 'xxxxxxxxxx') WHEN 3 THEN left(coalesce(text, ''), 25) ELSE coalesce(text, '') END AS t FROM documents),
+    n AS (SELECT *, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{L}]|[\x{00}-\x{24F}]', '', 'g')) AS beyond, length(regexp_replace(t, '[^aeiouAEIOU]', '', 'g')) AS vowels FROM t)
+    SELECT doc_id, letters > 0 AND beyond / letters > 0.3 AS foreign_script, length(t) >= 5 AND ((letters > 10 AND vowels / letters < 0.1)
+        OR len(list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda w: length(regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) > 20)) > 0) AS unreadable FROM n""")
+def f25(spark, sf_dir):
+    """Script and readability of whole texts: as they are, with half of their letters in another script, without vowels, and their first words."""
+    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    t = F.when(k == 1, F.translate(text, "aeiounrst", "аеиоунрст")).when(k == 2, F.translate(F.left(text, F.lit(60)), "aeiouAEIOU", "xxxxxxxxxx")).when(k == 3, F.left(text, F.lit(25))).otherwise(text)
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_non_latin(t).alias("foreign_script"), X.is_unreadable(t).alias("unreadable"))
+
+
+@query("f27_nation_states", """SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN n_name[-1:] || 'N' END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def f27(spark, sf_dir):
+    """The country of a supplier's nation taken as a state's name: as it stands, in small letters within white space, and with a word more."""
+    k = F.col("s_suppkey") % 3
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    state = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lit("  "), F.lower("n_name"), F.lit(" "))).otherwise(F.concat("n_name", F.lit(" land")))
+    return joined.select("s_suppkey", X.country_from_state(state, {f"Nation_{i}": f"{i % 10}N" for i in range(25)}).alias("country"))
