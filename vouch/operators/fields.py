@@ -154,8 +154,8 @@ def true_matches(results: DataFrame, subjects: DataFrame, strength: float, simil
 
 
 def attach_face(results: DataFrame, matches: DataFrame) -> DataFrame:
-    """Adds face_similarity to results by url, of several matches the first by arrival."""
-    first = matches.groupBy("url").agg(F.min_by("similarity", "arrival").alias("face_similarity"))
+    """Adds face_similarity to results by url, of several matches the first by arrival; ties by the lesser similarity."""
+    first = matches.groupBy("url").agg(F.min_by("similarity", F.struct("arrival", "similarity")).alias("face_similarity"))
     return results.join(first, "url", "left")
 
 
