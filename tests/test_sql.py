@@ -1,5 +1,7 @@
 """Queries against their SQL over small tables with the cases that only large ones have."""
 
+import math
+
 import duckdb
 
 from vouch import queries
@@ -24,3 +26,14 @@ def test_faces_of_pages_with_one_url(spark, tmp_path):
     found, told = both(spark, tmp_path, "j7_attach_face", pages=spark.createDataFrame(rows, "page_id long, url string"))
     assert found == told
     assert {r[1]: r[0] for r in found} == {"6": "0.002", "2": "0.002", "4": "0.002", "1": "0.002", "3": "None", "8": "0.008", "9": "None", "10": "None"}
+
+
+def vectors_at(spark, distances):
+    rows = [(n, [1 - d, math.sqrt(1 - (1 - d) ** 2)], 0) for n, d in distances.items()]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+def test_nearest_of_many_vectors(spark, tmp_path):
+    """A difference of a millionth counts before any difference of numbers."""
+    found, told = both(spark, tmp_path, "v5_nearest_other", embeddings=vectors_at(spark, {50: 0.0, 1: 0.100001, 7001: 0.1, 9001: 0.1}))
+    assert found == told and [r[1:] for r in found] == [["50", "7001"]]
