@@ -16,9 +16,9 @@ def both(spark, folder, name, **tables):
     frame = queries.QUERIES[name](spark, str(folder))
     plain = lambda x: [plain(y) for y in x] if isinstance(x, (list, tuple)) else repr(x)
     columns = sorted(frame.columns)
-    found = sorted(map(plain, frame.select(*columns).collect()))
+    found = sorted(map(plain, frame.select(*columns).collect()), key=repr)
     told = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
-    return found, sorted(map(plain, told))
+    return found, sorted(map(plain, told), key=repr)
 
 
 def test_faces_of_pages_with_one_url(spark, tmp_path):
@@ -37,3 +37,11 @@ def test_nearest_of_many_vectors(spark, tmp_path):
     """A difference of a millionth counts before any difference of numbers."""
     found, told = both(spark, tmp_path, "v5_nearest_other", embeddings=vectors_at(spark, {50: 0.0, 1: 0.100001, 7001: 0.1, 9001: 0.1}))
     assert found == told and [r[1:] for r in found] == [["50", "7001"]]
+
+
+def test_normal_form_of_small_values_and_zero(spark, tmp_path):
+    """A value that rounds to nothing is 0.0 and not -0.0; the zero vector stays as it is."""
+    rows = [(1, [1.0, -1e-8]), (2, [0.0, 0.0]), (3, [-3.0, 4.0]), (4, None), (5, [])]
+    found, told = both(spark, tmp_path, "v6_normalize", embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert found == told
+    assert {r[2]: r[0] for r in found} == {"1": ["1.0", "0.0"], "2": ["0.0", "0.0"], "3": ["-0.6", "0.8"], "4": "None", "5": []}
