@@ -98,8 +98,20 @@ def latest_per_type(df: DataFrame) -> DataFrame:
 
 def key_embeddings(keys: DataFrame, faces: DataFrame) -> DataFrame:
     """For each key the vectors of its identity, newest first: key_id, vectors (ids); an empty list without any."""
-    listed = faces.groupBy("identity").agg(F.sort_array(F.collect_list(F.struct("created_at", "vec_id")), asc=False).alias("v"))
-    return keys.join(listed, "identity", "left").select("key_id", F.coalesce(F.transform("v", lambda x: x["vec_id"]), F.array().cast("array<long>")).alias("vectors"))
+    newest = F.sort_array(F.collect_list(F.struct("created_at", "vec_id")), asc=False)
+    listed = faces.groupBy("identity").agg(F.transform(newest, lambda x: x["vec_id"]).alias("vectors"))
+    return with_identity(keys, listed).select("key_id", F.coalesce("vectors", F.array().cast("array<long>")).alias("vectors"))
+
+
+#: Parts into which the keys of one identity are dealt.
+KEY_PARTS = 32
+
+
+def with_identity(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """keys with the one row of listed of their identity, where there is one; an identity's keys are dealt into parts, each with a copy of its row."""
+    dealt = keys.withColumn("part", F.pmod(F.xxhash64("key_id"), F.lit(KEY_PARTS)).cast("int"))
+    copies = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1))))
+    return dealt.join(copies, ["identity", "part"], "left").drop("part")
 
 
 def validate_otp(jobs: DataFrame, otps: DataFrame, window: int = 300) -> DataFrame:
