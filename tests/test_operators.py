@@ -511,3 +511,26 @@ def test_drain_goes_on(spark, tmp_path):
         feed = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
         out = feeds.drain(feed, f"file://{tmp_path}/out")
         assert sorted(r.id for r in out.collect()) == list(range(5 * n + 5))
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 40])
+def test_windows_of_many_texts(monkeypatch, stretch):
+    """Like the best window of each text, whatever lies side by side with it."""
+    monkeypatch.setattr(likeness, "STRETCH", stretch)
+    monkeypatch.setattr(likeness, "WINDOWS", 50)
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdé😀 ") for _ in range(n))
+    for label in ["", "a", "gidget", "abcdé", "dab cab bad", word(30), word(70)]:
+        texts = [word(rng.randrange(0, 90 if len(label) > 20 else 14)) for _ in range(80)] + ["", label, label[:-1], label[1:] + "z", f"x{label[::-1]}y", f"q{label[:-1]}zq"]
+        for least in (0, 40, 75.0, 100):
+            assert likeness.have_window(texts * 2, label, least) == {t: likeness.best_window(t, label) * 100 >= least for t in texts}
+
+
+def test_label_match_of_many_rows(spark):
+    """Rows with few texts, and rows each with a text of its own, in one partition."""
+    few = F.concat(F.lit("large "), F.element_at(F.array(*map(F.lit, ["ring", "gadget", "widget", "bolt"])), (F.col("id") % 4 + 1).cast("int")))
+    own = F.concat(few, F.lit(" "), F.col("id").cast("string"))
+    for text, n in ((few, 100_000), (own, 60_000)):
+        began = time.perf_counter()
+        found = {r.k: r.n for r in spark.range(0, n, 1, 1).filter(fields.label_match(text, F.lit("gidget"))).groupBy((F.col("id") % 4).alias("k")).agg(F.count("*").alias("n")).collect()}
+        assert time.perf_counter() - began < 15 and found == {1: n // 4, 2: n // 4}

@@ -8,12 +8,13 @@ every string. Before that, code points in common, counted, bound the subsequence
 from __future__ import annotations
 
 import difflib
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Code points of a target that one number of bits holds; windows that are looked at together.
-BITS, WINDOWS = 63, 1 << 16
+#: Code points of a target that one number of bits holds; windows, and code points of texts, that are looked at together.
+BITS, WINDOWS, STRETCH = 63, 1 << 16, 1 << 20
 
 
 def _codes(text: str) -> np.ndarray:
@@ -124,3 +125,66 @@ def best_window(text: str, label: str) -> float:
                 matcher.set_seq1(window)
                 found = max(found, matcher.ratio())
     return found
+
+
+def have_window(texts: list[str], label: str, least: float) -> dict[str, bool]:
+    """For each text, whether its best_window with a label is `least` percent or more.
+
+    Distinct texts are bounded together, and a stretch that may be like the label is compared once for all of them.
+    """
+    matcher, known = difflib.SequenceMatcher(autojunk=False), {}
+
+    def alike(window: str, short: str) -> bool:
+        if (window, short) not in known:
+            if matcher.b != short:
+                matcher.set_seq2(short)
+            matcher.set_seq1(window)
+            known[window, short] = matcher.ratio() * 100 >= least
+        return known[window, short]
+
+    told = {t: not (t and label) and least <= 0 for t in texts}
+    given = sorted((t for t in told if t and label), key=len)
+    for n, same in itertools.groupby((t for t in given if len(t) <= len(label)), key=len):
+        # The texts are the shorter ones: each stretch of the label is compared with all texts of its length.
+        same = list(same)
+        codes = _codes("".join(same)).reshape(-1, n)
+        for k in range(len(label) - n + 1):
+            window = label[k : k + n]
+            goal = Target(window)
+            for a in range(0, len(same), WINDOWS):
+                rows = goal.places(codes[a : a + WINDOWS].ravel()).reshape(-1, n)
+                for i in np.flatnonzero(_may_be(goal, rows, least)).tolist():
+                    told[same[a + i]] = told[same[a + i]] or alike(window, same[a + i])
+    longer = [t for t in given if len(t) > len(label)]
+    ends = np.cumsum(np.fromiter(map(len, longer), np.int64, len(longer)))
+    at, n, goal = 0, len(label), Target(label)
+    while at < len(longer):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STRETCH, side="right")))
+        whole, begins = "".join(longer[at:upto]), np.r_[0, ends[at : upto - 1] - (ends[at - 1] if at else 0)]
+        places = goal.places(_codes(whole))
+        shared = np.zeros(len(places) - n + 1, dtype=np.int64)
+        for letter, count in enumerate(goal.counts):
+            seen = np.r_[0, np.cumsum(places == letter)]
+            shared += np.minimum(seen[n:] - seen[:-n], count)
+        starts = np.flatnonzero(2.0 * shared / (2 * n) * 100 >= least)
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        own = starts + n <= np.r_[begins[1:], len(whole)][owner]  # not over the end of a text
+        starts, owner = starts[own], owner[own]
+        for a in range(0, len(starts), WINDOWS):
+            these = starts[a : a + WINDOWS]
+            for i in np.flatnonzero(_may_be(goal, places[these[:, None] + np.arange(n)], least)).tolist():
+                text, k = longer[at + owner[a + i]], int(these[i])
+                told[text] = told[text] or alike(whole[k : k + n], label)
+        at = upto
+    return told
+
+
+def _may_be(goal: Target, rows: np.ndarray, least: float) -> np.ndarray:
+    """Which strings of a target's length, given as rows of places, may be `least` percent or more like it."""
+    n = rows.shape[1]
+    most = np.zeros(len(rows), dtype=np.int64)
+    for letter, count in enumerate(goal.counts):
+        most += np.minimum(np.count_nonzero(rows == letter, axis=1), count)
+    may = 2.0 * most / (2 * n) * 100 >= least
+    may[may] = 2.0 * goal.common(rows[may], np.full(may.sum(), n)) / (2 * n) * 100 >= least
+    return may

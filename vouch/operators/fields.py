@@ -131,15 +131,26 @@ def text_match(text: Column, target: Column) -> Column:
     return F.when(inside, 100.0).otherwise(F.round(near * 100, 2))
 
 
-@F.pandas_udf(T.DoubleType())
-def partial_ratio(text: pd.Series, label: pd.Series) -> pd.Series:
-    """Best ratio of matching blocks of the shorter text against windows of its length in the longer one, in percent."""
-    return pd.Series([likeness.best_window((a or "").lower(), (b or "").lower()) * 100 for a, b in zip(text, label)], dtype=float)
+def has_window(least: float):
+    """Whether the shorter of a text and a label is by matching blocks, in percent, `least` or more like a window of its length in the longer one.
+
+    The distinct texts of a batch are looked at together.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def found(text: pd.Series, label: pd.Series) -> pd.Series:
+        low, goals = text.fillna("").str.lower(), label.fillna("").str.lower()
+        out = pd.Series(False, index=text.index)
+        for goal, same in low.groupby(goals, sort=False):
+            out[same.index] = same.map(likeness.have_window(same.unique().tolist(), goal, least)).astype(bool)
+        return out
+
+    return found
 
 
 def label_match(text: Column, label: Column, least: float = 75.0) -> Column:
     """Whether a text contains a label, or a part of it is like it."""
-    return F.lower(F.coalesce(text, F.lit(""))).contains(F.lower(label)) | (partial_ratio(text, label) >= least)
+    return F.lower(F.coalesce(text, F.lit(""))).contains(F.lower(label)) | has_window(least)(text, label)
 
 
 def true_matches(results: DataFrame, subjects: DataFrame, strength: float, similarity: float) -> DataFrame:
