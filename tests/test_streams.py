@@ -2,9 +2,11 @@
 
 import datetime
 import random
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Row, functions as F
 
 from vouch.streaming import feeds, stateful
 
@@ -142,3 +144,48 @@ def test_provider_is_given_back(spark):
     with stateful.with_rocksdb(spark):
         assert spark.conf.get(stateful.PROVIDER) == stateful.ROCKSDB
     assert spark.conf.get(stateful.PROVIDER) == before
+
+
+class Held:
+    """One key's value and timers, without a store."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+        self.get, self.exists = lambda: self.value, lambda: self.value is not None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_key_of_few_rows_costs_little():
+    """Many keys with a row or two in a batch: rows go in and out, and no frame is made for each key."""
+    codes, row = stateful.Codes(1000), Row("number", "id", "ts", "kind", "code", "most", "at", "expires")
+    began = time.perf_counter()
+    for k in range(5000):
+        codes.init(held := Held())
+        given = [row(k, 2, T0 + H, "attempt", "a", 3, 2_000_000, stateful.NO_TIME), row(k, 1, T0, "issue", "a", 3, 1_000_000, 9_000_000)]
+        made = list(codes.handleInputRows((k,), iter(given), None))
+        assert [tuple(m) for m in made] == [(k, 1, "issued", 0, 1_000_000), (k, 2, "verified", 1, 2_000_000)] and held.timers == [10_000]
+    assert time.perf_counter() - began < 3
+
+
+def test_stale_by_the_sessions_time(spark, tmp_path):
+    """as_of is a time of the session's zone, like others given without one."""
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        rows = [(i, i, T0, "processing", 0, 3, "s", T0 - d * H) for i, d in enumerate([1, 3])]
+        jobs = spark.createDataFrame([(*r[:2], str(r[2]), *r[3:7], str(r[7])) for r in rows], "job_id long, n int, ts string, status string, retry_count int, max_retries int, server string, started_at string")
+        jobs = jobs.withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "started_at")})
+        found = stateful.drain_parts([jobs], f"file://{tmp_path}", lambda s: stateful.recovered_jobs(s, spark.createDataFrame([], "job_id long"), T0, 2))
+        assert [(r.job_id, r.ts) for r in found.select("job_id", F.col("ts").cast("string").alias("ts")).collect()] == [(1, str(T0))]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
