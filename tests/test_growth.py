@@ -41,3 +41,9 @@ def test_pairs_are_made_in_as_many_partitions_as_cells(spark, monkeypatch):
     made = vectors.make_pairs(store.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), store)
     assert made.count() == 20 * 400 - 20 - 20 * 19 // 2
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_parts_are_detected_in_one_look(spark):
+    """A text is lowered once, and searched once for each word and each country's names, whatever is told from that."""
+    plan = queries.QUERIES["f21_detect_parts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("RLIKE") <= 3, plan

@@ -100,6 +100,11 @@ def _longest(found: DataFrame) -> DataFrame:
     return best.select("doc_id", "b.term", "b.kind")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), for which value is worked out once, however often use takes it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _most_keywords(low: Column, keywords: dict[str, list[str]]) -> Column:
     """Struct of the name with most keywords in a text, the first of equals, and hits and size; no hits, no name."""
     hits = lambda words: F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w)))
@@ -114,20 +119,26 @@ def detect_parts(text: Column, types: dict[str, list[str]], countries: dict[str,
     more from two on; a country, the first of which a name stands as a word, by 0.7 and 0.1 for each word that speaks
     for it. countries maps a code to its names and such words.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
     most = lambda c: F.least(c, F.lit(1.0))
-    kind, owner = _most_keywords(low, types), _most_keywords(low, entities)
-    kind_share = most(kind["hits"] / kind["size"] * F.when(kind["hits"] >= 3, 1.2).otherwise(1.0))
-    owner_share = most(most(owner["hits"] / 3) * F.when(owner["hits"] >= 2, 1.2).otherwise(1.0))
-    country = F.lit(None).cast("struct<code:string,confidence:double>")
-    for code, (names, words) in reversed(countries.items()):
-        speaks = F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w))) if words else F.lit(0)
-        country = F.when(low.rlike(r"\b(?:" + "|".join(n.lower() for n in names) + r")\b"), F.struct(F.lit(code).alias("code"), most(0.7 + 0.1 * speaks).alias("confidence"))).otherwise(country)
-    sure = [F.when(kind["hits"] > 0, kind_share).otherwise(0.0), F.coalesce(country["confidence"], F.lit(0.0)), F.when(owner["hits"] > 0, owner_share).otherwise(0.0)]
-    return F.struct(
-        F.when(kind["hits"] > 0, kind["name"]).alias("type"), country["code"].alias("country"), F.when(owner["hits"] > 0, owner["name"]).alias("entity"),
-        *[F.round(c, 6).alias(f"{n}_confidence") for n, c in zip(("type", "country", "entity"), sure)], F.round(sure[0] * 0.4 + sure[1] * 0.3 + sure[2] * 0.3, 6).alias("confidence"),
-    )
+
+    def looked_up(low: Column) -> Column:
+        country = F.lit(None).cast("struct<code:string,confidence:double>")
+        for code, (names, words) in reversed(countries.items()):
+            speaks = F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w))) if words else F.lit(0)
+            country = F.when(low.rlike(r"\b(?:" + "|".join(n.lower() for n in names) + r")\b"), F.struct(F.lit(code).alias("code"), most(0.7 + 0.1 * speaks).alias("confidence"))).otherwise(country)
+        return F.struct(_most_keywords(low, types).alias("kind"), _most_keywords(low, entities).alias("owner"), country.alias("country"))
+
+    def told(found: Column) -> Column:
+        kind, owner, country = found["kind"], found["owner"], found["country"]
+        kind_share = most(kind["hits"] / kind["size"] * F.when(kind["hits"] >= 3, 1.2).otherwise(1.0))
+        owner_share = most(most(owner["hits"] / 3) * F.when(owner["hits"] >= 2, 1.2).otherwise(1.0))
+        sure = [F.when(kind["hits"] > 0, kind_share).otherwise(0.0), F.coalesce(country["confidence"], F.lit(0.0)), F.when(owner["hits"] > 0, owner_share).otherwise(0.0)]
+        return F.struct(
+            F.when(kind["hits"] > 0, kind["name"]).alias("type"), country["code"].alias("country"), F.when(owner["hits"] > 0, owner["name"]).alias("entity"),
+            *[F.round(c, 6).alias(f"{n}_confidence") for n, c in zip(("type", "country", "entity"), sure)], F.round(sure[0] * 0.4 + sure[1] * 0.3 + sure[2] * 0.3, 6).alias("confidence"),
+        )
+
+    return _once(_once(F.lower(F.coalesce(text, F.lit(""))), looked_up), told)
 
 
 def dictionary_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
