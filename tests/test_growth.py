@@ -47,3 +47,10 @@ def test_parts_are_detected_in_one_look(spark):
     """A text is lowered once, and searched once for each word and each country's names, whatever is told from that."""
     plan = queries.QUERIES["f21_detect_parts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 and plan.count("RLIKE") <= 3, plan
+
+
+def test_tokens_of_a_text_are_taken_once(spark):
+    """Below the join with the names, not once for each use in the score."""
+    plan = queries.QUERIES["f12_text_name_score"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(n for n, line in enumerate(plan) if "Join " in line)
+    assert not any("translate(" in line for line in plan[:join]) and sum(line.count("translate(") for line in plan[join:]) == 2

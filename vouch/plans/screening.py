@@ -360,9 +360,10 @@ def f4(spark, sf_dir):
 @query("f12_text_name_score", FROM_PEOPLE + r""", t AS (SELECT d.doc_id, st, list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(replace(text, ',', ' '))), '\s+'), lambda t: t <> '')) AS wt
         FROM documents d JOIN stok ON subject_id = d.doc_id - d.doc_id % 2) SELECT doc_id, round(""" + _score + ", 6) AS score FROM t")
 def f12(spark, sf_dir):
-    who = tables.subjects(spark, sf_dir).select(F.col("subject_id").alias("who"), "full_name")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") - F.col("doc_id") % 2).alias("who"))
-    return docs.join(who, "who").select("doc_id", F.round(names.token_score(names.name_tokens(F.col("full_name")), names.name_tokens(F.col("text"))), 6).alias("score"))
+    """Tokens are taken before the join, so each text's are worked out once; they are shuffled in place of the texts."""
+    who = tables.subjects(spark, sf_dir).select(F.col("subject_id").alias("who"), names.name_tokens(F.col("full_name")).alias("asked"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") - F.col("doc_id") % 2).alias("who"), names.name_tokens(F.col("text")).alias("told"))
+    return docs.join(who, "who").select("doc_id", F.round(names.token_score(F.col("asked"), F.col("told")), 6).alias("score"))
 
 
 @query("u7_expand_queries", FROM_PEOPLE + """
